@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tracklane.llm import q_mixing
+from tracklane.llm import q_mixing, q_packing
 
 
 def queries() -> dict:
     return {
         "op2_mix_sources": q_mixing.op2_mix_sources,
+        "op3_pack_sequences": q_packing.op3_pack_sequences,
     }
 
 
