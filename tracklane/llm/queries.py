@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from tracklane.llm import q_mixing, q_packing
+from tracklane.llm import q_mixing, q_packing, q_quality
 
 
 def queries() -> dict:
     return {
         "op2_mix_sources": q_mixing.op2_mix_sources,
         "op3_pack_sequences": q_packing.op3_pack_sequences,
+        "op9_quality_rules": q_quality.op9_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_mix_sources": q_mixing.SQL,
+        "op9_quality_rules": q_quality.SQL,
     }
