@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tracklane.llm import q_mixing, q_packing, q_quality
+from tracklane.llm import q_mixing, q_packing, q_quality, q_secrets
 
 
 def queries() -> dict:
     return {
+        "op1_secret_scans": q_secrets.op1_secret_scans,
         "op2_mix_sources": q_mixing.op2_mix_sources,
         "op3_pack_sequences": q_packing.op3_pack_sequences,
         "op9_quality_rules": q_quality.op9_quality_rules,
