@@ -12,6 +12,8 @@ over many tasks.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -32,9 +34,31 @@ JOINED_WORDS = 200
 #: Blanks that the tokenizer drops and that no token spans.
 _BLANKS = bytes.maketrans(b"\t\n\r", b"   ")
 
+#: Letters that are their own normal form and that one letter replaces in lower case, then punctuation that
+#: begins no special token and no contraction.
+_LATIN = re.compile(r"""([A-Za-z\u00c0-\u012f\u0132-\u01c3]+)([!"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]*)""")
+
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 
+def _split(word: bytes) -> tuple[bytes, bytes]:
+    """A word's core and tail with the same ids end to end: the tokenizer takes Latin letters in lower case, and
+    cuts between them and the punctuation after them."""
+    if (m := _LATIN.fullmatch(word.decode())) and m[1].isalpha():
+        return m[1].lower().encode(), m[2].encode()
+    return word, b""
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_for(path: str) -> WordEncoder:
+    """This worker process's encoder; what it has learned serves later tasks too."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 class WordEncoder:
     """Ids of texts, as little-endian unsigned 32-bit bytes.
 
@@ -47,31 +71,62 @@ class WordEncoder:
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.bytes = ByteLevel(add_prefix_space=False, use_regex=False)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _held(self, word: bytes) -> bytes | None:
+        if (ids := self.young.get(word)) is None and (ids := self.old.get(word)) is not None:
+            self.young[word] = ids
+        return ids
+
     def _learn(self, words: set[bytes]) -> None:
         if len(self.young) + len(words) > CACHED_WORDS:
             self.young, self.old = {}, self.young
-        fresh = []
+        fresh, made = set(), []
+        for w in words:
+            if self._held(w) is None:
+                core, tail = _split(w)
+                if self._held(core) is None:
+                    fresh.add(core)
+                if core != w:
+                    made.append((w, core, tail))
+        known = list(fresh)
+        for at in range(0, len(known), JOINED_WORDS * 50):
+            self._tokenize(known[at : at + JOINED_WORDS * 50])
+        for w, core, tail in made:
+            if tail not in self.young:
+                self._tokenize([tail])
+            self.young[w] = self.young[core] + self.young[tail]
+
+    def _tokenize(self, words: list[bytes]) -> None:
+        """Learns the ids of words: those of Latin letters from the merges alone, all others by the whole tokenizer."""
+        merge, level, others = self.tokenizer.model.tokenize, self.bytes.pre_tokenize_str, []
         for w in words:
-            if w not in self.young:
-                if (ids := self.old.get(w)) is None:
-                    fresh.append(w)
-                else:
-                    self.young[w] = ids
-        groups = [[w.decode() for w in fresh[i : i + JOINED_WORDS]] for i in range(0, len(fresh), JOINED_WORDS)]
-        done = 0
-        for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ends = np.cumsum([len(w) + 1 for w in group])
-            ids = np.array(e.ids, dtype="<u4")
+            if w.isalpha() and w.islower():
+                mapped = w.decode()
+            elif (m := _LATIN.fullmatch(w.decode())) and m[1].isalpha() and not m[2]:
+                mapped = level(m[1].lower())[0][0]
+            else:
+                others.append(w)
+                continue
+            self.young[w] = struct.pack(f"<{len(t := merge(mapped))}I", *[x.id for x in t])
+        if others:
+            self._tokenize_joined(others)
+
+    def _tokenize_joined(self, words: list[bytes]) -> None:
+        groups = [words[i : i + JOINED_WORDS] for i in range(0, len(words), JOINED_WORDS)]
+        spelled = [[w.decode() for w in g] for g in groups]
+        for group, names, e in zip(groups, spelled, self.tokenizer.encode_batch([" ".join(g) for g in spelled], add_special_tokens=False), strict=True):
+            ends = np.cumsum([len(w) + 1 for w in names])
+            ids = np.array(e.ids, dtype="<u4").tobytes()
             word = np.searchsorted(ends, np.array([o[0] for o in e.offsets], dtype=np.int64), side="right")
-            cuts = np.searchsorted(word, np.arange(len(group) + 1)).tolist()
-            for k in range(len(group)):
-                self.young[fresh[done + k]] = ids[cuts[k] : cuts[k + 1]].tobytes()
-            done += len(group)
+            cuts = (4 * np.searchsorted(word, np.arange(len(group) + 1))).tolist()
+            for k, w in enumerate(group):
+                self.young[w] = ids[cuts[k] : cuts[k + 1]]
 
     def encode(self, text: str) -> bytes:
         words = text.encode("utf-8", "replace").translate(_BLANKS).split(b" ")
@@ -93,7 +148,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = encoder_for(tokenizer_path)
         for batch in batches:
             rows, number, starts, lengths, crcs, blobs = [], [], [], [], [], []
             for row, text in enumerate(batch.column(1)):
