@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracklane.llm import q_embeddup, q_mixing, q_neardup, q_packing, q_quality, q_secrets
+from tracklane.llm import q_embeddup, q_mixing, q_neardup, q_packing, q_quality, q_secrets, q_toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_mix_sources": q_mixing.op2_mix_sources,
         "op3_pack_sequences": q_packing.op3_pack_sequences,
         "op4_minhash_neardup": q_neardup.op4_minhash_neardup,
+        "op6_toxicity": q_toxicity.op6_toxicity,
         "op8_embedding_neardup": q_embeddup.op8_embedding_neardup,
         "op9_quality_rules": q_quality.op9_quality_rules,
     }

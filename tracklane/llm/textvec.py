@@ -69,12 +69,13 @@ class Words:
     """Words of texts, A-Z in lower case.
 
     data: lower-case bytes; starts, ends: of each word in data; counts: words
-    of each text; doc: text of each word; hashes: 64 bits of each word.
+    of each text; doc: text of each word; hashes: 64 bits of each word. raw: the
+    bytes as they are; offsets: where each text begins in them.
     """
 
     def __init__(self, column: pa.Array) -> None:
         raw, offsets = text_bytes(column)
-        self.data = _LOWER[raw]
+        self.raw, self.offsets, self.data = raw, offsets, _LOWER[raw]
         inside = np.zeros(len(raw) + 2, dtype=bool)
         inside[1:-1] = ~_SPACE[self.data]
         # a word starts inside where the byte before is blank or of another text
@@ -89,10 +90,14 @@ class Words:
         self.counts = np.diff(at)
         self.first_word = at[:-1]
         self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
-        powers, inverses = _powers(len(raw) + 1)
-        total = np.zeros(len(raw) + 1, dtype=np.uint64)
-        np.cumsum(_CODES[self.data] * powers[: len(raw)], out=total[1:])
-        self.hashes = mix((total[self.ends] - total[self.starts]) * inverses[self.starts])
+        powers, self._inverses = _powers(len(raw) + 1)
+        self._total = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(_CODES[self.data] * powers[: len(raw)], out=self._total[1:])
+        self.hashes = self.range_hashes(self.starts, self.ends)
+
+    def range_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the given ranges of data, equal for equal bytes."""
+        return mix((self._total[ends] - self._total[starts]) * self._inverses[starts])
 
 
 def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
