@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracklane.llm import q_embeddup, q_mixing, q_neardup, q_packing, q_quality, q_secrets, q_toxicity
+from tracklane.llm import q_embeddup, q_langid, q_mixing, q_neardup, q_packing, q_quality, q_secrets, q_toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_toxicity": q_toxicity.op6_toxicity,
         "op8_embedding_neardup": q_embeddup.op8_embedding_neardup,
         "op9_quality_rules": q_quality.op9_quality_rules,
+        "op10_language_id": q_langid.op10_language_id,
     }
 
 

@@ -53,15 +53,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges of about SLICE_BYTES of text."""
+def slices(column: pa.Array, rows: int | None = None) -> Iterator[tuple[int, int]]:
+    """Row ranges of about SLICE_BYTES of text, and of `rows` rows at most."""
     if not len(column):
         return
     offsets = text_bytes(column)[1]
     start = 0
     while start < len(column):
         end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + SLICE_BYTES, side="right")) - 1)
-        yield start, min(end, len(column))
+        end = min(end, len(column), start + (rows or len(column)))
+        yield start, end
         start = end
 
 
