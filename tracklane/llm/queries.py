@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracklane.llm import q_embeddup, q_langid, q_mixing, q_neardup, q_packing, q_quality, q_secrets, q_toxicity
+from tracklane.llm import q_embeddup, q_langid, q_licenses, q_mixing, q_neardup, q_packing, q_quality, q_secrets, q_toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_pack_sequences": q_packing.op3_pack_sequences,
         "op4_minhash_neardup": q_neardup.op4_minhash_neardup,
         "op6_toxicity": q_toxicity.op6_toxicity,
+        "op7_license_scans": q_licenses.op7_license_scans,
         "op8_embedding_neardup": q_embeddup.op8_embedding_neardup,
         "op9_quality_rules": q_quality.op9_quality_rules,
         "op10_language_id": q_langid.op10_language_id,
@@ -22,6 +23,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_mix_sources": q_mixing.SQL,
         "op4_minhash_neardup": q_neardup.SQL,
+        "op7_license_scans": q_licenses.sql(),
         "op8_embedding_neardup": q_embeddup.SQL,
         "op9_quality_rules": q_quality.SQL,
     }
