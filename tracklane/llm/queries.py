@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracklane.llm import q_embeddup, q_langid, q_licenses, q_mixing, q_neardup, q_packing, q_quality, q_secrets, q_toxicity
+from tracklane.llm import q_embeddup, q_langid, q_licenses, q_mixing, q_neardup, q_packing, q_pitmanyor, q_quality, q_secrets, q_toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_mix_sources": q_mixing.op2_mix_sources,
         "op3_pack_sequences": q_packing.op3_pack_sequences,
         "op4_minhash_neardup": q_neardup.op4_minhash_neardup,
+        "op5_lm_scoring": q_pitmanyor.op5_lm_scoring,
         "op6_toxicity": q_toxicity.op6_toxicity,
         "op7_license_scans": q_licenses.op7_license_scans,
         "op8_embedding_neardup": q_embeddup.op8_embedding_neardup,
