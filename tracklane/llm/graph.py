@@ -61,7 +61,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     a, b = links.columns
     apart = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
-    edges = staged(apart.mapInArrow(_stars, "node long, root long"), "stars")
+    edges = staged(apart.mapInArrow(_stars, "node long, root long").distinct(), "stars")
     seen = None
     while True:
         state = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node", "root")).alias("x")).first()
