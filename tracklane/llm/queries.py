@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tracklane.llm import q_embeddup, q_langid, q_licenses, q_mixing, q_neardup, q_packing, q_pitmanyor, q_quality, q_secrets, q_toxicity
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op8_embedding_neardup": q_embeddup.op8_embedding_neardup,
         "op9_quality_rules": q_quality.op9_quality_rules,
         "op10_language_id": q_langid.op10_language_id,
+        "pipeline": corpus_pipeline.run,
     }
 
 
