@@ -32,3 +32,37 @@ def first_after_anchor(anchors: DataFrame, responses: DataFrame, horizon_ms: int
         .select("anchor_id", F.col("best.response_id").alias("response_id"), F.col("best.delay_ms").alias("delay_ms"))
     )
     return a.join(hits, "anchor_id", "left")
+
+
+def _cells(start, end, width: int):
+    return F.sequence(F.floor(start / width), F.floor(end / width))
+
+
+def point_in_interval(points: DataFrame, intervals: DataFrame, by: list[str], lead_ms: int, cell_ms: int, prefer_inside: bool = False) -> DataFrame:
+    """points (point_id, t, ..) with the first interval (interval_id, t_start, t_end) that holds t, else null.
+
+    An interval reaches lead_ms before its start. First is by interval_id, or,
+    with prefer_inside, intervals that hold t themselves come before those that
+    hold it by their lead only, then by t_start and interval_id. Intervals are
+    repeated for each cell of cell_ms that they touch, so a key's intervals
+    meet its points cell by cell.
+    """
+    i = intervals.where("t_end >= t_start").withColumn("cell", F.explode(_cells(F.col("t_start") - lead_ms, F.col("t_end"), cell_ms)))
+    p = points.select(*by, "point_id", "t").withColumn("cell", F.floor(F.col("t") / cell_ms))
+    by_lead = (F.col("t") < F.col("t_start")).cast("int")
+    order = F.struct(by_lead.alias("lead"), "t_start", "interval_id") if prefer_inside else F.struct("interval_id")
+    first = (
+        p.join(i, [*by, "cell"])
+        .where((F.col("t") >= F.col("t_start") - lead_ms) & (F.col("t") <= F.col("t_end")))
+        .groupBy("point_id")
+        .agg(F.min(order).alias("first"))
+        .select("point_id", F.col("first.interval_id").alias("interval_id"))
+    )
+    return points.join(first, "point_id", "left")
+
+
+def band_pairs(left: DataFrame, right: DataFrame, by: list[str], width: int) -> DataFrame:
+    """Pairs of rows of the same key with |t - r_t| <= width; left has t, right has r_t."""
+    cell = F.floor(F.col("t") / width)
+    probes = left.withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
+    return probes.join(right.withColumn("cell", F.floor(F.col("r_t") / width)), [*by, "cell"]).where(F.abs(F.col("r_t") - F.col("t")) <= width).drop("cell")
