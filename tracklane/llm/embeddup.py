@@ -89,12 +89,11 @@ def _window_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         a, b = [], []
         for step in range(1, min(WINDOW, len(rep) - 1) + 1):
             far = np.bitwise_count(sketch[step:] ^ sketch[:-step]).sum(axis=1)
-            for i in np.flatnonzero((far <= SKETCH_FAR) & (group[step:] == group[:-step]).all(axis=1)).tolist():
-                if known.join(int(rep[i]), int(rep[i + step])):
-                    a.append(rep[i])
-                    b.append(rep[i + step])
+            at = np.flatnonzero((far <= SKETCH_FAR) & (group[step:] == group[:-step]).all(axis=1))
+            a.append(rep[at])
+            b.append(rep[at + step])
         if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield known.fresh(np.concatenate(a), np.concatenate(b))
         held = table.slice(max(0, len(rep) - WINDOW)).combine_chunks().to_batches()[0]
 
 

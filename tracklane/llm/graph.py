@@ -38,6 +38,12 @@ class Forest:
         return True
 
 
+    def fresh(self, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        """Those of the links (a, b) that join what was apart."""
+        kept = [(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True) if self.join(x, y)]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], pa.int64()), pa.array([y for _, y in kept], pa.int64())], names=["a", "b"])
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each partition's links as one star per component: the least id, and the others."""
     forest = Forest()

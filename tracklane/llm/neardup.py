@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklane.llm.common import staged
-from tracklane.llm.graph import components
+from tracklane.llm.graph import Forest, components
 from tracklane.llm.grouping import whole_groups
 from tracklane.llm.textvec import Words, mix, shingles, slices
 
@@ -138,7 +138,8 @@ def forest(n: int, near) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning forests of the close pairs of each entry (and pair of blocks)."""
+    """A spanning forest of the close pairs of all entries (and pairs of blocks) in the partition."""
+    known = Forest()
     for table, at in whole_groups(batches, ["entry", "low", "high"]):
         rep, signed = table.column("rep").to_numpy(), matrix(table.column("signature"))
         head = np.repeat(at[:-1], np.diff(at))
@@ -151,9 +152,7 @@ def close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for u, others in forest(len(rows), lambda u, w, part=part: (part[w] != part[u]).sum(axis=1) <= FAR):
                 a.append(np.full(len(others), rep[rows[u]]))
                 b.append(rep[rows[others]])
-        a, b = np.concatenate(a), np.concatenate(b)
-        apart = a != b
-        yield pa.RecordBatch.from_arrays([pa.array(a[apart]), pa.array(b[apart])], names=["a", "b"])
+        yield known.fresh(np.concatenate(a), np.concatenate(b))
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -189,6 +188,8 @@ def confirmed(sets: list[np.ndarray]) -> list[tuple[int, np.ndarray]]:
 
 
 def exact_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the confirmed links of all clusters (and pairs of blocks) in the partition."""
+    known = Forest()
     for table, at in whole_groups(batches, ["root", "low", "high"]):
         rep, sets = table.column("rep").to_numpy(), table.column("shingles")
         a, b = [], []
@@ -200,7 +201,7 @@ def exact_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     a.append(np.full(len(others), ids[u]))
                     b.append(ids[others])
         if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            yield known.fresh(np.concatenate(a), np.concatenate(b))
 
 
 def whole_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
