@@ -39,6 +39,11 @@ def quantile_bins(df: DataFrame, value: str, bins: int) -> DataFrame:
     return df.withColumn("__edges", edges.scalar()).withColumn("bin", F.when(F.col(value).isNotNull(), bin_of).cast("long")).drop("__edges")
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson correlation; null where a side does not vary."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def split_halves(df: DataFrame, unit: str, half: Column, value: str, min_each: int) -> DataFrame:
     """One row per unit with the mean of value in either half (0 and 1), for units with min_each rows in both."""
     means = df.groupBy(unit).pivot("__half", [0, 1]) if "__half" in df.columns else df.withColumn("__half", half).groupBy(unit).pivot("__half", [0, 1])
@@ -48,7 +53,7 @@ def split_halves(df: DataFrame, unit: str, half: Column, value: str, min_each: i
 
 def split_half_reliability(halves: DataFrame) -> DataFrame:
     """n, r between the halves, and 2 r / (1 + r)."""
-    r = F.corr("half_0", "half_1")
+    r = correlation("half_0", "half_1")
     return halves.agg(F.count(F.lit(1)).alias("n"), r.alias("r")).withColumn("reliability", 2 * F.col("r") / (1 + F.col("r")))
 
 

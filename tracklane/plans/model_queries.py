@@ -162,7 +162,7 @@ def clustered_cell_errors(spark, sf_dir):
 def resample_grid(spark, sf_dir):
     points = event_stream(spark, sf_dir).groupBy("user_id", F.col("t_ms").alias("t")).agg(F.avg("value").alias("value"))
     spans = points.groupBy("user_id").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
-    return tracking.resample(points, ["user_id"], spans, 86_400_000, 30, ["value"]).select("user_id", "k", "t", "valid", r6("value").alias("value"))
+    return tracking.resample(points, ["user_id"], spans, 86_400_000, 30, ["value"]).select("user_id", F.col("grid_step").alias("k"), "t", "valid", r6("value").alias("value"))
 
 
 @query(

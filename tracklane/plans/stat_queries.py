@@ -83,7 +83,7 @@ def within_group_centred_corr(spark, sf_dir):
     group = Window.partitionBy("s_nationkey")
     joined = _halves(spark, sf_dir).join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
     centred = joined.select((F.col("half_0") - F.avg("half_0").over(group)).alias("a"), (F.col("half_1") - F.avg("half_1").over(group)).alias("b"))
-    return centred.agg(F.count(F.lit(1)).alias("n"), r6(F.corr("a", "b")).alias("r"))
+    return centred.agg(F.count(F.lit(1)).alias("n"), r6(stats.correlation("a", "b")).alias("r"))
 
 
 @query(
@@ -261,7 +261,7 @@ def rank_correlation(spark, sf_dir):
         counts = part.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
         ranked = stats.sum_below(counts, column, "n", "below").select(column, (F.col("below") + (F.col("n") + 1) / 2).alias(name))
         ranks = ranks.join(ranked, column)
-    c = ranks.agg(F.corr("a", "b").alias("r"), F.count(F.lit(1)).alias("n"))
+    c = ranks.agg(stats.correlation("a", "b").alias("r"), F.count(F.lit(1)).alias("n"))
     half = 1.959963984540054 / F.sqrt(F.col("n") - 3)
     return c.select("n", r6("r").alias("spearman"), r6(F.tanh(F.atanh("r") - half)).alias("low"), r6(F.tanh(F.atanh("r") + half)).alias("high"))
 

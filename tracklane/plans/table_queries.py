@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracklane.functions import scalars
-from tracklane.operators import screens
+from tracklane.operators import screens, stats
 from tracklane.plans.registry import EVENTS, Registry
 from tracklane.sources.fixtures import event_stream, table
 
@@ -223,7 +223,7 @@ def rater_agreement(spark, sf_dir):
 def headline_compare(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     both = li.groupBy("l_suppkey").agg(F.avg(F.when(F.col("l_linenumber") <= 3, F.col("l_extendedprice"))).alias("a"), F.avg("l_extendedprice").alias("b")).where("a is not null")
-    return both.agg(F.count(F.lit(1)).alias("n"), r6(F.corr("a", "b")).alias("r"), F.round(F.max(F.abs(F.col("a") - F.col("b"))), 4).alias("max_change"))
+    return both.agg(F.count(F.lit(1)).alias("n"), r6(stats.correlation("a", "b")).alias("r"), F.round(F.max(F.abs(F.col("a") - F.col("b"))), 4).alias("max_change"))
 
 
 @query(

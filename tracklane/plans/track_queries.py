@@ -176,17 +176,17 @@ def closeouts(spark, sf_dir):
 
 @query(
     "breakdown_runs",
-    f"""WITH {virtual.SQL}, m AS (SELECT possession, slot, step, sqrt((def_x - off_x) ** 2 + (def_y - off_y) ** 2) AS v FROM vt),
+    f"""WITH {virtual.SQL}, m AS (SELECT possession, slot, step, round(sqrt((def_x - off_x) ** 2 + (def_y - off_y) ** 2), 9) AS v FROM vt),
     h AS (SELECT *, CASE WHEN count(*) OVER w = 3 THEN min(v) OVER w END AS held FROM m WINDOW w AS (PARTITION BY possession, slot ORDER BY step ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
-    s AS (SELECT possession, max(held) AS sustained FROM h GROUP BY possession), t AS (SELECT quantile_cont(sustained, 0.8) AS th FROM s),
+    s AS (SELECT possession, max(held) AS sustained FROM h GROUP BY possession), t AS (SELECT round(quantile_cont(sustained, 0.8), 9) AS th FROM s),
     f AS (SELECT m.*, v > th AS p FROM m, t), i AS (SELECT *, step - sum(p::INT) OVER (PARTITION BY possession, slot ORDER BY step) AS isl FROM f)
     SELECT possession, slot, min(step)::BIGINT AS start_step, count(*)::BIGINT AS length, round(max(v), 6) AS peak FROM i WHERE p GROUP BY possession, slot, isl HAVING count(*) >= 3""",
 )
 def breakdown_runs(spark, sf_dir):
     rows = matchup.defenders(frames(spark, sf_dir))
     ox, oy = matchup.at(F.col("slot"))
-    gaps = rows.select("possession", "slot", "step", court.distance(F.col("def_x"), F.col("def_y"), ox, oy).alias("v"))
+    gaps = rows.select("possession", "slot", "step", F.round(court.distance(F.col("def_x"), F.col("def_y"), ox, oy), 9).alias("v"))
     sustained = islands.sustained_max(gaps, ["possession", "slot"], ["step"], "v", 3).groupBy("possession").agg(F.max("sustained").alias("sustained"))
-    threshold = sustained.agg(F.percentile("sustained", 0.8)).scalar()
+    threshold = sustained.agg(F.round(F.percentile("sustained", 0.8), 9)).scalar()
     runs = islands.true_runs(gaps.withColumn("above", F.col("v") > threshold), ["possession", "slot"], ["step"], F.col("above"), "v", 3)
     return runs.select("possession", "slot", F.col("start_place").cast("long").alias("start_step"), "length", r6("peak").alias("peak"))

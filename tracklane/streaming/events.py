@@ -22,25 +22,30 @@ def event_source(spark: SparkSession, path: str, schema, files_per_trigger: int
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def deduplicated(stream: DataFrame, key: list[str], late: str = LATE) -> DataFrame:
+def _marked(stream: DataFrame, late: str | None) -> DataFrame:
+    """stream with a watermark; None where it has one from an earlier step."""
+    return stream.withWatermark("ts", late) if late else stream
+
+
+def deduplicated(stream: DataFrame, key: list[str], late: str | None = LATE) -> DataFrame:
     """The first row of each key within the watermark."""
-    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(key)
+    return _marked(stream, late).dropDuplicatesWithinWatermark(key)
 
 
-def segments(stream: DataFrame, by: str, gap: str, late: str = LATE) -> DataFrame:
+def segments(stream: DataFrame, by: str, gap: str, late: str | None = LATE) -> DataFrame:
     """Continuous stretches per key: a gap of time without rows starts a new one."""
     return (
-        stream.withWatermark("ts", late)
+        _marked(stream, late)
         .groupBy(by, F.session_window("ts", gap).alias("w"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
         .select(by, F.col("w.start").alias("t_start"), F.col("w.end").alias("t_end"), "n", "total")
     )
 
 
-def rates(stream: DataFrame, width: str, late: str = LATE) -> DataFrame:
+def rates(stream: DataFrame, width: str, late: str | None = LATE) -> DataFrame:
     """Counts and mean value per type in fixed windows."""
     return (
-        stream.withWatermark("ts", late)
+        _marked(stream, late)
         .groupBy(F.window("ts", width).alias("w"), "event_type")
         .agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value"))
         .select(F.col("w.start").alias("t_start"), "event_type", "n", "mean_value")
@@ -84,9 +89,9 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     yield pd.DataFrame(closed, columns=["user_id", "label", "t_start", "t_end", "n"])
 
 
-def label_runs(stream: DataFrame, late: str = LATE) -> DataFrame:
+def label_runs(stream: DataFrame, late: str | None = LATE) -> DataFrame:
     """Runs of equal labels per key as they close; the state is one open run for each key."""
-    return stream.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(_advance, RUNS, RUN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return _marked(stream, late).groupBy("user_id").applyInPandasWithState(_advance, RUNS, RUN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
