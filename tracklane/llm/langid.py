@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklane.llm.common import fold
+from tracklane.llm.common import bounded_batches, fold, tidied
 from tracklane.llm.textvec import slices
 
 FIT_ROWS = 20_000
@@ -109,7 +109,7 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> dict[str, np.ndarray]:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["lang", "total"])
 
-    rows = sample.select("text", "lang").mapInArrow(run, "lang string, total binary").collect()  # a vector for each language and task
+    rows = bounded_batches(sample.select("text", "lang")).mapInArrow(tidied(run), "lang string, total binary").collect()  # a vector for each language and task
     totals: dict[str, np.ndarray] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], bytes(r["total"]))):
         totals[r["lang"]] = totals.get(r["lang"], 0) + np.frombuffer(r["total"], dtype=np.float64)
@@ -140,7 +140,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(predicted, pa.string()), pa.array(scores)], names=[*names, "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return bounded_batches(docs).mapInArrow(tidied(run), f"{schema}, lang_pred string, score double")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

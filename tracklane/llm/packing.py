@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import struct
+import threading
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklane.llm.common import buckets_for, hash_bucket, running_sum, staged
+from tracklane.llm.common import bounded_batches, buckets_for, hash_bucket, return_memory, running_sum, staged
 
 CAPACITY = 4096
 END_ID = 1
@@ -30,6 +31,8 @@ END_ID = 1
 CACHED_WORDS = 300_000
 #: Unknown words that go to the tokenizer as one text, for its cost per call.
 JOINED_WORDS = 200
+#: Seconds after its last task at which a worker forgets what it has learned.
+IDLE_SECONDS = 2.0
 
 #: Blanks that the tokenizer drops and that no token spans.
 _BLANKS = bytes.maketrans(b"\t\n\r", b"   ")
@@ -49,14 +52,35 @@ def _split(word: bytes) -> tuple[bytes, bytes]:
     return word, b""
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+class _Kept:
+    """This worker process's encoder. What it has learned serves the tasks that follow at once, but not idle workers' memory."""
 
+    path: str | None = None
+    encoder: WordEncoder | None = None
+    timer: threading.Timer | None = None
+    lock = threading.Lock()
 
-def encoder_for(path: str) -> WordEncoder:
-    """This worker process's encoder; what it has learned serves later tasks too."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+
+def borrow_encoder(path: str) -> WordEncoder:
+    with _Kept.lock:
+        if _Kept.timer:
+            _Kept.timer.cancel()
+        encoder = _Kept.encoder if _Kept.path == path else None
+        _Kept.encoder = None
+    return encoder or WordEncoder(path)
+
+
+def return_encoder(path: str, encoder: WordEncoder) -> None:
+    def drop() -> None:
+        with _Kept.lock:
+            _Kept.encoder = None
+        return_memory()
+
+    with _Kept.lock:
+        _Kept.path, _Kept.encoder = path, encoder
+        _Kept.timer = threading.Timer(IDLE_SECONDS, drop)
+        _Kept.timer.daemon = True
+        _Kept.timer.start()
 
 
 class WordEncoder:
@@ -148,7 +172,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(tokenizer_path)
+        encoder = borrow_encoder(tokenizer_path)
         for batch in batches:
             rows, number, starts, lengths, crcs, blobs = [], [], [], [], [], []
             for row, text in enumerate(batch.column(1)):
@@ -168,8 +192,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                 columns.append(pa.array(blobs, pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        return_encoder(tokenizer_path, encoder)
 
-    return docs.select("doc_id", "text").mapInArrow(run, out_schema)
+    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(run, out_schema)
 
 
 def fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:

@@ -16,6 +16,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tracklane.llm.common import bounded_batches, tidied
+
 KINDS = ("assign", "access", "hex", "credential")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -144,7 +146,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_assign", "n_access", "n_hex", "n_credential", "base_sha256", "spans", "guess_log10"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_assign long, n_access long, n_hex long, n_credential long, base_sha256 string, spans string, guess_log10 double")
+    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(tidied(run), f"doc_id {id_type}, n_assign long, n_access long, n_hex long, n_credential long, base_sha256 string, spans string, guess_log10 double")
 
 
 def hidden(text: str, mark: str = "[SECRET]") -> str:
@@ -175,4 +177,4 @@ def redact(docs: DataFrame, length_col: str | None = "n_chars") -> DataFrame:
                 columns[names.index(length_col)] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field(length_col).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(tidied(run), docs.schema)

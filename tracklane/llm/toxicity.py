@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklane.llm.boosting import Trees, isotonic
-from tracklane.llm.common import fold
+from tracklane.llm.common import bounded_batches, fold, tidied
 from tracklane.llm.textvec import Words, mix, slices
 
 FIT_ROWS = 16_000
@@ -84,11 +84,13 @@ class Lexicon:
                 distinct.append(i)
             seen |= own
         y = toxic[distinct]
-        pools = [np.concatenate([per_doc[i] for i, k in zip(distinct, y, strict=True) if k == c] or [np.zeros(0, np.uint64)]) for c in (0, 1)]
-        keys, hits = np.unique(pools[1], return_counts=True)
+        keys, hits = np.unique(np.concatenate([per_doc[i] for i in distinct if toxic[i]] or [np.zeros(0, np.uint64)]), return_counts=True)
         keys, hits = keys[hits >= LEAST_TOXIC_DOCS], hits[hits >= LEAST_TOXIC_DOCS]
-        clean = np.sort(pools[0])
-        misses = np.searchsorted(clean, keys, side="right") - np.searchsorted(clean, keys, side="left")
+        misses = np.zeros(len(keys), dtype=np.int64)
+        for i in distinct if len(keys) else ():
+            if not toxic[i]:
+                at = np.minimum(np.searchsorted(keys, per_doc[i]), len(keys) - 1)
+                misses[at[keys[at] == per_doc[i]]] += 1
         weights = np.log((hits + 0.5) / (y.sum() + 1)) - np.log((misses + 0.5) / (len(y) - y.sum() + 1))
         keep = np.flatnonzero((weights >= LEAST_WEIGHT) & (keys != 0))
         keep = np.sort(keep[np.argsort(-weights[keep] * np.sqrt(hits[keep]), kind="stable")[:LEXICON_SIZE]])
@@ -220,12 +222,13 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> bytes
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if held:
-            table = pa.Table.from_batches(held).combine_chunks()
+            table = pa.Table.from_batches(held)
+            held.clear()
             table = table.take(np.argsort(table.column("h").to_numpy(), kind="stable")).combine_chunks()
             toxic = (table.column("toxic").to_numpy() > 0).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array([fit(table.column("text").chunk(0), toxic)], pa.binary())], names=["model"])
 
-    rows = ordered.repartition(1).mapInArrow(run, "model binary").collect()  # one model of bounded size
+    rows = bounded_batches(ordered.repartition(1)).mapInArrow(tidied(run), "model binary").collect()  # one model of bounded size
     return bytes(rows[0]["model"]) if rows else None
 
 
@@ -241,7 +244,7 @@ def score(docs: DataFrame, model: bytes | None, threshold: float = THRESHOLD) ->
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, score double, predicted int")
+    return bounded_batches(docs).mapInArrow(tidied(run), f"{schema}, score double, predicted int")
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
