@@ -135,3 +135,55 @@ def test_inference(spark):
     treated = spark.createDataFrame([(1, 0.5, 3.0), (1, 0.5, 5.0), (0, 0.5, 1.0)], "t int, p double, y double")
     assert inference.overlap_effect(treated, F.col("t"), F.col("p"), F.col("y")).first().effect == 3.0
     assert np.isclose(inference.standardised_difference(treated, F.col("t"), F.col("y")).first().smd, 3 / math.sqrt(0.5))
+
+
+def test_event_dependent_switching():
+    rng = np.random.default_rng(7)
+    log_b, code = rng.normal(size=(5, 5, 3)), rng.integers(0, hmm.PATTERNS, (5, 5))
+    stay = hmm.stay_by_pattern(np.array([-2.0, 1.0, 0.5, 0.3, -0.2]))
+    post, total, stayed = hmm.event_forward_backward(log_b, code, stay)
+    path = hmm.event_viterbi(log_b, code, stay)
+    for c in range(5):
+        scores = {}
+        for p in itertools.product(range(3), repeat=5):
+            scores[p] = -math.log(3) + sum(log_b[c, i, s] for i, s in enumerate(p)) + sum(math.log(stay[code[c, i + 1]] if a == b else (1 - stay[code[c, i + 1]]) / 2) for i, (a, b) in enumerate(zip(p, p[1:])))
+        whole = math.log(sum(map(math.exp, scores.values())))
+        assert np.isclose(whole, total[c]) and tuple(path[c]) == max(scores, key=scores.get)
+        for i in range(1, 5):
+            assert np.isclose(stayed[c, i], sum(math.exp(v - whole) for p, v in scores.items() if p[i] == p[i - 1]))
+        assert np.allclose(post[c].sum(axis=1), 1)
+    one = hmm.event_forward_backward(log_b, np.zeros_like(code), np.full(hmm.PATTERNS, 0.8))
+    assert np.allclose(one[0], hmm.forward_backward(log_b, hmm.transitions(0.8, 3))[0])
+    beta = np.array([-3.0, 1.2, 0.8, 0.4, -0.5])
+    steps = np.full(hmm.PATTERNS, 1e4)
+    switch = 1 / (1 + np.exp(-hmm.pattern_design() @ beta))
+    assert np.allclose(hmm.fit_switching(steps * (1 - switch), steps, np.zeros(5)), beta, atol=1e-4)
+    fixed = hmm.fit_switching(steps * (1 - switch), steps, np.zeros(5), np.array([True, False, True, True, True]))
+    assert fixed[1] == 0
+
+
+def test_shot_model_recovers_and_round_trips(spark):
+    from tracklane.operators import shot_quality as sq
+
+    rng = np.random.default_rng(8)
+    zones = rng.choice(sq.ZONES, 4000)
+    dist = np.where(np.isin(zones, ["corner3", "above3"]), 24.0, rng.uniform(1, 18, 4000))
+    near = rng.uniform(0.5, 12, 4000)
+    eta = 0.8 - 0.06 * dist + 0.5 * np.log(near + 0.5)
+    made = rng.random(4000) < 1 / (1 + np.exp(-eta))
+    rows = [(int(i % 40), str(z), bool(m), float(d), 10.0, bool("3" in z), float(n), float(n) + 1, None if i % 5 == 0 else int(i % 6), i % 3 == 0, i % 4 == 0) for i, (z, m, d, n) in enumerate(zip(zones, made, dist, near, strict=True))]
+    df = spark.createDataFrame(rows, "shooter_id long, zone string, made boolean, dist_ft double, angle_deg double, is_three boolean, def1_ft double, def_front_ft double, n_dribbles int, catch_and_shoot boolean, is_transition boolean").persist()
+    model = sq.fit(df, "M1_geometry_defense")
+    p = model.predict(df).agg(F.avg("xfg"), F.corr("xfg", F.lit(0) + F.col("made").cast("int"))).first()
+    assert abs(p[0] - made.mean()) < 1e-3 and p[1] > 0.2
+    full = sq.fit(df)
+    again = sq.ShotModel.from_json(full.to_json(), full.counts)
+    a, b = full.predict(df).agg(F.sum("xfg")).first()[0], again.predict(df).agg(F.sum("xfg")).first()[0]
+    assert np.isclose(a, b) and full.predict(df.withColumn("dist_ft", F.lit(None).cast("double"))).where("xfg is not null").count() == 0
+    table, counts = sq.shooter_prior(df)
+    loo = sq.with_skill(df, table, counts, True).where("shooter_id = 3 and zone = 'rim'").first()
+    own = [r for r in rows if r[0] == 3 and r[1] == "rim"]
+    z = {r.zone: r for r in table.collect()}["rim"]
+    n, m = len(own) - 1, sum(r[2] for r in own) - loo.made
+    shrunk = (m + z.strength * z.p) / (n + z.strength)
+    assert np.isclose(loo.skill, math.log(shrunk / (1 - shrunk)) - math.log(z.p / (1 - z.p)))
