@@ -11,9 +11,10 @@
    a larger distance is still found unless every chunk has two errors or more:
    2.4e-5 of such pairs are missed, fewer above.)
 3. Documents that share an entry and whose signatures differ in at most
-   FAR positions are joined into candidate clusters. An entry gives a spanning
-   forest of its close pairs, never all pairs; entries with many documents are
-   worked on in pairs of blocks.
+   FAR positions are joined into candidate clusters, first by the entries of
+   some chunks, then, where these left them apart, by all others. Entries give
+   a spanning forest of their close pairs, never all pairs; entries with many
+   documents are worked on in pairs of blocks.
 4. Whole sets of the documents in clusters are built again from their texts,
    and each cluster's links are confirmed exactly, in pairs of blocks, which
    give spanning forests of the confirmed links. Their components are the
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklane.llm.common import staged
+from tracklane.llm.common import bounded_batches, staged, tidied
 from tracklane.llm.graph import Forest, components
 from tracklane.llm.grouping import whole_groups
 from tracklane.llm.textvec import Words, mix, shingles, slices
@@ -40,6 +41,8 @@ SIGNATURE = CHUNKS * CHUNK
 FAR = 28
 #: Percent of the union that the intersection has at least.
 PERCENT = 80
+#: Chunks that are worked on first: from the others, members that these link with one document need no links more.
+FIRST_CHUNKS = range(2)
 ENTRY_BLOCK = 8192
 CLUSTER_BLOCK = 1024
 CLUSTER_SHINGLES = 2_000_000
@@ -80,22 +83,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "n_shingles", "fp1", "fp2", "signature"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, signature binary")
+    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(tidied(run), "doc_id long, n_shingles long, fp1 long, fp2 long, signature binary")
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, SIGNATURE)
 
 
-def index_entries(classes: DataFrame) -> DataFrame:
-    """(entry, rep): for each chunk and each of its positions left out, a hash of the others."""
+def index_entries(classes: DataFrame, chunks: range = range(CHUNKS)) -> DataFrame:
+    """(entry, rep): for each of the chunks and each of its positions left out, a hash of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             signed = matrix(batch.column(1)).astype(np.uint64)
-            for chunk in range(CHUNKS):
+            for chunk in chunks:
                 own = [signed[:, chunk * CHUNK + k] << np.uint64(8 * k) for k in range(CHUNK)]
                 whole = np.bitwise_or.reduce(own)
                 for left_out in range(CHUNK):
@@ -138,10 +141,10 @@ def forest(n: int, near) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the close pairs of all entries (and pairs of blocks) in the partition."""
+    """A spanning forest, between roots, of the close pairs of all entries (and pairs of blocks) in the partition."""
     known = Forest()
     for table, at in whole_groups(batches, ["entry", "low", "high"]):
-        rep, signed = table.column("rep").to_numpy(), matrix(table.column("signature"))
+        rep, signed = table.column("root").to_numpy(), matrix(table.column("signature"))
         head = np.repeat(at[:-1], np.diff(at))
         close = (signed != signed[head]).sum(axis=1) <= FAR
         a, b = [rep[head[close]]], [rep[close]]
@@ -224,7 +227,16 @@ def whole_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
                         names=["rep", "fp1", "shingles"],
                     )
 
-    return texts.mapInArrow(run, "rep long, fp1 long, shingles binary")
+    return bounded_batches(texts).mapInArrow(tidied(run), "rep long, fp1 long, shingles binary")
+
+
+def close_links(classes: DataFrame, chunks: range) -> DataFrame:
+    """Links between the roots of classes (rep, root, signature) that share an entry of the chunks and are close."""
+    entries = index_entries(classes, chunks)
+    shared = entries.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / ENTRY_BLOCK)).drop("n")
+    met = block_pairs(entries.join(shared, "entry"), "entry", "blocks").join(classes.select("rep", "root", "signature"), "rep")
+    keys = ["entry", "low", "high"]
+    return met.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "root", "signature").mapInArrow(tidied(close_pairs), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -243,19 +255,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.min("signature").alias("signature")),
         "classes",
     )
-    entries = index_entries(classes)
-    shared = entries.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / ENTRY_BLOCK)).drop("n")
-    met = block_pairs(entries.join(shared, "entry"), "entry", "blocks").join(classes.select("rep", "signature"), "rep")
-    keys = ["entry", "low", "high"]
-    close = met.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "rep", "signature").mapInArrow(close_pairs, "a long, b long")
-    clusters = components(close)
+    first = staged(close_links(classes.withColumn("root", F.col("rep")), FIRST_CHUNKS), "first")
+    least = first.groupBy(F.greatest("a", "b").alias("rep")).agg(F.min(F.least("a", "b")).alias("root"))
+    rooted = staged(classes.join(least, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "rooted")
+    clusters = components(first.union(close_links(rooted, range(FIRST_CHUNKS.stop, CHUNKS))))
     members = staged(clusters.withColumnRenamed("node", "rep").join(classes.select("rep", "fp1", "n_shingles"), "rep"), "members")
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
     sizes = sizes.select("root", F.greatest(F.ceil(F.col("n") / CLUSTER_BLOCK), F.ceil(F.col("s") / CLUSTER_SHINGLES)).alias("blocks"))
     dealt = block_pairs(members.join(sizes, "root"), "root", "blocks").select("rep", "fp1", "root", "low", "high")
     keys = ["root", "low", "high"]
     with_sets = dealt.join(whole_sets(docs, members), ["rep", "fp1"])
-    linked = with_sets.repartition(*keys).sortWithinPartitions(*keys, "rep").select(*keys, "rep", "shingles").mapInArrow(exact_links, "a long, b long")
+    linked = with_sets.repartition(*keys).sortWithinPartitions(*keys, "rep").select(*keys, "rep", "shingles").mapInArrow(tidied(exact_links), "a long, b long")
     roots = components(linked)
     of_class = classes.select("fp1", "fp2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("root", "rep").alias("root"))
     placed = prints.drop("signature").join(of_class, ["fp1", "fp2"], "left").withColumn("component_id", F.coalesce("root", "doc_id"))
