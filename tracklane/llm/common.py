@@ -29,10 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, set here only where it is unset (local tests)."""
-    held = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    held = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not held:
-        held = f"file://{tempfile.mkdtemp(prefix='tracklane-')}"
-        spark.conf.set("spark.checkpoint.dir", held)
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tracklane-')}")
+        held = context.getCheckpointDir()
     return held.rstrip("/")
 
 
