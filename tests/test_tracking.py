@@ -173,3 +173,19 @@ def test_streams(spark, tmp_path):
     anchors, responses = source().where("event_type = 'a'"), source().where("event_type = 'b'")
     joined = drained(events.first_responses(anchors, responses, "5 seconds"), "resp", "append")
     assert joined.where("response_id is not null").count() > 0
+
+
+def test_game_sets_and_versions(spark):
+    from tracklane.operators import gamesets
+
+    games_table = spark.createDataFrame([("a", "ok"), ("b", "bad"), ("c", "ok")], "game_id string, status string")
+    wanted = lambda *ids: spark.createDataFrame([(i,) for i in ids], "game_id string")
+    assert [r.game_id for r in gamesets.game_set(games_table, wanted("a", "b", "a")).collect()] == ["a"]
+    with pytest.raises(ValueError, match="zz"):
+        gamesets.game_set(games_table, wanted("zz"))
+    with pytest.raises(ValueError):
+        gamesets.DataVersion("latest")
+    grid = spark.createDataFrame([("g", 1), ("g", 1), ("g", 2)], "game_id string, possession_id int")
+    assert [r.possession_id for r in gamesets.assert_grid(grid, 2).collect()] == [2]
+    means = {(r.u, r.f): r.mean_of_others for r in gamesets.left_out_means(spark.createDataFrame([(1, 0, 2.0), (1, 1, 4.0), (2, 0, 1.0)], "u int, f int, v double"), "u", "f", "v").collect()}
+    assert means == {(1, 0): 4.0, (1, 1): 2.0, (2, 0): None}
