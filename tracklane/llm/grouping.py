@@ -1,4 +1,4 @@
-"""Groups of consecutive equal keys in sorted Arrow batches."""
+"""Arrow batches regrouped: larger ones, and groups of consecutive equal keys in sorted ones."""
 
 from __future__ import annotations
 
@@ -8,6 +8,20 @@ import numpy as np
 import pyarrow as pa
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `rows`: for work whose cost is by the batch and whose rows are small."""
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables that hold whole groups only, with the rows at which groups begin (and the end).
 
