@@ -32,7 +32,7 @@ CACHED_WORDS = 300_000
 #: Unknown words that go to the tokenizer as one text, for its cost per call.
 JOINED_WORDS = 200
 #: Seconds after its last task at which a worker forgets what it has learned.
-IDLE_SECONDS = 2.0
+IDLE_SECONDS = 20.0
 
 #: Blanks that the tokenizer drops and that no token spans.
 _BLANKS = bytes.maketrans(b"\t\n\r", b"   ")
