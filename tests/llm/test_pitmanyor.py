@@ -66,3 +66,21 @@ def test_no_training_documents(make_docs):
     docs = make_docs([(1, "a b"), (2, None)], extra=False)
     out = {r.doc_id: r for r in pitmanyor.score(docs, pitmanyor.Model(docs.where("false"))).collect()}
     assert (out[1].n_tokens, out[1].n_known, out[2].n_tokens) == (3, 0, 1)
+
+
+def test_every_word_is_a_context_of_its_own(make_docs):
+    """Fifty equally frequent words, each always followed by its own word: more contexts than any fixed few, each of which must tell its follower from others."""
+    rows = [(i, " ".join(f"lead{(i + k) % 50} follow{(i + k) % 50}" for k in range(50))) for i in range(20)]
+    model = pitmanyor.Model(make_docs(rows, extra=False))
+    fit = [(100 + i, f"lead{i} follow{i}") for i in range(50)]
+    off = [(200 + i, f"lead{i} follow{(i + 7) % 50}") for i in range(50)]
+    out = {r.doc_id: r.score for r in pitmanyor.score(make_docs(fit + off, extra=False), model).collect()}
+    assert all(out[100 + i] > out[200 + i] + 1 for i in range(50))
+
+
+def test_unknown_contexts_and_words_back_off_to_the_parent(make_docs):
+    model = pitmanyor.Model(make_docs(corpus(40), extra=False))
+    r = pitmanyor.score(make_docs([(1, "never1 never2 never3")], extra=False), model).collect()[0]
+    inner = np.mean([model.new_word(k) for k in range(pitmanyor.BURN_IN + 1, pitmanyor.BURN_IN + pitmanyor.SAMPLES + 1)])
+    other = pitmanyor.score(make_docs([(1, "never1 never2")], extra=False), model).collect()[0]
+    assert r.n_known == 1 and r.score - other.score == pytest.approx(math.log10(inner))

@@ -1,61 +1,64 @@
 """LM scoring with a hierarchical Pitman-Yor model.
 
-Restaurants: one for each context, that is, each of the CONTEXTS most frequent
-words as the word before, the start of a text, and all other words together;
-they share one parent, the word distribution, whose own base is uniform over
-the V known words and one unknown word. Customers are the training tokens;
-every table of a context restaurant is a customer of the parent.
+Restaurants: one for each word of the training texts as the word before (the
+start of a text is the end mark as the word before); they share one parent,
+the word distribution, whose own base is uniform over the V known words and
+one unknown word. Customers are the training tokens; every table of a context
+restaurant is a customer of the parent. Only words never seen in training have
+no restaurant: after them the parent decides.
 
 Seating is sampled by Gibbs sweeps. A sweep takes all customers of a dish out of
 each restaurant and seats them again one by one (from EXACT customers on in
-growing groups), given the numbers of tables of each restaurant after the
-sweep before. Predictive probabilities are averaged over the sweeps after
-BURN_IN. Random numbers are hashes of word, context, sweep and customer, so a
-word's chain can be replayed anywhere: sweeps pass on only the table totals of
-the restaurants, a number each, and lost tasks come out the same.
-
-Data flow: words are counted in one pass and pairs (context, word) in a second,
-both pre-aggregated before their shuffles; all counts of a word are one row. To
-score, the HEAD_WORDS most frequent words (a bounded table) are broadcast, and
-only the rare words of the texts are shuffled, to a join on the word.
+growing groups), given the numbers of tables of each restaurant and dish after
+the sweep before. Predictive probabilities are averaged over the sweeps after
+BURN_IN. Random numbers are hashes of word, context, sweep and customer, so
+lost tasks come out the same, and a pair's tables follow from the numbers of
+tables of its context and of its word: sweeps pass on only these.
+
+Data flow: pairs (context, word), each side a hash, are counted in one pass and
+pre-aggregated before their shuffle. A pair seen once has one table in every
+sweep, so only pairs seen twice or more are seated. What a pair needs of its
+two words is joined: for the HEAD_WORDS most frequent words (a bounded table)
+by a broadcast, for all others by a shuffle. To score, the HEAD_PAIRS most
+frequent pairs (a bounded table) are broadcast, and only the other tokens of
+the texts are shuffled, to a join on the pair.
 """
 
 from __future__ import annotations
 
+import gc
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklane.llm.common import bounded_batches, fold, staged, tidied
 from tracklane.llm.grouping import gathered
 from tracklane.llm.textvec import Words, mix, slices
 
-CONTEXTS = 30
-START, OTHER = CONTEXTS, CONTEXTS + 1
-#: Bits of a pair's key that hold the context; words are known by the other 59 bits, a hash.
-SHIFT = 5
 HEAD_WORDS = 1 << 18
+HEAD_PAIRS = 1 << 20
+#: Contexts whose whole distributions head() gives.
+SHOWN_CONTEXTS = 32
 #: Tokens that a task counts at once.
 COUNTED_AT_ONCE = 3_000_000
-#: Words whose chains are run side by side.
-WORDS_AT_ONCE = 40_000
+#: Pairs that are seated side by side.
+PAIRS_AT_ONCE = 200_000
 BURN_IN, SAMPLES = 2, 3
 EXACT = 24
 GROWTH = 0.15
 STRENGTH, BASE_STRENGTH = 1.0, 10.0
 
-END = np.uint64(0x7C3A5D1E9B24F680) >> np.uint64(SHIFT)
 _U = np.uint64
+#: Words are known by 63 bits of a hash. END is both the last word of a text and the context of its first.
+END = _U(0x7C3A5D1E9B24F680) >> _U(1)
 
 
-def tokens(column: pa.Array, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word, context, text) of each token, and each text's number of tokens; every text ends with END.
-
-    contexts: the sorted ids of context words, whose places are their numbers.
-    """
+def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word, context, text) of each token, and each text's number of tokens; every text ends with END."""
     words = Words(column)
     counts = words.counts + 1
     total = int(counts.sum())
@@ -64,31 +67,33 @@ def tokens(column: pa.Array, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     word = np.empty(total, dtype=np.uint64)
     inner = np.ones(total, dtype=bool)
     inner[last] = False
-    word[inner] = words.hashes >> _U(SHIFT)
+    word[inner] = words.hashes >> _U(1)
     word[last] = END
-    context = np.full(total, OTHER, dtype=np.uint64)
-    if len(contexts):
-        at = np.minimum(np.searchsorted(contexts, word), len(contexts) - 1)
-        own = np.where(contexts[at] == word, at, OTHER)
-        context[1:] = own[:-1]
-    context[last - counts + 1] = START
+    context = np.empty(total, dtype=np.uint64)
+    context[1:] = word[:-1]
+    context[last - counts + 1] = END
     return word, context, doc, counts
 
 
-def _counted(docs: DataFrame, contexts: np.ndarray | None) -> DataFrame:
-    """(key, n) of all tokens: words where contexts is None, else pairs; counted by and by in each task, then per key."""
+def pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(mix(context) * _U(3) + word)
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """(u, w, n) of all pairs of context and word; counted by and by in each task, then per pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
 
         def counted() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(parts), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+            u, w = (np.concatenate(x) for x in zip(*parts, strict=True))
+            _, at, n = np.unique(pair_keys(u, w), return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(u[at].view(np.int64)), pa.array(w[at].view(np.int64)), pa.array(n.astype(np.int64))], names=["u", "w", "n"])
 
         for batch in batches:
             for start, end in slices(batch.column(0)):
-                word, context, _, _ = tokens(batch.column(0).slice(start, end - start), contexts if contexts is not None else np.zeros(0, np.uint64))
-                parts.append(word if contexts is None else word << _U(SHIFT) | context)
+                word, context, _, _ = tokens(batch.column(0).slice(start, end - start))
+                parts.append((context, word))
                 held += len(word)
                 if held > COUNTED_AT_ONCE:
                     yield counted()
@@ -96,7 +101,7 @@ def _counted(docs: DataFrame, contexts: np.ndarray | None) -> DataFrame:
         if parts:
             yield counted()
 
-    return bounded_batches(docs.select("text")).mapInArrow(tidied(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return bounded_batches(docs.select("text")).mapInArrow(tidied(run), "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n"))
 
 
 def uniform(*parts: np.ndarray) -> np.ndarray:
@@ -127,172 +132,183 @@ def seat(customers: np.ndarray, mass: np.ndarray, discount: float, word: np.ndar
     return out
 
 
-class Hyper:
-    """Corpus constants and, sweep by sweep, the table totals of the restaurants."""
-
-    def __init__(self, vocabulary: int, discount: float, base_discount: float, customers: np.ndarray) -> None:
-        self.h = 1.0 / (vocabulary + 1)
-        self.d, self.d0 = discount, base_discount
-        self.customers = customers  # of each context restaurant
-        self.tables: list[np.ndarray] = []  # after each sweep, of each context restaurant, and last of the parent
-
-    def new_word(self, sweep: int) -> float:
-        """The parent's probability of the unknown word after a sweep."""
-        t = self.tables[sweep]
-        return (BASE_STRENGTH + self.d0 * t[-1]) / (BASE_STRENGTH + t[:-1].sum()) * self.h
-
-    def back_off(self, sweep: int) -> np.ndarray:
-        """Each context's weight of its parent after a sweep."""
-        return (STRENGTH + self.d * self.tables[sweep][:-1]) / (STRENGTH + self.customers)
-
-
-class Seating:
-    """The chains of some words: their pairs are rows, sorted by word."""
-
-    def __init__(self, word: np.ndarray, context: np.ndarray, count: np.ndarray, hyper: Hyper) -> None:
-        self.word, self.context, self.count, self.hyper = word, context, count.astype(np.int64), hyper
-        self.first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, np.int64)
-        self.of = np.cumsum(np.r_[True, word[1:] != word[:-1]]) - 1 if len(word) else np.zeros(0, np.int64)
-        self.t = np.minimum(self.count, 1).astype(np.float64)
-        self.t0 = np.ones(len(self.first))
-
-    def sweep(self, k: int) -> None:
-        y = self.hyper
-        if k:
-            totals = y.tables[k - 1]
-        else:  # before the first sweep: a table for each pair, as far as known here
-            totals = np.append(np.sqrt(y.customers), y.customers.sum() ** 0.5)
-        parent = np.add.reduceat(self.t, self.first)
-        weight = BASE_STRENGTH + y.d0 * totals[-1]
-        p0 = (np.maximum(parent - y.d0 * self.t0, 0) + weight * y.h) / (BASE_STRENGTH + totals[:-1].sum())
-        mass = (STRENGTH + y.d * totals[self.context]) * p0[self.of]
-        self.t = seat(self.count, mass, y.d, self.word, self.context, k)
-        parent = np.add.reduceat(self.t, self.first).astype(np.int64)
-        self.t0 = seat(parent, np.full(len(parent), weight * y.h), y.d0, self.word[self.first], np.full(len(parent), 99), k)
-
-    def totals(self) -> np.ndarray:
-        return np.append(np.bincount(self.context.astype(np.int64), self.t, CONTEXTS + 2), self.t0.sum())
-
-    def predictive(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """After sweep k: the parent's probability of each word, and its context's of each pair."""
-        y = self.hyper
-        totals = y.tables[k]
-        parent = np.add.reduceat(self.t, self.first)
-        p0 = (parent - y.d0 * self.t0) / (BASE_STRENGTH + totals[:-1].sum()) + y.new_word(k)
-        pair = (self.count - y.d * self.t) / (STRENGTH + y.customers[self.context]) + y.back_off(k)[self.context] * p0[self.of]
-        return p0, pair
-
-
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    lists = batch.column("pairs")
-    inner = lists.flatten()
-    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-    word = np.repeat(batch.column("word").to_numpy().astype(np.uint64), sizes)
-    return word, inner.field("u").to_numpy().astype(np.int64), inner.field("n").to_numpy().astype(np.int64)
-
-
-def _sampled(rows: DataFrame, hyper: Hyper) -> None:
-    """Runs all sweeps; each job replays the chains so far and brings back the restaurants' table totals."""
-    for k in range(BURN_IN + SAMPLES):
-        shared = rows.sparkSession.sparkContext.broadcast(hyper)
-
-        def run(batches: Iterator[pa.RecordBatch], k: int = k, shared=shared) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(CONTEXTS + 3)
-            for batch in gathered(batches, WORDS_AT_ONCE):
-                seating = Seating(*_flat(batch), shared.value)
-                for s in range(k + 1):
-                    seating.sweep(s)
-                total += seating.totals()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CONTEXTS + 3, dtype=np.int32)), pa.array(total)], names=["place", "t"])
-
-        summed = rows.mapInArrow(run, "place int, t double").groupBy("place").agg(F.sum("t").alias("t")).collect()  # CONTEXTS + 3 numbers
-        hyper.tables.append(np.array([t for _, t in sorted((r["place"], r["t"]) for r in summed)]))
-
-
-def _probabilities(rows: DataFrame, hyper: Hyper) -> DataFrame:
-    """(word, n, p0s, us, ps): of each word its count, the parent's probability in each sample, and its pairs' contexts and averaged probabilities."""
-    shared = rows.sparkSession.sparkContext.broadcast(hyper)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches, WORDS_AT_ONCE):
-            seating = Seating(*_flat(batch), shared.value)
-            p0s, pairs = [], 0.0
-            for k in range(BURN_IN + SAMPLES):
-                seating.sweep(k)
-                if k >= BURN_IN:
-                    p0, pair = seating.predictive(k)
-                    p0s.append(p0)
-                    pairs = pairs + pair / SAMPLES
-            bounds = pa.array(np.append(seating.first, len(seating.word)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("word"),
-                    batch.column("n"),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, len(p0s) * batch.num_rows + 1, len(p0s), dtype=np.int32)), pa.array(np.stack(p0s, axis=1).ravel())),
-                    pa.ListArray.from_arrays(bounds, pa.array(seating.context.astype(np.int32))),
-                    pa.ListArray.from_arrays(bounds, pa.array(pairs)),
-                ],
-                names=["word", "n", "p0s", "us", "ps"],
-            )
-
-    return rows.mapInArrow(run, "word long, n long, p0s array<double>, us array<int>, ps array<double>")
-
-
 def _discount(counts: DataFrame, column: str) -> float:
     """n1 / (n1 + 2 n2), from the numbers of keys seen once and twice."""
     r = counts.agg(F.count_if(F.col(column) == 1).alias("n1"), F.count_if(F.col(column) == 2).alias("n2")).first()
     return min(0.95, max(0.05, (r["n1"] + 0.5) / (r["n1"] + 2 * r["n2"] + 1)))
 
 
+def _least(counts: DataFrame, limit: int) -> int:
+    """The least n such that at most `limit` rows have as much."""
+    level = F.floor(F.log2("n") * 16).cast("int")
+    sizes = {r["level"]: r["count"] for r in counts.groupBy(level.alias("level")).count().collect()}  # 16 rows for each power of two
+    total, least = 0, max(sizes, default=0) + 1
+    for k in sorted(sizes, reverse=True):
+        if total + sizes[k] > limit:
+            break
+        total, least = total + sizes[k], k
+    return math.ceil(2 ** (least / 16) - 1e-9)
+
+
+def _sided(rows: DataFrame, key: str, table: DataFrame, count: str, least: int) -> DataFrame:
+    """rows with the columns of table (null where it has no such key): its rows with `count` from least on are broadcast, the others are joined."""
+    head = table.where(F.col(count) >= least)
+    near = rows.join(F.broadcast(head), key)
+    far = rows.join(F.broadcast(head.select(key)), key, "left_anti").join(table.where(F.col(count) < least), key, "left")
+    return near.unionByName(far)
+
+
+def _released(spark) -> None:
+    """Lets Spark drop the shuffle files of what is written by now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Model:
-    """What training gives: N, V, the context words, the sampled totals, and a table of words."""
+    """What training gives: N, V, a table of words with their tables in each sweep, and one of pairs with their probabilities."""
 
     def __init__(self, docs: DataFrame) -> None:
         """docs: the training texts (null: empty)."""
-        texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-        counts = staged(_counted(texts, None), "words")
-        size = counts.agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).first()
+        spark = docs.sparkSession
+        pairs = staged(_counted(docs.select(F.coalesce("text", F.lit("")).alias("text"))), "pairs")
+        _released(spark)
+        single = (F.col("n") == 1).cast("long")
+        zero = F.lit(0).cast("long")
+        as_word = F.struct(F.col("w").alias("key"), F.col("n").alias("n"), F.lit(1).cast("long").alias("kw"), zero.alias("ku"), single.alias("sw"), zero.alias("su"))
+        as_context = F.struct(F.col("u").alias("key"), zero.alias("n"), zero.alias("kw"), F.lit(1).cast("long").alias("ku"), zero.alias("sw"), single.alias("su"))
+        each = pairs.select(F.explode(F.array(as_word, as_context)).alias("x")).select("x.*")
+        sums = each.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "kw", "ku", "sw", "su")])
+        # a word is as often a context as it is a word; before the first sweep each pair has one table, and each word one in the parent
+        state = staged(sums.select("key", "n", "sw", "su", F.array("ku").alias("t"), F.array("kw").alias("p"), F.array(F.lit(1).cast("long")).alias("t0")), "words")
+        size = state.agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).first()
         self.vocabulary, self.tokens = size["v"], size["n"] or 0
-        frequent = counts.where(F.col("key") != int(END)).orderBy(F.desc("n"), "key").limit(CONTEXTS).collect()
-        self.contexts = np.sort(np.array([r["key"] for r in frequent], dtype=np.int64).astype(np.uint64))
-        pairs = _counted(texts, self.contexts)
-        rows = pairs.select(F.shiftrightunsigned("key", SHIFT).alias("word"), F.struct(F.col("key").bitwiseAND((1 << SHIFT) - 1).cast("int").alias("u"), "n").alias("pair"))
-        self.rows = staged(rows.groupBy("word").agg(F.sum("pair.n").alias("n"), F.sort_array(F.collect_list("pair")).alias("pairs")), "pairs")  # at most CONTEXTS + 2 in a list
-        each = self.rows.select(F.explode("pairs").alias("pair")).select("pair.*")
-        sums = {r["u"]: r["n"] for r in each.groupBy("u").agg(F.sum("n").alias("n")).collect()}  # a row for each context
-        customers = np.array([sums.get(u, 0) for u in range(CONTEXTS + 2)], dtype=np.float64)
-        self.hyper = Hyper(self.vocabulary, _discount(each, "n"), _discount(counts, "n"), customers)
-        if self.tokens:
-            _sampled(self.rows, self.hyper)
-        else:
-            self.hyper.tables = [np.zeros(CONTEXTS + 3)] * (BURN_IN + SAMPLES)
-        self.words = staged(_probabilities(self.rows, self.hyper), "model")
+        self.h = 1.0 / (self.vocabulary + 1)
+        self.d, self.d0 = _discount(pairs, "n"), _discount(state, "n")
+        self.least = _least(state, HEAD_WORDS)
+        self.totals: list[tuple[int, int]] = []  # before the first sweep and after each: tables of all contexts, and of the parent
+        self._totalled(state)
+        several = pairs.where("n > 1")
+        for k in range(BURN_IN + SAMPLES):
+            state = self._swept(several, state, k)
+            _released(spark)
+        self.words = state
+        self.pairs = staged(self._probabilities(pairs), "model")
+        _released(spark)
+
+    def _totalled(self, state: DataFrame) -> None:
+        last = [F.sum(F.element_at(c, -1)).alias(c) for c in ("p", "t0")]
+        r = state.agg(*last).first()
+        self.totals.append((r["p"] or 0, r["t0"] or 0))
+
+    def new_word(self, k: int) -> float:
+        """The parent's probability of the unknown word after k sweeps."""
+        t, t0 = self.totals[k]
+        return (BASE_STRENGTH + self.d0 * t0) / (BASE_STRENGTH + t) * self.h
+
+    def contexts(self, table: DataFrame, steps: range) -> DataFrame:
+        """(u, customers, ms): each context's weight of its parent after so many sweeps, times its customers and strength."""
+        return table.select(F.col("key").alias("u"), F.col("n").alias("customers"), F.array(*[STRENGTH + self.d * F.get("t", F.lit(k)) for k in steps]).alias("ms"))
+
+    def dishes(self, table: DataFrame, steps: range) -> DataFrame:
+        """(w, known, p0s): each word's count, and its probability in the parent after so many sweeps."""
+
+        def p0(k: int) -> Column:
+            return F.greatest(F.get("p", F.lit(k)) - self.d0 * F.get("t0", F.lit(k)), F.lit(0.0)) / (BASE_STRENGTH + self.totals[k][0]) + self.new_word(k)
+
+        return table.select(F.col("key").alias("w"), F.col("n").alias("known"), F.array(*[p0(k) for k in steps]).alias("p0s"))
+
+    def sided(self, rows: DataFrame, table: DataFrame, steps: range) -> DataFrame:
+        rows = _sided(rows, "u", self.contexts(table, steps), "customers", self.least)
+        return _sided(rows, "w", self.dishes(table, steps), "known", self.least)
+
+    def _swept(self, several: DataFrame, state: DataFrame, k: int) -> DataFrame:
+        """state with the tables after sweep k."""
+        d, d0 = self.d, self.d0
+        fresh = (BASE_STRENGTH + d0 * self.totals[k][1]) * self.h
+
+        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in gathered(batches, PAIRS_AT_ONCE):
+                u, w, n, mass = (batch.column(c).to_numpy() for c in ("u", "w", "n", "mass"))
+                t = seat(n, mass, d, w, u, k)
+                for keys, place in ((u, 1), (w, 2)):
+                    own, at = np.unique(keys, return_inverse=True)
+                    sums = [pa.array(np.bincount(at, t, len(own)).astype(np.int64)), pa.array(np.zeros(len(own), np.int64))]
+                    yield pa.RecordBatch.from_arrays([pa.array(own), *(sums if place == 1 else sums[::-1])], names=["key", "as_u", "as_w"])
+
+        def parent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                p = batch.column("last_p").to_numpy()
+                key = batch.column("key").to_numpy()
+                t0 = seat(p, np.full(len(p), fresh), d0, key, np.full(len(p), 99), k)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(t0.astype(np.int64))], names=[*batch.schema.names, "last_t0"])
+
+        rows = self.sided(several, state, range(k, k + 1)).select("u", "w", "n", (F.get("ms", F.lit(0)) * F.get("p0s", F.lit(0))).alias("mass"))
+        sums = rows.mapInArrow(pairs, "key long, as_u long, as_w long").groupBy("key").agg(F.sum("as_u").alias("as_u"), F.sum("as_w").alias("as_w"))
+        more = lambda base, c: F.col(base) + F.coalesce(F.col(c), F.lit(0))
+        joined = state.join(sums, "key", "left").select("key", "n", "sw", "su", "t", "p", "t0", more("su", "as_u").alias("last_t"), more("sw", "as_w").alias("last_p"))
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema.fields)
+        seated = joined.mapInArrow(parent, f"{kinds}, last_t0 long")
+        out = staged(seated.select("key", "n", "sw", "su", *[F.concat(c, F.array(f"last_{c}")).alias(c) for c in ("t", "p", "t0")]), "words")
+        self._totalled(out)
+        return out
+
+    def backed(self, first: int = 0) -> Column:
+        """Averaged probability that an unseen pair has, of customers, ms and p0s, from place `first` of these on; null sides are unknown words."""
+        m = [F.coalesce(F.get("ms", F.lit(first + s)), F.lit(STRENGTH)) for s in range(SAMPLES)]
+        p = [F.coalesce(F.get("p0s", F.lit(first + s)), F.lit(self.new_word(BURN_IN + 1 + s))) for s in range(SAMPLES)]
+        return sum((x * y for x, y in zip(m, p, strict=True)), F.lit(0.0)) / (SAMPLES * (STRENGTH + F.coalesce("customers", F.lit(0))))
+
+    def _probabilities(self, pairs: DataFrame) -> DataFrame:
+        """(u, w, n, known, log_p) of each pair: its count, its word's count, and log10 of its averaged probability."""
+        d = self.d
+        steps = range(BURN_IN, BURN_IN + SAMPLES + 1)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in gathered(batches, PAIRS_AT_ONCE):
+                u, w, n, customers = (batch.column(c).to_numpy() for c in ("u", "w", "n", "customers"))
+                m, p0 = (batch.column(c).flatten().to_numpy().reshape(-1, len(steps)) for c in ("ms", "p0s"))
+                p = np.zeros(len(n))
+                for s in range(SAMPLES):
+                    t = seat(n, m[:, s] * p0[:, s], d, w, u, BURN_IN + s)
+                    p += (n - d * t + m[:, s + 1] * p0[:, s + 1]) / (STRENGTH + customers) / SAMPLES
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("u", "w", "n", "known")), pa.array(np.log10(p))], names=["u", "w", "n", "known", "log_p"])
+
+        columns = ["u", "w", "n", "known"]
+        once = self.sided(pairs.where("n = 1"), self.words, steps)
+        once = once.select(*columns, F.log10(self.backed(1) + (1 - d) / (STRENGTH + F.col("customers"))).alias("log_p"))
+        several = self.sided(pairs.where("n > 1"), self.words, steps).select(*columns, "customers", "ms", "p0s").mapInArrow(run, "u long, w long, n long, known long, log_p double")
+        return once.unionByName(several)
+
+    def shown(self) -> DataFrame:
+        """The SHOWN_CONTEXTS most frequent contexts."""
+        return self.words.orderBy(F.desc("n"), "key").limit(SHOWN_CONTEXTS)
 
     def unknown(self) -> np.ndarray:
-        """Averaged probability of the unknown word in each context."""
-        return np.mean([self.hyper.back_off(k) * self.hyper.new_word(k) for k in range(BURN_IN, BURN_IN + SAMPLES)], axis=0)
+        """Averaged probability of the unknown word in each of the contexts shown, these sorted."""
+        steps = range(BURN_IN + 1, BURN_IN + SAMPLES + 1)
+        rows = self.contexts(self.shown(), steps).orderBy("u").collect()  # SHOWN_CONTEXTS rows
+        return np.array([np.mean([m * self.new_word(k) for m, k in zip(r["ms"], steps, strict=True)]) / (STRENGTH + r["customers"]) for r in rows])
 
     def head(self) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-        """(least count of a head word, its words sorted, their counts, log10 probabilities by context)."""
-        level = F.floor(F.log2("n") * 16).cast("int")
-        sizes = {r["level"]: r["count"] for r in self.words.groupBy(level.alias("level")).count().collect()}  # 16 rows for each power of two
-        total, least = 0, max(sizes, default=0) + 1
-        for k in sorted(sizes, reverse=True):
-            if total + sizes[k] > HEAD_WORDS:
-                break
-            total, least = total + sizes[k], k
-        t = self.words.where(level >= least).toArrow().combine_chunks()  # at most HEAD_WORDS rows
-        word = t.column("word").to_numpy().astype(np.uint64)
-        n = t.column("n").to_numpy()
-        if not len(word):
-            return least, word, n, np.zeros((0, CONTEXTS + 2), np.float32)
-        order = np.argsort(word)
-        back = np.stack([self.hyper.back_off(k) for k in range(BURN_IN, BURN_IN + SAMPLES)]) / SAMPLES
-        p = t.column("p0s").combine_chunks().flatten().to_numpy().reshape(-1, SAMPLES) @ back
-        us = t.column("us").combine_chunks()
-        row = np.repeat(np.arange(len(word)), us.value_lengths().to_numpy())
-        p[row, us.flatten().to_numpy()] = t.column("ps").combine_chunks().flatten().to_numpy()
-        return least, word[order], n[order], np.log10(p[order]).astype(np.float32)
+        """(least count of a head word, its words sorted, their counts, log10 probabilities by the contexts shown, these sorted)."""
+        steps = range(BURN_IN + 1, BURN_IN + SAMPLES + 1)
+        own = self.dishes(self.words, steps).where(F.col("known") >= self.least).orderBy("w").toArrow().combine_chunks()  # at most HEAD_WORDS rows
+        of = self.contexts(self.shown(), steps).orderBy("u").collect()
+        word, n = own.column("w").to_numpy(), own.column("known").to_numpy()
+        p0 = np.array(own.column("p0s").to_pylist()).reshape(len(word), SAMPLES)
+        weights = np.array([np.array(r["ms"]) / (STRENGTH + r["customers"]) / SAMPLES for r in of]).reshape(len(of), SAMPLES)
+        logs = np.log10(p0 @ weights.T)
+        keys = np.array([r["u"] for r in of], dtype=np.int64)
+        seen = self.pairs.where(F.col("u").isin(keys.tolist()) & (F.col("known") >= self.least)).select("u", "w", "log_p").toArrow()
+        logs[np.searchsorted(word, seen.column("w").to_numpy()), np.searchsorted(keys, seen.column("u").to_numpy())] = seen.column("log_p").to_numpy()
+        return self.least, word.astype(np.uint64), n, logs.astype(np.float32)
+
+    def frequent(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys sorted, counts of the words, log10 probabilities) of at most HEAD_PAIRS pairs, the most frequent."""
+        t = self.pairs.where(F.col("n") >= _least(self.pairs, HEAD_PAIRS)).select("u", "w", "known", "log_p").toArrow()
+        keys = pair_keys(t.column("u").to_numpy().astype(np.uint64), t.column("w").to_numpy().astype(np.uint64))
+        order = np.argsort(keys)
+        return keys[order], t.column("known").to_numpy()[order], t.column("log_p").to_numpy()[order].astype(np.float32)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -302,61 +318,63 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     on its own. Without training tokens every token is unknown.
     """
     spark = docs.sparkSession
-    least, head_words, head_counts, head_logs = model.head()
-    scale = model.tokens + 0.5 * (model.vocabulary + 1)
-    shared = spark.sparkContext.broadcast((model.contexts, head_words, np.log10((head_counts + 0.5) / scale), head_logs))
+    scale = float(model.tokens + 0.5 * (model.vocabulary + 1))
+    keys, counts, logs = model.frequent()
+    shared = spark.sparkContext.broadcast((keys, np.log10((counts + 0.5) / scale).astype(np.float64), logs))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        contexts, known, base, logs = shared.value
+        known, base, logs = shared.value
         for batch in batches:
             for start, end in slices(batch.column(1)):
                 part = batch.slice(start, end - start)
-                word, context, doc, counts = tokens(part.column(1), contexts)
+                word, context, doc, counts = tokens(part.column(1))
                 n = len(counts)
-                at = np.minimum(np.searchsorted(known, word), max(len(known) - 1, 0))
-                hit = known[at] == word if len(known) else np.zeros(len(word), dtype=bool)
+                key = pair_keys(context, word)
+                at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
+                hit = known[at] == key if len(known) else np.zeros(len(key), dtype=bool)
                 own, of = at[hit], doc[hit]
-                rare = (word << _U(SHIFT) | context)[~hit]
                 bounds = np.zeros(n + 1, dtype=np.int32)
                 np.cumsum(np.bincount(doc[~hit], minlength=n), out=bounds[1:])
+                rare = pa.StructArray.from_arrays([pa.array(x[~hit].view(np.int64)) for x in (context, word)], names=["u", "w"])
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         pa.array(counts.astype(np.int64)),
                         pa.array(np.bincount(of, minlength=n).astype(np.int64)),
                         pa.array(np.bincount(of, base[own] if len(base) else None, n).astype(np.float64)),
-                        pa.array(np.bincount(of, logs[own, context[hit].astype(np.int64)] if len(base) else None, n).astype(np.float64)),
-                        pa.ListArray.from_arrays(pa.array(bounds), pa.array(rare.view(np.int64))),
+                        pa.array(np.bincount(of, logs[own] if len(base) else None, n).astype(np.float64)),
+                        pa.ListArray.from_arrays(pa.array(bounds), rare),
                     ],
                     names=["doc_id", "n_tokens", "head_known", "head_base", "head_score", "rare"],
                 )
 
     rows = bounded_batches(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).mapInArrow(
-        tidied(run), f"doc_id {id_type}, n_tokens long, head_known long, head_base double, head_score double, rare array<bigint>"
+        tidied(run), f"doc_id {id_type}, n_tokens long, head_known long, head_base double, head_score double, rare array<struct<u: long, w: long>>"
     )
     rows = staged(rows.withColumn("row_id", F.monotonically_increasing_id()), "scored")
-    rare = rows.select("row_id", F.explode("rare").alias("key")).select("row_id", F.shiftrightunsigned("key", SHIFT).alias("word"), F.col("key").bitwiseAND((1 << SHIFT) - 1).cast("int").alias("u"))
-    table = model.words.where(F.floor(F.log2("n") * 16).cast("int") < least)
-    back = [[float(x) for x in model.hyper.back_off(k)] for k in range(BURN_IN, BURN_IN + SAMPLES)]
-    place = F.array_position("us", F.col("u"))
-    backed = sum((F.get(F.lit(b), F.col("u")) * F.get("p0s", F.lit(s)) for s, b in enumerate(back)), F.lit(0.0)) / SAMPLES
-    unknown = F.get(F.lit([float(x) for x in model.unknown()]), F.col("u"))
-    p = F.when(F.col("n").isNull(), unknown).when(place > 0, F.get("ps", (place - 1).cast("int"))).otherwise(backed)
-    tail = (
-        rare.join(table, "word", "left")
-        .select("row_id", F.col("n").isNotNull().cast("int").alias("known"), F.log10((F.coalesce("n", F.lit(0)) + F.lit(0.5)) / F.lit(float(scale))).alias("base"), F.log10(p).alias("log_p"))
-        .groupBy("row_id")
-        .agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("log_p").alias("log_p"))
+    rare = rows.select("row_id", F.explode("rare").alias("pair")).select("row_id", "pair.*")
+    placed = staged(rare.join(model.pairs.select("u", "w", "known", "log_p"), ["u", "w"], "left").groupBy("row_id").agg(
+        F.count("known").alias("known"),
+        F.sum(F.log10((F.col("known") + F.lit(0.5)) / F.lit(scale))).alias("base"),
+        F.sum("log_p").alias("log_p"),
+        F.collect_list(F.when(F.col("known").isNull(), F.struct("u", "w"))).alias("unseen"),
+    ), "placed")
+    _released(spark)
+    unseen = model.sided(placed.select("row_id", F.explode("unseen").alias("pair")).select("row_id", "pair.*"), model.words, range(BURN_IN + 1, BURN_IN + SAMPLES + 1))
+    tail = unseen.groupBy("row_id").agg(
+        F.count("known").alias("more_known"),
+        F.sum(F.log10((F.coalesce("known", F.lit(0)) + F.lit(0.5)) / F.lit(scale))).alias("more_base"),
+        F.sum(F.log10(model.backed())).alias("more_log_p"),
     )
-    whole = lambda head, tail: F.col(head) + F.coalesce(F.col(tail), F.lit(0))
-    return rows.drop("rare").join(tail, "row_id", "left").select(
+    whole = lambda head, *tails: sum((F.coalesce(F.col(t), F.lit(0)) for t in tails), F.col(head))
+    return rows.drop("rare").join(placed.drop("unseen"), "row_id", "left").join(tail, "row_id", "left").select(
         "doc_id",
         "n_tokens",
-        whole("head_known", "known").cast("long").alias("n_known"),
+        whole("head_known", "known", "more_known").cast("long").alias("n_known"),
         F.lit(int(model.tokens)).cast("long").alias("train_tokens"),
-        whole("head_base", "base").alias("base_score"),
-        whole("head_score", "log_p").alias("score"),
+        whole("head_base", "base", "more_base").alias("base_score"),
+        whole("head_score", "log_p", "more_log_p").alias("score"),
     )
 
 
