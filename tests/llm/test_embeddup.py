@@ -39,3 +39,9 @@ def test_against_all_pairs(spark, monkeypatch, block):
 
 def test_empty(spark):
     assert embeddup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_passes_grow_with_the_classes():
+    for n in (1, 10, 50_000, 5_000_000, 50_000_000):
+        bits, passes = embeddup.plan(n)
+        assert passes >= embeddup.PASSES and (1 - 0.899**bits) ** passes < 1.05e-4

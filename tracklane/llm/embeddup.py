@@ -1,14 +1,15 @@
-"""Embedding near-duplicates by sorted projection passes.
+"""Embedding near-duplicates by hashed projection passes.
 
 1. Equal vectors are one class (pre-aggregated group-by on a 128-bit digest);
    the least vec_id stands for it, with its number of rows.
-2. In each of PASSES passes, vectors are put in lexicographic order of KEY_BITS
-   concatenated hyperplane hashes (a range sort, shared by all passes) and each
-   is compared with its WINDOW successors by sketches of SKETCH_BITS further
-   hashes. Close ones are joined, as a spanning forest per sorted partition.
-   A pair at the threshold differs in a tenth of its bits; with n classes it
-   meets in a pass if about log2(n / WINDOW) leading bits agree, 0.3 of the
-   time for 50,000 classes, and 24 passes miss it once in ten thousand.
+2. In each pass, vectors that agree in all of some hyperplane hashes are a
+   bucket, and all pairs of a bucket are compared by sketches of SKETCH_BITS
+   further hashes, large buckets in pairs of blocks. Close ones are joined, as
+   a spanning forest per partition. With n classes a bucket has log2(n / WINDOW)
+   hashes, so about WINDOW vectors where these are spread evenly, and more where
+   they are dense. A pair at the threshold agrees in a hash 0.899 of the time,
+   wherever it lies; the number of passes grows with n so that at most MISSED
+   of such pairs meet in none (25 passes for 50,000 classes, 82 for 50 million).
 3. The components of all passes are the candidate clusters. In each, all pairs
    are verified by cosine in double precision, in pairs of blocks, which give
    each vector's number of links and a spanning forest of them; no pairs are
@@ -17,6 +18,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,14 +30,21 @@ from tracklane.llm.common import staged
 from tracklane.llm.graph import Forest, components
 from tracklane.llm.grouping import whole_groups
 from tracklane.llm.neardup import block_pairs, forest
+from tracklane.llm.textvec import mix
 
 THRESHOLD = 0.95
+#: Passes at least.
 PASSES = 24
+#: Pairs at the threshold that may meet in no pass.
+MISSED = 1e-4
 KEY_BITS = 64
 SKETCH_BITS = 256
 #: Differing sketch bits up to which a pair is a candidate: six deviations above the mean at the threshold.
 SKETCH_FAR = 55
+#: Vectors of a bucket, on average.
 WINDOW = 32
+#: Buckets up to this size are compared side by side.
+SMALL_BUCKET = 64
 CLUSTER_BLOCK = 1024
 
 
@@ -58,43 +67,63 @@ def by_dimension(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray
         yield dim, rows, flat.astype(np.float64).reshape(len(rows), dim)
 
 
-def sorted_keys(classes: DataFrame, passes: int = PASSES) -> DataFrame:
-    """(pass, dim, key, rep, sketch) of each class in each pass; keys in signed order."""
+def plan(classes: int, passes: int = PASSES) -> tuple[int, int]:
+    """(hashes of a bucket, passes): as many passes as leave MISSED of the pairs at the threshold apart, and no fewer than given."""
+    bits = min(KEY_BITS, max(0, math.ceil(math.log2(max(classes, 1) / WINDOW))))
+    meets = (1 - math.acos(THRESHOLD) / math.pi) ** bits
+    return bits, max(passes, math.ceil(math.log(MISSED) / math.log1p(-meets)) if meets < 1 else 1)
+
+
+def bucketed(classes: DataFrame, bits: int, passes: int) -> DataFrame:
+    """(bucket, rep, sketch) of each class in each pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = np.uint64(1) << np.arange(bits, dtype=np.uint64)
         for batch in batches:
             for dim, rows, vectors in by_dimension(batch.column(1)):
                 rep = batch.column(0).take(pa.array(rows))
                 vectors = unit(vectors)
                 sketch = pa.array([s.tobytes() for s in np.packbits(vectors @ planes(dim, 0, SKETCH_BITS) > 0, axis=1)], pa.binary())
                 for p in range(passes):
-                    bits = np.packbits(vectors @ planes(dim, p + 1, KEY_BITS) > 0, axis=1)
-                    key = bits.view(">u8").astype(np.uint64).ravel() ^ np.uint64(1 << 63)
-                    same = [pa.array(np.full(len(rows), x, dtype=np.int32)) for x in (p, dim)]
-                    yield pa.RecordBatch.from_arrays([*same, pa.array(key.view(np.int64)), rep, sketch], names=["pass", "dim", "key", "rep", "sketch"])
-
-    return classes.select("rep", "vector").mapInArrow(run, "pass int, dim int, key long, rep long, sketch binary")
-
-
-def _window_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Close pairs among each row's WINDOW successors, as a spanning forest; the last rows of a batch go on to the next."""
-    known, held = Forest(), None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches(([held] if held is not None else []) + [batch]).combine_chunks()
-        group = np.stack([table.column(c).to_numpy() for c in ("pass", "dim")], axis=1)
+                    prefix = ((vectors @ planes(dim, p + 1, KEY_BITS)[:, :bits]) > 0) @ places if bits else np.zeros(len(rows), np.uint64)
+                    bucket = mix(mix(np.full(len(rows), dim << 20 | p, dtype=np.uint64)) ^ prefix.astype(np.uint64))
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), rep, sketch], names=["bucket", "rep", "sketch"])
+
+    return classes.select("rep", "vector").mapInArrow(run, "bucket long, rep long, sketch binary")
+
+
+def dealt_buckets(entries: DataFrame) -> DataFrame:
+    """(bucket, low, high, rep, sketch): buckets together; rows of those above CLUSTER_BLOCK once for each pair of blocks with their own."""
+    large = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CLUSTER_BLOCK)
+    sized = entries.join(large, "bucket", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / CLUSTER_BLOCK), F.lit(1))).drop("size")
+    keys = ["bucket", "low", "high"]
+    return block_pairs(sized, "bucket", "blocks").select(*keys, "rep", "sketch").repartition(*keys).sortWithinPartitions(*keys, "rep")
+
+
+def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Close pairs of each bucket (or pair of blocks), as a spanning forest of the partition."""
+    known = Forest()
+    for table, at in whole_groups(batches, ["bucket", "low", "high"]):
         rep = table.column("rep").to_numpy()
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(rep), -1)
-        a, b = [], []
-        for step in range(1, min(WINDOW, len(rep) - 1) + 1):
-            far = np.bitwise_count(sketch[step:] ^ sketch[:-step]).sum(axis=1)
-            at = np.flatnonzero((far <= SKETCH_FAR) & (group[step:] == group[:-step]).all(axis=1))
-            a.append(rep[at])
-            b.append(rep[at + step])
-        if a:
-            yield known.fresh(np.concatenate(a), np.concatenate(b))
-        held = table.slice(max(0, len(rep) - WINDOW)).combine_chunks().to_batches()[0]
+        sizes = np.diff(at)
+        a, b = [rep[:0]], [rep[:0]]
+        after = np.repeat(at[1:], sizes) - np.arange(len(rep)) - 1  # rows of the same bucket that follow
+        after[np.repeat(sizes, sizes) > SMALL_BUCKET] = 0
+        row = np.flatnonzero(after)
+        step = 1
+        while len(row):
+            near = row[np.bitwise_count(sketch[row] ^ sketch[row + step]).sum(axis=1) <= SKETCH_FAR]
+            a.append(rep[near])
+            b.append(rep[near + step])
+            step += 1
+            row = row[after[row] >= step]
+        for k in np.flatnonzero(sizes > SMALL_BUCKET).tolist():
+            own, ids = sketch[at[k] : at[k + 1]], rep[at[k] : at[k + 1]]
+            for u, others in forest(len(ids), lambda u, w, own=own: np.bitwise_count(own[w] ^ own[u]).sum(axis=1) <= SKETCH_FAR):
+                a.append(np.repeat(ids[u], len(others)))
+                b.append(ids[others])
+        yield known.fresh(np.concatenate(a), np.concatenate(b))
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,9 +179,8 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         rows.where("fp1 is not null").groupBy(*digests).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.min("vector").alias("vector")),
         "classes",
     )
-    order = ["pass", "dim", "key", "rep"]
-    passes = sorted_keys(classes).repartitionByRange(*order).sortWithinPartitions(*order)
-    clusters = components(passes.mapInArrow(_window_links, "a long, b long"))
+    entries = staged(bucketed(classes, *plan(classes.count())), "entries")
+    clusters = components(dealt_buckets(entries).mapInArrow(_bucket_links, "a long, b long"))
     sizes = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / CLUSTER_BLOCK).alias("blocks"))
     members = clusters.withColumnRenamed("node", "rep").join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     keys = ["root", "low", "high"]
