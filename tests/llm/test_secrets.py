@@ -96,3 +96,18 @@ def test_redaction(make_docs):
     assert out[2].text is None and out[3].text == "nothing here"
     assert secrets.redact(docs).columns == docs.columns
     assert secrets.hidden("token = \"" + "ab12" * 10 + "\" end") == "[SECRET]\" end"
+
+
+def test_every_credential_value_is_costed_whole():
+    for text, hidden in [
+        ('secret = "p@ssW0rd!9xz"', '[SECRET]"'),
+        ("token: a$kd8!Qz71", "[SECRET]"),
+        ("api_key=%kd8!Qz71x and more", "[SECRET] and more"),
+        ("accessToken: a$kd8!Qz71", "access[SECRET]"),
+        ("password=hunter22$ecretXY end", "[SECRET] end"),
+        ("Authorization: Bearer tR9#kLq2vX0z", "[SECRET]"),
+        ("Authorization: Bearer abc", "Authorization: Bearer abc"),
+        ("pwd: xkqjzvwpyt", "[SECRET]"),
+        ("pwd: password", "pwd: password"),
+    ]:
+        assert secrets.hidden(text) == hidden, text

@@ -1,8 +1,8 @@
 """Secret scans: pattern spans, and values in credential contexts by their guess cost.
 
 One pass over whole texts, without a shuffle. Three patterns give the base
-spans. A value in a credential context (password, auth, private key, ...) that
-no base span covers is split at minimum cost into words, dates, repeats,
+spans. A value in a credential context (password, token, auth, private key, ...)
+that no base span covers whole is split at minimum cost into words, dates, repeats,
 keyboard walks and brute-force spans; it is a secret if guessing it costs enough.
 """
 
@@ -23,11 +23,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|auth(?:orization)?|bearer|credentials?|(?:client|app)_?secret|(?:private|access|signing|encryption)_?key)["']?[\x20\t]{0,4}(?:=>|[:=])[\x20\t]{0,4}["']?([^\s"'<>,;]{6,})""",
+    r"""(?:(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|auth(?:orization)?|bearer|credentials?|(?:client|app)_?secret|(?:private|access|signing|encryption)_?key)|password|passwd|secret|token|api[_-]?key)["']?[\x20\t]{0,4}(?:=>|[:=])[\x20\t]{0,4}["']?(?:(?:bearer|basic|token)[\x20\t]{1,4})?+([^\s"'<>,;]{6,})""",
     re.IGNORECASE | re.ASCII,
 )
 ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-CONTEXT_HINTS = ("pass", "pwd", "auth", "bearer", "credential", "secret", "key")
+CONTEXT_HINTS = ("pass", "pwd", "auth", "bearer", "credential", "secret", "token", "key")
 
 #: log10 of the guesses from which a value in a credential context is a secret.
 MIN_GUESSES_LOG10 = 8.0
@@ -114,7 +114,7 @@ def find_spans(text: str) -> tuple[list[tuple[int, int, int]], float]:
         for m in CONTEXT.finditer(text):
             cost = guess_cost(m[1])
             top = max(top, cost)
-            if cost >= MIN_GUESSES_LOG10 and not m[1].isalpha() and not any(s < m.end() and m.start() < e for s, _, e in base):
+            if cost >= MIN_GUESSES_LOG10 and not any(s <= m.start() and m.end() <= e for s, _, e in base):
                 spans.append((m.start(), 3, m.end()))
     return sorted(spans), top
 
