@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracklane.llm import boosting, toxicity
@@ -69,3 +70,21 @@ def test_trees_learn_an_interaction():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
     trees = boosting.Trees.fit(x[:600], y[:600])
     assert ((trees.margin(x[600:]) > 0) == y[600:]).mean() > 0.95
+
+
+def test_a_common_opening_makes_no_copies():
+    """Toxic texts that all begin with the same words still teach the lexicon; real copies count once."""
+    rng = random.Random(5)
+    other = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(40))
+    texts = [f"you are a {other()} vrotkel {other()}" for _ in range(30)] + [f"you are a {other()}" for _ in range(90)]
+    toxic = np.array([1.0] * 30 + [0.0] * 90)
+    lexicon = toxicity.Model(toxicity.fit(pa.array(texts), toxic)).lexicon
+    own = toxicity.terms(toxicity.Words(pa.array(["vrotkel"])))[0]
+    assert lexicon.look_up(own)[0] > toxicity.LEAST_WEIGHT
+    _, at = np.unique(toxicity.copies(shingle_sets([texts[0], texts[1], texts[0], texts[0] + " end", "", ""])), return_index=True)
+    assert at.tolist() == [0, 1, 4, 5]
+
+
+def shingle_sets(texts):
+    values, at = toxicity.shingles(toxicity.Words(pa.array(texts)))
+    return [values[i:j] for i, j in zip(at[:-1], at[1:])]

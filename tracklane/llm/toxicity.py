@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from tracklane.llm.boosting import Trees, isotonic
 from tracklane.llm.common import bounded_batches, fold, tidied
-from tracklane.llm.textvec import Words, mix, slices
+from tracklane.llm.neardup import FAR, PERCENT, SIGNATURE, signatures
+from tracklane.llm.textvec import Words, mix, shingles, slices
 
 FIT_ROWS = 16_000
 THRESHOLD = 0.7
@@ -31,6 +32,10 @@ LEAST_TOXIC_DOCS = 3
 LEAST_WEIGHT = 2.5
 NEAR = 5
 FOLDS = 3
+#: Places of a signature in which candidates for copies agree.
+BAND = 3
+#: Texts that are signed at once.
+SIGNED_AT_ONCE = 500
 
 # Second-person words in lower case.
 SECOND_PERSON = (
@@ -75,14 +80,9 @@ class Lexicon:
         self.keys, self.weights = keys, weights
 
     @classmethod
-    def learn(cls, per_doc: list[np.ndarray], marks: list[set[int]], toxic: np.ndarray) -> Lexicon:
-        """per_doc: each text's distinct terms. A text that shares a mark with an earlier one is taken for its copy and left out."""
-        seen: set[int] = set()
-        distinct = []
-        for i, own in enumerate(marks):
-            if not own & seen:
-                distinct.append(i)
-            seen |= own
+    def learn(cls, per_doc: list[np.ndarray], copy_of: np.ndarray, toxic: np.ndarray) -> Lexicon:
+        """per_doc: each text's distinct terms. copy_of: equal for texts that are copies, of which the first counts."""
+        distinct = np.sort(np.unique(copy_of, return_index=True)[1])
         y = toxic[distinct]
         keys, hits = np.unique(np.concatenate([per_doc[i] for i in distinct if toxic[i]] or [np.zeros(0, np.uint64)]), return_counts=True)
         keys, hits = keys[hits >= LEAST_TOXIC_DOCS], hits[hits >= LEAST_TOXIC_DOCS]
@@ -103,15 +103,33 @@ class Lexicon:
         return np.where(self.keys[at] == values, self.weights[at], 0.0)
 
 
-def copy_marks(words: Words) -> list[set[int]]:
-    """Of each text: its first three words, and the least of its three-word windows in two orders, as hashes."""
-    h = words.hashes
-    windows = mix(h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:] * np.uint64(7)) if len(h) > 2 else h[:0]
-    found = []
-    for first, n in zip(words.first_word.tolist(), words.counts.tolist(), strict=True):
-        own = windows[first : first + n - 2] if n > 2 else h[first : first + n]
-        found.append({int(own[0]), int(own.min()), int(mix(own).min())} if len(own) else set())
-    return found
+def copies(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set of shingles the place of the first one it copies, or its own: equal, or a similarity of PERCENT, confirmed on whole sets.
+
+    Only texts that agree in BAND places of their signatures are compared; at the
+    least similarity one in a million pairs agrees nowhere.
+    """
+    own = np.arange(len(sets))
+    full = [i for i, x in enumerate(sets) if len(x)]
+    signed = np.zeros((len(sets), SIGNATURE), dtype=np.uint8)
+    for k in range(0, len(full), SIGNED_AT_ONCE):
+        part = full[k : k + SIGNED_AT_ONCE]
+        begins = np.cumsum([0, *(len(sets[i]) for i in part)])[:-1]
+        signed[part] = signatures(np.concatenate([sets[i] for i in part]), begins)
+    kept: dict[tuple[int, bytes], list[int]] = {}
+    for i in full:
+        bands = [(k, signed[i, k : k + BAND].tobytes()) for k in range(0, SIGNATURE, BAND)]
+        met = np.unique(np.fromiter((j for band in bands for j in kept.get(band, ())), dtype=np.int64))
+        met = met[(signed[met] != signed[i]).sum(axis=1) <= FAR]
+        for j in met.tolist():
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= PERCENT * (len(sets[i]) + len(sets[j]) - both):
+                own[i] = j
+                break
+        else:
+            for band in bands:
+                kept.setdefault(band, []).append(i)
+    return own
 
 
 def features(words: Words, found: dict[int, np.ndarray], lexicon: Lexicon) -> np.ndarray:
@@ -158,7 +176,7 @@ def _you() -> np.ndarray:
 
 def fit(texts: pa.Array, toxic: np.ndarray) -> bytes:
     """The model of labelled texts, as bytes. Features for the trees come from lexicons that did not see their text."""
-    per_doc, marks = [], []
+    per_doc, sets = [], []
     for start, end in slices(texts):
         words = Words(texts.slice(start, end - start))
         stacked = np.stack(list(terms(words).values()), axis=1)
@@ -166,12 +184,15 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> bytes:
         for i in range(len(words.counts)):
             own = np.unique(stacked[cuts[i] : cuts[i + 1]])
             per_doc.append(own[own != 0])
-        marks += copy_marks(words)
+        values, at = shingles(words)
+        sets += [values[i:j].copy() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    copy_of = copies(sets)
+    sets.clear()
     group = np.arange(len(per_doc)) % FOLDS
     lexicons = []
     for f in range(FOLDS):
         others = np.flatnonzero(group != f)
-        lexicons.append(Lexicon.learn([per_doc[i] for i in others], [marks[i] for i in others], toxic[others]))
+        lexicons.append(Lexicon.learn([per_doc[i] for i in others], copy_of[others], toxic[others]))
     rows = []
     for start, end in slices(texts):
         words = Words(texts.slice(start, end - start))
@@ -185,7 +206,7 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> bytes:
         held[group == f] = Trees.fit(x[rest], toxic[rest]).margin(x[group == f])
     trees = Trees.fit(x, toxic)
     knots = isotonic(held, toxic)
-    lexicon = Lexicon.learn(per_doc, marks, toxic)
+    lexicon = Lexicon.learn(per_doc, copy_of, toxic)
     out = io.BytesIO()
     np.savez(out, keys=lexicon.keys, weights=lexicon.weights, start=trees.start, feature=trees.feature, cut=trees.cut, leaf=trees.leaf, knot_x=knots[0], knot_y=knots[1])
     return out.getvalue()
