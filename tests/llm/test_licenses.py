@@ -1,3 +1,7 @@
+from pathlib import Path
+
+import pytest
+
 from tracklane.llm import licenses
 from tracklane.llm.license_texts import MIT, TEXTS
 
@@ -19,3 +23,13 @@ def test_spark_and_python_agree(spark):
     texts = ["(c) 2020 X\nbody", "Copyright holders are liable", "A & B  http://www.x.org/y", "© by me\n\nOrganisation — Ünïcode"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     assert [r[0] for r in df.select(licenses.canonical(df.text)).collect()] == [licenses.canonical_text(t) for t in texts]
+
+
+def test_whole_licences_are_known(make_docs):
+    folder = Path("/usr/share/common-licenses")
+    if not (folder / "Apache-2.0").exists():
+        pytest.skip("no licence texts here")
+    named = {"Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "CC0-1.0": "CC0-1.0"}
+    texts = [" ".join((folder / f).read_text().split(" ")).replace("\n\n", "\n \n") for f in named]
+    out = {r.doc_id: r.license for r in licenses.scan(make_docs(list(enumerate(texts)))).collect()}
+    assert [out[k] for k in range(len(named))] == list(named.values())

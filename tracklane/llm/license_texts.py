@@ -80,3 +80,19 @@ _FORMS = ["Licensed under {}.", "Licensed under the {}.", "Released under the {}
 
 #: Notices of one line: each form of words with each name.
 NOTICES = [(spdx, form.format(name)) for spdx, names in _NAMES.items() for name in names for form in _FORMS]
+
+#: sha256 of the canonical forms of whole licence texts, as Debian has them in /usr/share/common-licenses.
+DIGESTS = [
+    ("Apache-2.0", "1f4643d36daf75c508f42e320163a4a5882918a117f30420f586dd06acee5c09"),
+    ("MPL-2.0", "69f6493c4913eb24589871629256ea61c70ccba4e85aa0a166974a6128138db6"),
+    ("MPL-1.1", "069eaa7262b1a03ac1faceaedf06e0e18f8733239806e369388ecbcc6c80b2d4"),
+    ("GPL-1.0-only", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0-only", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0-only", "268bf429f6ac9178f76ee0ff62011d15ca6c36950a2dd41ae980fc96ed43eff8"),
+    ("LGPL-2.0-only", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1-only", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2-only", "a02322eb5578203afebc64617e617a936a8963e2d796278f6d2a14e2f8d8ca29"),
+    ("GFDL-1.3-only", "06fe4711232dbf4480cce446893b7b3ca446466e08cf176e736e8261517a5879"),
+]

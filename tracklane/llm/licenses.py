@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklane.llm.license_texts import NOTICES, TEXTS
+from tracklane.llm.license_texts import DIGESTS, NOTICES, TEXTS
 
 #: Applied in this order to lower-case text; the patterns mean the same to Java, RE2 and Python's regex.
 STEPS = (
@@ -31,7 +31,7 @@ STEPS = (
     (r"&", " and "),
     (r"[^\p{L}\p{N}]+", " "),
 )
-#: Every known form has one of these words, so no other line needs a digest.
+#: Lines with this are looked up, as the SQL of op7 has it. ISC, 0BSD, Zlib and bare BSD texts lack it: they are known as whole texts only.
 LINE_HINT = "(?i)licen"
 
 
@@ -52,7 +52,7 @@ def canonical_text(text: str) -> str:
 @lru_cache(maxsize=1)
 def known_digests() -> dict[str, str]:
     """SPDX identifier by sha256 of the canonical form."""
-    return {hashlib.sha256(canonical_text(t).encode()).hexdigest(): spdx for spdx, t in reversed([*TEXTS, *NOTICES])}
+    return {d: spdx for spdx, d in DIGESTS} | {hashlib.sha256(canonical_text(t).encode()).hexdigest(): spdx for spdx, t in reversed([*TEXTS, *NOTICES])}
 
 
 def scan(docs: DataFrame) -> DataFrame:
