@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import ctypes.util
 import gc
@@ -28,25 +29,74 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, set here only where it is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets one of its own; a cluster has none."""
     context = spark.sparkContext
     held = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not held:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tracklane-')}")
         held = context.getCheckpointDir()
     return held.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: lineage ends here and a lost executor costs nothing."""
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def staged(df: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it back: lineage ends here and a lost executor costs nothing.
+
+    batch_bytes: the most that an Arrow batch of df's own steps is to hold, for rows of many kilobytes.
+    The folder goes with discard(), or when the application ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracklane/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    root = f"{shared_dir(spark)}/tracklane/{spark.sparkContext.applicationId}"
+    path = f"{root}/{uuid.uuid4().hex}/{name}"
+    with _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", batch_bytes):
+        df.write.parquet(path)
+    fs, at = _file_system(spark, root)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+@contextlib.contextmanager
+def _setting(spark: SparkSession, name: str, value: int | None) -> Iterator[None]:
+    if value is None:
+        yield
+        return
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the folders of staged tables that nothing reads any more."""
+    for df in tables:
+        fs, at = _file_system(df.sparkSession, df.staged_path)
+        fs.delete(at, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of what is written by now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """df, after lowering the session's rows per Arrow batch to BATCH_ROWS if they are more: texts are large rows."""
+    """df, after lowering the session's rows per Arrow batch to BATCH_ROWS if they are more: texts are large rows.
+
+    The setting stays: df may run at any later time.
+    """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= BATCH_ROWS:
         conf.set(name, BATCH_ROWS)

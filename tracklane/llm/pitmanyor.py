@@ -7,26 +7,29 @@ one unknown word. Customers are the training tokens; every table of a context
 restaurant is a customer of the parent. Only words never seen in training have
 no restaurant: after them the parent decides.
 
-Seating is sampled by Gibbs sweeps. A sweep takes all customers of a dish out of
-each restaurant and seats them again one by one (from EXACT customers on in
-growing groups), given the numbers of tables of each restaurant and dish after
-the sweep before. Predictive probabilities are averaged over the sweeps after
-BURN_IN. Random numbers are hashes of word, context, sweep and customer, so
-lost tasks come out the same, and a pair's tables follow from the numbers of
-tables of its context and of its word: sweeps pass on only these.
-
-Data flow: pairs (context, word), each side a hash, are counted in one pass and
-pre-aggregated before their shuffle. A pair seen once has one table in every
-sweep, so only pairs seen twice or more are seated. What a pair needs of its
-two words is joined: for the HEAD_WORDS most frequent words (a bounded table)
-by a broadcast, for all others by a shuffle. To score, the HEAD_PAIRS most
-frequent pairs (a bounded table) are broadcast, and only the other tokens of
-the texts are shuffled, to a join on the pair.
+Seating is sampled by Gibbs sweeps. A sweep takes all customers of a dish out
+of each restaurant and seats them again, given the numbers of tables of the
+restaurant and of the dish after the sweep before: one by one, and from EXACT
+customers on in groups of GROWTH, whose number of new tables is drawn from a
+binomial at the group's middle. In the BURN_IN sweeps the two strengths (one for
+all contexts, one for the parent) are drawn too, from their posterior on a
+grid. Predictive probabilities are averaged over the SAMPLES sweeps after that.
+Random numbers are hashes of word, context, sweep and customer, so lost tasks
+come out the same.
+
+Data flow. Words are 63-bit, pairs 64-bit hashes. Each task counts its pairs of
+context and word and sends them, packed, to shards of the pair's hash, so no
+pair, word or context is ever gathered whole in one place. A pair seen once
+always has one table, so sweeps work on the others only. What they need of
+their two words comes, for the HEAD_WORDS most frequent words, from bounded
+arrays that the driver holds and broadcasts; for all others from joins. To
+score, tokens of head words are resolved in their task but for the pair's own
+table numbers, which they are sent to meet in the pair's shard; tokens with
+other words are joined with these, too.
 """
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Iterator
 
@@ -35,22 +38,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklane.llm.common import bounded_batches, fold, staged, tidied
-from tracklane.llm.grouping import gathered
+from tracklane.llm.blobs import Places, packed, rows_of, unpacked
+from tracklane.llm.common import bounded_batches, discard, fold, released, staged, tidied
+from tracklane.llm.grouping import gathered, whole_groups
 from tracklane.llm.textvec import Words, mix, slices
 
-HEAD_WORDS = 1 << 18
+HEAD_WORDS = 1 << 20
 HEAD_PAIRS = 1 << 20
 #: Contexts whose whole distributions head() gives.
 SHOWN_CONTEXTS = 32
-#: Tokens that a task counts at once.
-COUNTED_AT_ONCE = 3_000_000
-#: Pairs that are seated side by side.
-PAIRS_AT_ONCE = 200_000
+#: Tokens that a task counts or asks for at once.
+TOKENS_AT_ONCE = 4_000_000
+#: Characters of training text for each shard of pairs.
+SHARD_CHARS = 16_000_000
+#: Ranges of head words in which sums are added up.
+RANGES = 64
+#: Bytes of an Arrow batch of packed rows.
+BLOB_BYTES = 32 << 20
 BURN_IN, SAMPLES = 2, 3
-EXACT = 24
-GROWTH = 0.15
+EXACT = 64
+GROWTH = 0.05
+#: The strengths before the first sweep, and those that are drawn from.
 STRENGTH, BASE_STRENGTH = 1.0, 10.0
+STRENGTHS = np.geomspace(0.01, 10_000, 121)
 
 _U = np.uint64
 #: Words are known by 63 bits of a hash. END is both the last word of a text and the context of its first.
@@ -79,29 +89,74 @@ def pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(mix(context) * _U(3) + word)
 
 
-def _counted(docs: DataFrame) -> DataFrame:
-    """(u, w, n) of all pairs of context and word; counted by and by in each task, then per pair."""
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts keys, and where in it each distinct key begins."""
+    order = np.argsort(keys)
+    own = keys[order]
+    new = np.ones(len(own), dtype=bool)
+    new[1:] = own[1:] != own[:-1]
+    return order, np.flatnonzero(new)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _dealt(keys: np.ndarray, shard_bits: int) -> list[tuple[int, int, int]]:
+    """(shard, start, end) of the shards that sorted keys fall into."""
+    shard = (keys >> _U(64 - shard_bits)).astype(np.int64) if shard_bits else np.zeros(len(keys), np.int64)
+    cuts = np.flatnonzero(np.diff(shard, prepend=-1))
+    return list(zip(shard[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=False))
+
+
+def _counted(docs: DataFrame, shard_bits: int) -> DataFrame:
+    """Per shard of pairs: once (sorted keys of pairs seen once), several (context, word, count), words (key and five sums)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
 
-        def counted() -> pa.RecordBatch:
+        def shards() -> Iterator[pa.RecordBatch]:
             u, w = (np.concatenate(x) for x in zip(*parts, strict=True))
-            _, at, n = np.unique(pair_keys(u, w), return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(u[at].view(np.int64)), pa.array(w[at].view(np.int64)), pa.array(n.astype(np.int64))], names=["u", "w", "n"])
+            keys = pair_keys(u, w)
+            order, at = _groups(keys)
+            n, first = np.diff(np.append(at, len(keys))), order[at]
+            keys, u, w = keys[first], u[first], w[first]
+            rows = []
+            for shard, start, end in _dealt(keys, shard_bits):
+                by_context = start + np.argsort(u[start:end])  # equal contexts side by side pack well
+                rows.append((shard, packed(u[by_context], w[by_context], n[by_context])))
+            for k in range(0, len(rows), 16):
+                part = rows[k : k + 16]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.binary())], names=["shard", "blob"])
 
         for batch in batches:
             for start, end in slices(batch.column(0)):
                 word, context, _, _ = tokens(batch.column(0).slice(start, end - start))
                 parts.append((context, word))
                 held += len(word)
-                if held > COUNTED_AT_ONCE:
-                    yield counted()
+                if held > TOKENS_AT_ONCE:
+                    yield from shards()
                     parts, held = [], 0
         if parts:
-            yield counted()
-
-    return bounded_batches(docs.select("text")).mapInArrow(tidied(run), "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n"))
+            yield from shards()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in whole_groups(batches, ["shard"]):
+            blobs = table.column("blob")
+            for start, end in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                u, w, n = (np.concatenate(x) for x in zip(*[unpacked(blobs[k].as_py(), _U, _U, np.int64) for k in range(start, end)], strict=True))
+                keys = pair_keys(u, w)
+                order, begins = _groups(keys)
+                n, first = np.add.reduceat(n[order], begins), order[begins]
+                keys, u, w = keys[first], u[first], w[first]
+                more = n > 1
+                both = np.concatenate([w, u])
+                order, begins = _groups(both)
+                of = np.empty(len(both), dtype=np.int64)
+                of[order] = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(both))))
+                sums = [np.bincount(of[: len(w)], x, len(begins)).astype(np.int64) for x in (n, None, ~more)] + [np.bincount(of[len(w) :], x, len(begins)).astype(np.int64) for x in (None, ~more)]
+                kw_order = [sums[0], sums[1], sums[3], sums[2], sums[4]]
+                row = [[table.column("shard")[start].as_py()], [packed(keys[~more])], [packed(u[more], w[more], n[more])], [packed(both[order[begins]], *kw_order)]]
+                yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *(pa.array(x, pa.binary()) for x in row[1:])], names=["shard", "once", "several", "words"])
+
+    parts = bounded_batches(docs.select("text")).mapInArrow(tidied(count), "shard long, blob binary")
+    return parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(tidied(merge), "shard long, once binary, several binary, words binary")
 
 
 def uniform(*parts: np.ndarray) -> np.ndarray:
@@ -112,8 +167,27 @@ def uniform(*parts: np.ndarray) -> np.ndarray:
     return (x >> _U(11)).astype(np.float64) * 2.0**-53
 
 
+def binomial(n: np.ndarray, p: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Draws from the binomial, by uniform numbers u and v: by inversion for means up to 12, else by its normal limit."""
+    p = np.minimum(p, 1 - 1e-12)
+    mean = n * p
+    out = np.clip(np.rint(mean + np.sqrt(mean * (1 - p) * -2 * np.log1p(-u)) * np.cos(2 * np.pi * v)), 0, n)
+    low = np.flatnonzero(mean <= 12)
+    size, odds, mass, left = n[low].astype(float), (p / (1 - p))[low], np.exp(n[low] * np.log1p(-p[low])), u[low].copy()
+    out[low] = 0
+    k = 0
+    while len(low):
+        more = (left >= mass) & (k < size) & (k < 200)
+        left = left - mass
+        low, size, odds, mass, left = low[more], size[more], odds[more], mass[more], left[more]
+        mass = mass * odds * (size - k) / (k + 1)
+        k += 1
+        out[low] = k
+    return out
+
+
 def seat(customers: np.ndarray, mass: np.ndarray, discount: float, word: np.ndarray, context: np.ndarray, sweep: int) -> np.ndarray:
-    """Tables of each dish after its customers have sat down one by one; mass: weight of a new table."""
+    """Tables of each dish after its customers have sat down; mass: weight of a new table."""
     order = np.argsort(-customers, kind="stable")
     c, a, w, u = customers[order], mass[order], word[order], context[order]
     t = np.minimum(c, 1).astype(np.float64)
@@ -122,26 +196,52 @@ def seat(customers: np.ndarray, mass: np.ndarray, discount: float, word: np.ndar
         active = int(np.searchsorted(-c, -i, side="left"))  # those with more than i customers
         if not active:
             break
-        step = 1 if i < EXACT else max(1, int(i * GROWTH))
-        n = np.minimum(step, c[:active] - i)
-        new = a[:active] / (a[:active] + i + (n - 1) / 2 - discount * t[:active])
-        t[:active] += np.minimum(np.floor(n * new + uniform(w[:active], u[:active], sweep, i)), n)
+        if i < EXACT:
+            step, new = 1, a[:active] / (a[:active] + i - discount * t[:active])
+            t[:active] += uniform(w[:active], u[:active], sweep, i) < new
+        else:
+            step = max(1, int(i * GROWTH))
+            n = np.minimum(step, c[:active] - i)
+            new = a[:active] / (a[:active] + i + (n - 1) / 2 - discount * t[:active])
+            t[:active] += binomial(n, new, uniform(w[:active], u[:active], sweep, i), uniform(w[:active], u[:active], sweep, i, 1))
         i += step
     out = np.empty_like(t)
     out[order] = t
     return out
 
 
-def _discount(counts: DataFrame, column: str) -> float:
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Stirling's series, after eight steps up."""
+    x = np.asarray(x, dtype=np.float64)
+    shift = sum(np.log(x + k) for k in range(8))
+    y = x + 8
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) - shift
+
+
+def drawn_strength(tables: tuple[np.ndarray, np.ndarray], customers: tuple[np.ndarray, np.ndarray], discount: float, u: float) -> float:
+    """A strength from its posterior on STRENGTHS, given histograms (values, how often) of tables and customers of restaurants."""
+    log_p = np.zeros(len(STRENGTHS))
+    for k, s in enumerate(STRENGTHS):
+        t, times = tables
+        log_p[k] += (times * ((t - 1) * math.log(discount) + _log_gamma(s / discount + t) - _log_gamma(s / discount + 1))).sum()
+        c, times = customers
+        log_p[k] -= (times * (_log_gamma(s + c) - _log_gamma(s + 1))).sum()
+    p = np.cumsum(np.exp(log_p - log_p.max()))
+    return float(STRENGTHS[min(np.searchsorted(p, u * p[-1]), len(p) - 1)])
+
+
+def _discount(once: float, twice: float) -> float:
     """n1 / (n1 + 2 n2), from the numbers of keys seen once and twice."""
-    r = counts.agg(F.count_if(F.col(column) == 1).alias("n1"), F.count_if(F.col(column) == 2).alias("n2")).first()
-    return min(0.95, max(0.05, (r["n1"] + 0.5) / (r["n1"] + 2 * r["n2"] + 1)))
+    return min(0.95, max(0.05, (once + 0.5) / (once + 2 * twice + 1)))
+
 
+def _level(n: np.ndarray) -> np.ndarray:
+    """16 levels for each power of two."""
+    return np.floor(np.log2(n) * 16).astype(np.int64)
 
-def _least(counts: DataFrame, limit: int) -> int:
-    """The least n such that at most `limit` rows have as much."""
-    level = F.floor(F.log2("n") * 16).cast("int")
-    sizes = {r["level"]: r["count"] for r in counts.groupBy(level.alias("level")).count().collect()}  # 16 rows for each power of two
+
+def _least(sizes: dict[int, int], limit: int) -> int:
+    """The least n such that at most `limit` keys have as much; sizes: keys of each level."""
     total, least = 0, max(sizes, default=0) + 1
     for k in sorted(sizes, reverse=True):
         if total + sizes[k] > limit:
@@ -150,231 +250,543 @@ def _least(counts: DataFrame, limit: int) -> int:
     return math.ceil(2 ** (least / 16) - 1e-9)
 
 
-def _sided(rows: DataFrame, key: str, table: DataFrame, count: str, least: int) -> DataFrame:
-    """rows with the columns of table (null where it has no such key): its rows with `count` from least on are broadcast, the others are joined."""
-    head = table.where(F.col(count) >= least)
-    near = rows.join(F.broadcast(head), key)
-    far = rows.join(F.broadcast(head.select(key)), key, "left_anti").join(table.where(F.col(count) < least), key, "left")
-    return near.unionByName(far)
+def _histogram(values: np.ndarray, more: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct positive values and how often they occur, with those of more."""
+    own, times = np.unique(values, return_counts=True)
+    counts = dict(zip(own.tolist(), times.tolist(), strict=True))
+    for k, n in more.items():
+        counts[k] = counts.get(k, 0) + n
+    kept = sorted(k for k in counts if k > 0)
+    return np.array(kept, dtype=np.float64), np.array([counts[k] for k in kept], dtype=np.float64)
+
 
+class Head:
+    """The most frequent words: sorted hashes, counts, and tables before the first sweep and after each: t of each as a context, p as a dish of contexts, t0 in the parent."""
 
-def _released(spark) -> None:
-    """Lets Spark drop the shuffle files of what is written by now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, once_u: np.ndarray, once_w: np.ndarray, t: np.ndarray, p: np.ndarray) -> None:
+        self.keys, self.counts, self.once_u, self.once_w = keys, counts, once_u, once_w
+        self.t, self.p, self.t0 = [t], [p], [np.ones(len(keys), np.int64)]
 
 
 class Model:
-    """What training gives: N, V, a table of words with their tables in each sweep, and one of pairs with their probabilities."""
+    """What training gives: N, V, arrays of the head words, a table of the other words, and shards of pairs."""
 
     def __init__(self, docs: DataFrame) -> None:
         """docs: the training texts (null: empty)."""
-        spark = docs.sparkSession
-        pairs = staged(_counted(docs.select(F.coalesce("text", F.lit("")).alias("text"))), "pairs")
-        _released(spark)
-        single = (F.col("n") == 1).cast("long")
-        zero = F.lit(0).cast("long")
-        as_word = F.struct(F.col("w").alias("key"), F.col("n").alias("n"), F.lit(1).cast("long").alias("kw"), zero.alias("ku"), single.alias("sw"), zero.alias("su"))
-        as_context = F.struct(F.col("u").alias("key"), zero.alias("n"), zero.alias("kw"), F.lit(1).cast("long").alias("ku"), zero.alias("sw"), single.alias("su"))
-        each = pairs.select(F.explode(F.array(as_word, as_context)).alias("x")).select("x.*")
-        sums = each.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "kw", "ku", "sw", "su")])
-        # a word is as often a context as it is a word; before the first sweep each pair has one table, and each word one in the parent
-        state = staged(sums.select("key", "n", "sw", "su", F.array("ku").alias("t"), F.array("kw").alias("p"), F.array(F.lit(1).cast("long")).alias("t0")), "words")
-        size = state.agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).first()
+        self.spark = spark = docs.sparkSession
+        docs = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+        chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+        self.shard_bits = max(4, math.ceil(math.log2(chars / SHARD_CHARS + 1)))
+        self.counted = staged(_counted(docs, self.shard_bits), "counted", BLOB_BYTES)
+        released(spark)
+        words = staged(self._words(), "words")
+        released(spark)
+        size = words.agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"), F.sum("ku").alias("pairs"), F.sum("su").alias("once")).first()
         self.vocabulary, self.tokens = size["v"], size["n"] or 0
         self.h = 1.0 / (self.vocabulary + 1)
-        self.d, self.d0 = _discount(pairs, "n"), _discount(state, "n")
-        self.least = _least(state, HEAD_WORDS)
+        level = F.floor(F.log2("n") * 16).cast("long")
+        self.least = _least({r["level"]: r["count"] for r in words.groupBy(level.alias("level")).count().collect()}, HEAD_WORDS)  # 16 rows for each power of two
+        first = words.where(F.col("n") >= self.least).select("key", "n", "su", "sw", "ku", "kw").toArrow()  # at most HEAD_WORDS rows
+        columns = [c.to_numpy() for c in first.columns]
+        order = np.argsort(columns[0])
+        self.own = Head(columns[0][order].astype(np.uint64), *(c[order] for c in columns[1:]))
+        self.keys = spark.sparkContext.broadcast(self.own.keys)
+        # before the first sweep each pair has one table, and each word one in the parent
+        tail = words.where(F.col("n") < self.least).select("key", "n", "sw", "su", F.array("ku").alias("t"), F.array("kw").alias("p"), F.array(F.lit(1).cast("long")).alias("t0"))
+        self.tail = staged(tail, "tail")
+        discard(words)
+        self._split()
+        twice = self.twice
+        self.d, self.d0 = _discount(size["once"] or 0, twice), _discount(size["n1"], size["n2"])
+        self.strength, self.base_strength = STRENGTH, BASE_STRENGTH
         self.totals: list[tuple[int, int]] = []  # before the first sweep and after each: tables of all contexts, and of the parent
-        self._totalled(state)
-        several = pairs.where("n > 1")
+        self._totalled()
         for k in range(BURN_IN + SAMPLES):
-            state = self._swept(several, state, k)
-            _released(spark)
-        self.words = state
-        self.pairs = staged(self._probabilities(pairs), "model")
-        _released(spark)
+            self._sweep(k)
+            if k < BURN_IN:
+                self._draw_strengths(k)
+            released(spark)
+        self._frequent()
 
-    def _totalled(self, state: DataFrame) -> None:
-        last = [F.sum(F.element_at(c, -1)).alias(c) for c in ("p", "t0")]
-        r = state.agg(*last).first()
-        self.totals.append((r["p"] or 0, r["t0"] or 0))
+    def _words(self) -> DataFrame:
+        """(key, n, kw, ku, sw, su) of each word: its count, its contexts and its followers, and those of them seen once with it."""
+        names = ["key", "n", "kw", "ku", "sw", "su"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in rows_of(batches):
+                columns = unpacked(row["words"], *[np.int64] * 6)
+                for k in range(0, len(columns[0]), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in columns], names=names)
+
+        with_rows = self.counted.select("words").mapInArrow(tidied(run), ", ".join(f"{n} long" for n in names))
+        return with_rows.groupBy("key").agg(*[F.sum(c).alias(c) for c in names[1:]])
+
+    def _split(self) -> None:
+        """Pairs seen several times: those of two head words packed by their places (near), the others as rows (far)."""
+        shared = self.keys
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            places = Places(shared.value, 63)
+            for row in rows_of(batches):
+                u, w, n = unpacked(row["several"], _U, _U, np.int64)
+                at_u, at_w = places(u), places(w)
+                near = (at_u >= 0) & (at_w >= 0)
+                levels, times = np.unique(_level(n), return_counts=True)
+                blob = packed(at_u[near].astype(np.int32), at_w[near].astype(np.int32), n[near], np.zeros(near.sum(), np.float32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([row["shard"]], pa.int64()),
+                        pa.array([blob], pa.binary()),
+                        pa.array([packed(u[~near], w[~near], n[~near])], pa.binary()),
+                        pa.array([int((~near).sum())], pa.int64()),
+                        pa.array([packed(levels, times)], pa.binary()),
+                        pa.array([int((n == 2).sum())], pa.int64()),
+                    ],
+                    names=["shard", "near", "far", "n_far", "levels", "twice"],
+                )
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in rows_of(batches):
+                u, w, n = unpacked(row["far"], np.int64, np.int64, np.int64)
+                for k in range(0, len(u), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in (u, w, n)], names=["u", "w", "n"])
+
+        def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for row in rows_of(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in unpacked(row["levels"], np.int64, np.int64)], names=["level", "times"])
+
+        split = staged(self.counted.select("shard", "several").mapInArrow(tidied(run), "shard long, near binary, far binary, n_far long, levels binary, twice long"), "split", BLOB_BYTES)
+        self.near = split.select("shard", F.col("near").alias("blob"))
+        self.near_staged = split
+        levels = split.select("levels").mapInArrow(histogram, "level long, times long").groupBy("level").agg(F.sum("times").alias("times"))
+        self.least_pair = _least({r["level"]: r["times"] for r in levels.collect()}, HEAD_PAIRS)  # 16 rows for each power of two
+        r = split.agg(F.sum("twice").alias("twice"), F.sum("n_far").alias("n_far")).first()
+        self.twice, n_far = r["twice"] or 0, r["n_far"] or 0
+        self.far = staged(split.select("far").where("n_far > 0").mapInArrow(tidied(rows), "u long, w long, n long"), "far", BLOB_BYTES) if n_far else None
+
+    def _totalled(self) -> None:
+        r = self.tail.agg(F.sum(F.element_at("p", -1)), F.sum(F.element_at("t0", -1))).first()
+        self.totals.append((int(self.own.p[-1].sum()) + (r[0] or 0), int(self.own.t0[-1].sum()) + (r[1] or 0)))
+
+    def _draw_strengths(self, k: int) -> None:
+        counts = {c: {r[0]: r["count"] for r in self.tail.groupBy(value.alias("v")).count().collect()} for c, value in (("n", F.col("n")), ("t", F.element_at("t", -1)))}  # below the head's counts
+        u, v = (float(uniform(k, x)[0]) for x in (101, 102))
+        if self.tokens:
+            self.strength = drawn_strength(_histogram(self.own.t[-1], counts["t"]), _histogram(self.own.counts, counts["n"]), self.d, u)
+            one = np.ones(1)
+            p, t0 = self.totals[-1]
+            self.base_strength = drawn_strength((one * t0, one), (one * p, one), self.d0, v)
 
     def new_word(self, k: int) -> float:
         """The parent's probability of the unknown word after k sweeps."""
         t, t0 = self.totals[k]
-        return (BASE_STRENGTH + self.d0 * t0) / (BASE_STRENGTH + t) * self.h
-
-    def contexts(self, table: DataFrame, steps: range) -> DataFrame:
-        """(u, customers, ms): each context's weight of its parent after so many sweeps, times its customers and strength."""
-        return table.select(F.col("key").alias("u"), F.col("n").alias("customers"), F.array(*[STRENGTH + self.d * F.get("t", F.lit(k)) for k in steps]).alias("ms"))
+        return (self.base_strength + self.d0 * t0) / (self.base_strength + t) * self.h
 
-    def dishes(self, table: DataFrame, steps: range) -> DataFrame:
-        """(w, known, p0s): each word's count, and its probability in the parent after so many sweeps."""
+    def head_weight(self, k: int) -> np.ndarray:
+        """Each head word's weight of the parent, as a context after k sweeps, times its customers and strength."""
+        return self.strength + self.d * self.own.t[k]
 
-        def p0(k: int) -> Column:
-            return F.greatest(F.get("p", F.lit(k)) - self.d0 * F.get("t0", F.lit(k)), F.lit(0.0)) / (BASE_STRENGTH + self.totals[k][0]) + self.new_word(k)
-
-        return table.select(F.col("key").alias("w"), F.col("n").alias("known"), F.array(*[p0(k) for k in steps]).alias("p0s"))
+    def head_dish(self, k: int) -> np.ndarray:
+        """Each head word's probability in the parent after k sweeps."""
+        return np.maximum(self.own.p[k] - self.d0 * self.own.t0[k], 0) / (self.base_strength + self.totals[k][0]) + self.new_word(k)
 
-    def sided(self, rows: DataFrame, table: DataFrame, steps: range) -> DataFrame:
-        rows = _sided(rows, "u", self.contexts(table, steps), "customers", self.least)
-        return _sided(rows, "w", self.dishes(table, steps), "known", self.least)
+    def tail_contexts(self, steps: range) -> DataFrame:
+        """(u, customers, ms) of the other words, as head_weight."""
+        return self.tail.select(F.col("key").alias("u"), F.col("n").alias("customers"), F.array(*[F.lit(self.strength) + F.lit(self.d) * F.get("t", F.lit(k)) for k in steps]).alias("ms"))
 
-    def _swept(self, several: DataFrame, state: DataFrame, k: int) -> DataFrame:
-        """state with the tables after sweep k."""
-        d, d0 = self.d, self.d0
-        fresh = (BASE_STRENGTH + d0 * self.totals[k][1]) * self.h
+    def tail_dishes(self, steps: range) -> DataFrame:
+        """(w, known, p0s) of the other words, as head_dish."""
 
-        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in gathered(batches, PAIRS_AT_ONCE):
-                u, w, n, mass = (batch.column(c).to_numpy() for c in ("u", "w", "n", "mass"))
-                t = seat(n, mass, d, w, u, k)
-                for keys, place in ((u, 1), (w, 2)):
-                    own, at = np.unique(keys, return_inverse=True)
-                    sums = [pa.array(np.bincount(at, t, len(own)).astype(np.int64)), pa.array(np.zeros(len(own), np.int64))]
-                    yield pa.RecordBatch.from_arrays([pa.array(own), *(sums if place == 1 else sums[::-1])], names=["key", "as_u", "as_w"])
+        def p0(k: int) -> Column:
+            return F.greatest(F.get("p", F.lit(k)) - self.d0 * F.get("t0", F.lit(k)), F.lit(0.0)) / (self.base_strength + self.totals[k][0]) + self.new_word(k)
+
+        return self.tail.select(F.col("key").alias("w"), F.col("n").alias("known"), F.array(*[p0(k) for k in steps]).alias("p0s"))
+
+    def _sweep(self, k: int) -> None:
+        """Seats all customers again: of the pairs of head words, of other pairs, and of the parent."""
+        d, d0, size = self.d, self.d0, len(self.own.keys)
+        fresh = (self.base_strength + d0 * self.totals[k][1]) * self.h
+        shared, keys = self.spark.sparkContext.broadcast((self.head_weight(k), self.head_dish(k))), self.keys
+        cuts = np.linspace(0, size, RANGES + 1).astype(np.int64)
+        sampled = k >= BURN_IN
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m, p0 = shared.value
+            word = keys.value
+            sums = [np.zeros(size), np.zeros(size)]
+            for row in rows_of(batches):
+                u, w, n, total = unpacked(row["blob"], np.int32, np.int32, np.int64, np.float32)
+                t = seat(n, m[u] * p0[w], d, word[w], word[u], k)
+                for x, at in zip(sums, (u, w), strict=True):
+                    x += np.bincount(at, t, size)
+                if sampled:
+                    yield pa.RecordBatch.from_arrays([pa.array([row["shard"]], pa.int64()), pa.array([-1], pa.int32()), pa.array([packed(u, w, n, total + t.astype(np.float32))], pa.binary())], names=["shard", "part", "blob"])
+            t, p = (x.astype(np.int64) for x in sums)
+            blobs = [packed(t[a:b], p[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([0] * RANGES, pa.int64()), pa.array(range(RANGES), pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "part", "blob"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, list[np.ndarray]] = {}
+            for row in rows_of(batches):
+                own = unpacked(row["blob"], np.int64, np.int64)
+                held[row["part"]] = [a + b for a, b in zip(held[row["part"]], own, strict=True)] if row["part"] in held else own
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([packed(*x) for x in held.values()], pa.binary())], names=["part", "blob"])
+
+        swept = staged(self.near.mapInArrow(tidied(near), "shard long, part int, blob binary"), "swept", BLOB_BYTES)
+        added = staged(swept.where("part >= 0").select("part", "blob").repartition("part").mapInArrow(tidied(add), "part int, blob binary"), "added", BLOB_BYTES)
+        sums = {r["part"]: unpacked(bytes(r["blob"]), np.int64, np.int64) for r in added.collect()}  # two numbers for each head word
+        t = self.own.once_u + (np.concatenate([sums[i][0] for i in range(RANGES)]) if sums else 0)
+        p = self.own.once_w + (np.concatenate([sums[i][1] for i in range(RANGES)]) if sums else 0)
+        discard(added)
+        if sampled:
+            discard(self.near_staged)
+            self.near, self.near_staged = swept.where("part < 0").select("shard", "blob"), swept
+        else:
+            discard(swept)
+        seated = self._seated_far(k, shared) if self.far is not None else None
+        if seated is not None:
+            extra = seated.where("head").select("key", "as_u", "as_w").toArrow()  # at most a row for each head word
+            at = np.searchsorted(self.own.keys, extra.column("key").to_numpy().astype(np.uint64))
+            t[at] += extra.column("as_u").to_numpy()
+            p[at] += extra.column("as_w").to_numpy()
+        self.own.t.append(t)
+        self.own.p.append(p)
+        self.own.t0.append(seat(p, np.full(size, fresh), d0, self.own.keys, np.full(size, 99), k).astype(np.int64))
 
         def parent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                p = batch.column("last_p").to_numpy()
-                key = batch.column("key").to_numpy()
-                t0 = seat(p, np.full(len(p), fresh), d0, key, np.full(len(p), 99), k)
+                p, key = batch.column("last_p").to_numpy(), batch.column("key").to_numpy()
+                t0 = seat(p, np.full(len(p), fresh), d0, key.astype(np.uint64), np.full(len(p), 99), k)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(t0.astype(np.int64))], names=[*batch.schema.names, "last_t0"])
 
-        rows = self.sided(several, state, range(k, k + 1)).select("u", "w", "n", (F.get("ms", F.lit(0)) * F.get("p0s", F.lit(0))).alias("mass"))
-        sums = rows.mapInArrow(pairs, "key long, as_u long, as_w long").groupBy("key").agg(F.sum("as_u").alias("as_u"), F.sum("as_w").alias("as_w"))
-        more = lambda base, c: F.col(base) + F.coalesce(F.col(c), F.lit(0))
-        joined = state.join(sums, "key", "left").select("key", "n", "sw", "su", "t", "p", "t0", more("su", "as_u").alias("last_t"), more("sw", "as_w").alias("last_p"))
+        tail = self.tail.withColumn("as_u", F.lit(0)).withColumn("as_w", F.lit(0)) if seated is None else self.tail.join(seated.where("not head").drop("head"), "key", "left")
+        more = lambda base, c: F.col(base) + F.coalesce(F.col(c), F.lit(0)).cast("long")
+        joined = tail.select("key", "n", "sw", "su", "t", "p", "t0", more("su", "as_u").alias("last_t"), more("sw", "as_w").alias("last_p"))
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema.fields)
-        seated = joined.mapInArrow(parent, f"{kinds}, last_t0 long")
-        out = staged(seated.select("key", "n", "sw", "su", *[F.concat(c, F.array(f"last_{c}")).alias(c) for c in ("t", "p", "t0")]), "words")
-        self._totalled(out)
-        return out
-
-    def backed(self, first: int = 0) -> Column:
-        """Averaged probability that an unseen pair has, of customers, ms and p0s, from place `first` of these on; null sides are unknown words."""
-        m = [F.coalesce(F.get("ms", F.lit(first + s)), F.lit(STRENGTH)) for s in range(SAMPLES)]
-        p = [F.coalesce(F.get("p0s", F.lit(first + s)), F.lit(self.new_word(BURN_IN + 1 + s))) for s in range(SAMPLES)]
-        return sum((x * y for x, y in zip(m, p, strict=True)), F.lit(0.0)) / (SAMPLES * (STRENGTH + F.coalesce("customers", F.lit(0))))
-
-    def _probabilities(self, pairs: DataFrame) -> DataFrame:
-        """(u, w, n, known, log_p) of each pair: its count, its word's count, and log10 of its averaged probability."""
-        d = self.d
-        steps = range(BURN_IN, BURN_IN + SAMPLES + 1)
+        with_parent = joined.mapInArrow(parent, f"{kinds}, last_t0 long")
+        out = staged(with_parent.select("key", "n", "sw", "su", *[F.concat(c, F.array(f"last_{c}")).alias(c) for c in ("t", "p", "t0")]), "tail")
+        discard(self.tail, *([seated] if seated is not None else []))
+        self.tail = out
+        self._totalled()
+
+    def _sided(self, rows: DataFrame, steps: range) -> DataFrame:
+        """rows (u, w, ..) with what the words outside the head bring; nulls where a word is in the head, or unknown."""
+        return rows.join(self.tail_contexts(steps), "u", "left").join(self.tail_dishes(steps), "w", "left")
+
+    def _seated_far(self, k: int, shared) -> DataFrame:
+        """(key, head, as_u, as_w): tables of the far pairs by word, each as context and as dish."""
+        d, keys = self.d, self.keys
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in gathered(batches, PAIRS_AT_ONCE):
-                u, w, n, customers = (batch.column(c).to_numpy() for c in ("u", "w", "n", "customers"))
-                m, p0 = (batch.column(c).flatten().to_numpy().reshape(-1, len(steps)) for c in ("ms", "p0s"))
-                p = np.zeros(len(n))
-                for s in range(SAMPLES):
-                    t = seat(n, m[:, s] * p0[:, s], d, w, u, BURN_IN + s)
-                    p += (n - d * t + m[:, s + 1] * p0[:, s + 1]) / (STRENGTH + customers) / SAMPLES
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("u", "w", "n", "known")), pa.array(np.log10(p))], names=["u", "w", "n", "known", "log_p"])
-
-        columns = ["u", "w", "n", "known"]
-        once = self.sided(pairs.where("n = 1"), self.words, steps)
-        once = once.select(*columns, F.log10(self.backed(1) + (1 - d) / (STRENGTH + F.col("customers"))).alias("log_p"))
-        several = self.sided(pairs.where("n > 1"), self.words, steps).select(*columns, "customers", "ms", "p0s").mapInArrow(run, "u long, w long, n long, known long, log_p double")
-        return once.unionByName(several)
-
-    def shown(self) -> DataFrame:
-        """The SHOWN_CONTEXTS most frequent contexts."""
-        return self.words.orderBy(F.desc("n"), "key").limit(SHOWN_CONTEXTS)
+            places = Places(keys.value, 63)
+            m, p0 = shared.value
+            for batch in gathered(batches, 200_000):
+                u, w, n = (batch.column(c).to_numpy() for c in ("u", "w", "n"))
+                at_u, at_w = places(u.astype(np.uint64)), places(w.astype(np.uint64))
+                t = seat(n, _side(batch.column("ms"), m[:, None], at_u)[:, 0] * _side(batch.column("p0s"), p0[:, None], at_w)[:, 0], d, w.astype(np.uint64), u.astype(np.uint64), k)
+                for key, at, place in ((u, at_u, 1), (w, at_w, 2)):
+                    own, first, of = np.unique(key, return_index=True, return_inverse=True)
+                    sums = [pa.array(np.bincount(of, t, len(own)).astype(np.int64)), pa.array(np.zeros(len(own), np.int64))]
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(at[first] >= 0), *(sums if place == 1 else sums[::-1])], names=["key", "head", "as_u", "as_w"])
+
+        rows = self._sided(self.far, range(k, k + 1)).select("u", "w", "n", "ms", "p0s")
+        sums = rows.mapInArrow(tidied(run), "key long, head boolean, as_u long, as_w long").groupBy("key", "head").agg(F.sum("as_u").alias("as_u"), F.sum("as_w").alias("as_w"))
+        return staged(sums, "far_sums")
+
+    def numerators(self) -> DataFrame:
+        """(dest, kind, row_id, blob) by shard: sorted keys of pairs seen once (kind 0); keys and customers less discounted tables, averaged, of others (kind 1)."""
+        d, keys = self.d, self.keys
+        zero = F.lit(None).cast("long").alias("row_id")
+        once = self.counted.select(F.col("shard").alias("dest"), F.lit(0).alias("kind"), zero, F.col("once").alias("blob"))
+        bits = self.shard_bits
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            word = keys.value
+            for row in rows_of(batches):
+                u, w, n, total = unpacked(row["blob"], np.int32, np.int32, np.int64, np.float32)
+                key = pair_keys(word[u], word[w])
+                yield pa.RecordBatch.from_arrays([pa.array([row["dest"]], pa.int64()), pa.array([packed(key, (n - d * total / SAMPLES).astype(np.float32))], pa.binary())], names=["dest", "blob"])
+
+        out = once.unionByName(self.near.withColumnRenamed("shard", "dest").mapInArrow(tidied(near), "dest long, blob binary").select("dest", F.lit(1).alias("kind"), zero, "blob"))
+        if self.far is None:
+            return out
+        steps = range(BURN_IN, BURN_IN + SAMPLES)
+        sides = self.spark.sparkContext.broadcast((np.stack([self.head_weight(k) for k in steps], 1), np.stack([self.head_dish(k) for k in steps], 1)))
+
+        def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            places = Places(keys.value, 63)
+            m, p0 = sides.value
+            for batch in gathered(batches, 200_000):
+                u, w, n = (batch.column(c).to_numpy() for c in ("u", "w", "n"))
+                u, w = u.astype(np.uint64), w.astype(np.uint64)
+                mass = _side(batch.column("ms"), m, places(u)) * _side(batch.column("p0s"), p0, places(w))
+                total = sum(seat(n, mass[:, s], d, w, u, BURN_IN + s) for s in range(SAMPLES))
+                key = pair_keys(u, w)
+                order = np.argsort(key)
+                key, numerator = key[order], (n - d * total / SAMPLES)[order].astype(np.float32)
+                rows = [(shard, packed(key[a:b], numerator[a:b])) for shard, a, b in _dealt(key, bits)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["dest", "blob"])
+
+        return out.unionByName(self._sided(self.far, steps).select("u", "w", "n", "ms", "p0s").mapInArrow(tidied(far), "dest long, blob binary").select("dest", F.lit(1).alias("kind"), zero, "blob"))
+
+    def _frequent(self) -> None:
+        """Sorted keys and numerators of at most HEAD_PAIRS pairs of head words, the most frequent."""
+        d, keys, least = self.d, self.keys, self.least_pair
 
-    def unknown(self) -> np.ndarray:
-        """Averaged probability of the unknown word in each of the contexts shown, these sorted."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            word = keys.value
+            for row in rows_of(batches):
+                u, w, n, total = unpacked(row["blob"], np.int32, np.int32, np.int64, np.float32)
+                some = n >= least
+                yield pa.RecordBatch.from_arrays([pa.array(pair_keys(word[u[some]], word[w[some]]).view(np.int64)), pa.array((n - d * total / SAMPLES)[some].astype(np.float32))], names=["key", "numerator"])
+
+        t = staged(self.near.mapInArrow(tidied(run), "key long, numerator float"), "frequent", BLOB_BYTES)
+        rows = t.toArrow()
+        discard(t)
+        key = rows.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(key)
+        self.pairs = key[order], rows.column("numerator").to_numpy()[order]
+
+    def samples(self) -> tuple[np.ndarray, np.ndarray]:
+        """(weights of the parent, probabilities in the parent) of the head words in each sample."""
         steps = range(BURN_IN + 1, BURN_IN + SAMPLES + 1)
-        rows = self.contexts(self.shown(), steps).orderBy("u").collect()  # SHOWN_CONTEXTS rows
-        return np.array([np.mean([m * self.new_word(k) for m, k in zip(r["ms"], steps, strict=True)]) / (STRENGTH + r["customers"]) for r in rows])
+        return np.stack([self.head_weight(k) for k in steps], 1), np.stack([self.head_dish(k) for k in steps], 1)
+
+    def _shown(self) -> np.ndarray:
+        """Places of the SHOWN_CONTEXTS most frequent contexts, by hash."""
+        return np.sort(np.argsort(-self.own.counts, kind="stable")[:SHOWN_CONTEXTS])
+
+    def unknown(self) -> np.ndarray:
+        """Averaged probability of the unknown word in each of the contexts shown."""
+        at, (m, _) = self._shown(), self.samples()
+        new = np.array([self.new_word(k) for k in range(BURN_IN + 1, BURN_IN + SAMPLES + 1)])
+        return (m[at] * new).mean(axis=1) / (self.strength + self.own.counts[at])
 
     def head(self) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-        """(least count of a head word, its words sorted, their counts, log10 probabilities by the contexts shown, these sorted)."""
-        steps = range(BURN_IN + 1, BURN_IN + SAMPLES + 1)
-        own = self.dishes(self.words, steps).where(F.col("known") >= self.least).orderBy("w").toArrow().combine_chunks()  # at most HEAD_WORDS rows
-        of = self.contexts(self.shown(), steps).orderBy("u").collect()
-        word, n = own.column("w").to_numpy(), own.column("known").to_numpy()
-        p0 = np.array(own.column("p0s").to_pylist()).reshape(len(word), SAMPLES)
-        weights = np.array([np.array(r["ms"]) / (STRENGTH + r["customers"]) / SAMPLES for r in of]).reshape(len(of), SAMPLES)
-        logs = np.log10(p0 @ weights.T)
-        keys = np.array([r["u"] for r in of], dtype=np.int64)
-        seen = self.pairs.where(F.col("u").isin(keys.tolist()) & (F.col("known") >= self.least)).select("u", "w", "log_p").toArrow()
-        logs[np.searchsorted(word, seen.column("w").to_numpy()), np.searchsorted(keys, seen.column("u").to_numpy())] = seen.column("log_p").to_numpy()
-        return self.least, word.astype(np.uint64), n, logs.astype(np.float32)
-
-    def frequent(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(keys sorted, counts of the words, log10 probabilities) of at most HEAD_PAIRS pairs, the most frequent."""
-        t = self.pairs.where(F.col("n") >= _least(self.pairs, HEAD_PAIRS)).select("u", "w", "known", "log_p").toArrow()
-        keys = pair_keys(t.column("u").to_numpy().astype(np.uint64), t.column("w").to_numpy().astype(np.uint64))
-        order = np.argsort(keys)
-        return keys[order], t.column("known").to_numpy()[order], t.column("log_p").to_numpy()[order].astype(np.float32)
+        """(least count of a head word, its words sorted, their counts, log10 probabilities by the contexts shown)."""
+        at, (m, p0) = self._shown(), self.samples()
+        words, places = self.own.keys, np.arange(len(at) * len(self.own.keys))
+        context, word = np.repeat(words[at], len(words)), np.tile(words, len(at))
+        key = pair_keys(context, word)
+        order = np.argsort(key)
+        asked = [(shard, 2, 0, bytearray(packed(context[order[a:b]], word[order[a:b]], order[a:b].astype(np.uint32)))) for shard, a, b in _dealt(key[order], self.shard_bits)]
+        numerator = np.zeros(len(places))
+        if asked:
+            requests = self.spark.createDataFrame(asked, "dest long, kind int, row_id long, blob binary")
+            found = staged(_answers(self.numerators().unionByName(requests), self.d), "shown", BLOB_BYTES).where("u is not null").select("row_id", "num").toArrow()
+            numerator[found.column("row_id").to_numpy()] = found.column("num").to_numpy()
+        backed = (m[at][:, None] * p0[None]).mean(axis=2)
+        logs = np.log10((numerator.reshape(len(at), -1) + backed) / (self.strength + self.own.counts[at])[:, None]).T
+        return self.least, words, self.own.counts, logs.astype(np.float32)
+
+
+def _side(column: pa.Array, head: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows of numbers of one side of pairs: those of head words by their places, others from the joined column; nulls become NaN."""
+    width = head.shape[1]
+    out = np.full((len(at), width), np.nan)
+    some = np.flatnonzero(np.asarray(column.is_valid()))
+    if len(some):
+        out[some] = column.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    near = np.flatnonzero(at >= 0)
+    out[near] = head[at[near]]
+    return out
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Per row: doc_id, n_tokens, n_known, train_tokens, base_score, score.
+ANSWER = {"row_id": pa.int64(), "n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "u": pa.int64(), "w": pa.int64(), "num": pa.float64()}
+
+
+def _answers(requests: DataFrame, d: float) -> DataFrame:
+    """Requests meet their shard's pairs.
 
-    Null text is empty: its one token is the end. Repeated rows are scored each
-    on its own. Without training tokens every token is unknown.
+    requests: dest, kind, row_id, blob, and ids if there are any of kind 4. Kind
+    2 (context, word, text of a token) gives (row_id, u, w, num); kind 3 (key,
+    backed-off mass and text of tokens of two head words) gives (row_id, score)
+    by text; kind 4 (texts' own sums and ids) passes through.
     """
+    with_ids = "ids" in requests.columns
+    id_type = requests.schema["ids"].dataType.elementType.simpleString() if with_ids else "long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, once, several, numerator, parts, id_kind = None, None, None, None, [], pa.int64()
+
+        def look_up(keys: np.ndarray) -> np.ndarray:
+            at = several(keys)
+            return np.where(at >= 0, numerator[at], np.where(once(keys) >= 0, 1 - d, 0.0))
+
+        for batch in batches:
+            if with_ids:
+                id_kind = batch.column("ids").type.value_type
+            for k, row in enumerate(rows_of([batch.select(["dest", "kind", "row_id", "blob"])])):
+                if row["dest"] != shard:
+                    shard, once, several, parts = row["dest"], Places(np.zeros(0, _U)), None, []
+                ids = None
+                if row["kind"] == 0:
+                    once = Places(unpacked(row["blob"], _U)[0])
+                    continue
+                if row["kind"] == 1:
+                    parts.append(unpacked(row["blob"], _U, np.float32))
+                    continue
+                if several is None and row["kind"] < 4:
+                    key, numerator = (np.concatenate(x) for x in zip(*(parts or [(np.zeros(0, _U), np.zeros(0, np.float32))]), strict=True))
+                    order = np.argsort(key)
+                    several, numerator, parts = Places(key[order]), np.append(numerator[order], 0).astype(np.float64), []
+                if row["kind"] == 2:
+                    u, w, doc = unpacked(row["blob"], _U, _U, np.uint32)
+                    values = {"row_id": row["row_id"] + doc.astype(np.int64), "u": u.view(np.int64), "w": w.view(np.int64), "num": look_up(pair_keys(u, w))}
+                elif row["kind"] == 3:
+                    key, mass, doc = unpacked(row["blob"], _U, np.float32, np.uint32)
+                    sums = np.bincount(doc, np.log10(look_up(key) + mass))
+                    own = np.flatnonzero(np.bincount(doc))
+                    values = {"row_id": row["row_id"] + own, "score": sums[own]}
+                else:
+                    doc, counts, known, base, total = unpacked(row["blob"], np.uint32, np.int64, np.int64, np.float64, np.float64)
+                    values = {"row_id": row["row_id"] + doc.astype(np.int64), "n_tokens": counts, "known": known, "base": base, "score": total}
+                    ids = batch.column("ids")[k].values
+                for start in range(0, len(values["row_id"]), 100_000):
+                    part = {c: pa.array(x[start : start + 100_000]) for c, x in values.items()}
+                    size = len(part["row_id"])
+                    own_ids = pa.nulls(size, id_kind) if ids is None else ids.slice(start, size)
+                    yield pa.RecordBatch.from_arrays([own_ids, *(part.get(c) if c in part else pa.nulls(size, kind) for c, kind in ANSWER.items())], names=["doc_id", *ANSWER])
+
+    schema = f"doc_id {id_type}, " + ", ".join(f"{c} {'long' if kind == pa.int64() else 'double'}" for c, kind in ANSWER.items())
+    return requests.repartition("dest").sortWithinPartitions("dest", "kind").mapInArrow(tidied(run), schema)
+
+
+def _asked(docs: DataFrame, model: Model) -> DataFrame:
+    """What the texts (row_id, doc_id, text) ask of the shards, and what is known of them at once, as _answers takes it."""
     spark = docs.sparkSession
     scale = float(model.tokens + 0.5 * (model.vocabulary + 1))
-    keys, counts, logs = model.frequent()
-    shared = spark.sparkContext.broadcast((keys, np.log10((counts + 0.5) / scale).astype(np.float64), logs))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    m, p0 = model.samples()
+    base = np.log10((model.own.counts + 0.5) / scale)
+    shared = spark.sparkContext.broadcast((m.astype(np.float32), p0.astype(np.float32), base, np.log10(model.strength + model.own.counts), *model.pairs))
+    keys, bits = model.keys, model.shard_bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, base, logs = shared.value
+        m, p0, base, denominator, pair, numerator = shared.value
+        words, pairs, numerator = Places(keys.value, 63), Places(pair), np.append(numerator, 0)
+        held: list[tuple] = []
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            first = int(held[0][0][0])
+            rows = []
+            sums = [np.concatenate(x) for x in zip(*[h[:5] for h in held], strict=True)]
+            shard = int(mix(np.array([first], dtype=np.uint64))[0] >> _U(64 - bits))
+            rows.append((shard, 4, first, packed((sums[0] - first).astype(np.uint32), *sums[1:])))
+            key, mass, text = (np.concatenate([h[5][k] for h in held]) for k in range(3))
+            order = np.argsort(key)
+            key, mass, text = key[order], mass[order], (text[order] - first).astype(np.uint32)
+            for shard, a, b in _dealt(key, bits):
+                by_text = a + np.argsort(text[a:b])
+                rows.append((shard, 3, first, packed(key[by_text], mass[by_text], text[by_text])))
+            u, w, text = (np.concatenate([h[6][k] for h in held]) for k in range(3))
+            key = pair_keys(u, w)
+            order = np.argsort(key)
+            u, w, text = u[order], w[order], (text[order] - first).astype(np.uint32)
+            for shard, a, b in _dealt(key[order], bits):
+                rows.append((shard, 2, first, packed(u[a:b], w[a:b], text[a:b])))
+            for k in range(0, len(rows), 16):
+                part = list(zip(*rows[k : k + 16], strict=True))
+                own = pa.concat_arrays([h[7] for h in held]) if not k else pa.nulls(0, held[0][7].type)  # the first row is that of kind 4
+                ids = pa.ListArray.from_arrays(pa.array([0, *[len(own)] * len(part[0])], pa.int32()), own, mask=pa.array([bool(k or i) for i in range(len(part[0]))]))
+                columns = [pa.array(part[0], pa.int64()), pa.array(part[1], pa.int32()), pa.array(part[2], pa.int64()), pa.array(part[3], pa.binary()), ids]
+                yield pa.RecordBatch.from_arrays(columns, names=["dest", "kind", "row_id", "blob", "ids"])
+
+        n_held = 0
         for batch in batches:
-            for start, end in slices(batch.column(1)):
-                part = batch.slice(start, end - start)
-                word, context, doc, counts = tokens(part.column(1))
+            ids = batch.column(0).to_numpy()
+            for start, end in slices(batch.column(2)):
+                word, context, doc, counts = tokens(batch.column(2).slice(start, end - start))
                 n = len(counts)
-                key = pair_keys(context, word)
-                at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
-                hit = known[at] == key if len(known) else np.zeros(len(key), dtype=bool)
-                own, of = at[hit], doc[hit]
-                bounds = np.zeros(n + 1, dtype=np.int32)
-                np.cumsum(np.bincount(doc[~hit], minlength=n), out=bounds[1:])
-                rare = pa.StructArray.from_arrays([pa.array(x[~hit].view(np.int64)) for x in (context, word)], names=["u", "w"])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array(counts.astype(np.int64)),
-                        pa.array(np.bincount(of, minlength=n).astype(np.int64)),
-                        pa.array(np.bincount(of, base[own] if len(base) else None, n).astype(np.float64)),
-                        pa.array(np.bincount(of, logs[own] if len(base) else None, n).astype(np.float64)),
-                        pa.ListArray.from_arrays(pa.array(bounds), rare),
-                    ],
-                    names=["doc_id", "n_tokens", "head_known", "head_base", "head_score", "rare"],
+                at = words(word)
+                before = np.empty_like(at)
+                before[1:] = at[:-1]
+                ends = words(np.array([END], dtype=np.uint64))[0]
+                before[np.cumsum(counts) - counts] = ends
+                known = at >= 0
+                near = known & (before >= 0)
+                rest = np.flatnonzero(~near)
+                near = np.flatnonzero(near)
+                key = pair_keys(context[near], word[near])
+                mass = np.einsum("ij,ij->i", m[before[near]], p0[at[near]]) / SAMPLES
+                hit = pairs(key)
+                found = hit >= 0
+                score = -np.bincount(doc[near], denominator[before[near]], n)
+                score += np.bincount(doc[near[found]], np.log10(numerator[hit[found]] + mass[found]), n)
+                left = ~found
+                held.append(
+                    (
+                        ids[start:end],
+                        counts.astype(np.int64),
+                        np.bincount(doc[known], minlength=n).astype(np.int64),
+                        np.bincount(doc[known], base[at[known]], n).astype(np.float64),
+                        score.astype(np.float64),
+                        (key[left], mass[left].astype(np.float32), ids[start + doc[near[left]]]),
+                        (context[rest], word[rest], ids[start + doc[rest]]),
+                        batch.column(1).slice(start, end - start),
+                    )
                 )
+                n_held += len(word)
+                if n_held > TOKENS_AT_ONCE:
+                    yield from sent()
+                    held.clear()
+                    n_held = 0
+        if held:
+            yield from sent()
 
-    rows = bounded_batches(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).mapInArrow(
-        tidied(run), f"doc_id {id_type}, n_tokens long, head_known long, head_base double, head_score double, rare array<struct<u: long, w: long>>"
-    )
-    rows = staged(rows.withColumn("row_id", F.monotonically_increasing_id()), "scored")
-    rare = rows.select("row_id", F.explode("rare").alias("pair")).select("row_id", "pair.*")
-    placed = staged(rare.join(model.pairs.select("u", "w", "known", "log_p"), ["u", "w"], "left").groupBy("row_id").agg(
-        F.count("known").alias("known"),
-        F.sum(F.log10((F.col("known") + F.lit(0.5)) / F.lit(scale))).alias("base"),
-        F.sum("log_p").alias("log_p"),
-        F.collect_list(F.when(F.col("known").isNull(), F.struct("u", "w"))).alias("unseen"),
-    ), "placed")
-    _released(spark)
-    unseen = model.sided(placed.select("row_id", F.explode("unseen").alias("pair")).select("row_id", "pair.*"), model.words, range(BURN_IN + 1, BURN_IN + SAMPLES + 1))
-    tail = unseen.groupBy("row_id").agg(
-        F.count("known").alias("more_known"),
-        F.sum(F.log10((F.coalesce("known", F.lit(0)) + F.lit(0.5)) / F.lit(scale))).alias("more_base"),
-        F.sum(F.log10(model.backed())).alias("more_log_p"),
-    )
-    whole = lambda head, *tails: sum((F.coalesce(F.col(t), F.lit(0)) for t in tails), F.col(head))
-    return rows.drop("rare").join(placed.drop("unseen"), "row_id", "left").join(tail, "row_id", "left").select(
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return bounded_batches(docs).mapInArrow(tidied(run), f"dest long, kind int, row_id long, blob binary, ids array<{id_type}>")
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """Per row: doc_id, n_tokens, n_known, train_tokens, base_score, score.
+
+    Null text is empty: its one token is the end. Rows are scored each on their
+    own, so repeated rows and null ids are given as often as they come. Without
+    training tokens every token is unknown. Other columns are not touched.
+    """
+    scale = float(model.tokens + 0.5 * (model.vocabulary + 1))
+    d, strength = model.d, model.strength
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    requests = _asked(rows, model).unionByName(model.numerators(), allowMissingColumns=True)
+    answers = staged(_answers(requests, d), "answers", BLOB_BYTES)
+    released(docs.sparkSession)
+    steps = range(BURN_IN + 1, BURN_IN + SAMPLES + 1)
+    new = [model.new_word(k) for k in steps]
+    sides = docs.sparkSession.sparkContext.broadcast((*model.samples(), model.own.counts))
+    keys = model.keys
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = Places(keys.value, 63)
+        m, p0, counts = sides.value
+        for batch in gathered(batches, 200_000):
+            u, w = (batch.column(c).to_numpy().astype(np.uint64) for c in ("u", "w"))
+            at_u, at_w = places(u), places(w)
+            weight, dish = _side(batch.column("ms"), m, at_u), _side(batch.column("p0s"), p0, at_w)
+            weight[np.isnan(weight[:, 0])] = strength
+            strange = np.isnan(dish[:, 0])
+            dish[strange] = new
+            customers = batch.column("customers").fill_null(0).to_numpy().astype(np.float64)
+            customers[at_u >= 0] = counts[at_u[at_u >= 0]]
+            known = batch.column("known").fill_null(0).to_numpy()
+            p = (batch.column("num").to_numpy() + (weight * dish).mean(axis=1)) / (strength + customers)
+            late = at_w < 0  # the head's own words are in the sums already
+            base = np.where(late, np.log10((known + 0.5) / scale), 0.0)
+            row, of = np.unique(batch.column("row_id").to_numpy(), return_inverse=True)
+            out = [np.bincount(of, late & (known > 0), len(row)).astype(np.int64), np.bincount(of, base, len(row)), np.bincount(of, np.log10(p), len(row))]
+            yield pa.RecordBatch.from_arrays([pa.array(row), *(pa.array(x) for x in out)], names=["row_id", "known", "base", "score"])
+
+    tail = model._sided(answers.where("u is not null").select("row_id", "u", "w", "num"), steps)
+    tail = tail.select("row_id", "u", "w", "num", "customers", "ms", "known", "p0s").mapInArrow(tidied(finish), "row_id long, known long, base double, score double")
+    sums = answers.where("u is null").select("row_id", "doc_id", "n_tokens", "known", "base", "score").unionByName(tail, allowMissingColumns=True)
+    total = sums.groupBy("row_id").agg(F.max("doc_id").alias("doc_id"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_tokens", "known", "base", "score")])  # one row has the id
+    return total.select(
         "doc_id",
         "n_tokens",
-        whole("head_known", "known", "more_known").cast("long").alias("n_known"),
+        F.col("known").alias("n_known"),
         F.lit(int(model.tokens)).cast("long").alias("train_tokens"),
-        whole("head_base", "base", "more_base").alias("base_score"),
-        whole("head_score", "log_p", "more_log_p").alias("score"),
+        F.col("base").cast("double").alias("base_score"),
+        F.col("score").cast("double").alias("score"),
     )
 
 
