@@ -7,6 +7,7 @@ import ctypes
 import ctypes.util
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -90,6 +91,7 @@ def released(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of what is written by now."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)  # the cleaner works beside
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:

@@ -47,14 +47,14 @@ HEAD_WORDS = 1 << 20
 HEAD_PAIRS = 1 << 20
 #: Contexts whose whole distributions head() gives.
 SHOWN_CONTEXTS = 32
-#: Tokens that a task counts or asks for at once.
-TOKENS_AT_ONCE = 4_000_000
+#: Tokens that a task counts at once, and that it asks for at once.
+TOKENS_AT_ONCE, ASKED_AT_ONCE = 4_000_000, 1_500_000
 #: Characters of training text for each shard of pairs.
 SHARD_CHARS = 16_000_000
 #: Ranges of head words in which sums are added up.
 RANGES = 64
 #: Bytes of an Arrow batch of packed rows.
-BLOB_BYTES = 32 << 20
+BLOB_BYTES = 8 << 20
 BURN_IN, SAMPLES = 2, 3
 EXACT = 64
 GROWTH = 0.05
@@ -106,7 +106,7 @@ def _dealt(keys: np.ndarray, shard_bits: int) -> list[tuple[int, int, int]]:
 
 
 def _counted(docs: DataFrame, shard_bits: int) -> DataFrame:
-    """Per shard of pairs: once (sorted keys of pairs seen once), several (context, word, count), words (key and five sums)."""
+    """Per shard of pairs: once (steps between the sorted keys of pairs seen once), several (context, word, count), words (key and five sums)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -152,7 +152,7 @@ def _counted(docs: DataFrame, shard_bits: int) -> DataFrame:
                 of[order] = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(both))))
                 sums = [np.bincount(of[: len(w)], x, len(begins)).astype(np.int64) for x in (n, None, ~more)] + [np.bincount(of[len(w) :], x, len(begins)).astype(np.int64) for x in (None, ~more)]
                 kw_order = [sums[0], sums[1], sums[3], sums[2], sums[4]]
-                row = [[table.column("shard")[start].as_py()], [packed(keys[~more])], [packed(u[more], w[more], n[more])], [packed(both[order[begins]], *kw_order)]]
+                row = [[table.column("shard")[start].as_py()], [packed(np.diff(keys[~more], prepend=_U(0)))], [packed(u[more], w[more], n[more])], [packed(both[order[begins]], *kw_order)]]
                 yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *(pa.array(x, pa.binary()) for x in row[1:])], names=["shard", "once", "several", "words"])
 
     parts = bounded_batches(docs.select("text")).mapInArrow(tidied(count), "shard long, blob binary")
@@ -336,13 +336,14 @@ class Model:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([row["shard"]], pa.int64()),
+                        pa.array([row["once"]], pa.binary()),
                         pa.array([blob], pa.binary()),
                         pa.array([packed(u[~near], w[~near], n[~near])], pa.binary()),
                         pa.array([int((~near).sum())], pa.int64()),
                         pa.array([packed(levels, times)], pa.binary()),
                         pa.array([int((n == 2).sum())], pa.int64()),
                     ],
-                    names=["shard", "near", "far", "n_far", "levels", "twice"],
+                    names=["shard", "once", "near", "far", "n_far", "levels", "twice"],
                 )
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,9 +356,10 @@ class Model:
             for row in rows_of(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in unpacked(row["levels"], np.int64, np.int64)], names=["level", "times"])
 
-        split = staged(self.counted.select("shard", "several").mapInArrow(tidied(run), "shard long, near binary, far binary, n_far long, levels binary, twice long"), "split", BLOB_BYTES)
-        self.near = split.select("shard", F.col("near").alias("blob"))
-        self.near_staged = split
+        split = staged(self.counted.select("shard", "once", "several").mapInArrow(tidied(run), "shard long, once binary, near binary, far binary, n_far long, levels binary, twice long"), "split", BLOB_BYTES)
+        discard(self.counted)
+        self.once, self.near = split.select("shard", "once"), split.select("shard", F.col("near").alias("blob"))
+        self.near_staged = None
         levels = split.select("levels").mapInArrow(histogram, "level long, times long").groupBy("level").agg(F.sum("times").alias("times"))
         self.least_pair = _least({r["level"]: r["times"] for r in levels.collect()}, HEAD_PAIRS)  # 16 rows for each power of two
         r = split.agg(F.sum("twice").alias("twice"), F.sum("n_far").alias("n_far")).first()
@@ -440,7 +442,8 @@ class Model:
         p = self.own.once_w + (np.concatenate([sums[i][1] for i in range(RANGES)]) if sums else 0)
         discard(added)
         if sampled:
-            discard(self.near_staged)
+            if self.near_staged is not None:
+                discard(self.near_staged)
             self.near, self.near_staged = swept.where("part < 0").select("shard", "blob"), swept
         else:
             discard(swept)
@@ -495,10 +498,10 @@ class Model:
         return staged(sums, "far_sums")
 
     def numerators(self) -> DataFrame:
-        """(dest, kind, row_id, blob) by shard: sorted keys of pairs seen once (kind 0); keys and customers less discounted tables, averaged, of others (kind 1)."""
+        """(dest, kind, row_id, blob) by shard: steps between the sorted keys of pairs seen once (kind 0); keys and customers less discounted tables, averaged, of others (kind 1)."""
         d, keys = self.d, self.keys
         zero = F.lit(None).cast("long").alias("row_id")
-        once = self.counted.select(F.col("shard").alias("dest"), F.lit(0).alias("kind"), zero, F.col("once").alias("blob"))
+        once = self.once.select(F.col("shard").alias("dest"), F.lit(0).alias("kind"), zero, F.col("once").alias("blob"))
         bits = self.shard_bits
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -581,6 +584,15 @@ class Model:
         return self.least, words, self.own.counts, logs.astype(np.float32)
 
 
+def _short(x: np.ndarray) -> np.ndarray:
+    """Positive numbers to 16 binary digits, as whole numbers of three bytes."""
+    return (x.astype(np.float32).view(np.uint32) + np.uint32(128)) >> np.uint32(8)
+
+
+def _long(x: np.ndarray) -> np.ndarray:
+    return (x << np.uint32(8)).view(np.float32)
+
+
 def _side(column: pa.Array, head: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Rows of numbers of one side of pairs: those of head words by their places, others from the joined column; nulls become NaN."""
     width = head.shape[1]
@@ -622,7 +634,7 @@ def _answers(requests: DataFrame, d: float) -> DataFrame:
                     shard, once, several, parts = row["dest"], Places(np.zeros(0, _U)), None, []
                 ids = None
                 if row["kind"] == 0:
-                    once = Places(unpacked(row["blob"], _U)[0])
+                    once = Places(np.cumsum(unpacked(row["blob"], _U)[0], dtype=_U))
                     continue
                 if row["kind"] == 1:
                     parts.append(unpacked(row["blob"], _U, np.float32))
@@ -635,8 +647,8 @@ def _answers(requests: DataFrame, d: float) -> DataFrame:
                     u, w, doc = unpacked(row["blob"], _U, _U, np.uint32)
                     values = {"row_id": row["row_id"] + doc.astype(np.int64), "u": u.view(np.int64), "w": w.view(np.int64), "num": look_up(pair_keys(u, w))}
                 elif row["kind"] == 3:
-                    key, mass, doc = unpacked(row["blob"], _U, np.float32, np.uint32)
-                    sums = np.bincount(doc, np.log10(look_up(key) + mass))
+                    key, mass, doc = unpacked(row["blob"], _U, np.uint32, np.uint32)
+                    sums = np.bincount(doc, np.log10(look_up(key) + _long(mass)))
                     own = np.flatnonzero(np.bincount(doc))
                     values = {"row_id": row["row_id"] + own, "score": sums[own]}
                 else:
@@ -721,13 +733,13 @@ def _asked(docs: DataFrame, model: Model) -> DataFrame:
                         np.bincount(doc[known], minlength=n).astype(np.int64),
                         np.bincount(doc[known], base[at[known]], n).astype(np.float64),
                         score.astype(np.float64),
-                        (key[left], mass[left].astype(np.float32), ids[start + doc[near[left]]]),
+                        (key[left], _short(mass[left]), ids[start + doc[near[left]]]),
                         (context[rest], word[rest], ids[start + doc[rest]]),
                         batch.column(1).slice(start, end - start),
                     )
                 )
                 n_held += len(word)
-                if n_held > TOKENS_AT_ONCE:
+                if n_held > ASKED_AT_ONCE:
                     yield from sent()
                     held.clear()
                     n_held = 0
