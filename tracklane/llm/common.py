@@ -88,10 +88,11 @@ def discard(*tables: DataFrame) -> None:
 
 
 def released(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of what is written by now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.3)  # the cleaner works beside
+    """Lets Spark drop the shuffle files of what is written by now: what the first collection frees holds them until the second."""
+    for seconds in (0.1, 0.3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(seconds)  # the cleaner works beside
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
