@@ -42,7 +42,7 @@ class Places:
         self.keys = np.append(keys, np.uint64(0))
         wide = min(bits, max(1, self.n.bit_length() + 1))
         self.shift = np.uint64(bits - wide)
-        self.first = np.zeros((1 << wide) + 1, dtype=np.int64)
+        self.first = np.zeros((1 << wide) + 1, dtype=np.int32)
         np.cumsum(np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << wide), out=self.first[1:])
 
     def __call__(self, values: np.ndarray) -> np.ndarray:

@@ -292,21 +292,23 @@ class Model:
         self.own = Head(columns[0][order].astype(np.uint64), *(c[order] for c in columns[1:]))
         self.keys = spark.sparkContext.broadcast(self.own.keys)
         # before the first sweep each pair has one table, and each word one in the parent
-        tail = words.where(F.col("n") < self.least).select("key", "n", "sw", "su", F.array("ku").alias("t"), F.array("kw").alias("p"), F.array(F.lit(1).cast("long")).alias("t0"))
-        self.tail = staged(tail, "tail")
-        discard(words)
+        self.fresh: list[float] = []
         self._split()
+        self._part(words.where(F.col("n") < self.least))
+        discard(words)
         twice = self.twice
         self.d, self.d0 = _discount(size["once"] or 0, twice), _discount(size["n1"], size["n2"])
         self.strength, self.base_strength = STRENGTH, BASE_STRENGTH
         self.totals: list[tuple[int, int]] = []  # before the first sweep and after each: tables of all contexts, and of the parent
-        self._totalled()
+        self._totalled(self.n_idle)
         for k in range(BURN_IN + SAMPLES):
             self._sweep(k)
             if k < BURN_IN:
                 self._draw_strengths(k)
+                self.own.t[k] = self.own.p[k] = self.own.t0[k] = None  # not needed any more
             released(spark)
         self._frequent()
+        self._finish_tail()
 
     def _words(self) -> DataFrame:
         """(key, n, kw, ku, sw, su) of each word: its count, its contexts and its followers, and those of them seen once with it."""
@@ -366,12 +368,65 @@ class Model:
         self.twice, n_far = r["twice"] or 0, r["n_far"] or 0
         self.far = staged(split.select("far").where("n_far > 0").mapInArrow(tidied(rows), "u long, w long, n long"), "far", BLOB_BYTES) if n_far else None
 
-    def _totalled(self) -> None:
-        r = self.tail.agg(F.sum(F.element_at("p", -1)), F.sum(F.element_at("t0", -1))).first()
-        self.totals.append((int(self.own.p[-1].sum()) + (r[0] or 0), int(self.own.t0[-1].sum()) + (r[1] or 0)))
+    def _part(self, tail: DataFrame) -> None:
+        """The words outside the head: busy ones have far pairs, and their tables change; idle ones have one table for each pair, so only the parent seats them."""
+        start = [F.col("key"), "n", "sw", "su", F.array("ku").alias("t"), F.array("kw").alias("p"), F.array(F.lit(1).cast("long")).alias("t0")]
+        self.busy, idle = None, tail
+        if self.far is not None:
+            keys = self.far.select(F.explode(F.array("u", "w")).alias("key")).distinct()
+            self.busy = staged(tail.join(keys, "key", "left_semi").select(*start), "busy")
+            idle = tail.join(keys, "key", "left_anti")
+        self.idle = staged(idle.select("key", "n", F.col("su").alias("t"), F.col("sw").alias("p")), "idle")
+        r = self.idle.agg(F.count(F.lit(1)), F.sum("p"), F.count_if(F.col("p") == 1)).first()
+        self.n_idle, self.idle_p, self.idle_once = r[0], r[1] or 0, r[2]
+
+    def _totalled(self, idle_t0: int) -> None:
+        r = self.busy.agg(F.sum(F.element_at("p", -1)), F.sum(F.element_at("t0", -1))).first() if self.busy is not None else (0, 0)
+        self.totals.append((int(self.own.p[-1].sum()) + self.idle_p + (r[0] or 0), int(self.own.t0[-1].sum()) + idle_t0 + (r[1] or 0)))
+
+    def _idle_t0(self, k: int) -> int:
+        """Tables in the parent, after sweep k, of the idle words; those with one customer have one."""
+        fresh, d0 = self.fresh[k], self.d0
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = 0
+            for batch in gathered(batches, 200_000):
+                key, p = (batch.column(c).to_numpy() for c in ("key", "p"))
+                total += int(seat(p, np.full(len(p), fresh), d0, key.astype(np.uint64), np.full(len(p), 99), k).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([total])], names=["t0"])
+
+        several = self.n_idle - self.idle_once
+        more = self.idle.where("p > 1").select("key", "p").mapInArrow(run, "t0 long").agg(F.sum("t0")).first()[0] if several else 0
+        return self.idle_once + (more or 0)
+
+    def _finish_tail(self) -> None:
+        """tail (key, n, ms, p0s): of all words outside the head, the weights and probabilities of the parent in each sample."""
+        d, d0, strength, base, h = self.d, self.d0, self.strength, self.base_strength, self.h
+        steps = range(BURN_IN + 1, BURN_IN + SAMPLES + 1)
+        fresh, totals, new = self.fresh, self.totals, [self.new_word(k) for k in range(len(self.totals))]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in gathered(batches, 100_000):
+                key, n, t, p = (batch.column(c).to_numpy() for c in ("key", "n", "t", "p"))
+                ms = np.repeat((strength + d * t)[:, None], SAMPLES, axis=1)
+                p0s = np.empty((len(p), SAMPLES))
+                for s, k in enumerate(steps):
+                    t0 = seat(p, np.full(len(p), fresh[k - 1]), d0, key.astype(np.uint64), np.full(len(p), 99), k - 1)
+                    p0s[:, s] = np.maximum(p - d0 * t0, 0) / (base + totals[k][0]) + new[k]
+                lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), SAMPLES).cast(pa.list_(pa.float64())) for x in (ms, p0s)]
+                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), *lists], names=["key", "n", "ms", "p0s"])
+
+        idle = self.idle.mapInArrow(run, "key long, n long, ms array<double>, p0s array<double>")
+        if self.busy is not None:
+            sides = self.contexts(steps).withColumnRenamed("u", "key").withColumnRenamed("customers", "n").join(self.dishes(steps).select(F.col("w").alias("key"), "p0s"), "key")
+            idle = idle.unionByName(sides.select("key", "n", "ms", "p0s"))
+        self.tail = staged(idle, "tail")
 
     def _draw_strengths(self, k: int) -> None:
-        counts = {c: {r[0]: r["count"] for r in self.tail.groupBy(value.alias("v")).count().collect()} for c, value in (("n", F.col("n")), ("t", F.element_at("t", -1)))}  # below the head's counts
+        both = self.idle.select("n", "t")
+        if self.busy is not None:
+            both = both.unionByName(self.busy.select("n", F.element_at("t", -1).alias("t")))
+        counts = {c: {r[c]: r["count"] for r in both.groupBy(c).count().collect()} for c in ("n", "t")}  # values are below the head's counts
         u, v = (float(uniform(k, x)[0]) for x in (101, 102))
         if self.tokens:
             self.strength = drawn_strength(_histogram(self.own.t[-1], counts["t"]), _histogram(self.own.counts, counts["n"]), self.d, u)
@@ -392,22 +447,23 @@ class Model:
         """Each head word's probability in the parent after k sweeps."""
         return np.maximum(self.own.p[k] - self.d0 * self.own.t0[k], 0) / (self.base_strength + self.totals[k][0]) + self.new_word(k)
 
-    def tail_contexts(self, steps: range) -> DataFrame:
-        """(u, customers, ms) of the other words, as head_weight."""
-        return self.tail.select(F.col("key").alias("u"), F.col("n").alias("customers"), F.array(*[F.lit(self.strength) + F.lit(self.d) * F.get("t", F.lit(k)) for k in steps]).alias("ms"))
+    def contexts(self, steps: range) -> DataFrame:
+        """(u, customers, ms) of the busy words outside the head, as head_weight."""
+        return self.busy.select(F.col("key").alias("u"), F.col("n").alias("customers"), F.array(*[F.lit(self.strength) + F.lit(self.d) * F.get("t", F.lit(k)) for k in steps]).alias("ms"))
 
-    def tail_dishes(self, steps: range) -> DataFrame:
-        """(w, known, p0s) of the other words, as head_dish."""
+    def dishes(self, steps: range) -> DataFrame:
+        """(w, known, p0s) of the busy words outside the head, as head_dish."""
 
         def p0(k: int) -> Column:
             return F.greatest(F.get("p", F.lit(k)) - self.d0 * F.get("t0", F.lit(k)), F.lit(0.0)) / (self.base_strength + self.totals[k][0]) + self.new_word(k)
 
-        return self.tail.select(F.col("key").alias("w"), F.col("n").alias("known"), F.array(*[p0(k) for k in steps]).alias("p0s"))
+        return self.busy.select(F.col("key").alias("w"), F.col("n").alias("known"), F.array(*[p0(k) for k in steps]).alias("p0s"))
 
     def _sweep(self, k: int) -> None:
         """Seats all customers again: of the pairs of head words, of other pairs, and of the parent."""
         d, d0, size = self.d, self.d0, len(self.own.keys)
         fresh = (self.base_strength + d0 * self.totals[k][1]) * self.h
+        self.fresh.append(fresh)
         shared, keys = self.spark.sparkContext.broadcast((self.head_weight(k), self.head_dish(k))), self.keys
         cuts = np.linspace(0, size, RANGES + 1).astype(np.int64)
         sampled = k >= BURN_IN
@@ -463,19 +519,20 @@ class Model:
                 t0 = seat(p, np.full(len(p), fresh), d0, key.astype(np.uint64), np.full(len(p), 99), k)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(t0.astype(np.int64))], names=[*batch.schema.names, "last_t0"])
 
-        tail = self.tail.withColumn("as_u", F.lit(0)).withColumn("as_w", F.lit(0)) if seated is None else self.tail.join(seated.where("not head").drop("head"), "key", "left")
-        more = lambda base, c: F.col(base) + F.coalesce(F.col(c), F.lit(0)).cast("long")
-        joined = tail.select("key", "n", "sw", "su", "t", "p", "t0", more("su", "as_u").alias("last_t"), more("sw", "as_w").alias("last_p"))
-        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema.fields)
-        with_parent = joined.mapInArrow(parent, f"{kinds}, last_t0 long")
-        out = staged(with_parent.select("key", "n", "sw", "su", *[F.concat(c, F.array(f"last_{c}")).alias(c) for c in ("t", "p", "t0")]), "tail")
-        discard(self.tail, *([seated] if seated is not None else []))
-        self.tail = out
-        self._totalled()
+        if seated is not None:
+            more = lambda base, c: F.col(base) + F.coalesce(F.col(c), F.lit(0)).cast("long")
+            joined = self.busy.join(seated.where("not head").drop("head"), "key", "left").select("key", "n", "sw", "su", "t", "p", "t0", more("su", "as_u").alias("last_t"), more("sw", "as_w").alias("last_p"))
+            kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema.fields)
+            with_parent = joined.mapInArrow(parent, f"{kinds}, last_t0 long")
+            out = staged(with_parent.select("key", "n", "sw", "su", *[F.concat(c, F.array(f"last_{c}")).alias(c) for c in ("t", "p", "t0")]), "busy")
+            discard(self.busy, seated)
+            self.busy = out
+        self._totalled(self._idle_t0(k))
+        shared.unpersist()
 
     def _sided(self, rows: DataFrame, steps: range) -> DataFrame:
-        """rows (u, w, ..) with what the words outside the head bring; nulls where a word is in the head, or unknown."""
-        return rows.join(self.tail_contexts(steps), "u", "left").join(self.tail_dishes(steps), "w", "left")
+        """rows (u, w, ..) of far pairs with what the words outside the head bring; nulls where a word is in the head."""
+        return rows.join(self.contexts(steps), "u", "left").join(self.dishes(steps), "w", "left")
 
     def _seated_far(self, k: int, shared) -> DataFrame:
         """(key, head, as_u, as_w): tables of the far pairs by word, each as context and as dish."""
@@ -509,7 +566,7 @@ class Model:
             for row in rows_of(batches):
                 u, w, n, total = unpacked(row["blob"], np.int32, np.int32, np.int64, np.float32)
                 key = pair_keys(word[u], word[w])
-                yield pa.RecordBatch.from_arrays([pa.array([row["dest"]], pa.int64()), pa.array([packed(key, (n - d * total / SAMPLES).astype(np.float32))], pa.binary())], names=["dest", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["dest"]], pa.int64()), pa.array([packed(key, _short(n - d * total / SAMPLES))], pa.binary())], names=["dest", "blob"])
 
         out = once.unionByName(self.near.withColumnRenamed("shard", "dest").mapInArrow(tidied(near), "dest long, blob binary").select("dest", F.lit(1).alias("kind"), zero, "blob"))
         if self.far is None:
@@ -527,7 +584,7 @@ class Model:
                 total = sum(seat(n, mass[:, s], d, w, u, BURN_IN + s) for s in range(SAMPLES))
                 key = pair_keys(u, w)
                 order = np.argsort(key)
-                key, numerator = key[order], (n - d * total / SAMPLES)[order].astype(np.float32)
+                key, numerator = key[order], _short((n - d * total / SAMPLES)[order])
                 rows = [(shard, packed(key[a:b], numerator[a:b])) for shard, a, b in _dealt(key, bits)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["dest", "blob"])
 
@@ -573,7 +630,7 @@ class Model:
         context, word = np.repeat(words[at], len(words)), np.tile(words, len(at))
         key = pair_keys(context, word)
         order = np.argsort(key)
-        asked = [(shard, 2, 0, bytearray(packed(context[order[a:b]], word[order[a:b]], order[a:b].astype(np.uint32)))) for shard, a, b in _dealt(key[order], self.shard_bits)]
+        asked = [(shard, 2, 0, bytearray(packed(context[order[a:b]], word[order[a:b]], order[a:b].astype(np.uint32), np.zeros(b - a, np.uint8)))) for shard, a, b in _dealt(key[order], self.shard_bits)]
         numerator = np.zeros(len(places))
         if asked:
             requests = self.spark.createDataFrame(asked, "dest long, kind int, row_id long, blob binary")
@@ -605,14 +662,17 @@ def _side(column: pa.Array, head: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-ANSWER = {"row_id": pa.int64(), "n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "u": pa.int64(), "w": pa.int64(), "num": pa.float64()}
+ANSWER = {"row_id": pa.int64(), "n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "u": pa.int64(), "w": pa.int64(), "num": pa.float32(), "side": pa.int32()}
+
+
+_SQL = {pa.int32(): "int", pa.int64(): "long", pa.float64(): "double", pa.float32(): "float"}
 
 
 def _answers(requests: DataFrame, d: float) -> DataFrame:
     """Requests meet their shard's pairs.
 
     requests: dest, kind, row_id, blob, and ids if there are any of kind 4. Kind
-    2 (context, word, text of a token) gives (row_id, u, w, num); kind 3 (key,
+    2 (context, word, text of a token) gives (row_id, u, w, num, side: 1 if only the word, 2 if only the context is outside the head, 3 if both); kind 3 (key,
     backed-off mass and text of tokens of two head words) gives (row_id, score)
     by text; kind 4 (texts' own sums and ids) passes through.
     """
@@ -620,32 +680,36 @@ def _answers(requests: DataFrame, d: float) -> DataFrame:
     id_type = requests.schema["ids"].dataType.elementType.simpleString() if with_ids else "long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, once, several, numerator, parts, id_kind = None, None, None, None, [], pa.int64()
+        shard, pairs, numerator, parts, id_kind = None, None, None, [], pa.int64()
 
         def look_up(keys: np.ndarray) -> np.ndarray:
-            at = several(keys)
-            return np.where(at >= 0, numerator[at], np.where(once(keys) >= 0, 1 - d, 0.0))
+            order = np.argsort(keys)  # neighbours in the table follow one another
+            out = np.empty(len(keys))
+            out[order] = numerator[pairs(keys[order])]
+            return out
 
         for batch in batches:
             if with_ids:
                 id_kind = batch.column("ids").type.value_type
             for k, row in enumerate(rows_of([batch.select(["dest", "kind", "row_id", "blob"])])):
                 if row["dest"] != shard:
-                    shard, once, several, parts = row["dest"], Places(np.zeros(0, _U)), None, []
+                    shard, pairs, parts = row["dest"], None, [(np.zeros(0, _U), np.zeros(0))]
                 ids = None
                 if row["kind"] == 0:
-                    once = Places(np.cumsum(unpacked(row["blob"], _U)[0], dtype=_U))
+                    keys = np.cumsum(unpacked(row["blob"], _U)[0], dtype=_U)
+                    parts.append((keys, np.full(len(keys), 1 - d)))
                     continue
                 if row["kind"] == 1:
-                    parts.append(unpacked(row["blob"], _U, np.float32))
+                    keys, value = unpacked(row["blob"], _U, np.uint32)
+                    parts.append((keys, _long(value)))
                     continue
-                if several is None and row["kind"] < 4:
-                    key, numerator = (np.concatenate(x) for x in zip(*(parts or [(np.zeros(0, _U), np.zeros(0, np.float32))]), strict=True))
-                    order = np.argsort(key)
-                    several, numerator, parts = Places(key[order]), np.append(numerator[order], 0).astype(np.float64), []
+                if pairs is None and row["kind"] < 4:
+                    keys, numerator = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    order, parts = np.argsort(keys), []
+                    pairs, numerator = Places(keys[order]), np.append(numerator[order], 0.0)  # the last for those not found
                 if row["kind"] == 2:
-                    u, w, doc = unpacked(row["blob"], _U, _U, np.uint32)
-                    values = {"row_id": row["row_id"] + doc.astype(np.int64), "u": u.view(np.int64), "w": w.view(np.int64), "num": look_up(pair_keys(u, w))}
+                    u, w, doc, side = unpacked(row["blob"], _U, _U, np.uint32, np.uint8)
+                    values = {"row_id": row["row_id"] + doc.astype(np.int64), "u": u.view(np.int64), "w": w.view(np.int64), "num": look_up(pair_keys(u, w)).astype(np.float32), "side": side.astype(np.int32)}
                 elif row["kind"] == 3:
                     key, mass, doc = unpacked(row["blob"], _U, np.uint32, np.uint32)
                     sums = np.bincount(doc, np.log10(look_up(key) + _long(mass)))
@@ -661,7 +725,7 @@ def _answers(requests: DataFrame, d: float) -> DataFrame:
                     own_ids = pa.nulls(size, id_kind) if ids is None else ids.slice(start, size)
                     yield pa.RecordBatch.from_arrays([own_ids, *(part.get(c) if c in part else pa.nulls(size, kind) for c, kind in ANSWER.items())], names=["doc_id", *ANSWER])
 
-    schema = f"doc_id {id_type}, " + ", ".join(f"{c} {'long' if kind == pa.int64() else 'double'}" for c, kind in ANSWER.items())
+    schema = f"doc_id {id_type}, " + ", ".join(f"{c} {_SQL[kind]}" for c, kind in ANSWER.items())
     return requests.repartition("dest").sortWithinPartitions("dest", "kind").mapInArrow(tidied(run), schema)
 
 
@@ -670,8 +734,8 @@ def _asked(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     scale = float(model.tokens + 0.5 * (model.vocabulary + 1))
     m, p0 = model.samples()
-    base = np.log10((model.own.counts + 0.5) / scale)
-    shared = spark.sparkContext.broadcast((m.astype(np.float32), p0.astype(np.float32), base, np.log10(model.strength + model.own.counts), *model.pairs))
+    base, denominator = np.log10((model.own.counts + 0.5) / scale), np.log10(model.strength + model.own.counts)
+    shared = spark.sparkContext.broadcast((m.astype(np.float32), p0.astype(np.float32), base, denominator.astype(np.float32), *model.pairs))
     keys, bits = model.keys, model.shard_bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -691,12 +755,13 @@ def _asked(docs: DataFrame, model: Model) -> DataFrame:
             for shard, a, b in _dealt(key, bits):
                 by_text = a + np.argsort(text[a:b])
                 rows.append((shard, 3, first, packed(key[by_text], mass[by_text], text[by_text])))
-            u, w, text = (np.concatenate([h[6][k] for h in held]) for k in range(3))
+            u, w, text, side = (np.concatenate([h[6][k] for h in held]) for k in range(4))
             key = pair_keys(u, w)
             order = np.argsort(key)
-            u, w, text = u[order], w[order], (text[order] - first).astype(np.uint32)
+            u, w, text, side = u[order], w[order], (text[order] - first).astype(np.uint32), side[order]
             for shard, a, b in _dealt(key[order], bits):
-                rows.append((shard, 2, first, packed(u[a:b], w[a:b], text[a:b])))
+                by_text = a + np.argsort(text[a:b])
+                rows.append((shard, 2, first, packed(u[by_text], w[by_text], text[by_text], side[by_text])))
             for k in range(0, len(rows), 16):
                 part = list(zip(*rows[k : k + 16], strict=True))
                 own = pa.concat_arrays([h[7] for h in held]) if not k else pa.nulls(0, held[0][7].type)  # the first row is that of kind 4
@@ -734,7 +799,7 @@ def _asked(docs: DataFrame, model: Model) -> DataFrame:
                         np.bincount(doc[known], base[at[known]], n).astype(np.float64),
                         score.astype(np.float64),
                         (key[left], _short(mass[left]), ids[start + doc[near[left]]]),
-                        (context[rest], word[rest], ids[start + doc[rest]]),
+                        (context[rest], word[rest], ids[start + doc[rest]], ((at[rest] < 0) + 2 * (before[rest] < 0)).astype(np.uint8)),
                         batch.column(1).slice(start, end - start),
                     )
                 )
@@ -788,8 +853,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             out = [np.bincount(of, late & (known > 0), len(row)).astype(np.int64), np.bincount(of, base, len(row)), np.bincount(of, np.log10(p), len(row))]
             yield pa.RecordBatch.from_arrays([pa.array(row), *(pa.array(x) for x in out)], names=["row_id", "known", "base", "score"])
 
-    tail = model._sided(answers.where("u is not null").select("row_id", "u", "w", "num"), steps)
-    tail = tail.select("row_id", "u", "w", "num", "customers", "ms", "known", "p0s").mapInArrow(tidied(finish), "row_id long, known long, base double, score double")
+    # one word of a token is looked up by the first join; the contexts of those whose words are both outside the head by the second
+    rest = answers.where("u is not null").select("row_id", "u", "w", "num", "side", F.when(F.col("side") == 2, F.col("u")).otherwise(F.col("w")).alias("key"))
+    first = rest.join(model.tail, "key", "left").drop("key")
+    as_word, as_context = F.col("side") != 2, F.col("side") == 2
+    plain = ["row_id", "u", "w", "num"]
+    pick = lambda at, c, name: F.when(at, F.col(c)).alias(name)
+    one = first.where("side < 3").select(*plain, pick(as_context, "n", "customers"), pick(as_context, "ms", "ms"), pick(as_word, "n", "known"), pick(as_word, "p0s", "p0s"))
+    two = first.where("side = 3").select(*plain, F.col("n").alias("known"), "p0s").join(model.tail.select(F.col("key").alias("u"), F.col("n").alias("customers"), "ms"), "u", "left")
+    tail = one.unionByName(two.select(one.columns)).mapInArrow(tidied(finish), "row_id long, known long, base double, score double")
     sums = answers.where("u is null").select("row_id", "doc_id", "n_tokens", "known", "base", "score").unionByName(tail, allowMissingColumns=True)
     total = sums.groupBy("row_id").agg(F.max("doc_id").alias("doc_id"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_tokens", "known", "base", "score")])  # one row has the id
     return total.select(
