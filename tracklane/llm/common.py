@@ -89,6 +89,7 @@ def discard(*tables: DataFrame) -> None:
 
 def released(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of what is written by now: what the first collection frees holds them until the second."""
+    return_memory()
     for seconds in (0.1, 0.3):
         gc.collect()
         spark.sparkContext._jvm.System.gc()

@@ -279,17 +279,14 @@ class Model:
         self.shard_bits = max(4, math.ceil(math.log2(chars / SHARD_CHARS + 1)))
         self.counted = staged(_counted(docs, self.shard_bits), "counted", BLOB_BYTES)
         released(spark)
-        words = staged(self._words(), "words")
+        words = staged(self._words(), "words", BLOB_BYTES)
         released(spark)
         size = words.agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"), F.sum("ku").alias("pairs"), F.sum("su").alias("once")).first()
         self.vocabulary, self.tokens = size["v"], size["n"] or 0
         self.h = 1.0 / (self.vocabulary + 1)
         level = F.floor(F.log2("n") * 16).cast("long")
         self.least = _least({r["level"]: r["count"] for r in words.groupBy(level.alias("level")).count().collect()}, HEAD_WORDS)  # 16 rows for each power of two
-        first = words.where(F.col("n") >= self.least).select("key", "n", "su", "sw", "ku", "kw").toArrow()  # at most HEAD_WORDS rows
-        columns = [c.to_numpy() for c in first.columns]
-        order = np.argsort(columns[0])
-        self.own = Head(columns[0][order].astype(np.uint64), *(c[order] for c in columns[1:]))
+        self.own = self._head(words)
         self.keys = spark.sparkContext.broadcast(self.own.keys)
         # before the first sweep each pair has one table, and each word one in the parent
         self.fresh: list[float] = []
@@ -310,18 +307,34 @@ class Model:
         self._frequent()
         self._finish_tail()
 
+    def _head(self, words: DataFrame) -> Head:
+        first = words.where(F.col("n") >= self.least).select("key", "n", "su", "sw", "ku", "kw").toArrow()  # at most HEAD_WORDS rows
+        columns = [c.to_numpy() for c in first.columns]
+        order = np.argsort(columns[0])
+        return Head(columns[0][order].astype(np.uint64), *(c[order] for c in columns[1:]))
+
     def _words(self) -> DataFrame:
         """(key, n, kw, ku, sw, su) of each word: its count, its contexts and its followers, and those of them seen once with it."""
-        names = ["key", "n", "kw", "ku", "sw", "su"]
+        names, bits = ["key", "n", "kw", "ku", "sw", "su"], self.shard_bits
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for row in rows_of(batches):
-                columns = unpacked(row["words"], *[np.int64] * 6)
-                for k in range(0, len(columns[0]), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in columns], names=names)
-
-        with_rows = self.counted.select("words").mapInArrow(tidied(run), ", ".join(f"{n} long" for n in names))
-        return with_rows.groupBy("key").agg(*[F.sum(c).alias(c) for c in names[1:]])
+                columns = unpacked(row["words"], _U, *[np.int64] * 5)
+                rows = [(shard, packed(*(c[a:b] for c in columns))) for shard, a, b in _dealt(columns[0] << _U(1), bits)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "blob"])
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table, at in whole_groups(batches, ["shard"]):
+                blobs = table.column("blob")
+                for start, end in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    key, *sums = (np.concatenate(x) for x in zip(*[unpacked(blobs[k].as_py(), _U, *[np.int64] * 5) for k in range(start, end)], strict=True))
+                    order, begins = _groups(key)
+                    columns = [key[order[begins]].view(np.int64), *(np.add.reduceat(c[order], begins) for c in sums)]
+                    for k in range(0, len(begins), 100_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in columns], names=names)
+
+        parts = self.counted.select("words").mapInArrow(tidied(deal), "shard long, blob binary")
+        return parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(tidied(merge), ", ".join(f"{n} long" for n in names))
 
     def _split(self) -> None:
         """Pairs seen several times: those of two head words packed by their places (near), the others as rows (far)."""
@@ -528,7 +541,7 @@ class Model:
             discard(self.busy, seated)
             self.busy = out
         self._totalled(self._idle_t0(k))
-        shared.unpersist()
+        shared.destroy()
 
     def _sided(self, rows: DataFrame, steps: range) -> DataFrame:
         """rows (u, w, ..) of far pairs with what the words outside the head bring; nulls where a word is in the head."""
@@ -662,25 +675,21 @@ def _side(column: pa.Array, head: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-ANSWER = {"row_id": pa.int64(), "n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "u": pa.int64(), "w": pa.int64(), "num": pa.float32(), "side": pa.int32()}
-
-
-_SQL = {pa.int32(): "int", pa.int64(): "long", pa.float64(): "double", pa.float32(): "float"}
-
-
 def _answers(requests: DataFrame, d: float) -> DataFrame:
     """Requests meet their shard's pairs.
 
     requests: dest, kind, row_id, blob, and ids if there are any of kind 4. Kind
-    2 (context, word, text of a token) gives (row_id, u, w, num, side: 1 if only the word, 2 if only the context is outside the head, 3 if both); kind 3 (key,
-    backed-off mass and text of tokens of two head words) gives (row_id, score)
-    by text; kind 4 (texts' own sums and ids) passes through.
+    2 (context, word, text and side of a token) gives (row_id, u, w, num, side),
+    side being 1 if only the word, 2 if only the context is outside the head, 3
+    if both. Kind 3 (key, backed-off mass and text of tokens of two head words)
+    gives (row_id, blob) with the scores of texts, row_id being that of the
+    chunk's first text. Kind 4 (texts' own sums and ids) passes through.
     """
     with_ids = "ids" in requests.columns
     id_type = requests.schema["ids"].dataType.elementType.simpleString() if with_ids else "long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, pairs, numerator, parts, id_kind = None, None, None, [], pa.int64()
+        shard, pairs, numerator, parts = None, None, None, []
 
         def look_up(keys: np.ndarray) -> np.ndarray:
             order = np.argsort(keys)  # neighbours in the table follow one another
@@ -688,47 +697,77 @@ def _answers(requests: DataFrame, d: float) -> DataFrame:
             out[order] = numerator[pairs(keys[order])]
             return out
 
+        def out(n: int, id_kind: pa.DataType, **columns: pa.Array) -> pa.RecordBatch:
+            kinds = {"row_id": pa.int64(), "kind": pa.int32(), "blob": pa.binary(), "ids": pa.list_(id_kind), "u": pa.int64(), "w": pa.int64(), "num": pa.float32(), "side": pa.int32()}
+            return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, kind) for c, kind in kinds.items()], names=list(kinds))
+
         for batch in batches:
-            if with_ids:
-                id_kind = batch.column("ids").type.value_type
+            id_kind = batch.column("ids").type.value_type if with_ids else pa.int64()
             for k, row in enumerate(rows_of([batch.select(["dest", "kind", "row_id", "blob"])])):
+                first, kind = row["row_id"], row["kind"]
                 if row["dest"] != shard:
                     shard, pairs, parts = row["dest"], None, [(np.zeros(0, _U), np.zeros(0))]
-                ids = None
-                if row["kind"] == 0:
+                if kind == 0:
                     keys = np.cumsum(unpacked(row["blob"], _U)[0], dtype=_U)
                     parts.append((keys, np.full(len(keys), 1 - d)))
                     continue
-                if row["kind"] == 1:
+                if kind == 1:
                     keys, value = unpacked(row["blob"], _U, np.uint32)
                     parts.append((keys, _long(value)))
                     continue
-                if pairs is None and row["kind"] < 4:
+                if pairs is None and kind < 4:
                     keys, numerator = (np.concatenate(x) for x in zip(*parts, strict=True))
                     order, parts = np.argsort(keys), []
                     pairs, numerator = Places(keys[order]), np.append(numerator[order], 0.0)  # the last for those not found
-                if row["kind"] == 2:
+                if kind == 2:
                     u, w, doc, side = unpacked(row["blob"], _U, _U, np.uint32, np.uint8)
-                    values = {"row_id": row["row_id"] + doc.astype(np.int64), "u": u.view(np.int64), "w": w.view(np.int64), "num": look_up(pair_keys(u, w)).astype(np.float32), "side": side.astype(np.int32)}
-                elif row["kind"] == 3:
+                    num = look_up(pair_keys(u, w)).astype(np.float32)
+                    for at in range(0, len(u), 100_000):
+                        some = slice(at, at + 100_000)
+                        columns = {"row_id": first + doc[some].astype(np.int64), "u": u[some].view(np.int64), "w": w[some].view(np.int64), "num": num[some], "side": side[some].astype(np.int32)}
+                        yield out(len(columns["u"]), id_kind, **{c: pa.array(x) for c, x in columns.items()})
+                    continue
+                held = {"row_id": pa.array([first]), "kind": pa.array([kind], pa.int32())}
+                if kind == 3:
                     key, mass, doc = unpacked(row["blob"], _U, np.uint32, np.uint32)
                     sums = np.bincount(doc, np.log10(look_up(key) + _long(mass)))
                     own = np.flatnonzero(np.bincount(doc))
-                    values = {"row_id": row["row_id"] + own, "score": sums[own]}
+                    yield out(1, id_kind, **held, blob=pa.array([packed(own.astype(np.uint32), sums[own])], pa.binary()))
                 else:
-                    doc, counts, known, base, total = unpacked(row["blob"], np.uint32, np.int64, np.int64, np.float64, np.float64)
-                    values = {"row_id": row["row_id"] + doc.astype(np.int64), "n_tokens": counts, "known": known, "base": base, "score": total}
-                    ids = batch.column("ids")[k].values
-                for start in range(0, len(values["row_id"]), 100_000):
-                    part = {c: pa.array(x[start : start + 100_000]) for c, x in values.items()}
-                    size = len(part["row_id"])
-                    own_ids = pa.nulls(size, id_kind) if ids is None else ids.slice(start, size)
-                    yield pa.RecordBatch.from_arrays([own_ids, *(part.get(c) if c in part else pa.nulls(size, kind) for c, kind in ANSWER.items())], names=["doc_id", *ANSWER])
-
-    schema = f"doc_id {id_type}, " + ", ".join(f"{c} {_SQL[kind]}" for c, kind in ANSWER.items())
+                    yield out(1, id_kind, **held, blob=pa.array([row["blob"]], pa.binary()), ids=batch.column("ids").slice(k, 1))
+
+    schema = f"row_id long, kind int, blob binary, ids array<{id_type}>, u long, w long, num float, side int"
     return requests.repartition("dest").sortWithinPartitions("dest", "kind").mapInArrow(tidied(run), schema)
 
 
+def _texts(answers: DataFrame) -> DataFrame:
+    """(row_id, doc_id, n_tokens, known, base, score) of each text, from the rows of kinds 3 and 4 of its chunk."""
+    id_type = answers.schema["ids"].dataType.elementType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, held, ids = None, None, None
+
+        def whole() -> pa.RecordBatch:
+            doc, counts, known, base, total = held
+            return pa.RecordBatch.from_arrays([pa.array(first + doc.astype(np.int64)), ids, *(pa.array(x) for x in (counts, known, base, total))], names=["row_id", "doc_id", "n_tokens", "known", "base", "score"])
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row_id, kind, blob = (batch.column(c)[k].as_py() for c in ("row_id", "kind", "blob"))
+                if kind == 4:  # comes first
+                    if held:
+                        yield whole()
+                    first, held, ids = row_id, unpacked(blob, np.uint32, np.int64, np.int64, np.float64, np.float64), batch.column("ids")[k].values
+                else:
+                    own, sums = unpacked(blob, np.uint32, np.float64)
+                    held[4][np.searchsorted(held[0], own)] += sums
+        if held:
+            yield whole()
+
+    chunks = answers.where("blob is not null").select("row_id", "kind", "blob", "ids")
+    return chunks.repartition("row_id").sortWithinPartitions("row_id", F.desc("kind")).mapInArrow(tidied(run), f"row_id long, doc_id {id_type}, n_tokens long, known long, base double, score double")
+
+
 def _asked(docs: DataFrame, model: Model) -> DataFrame:
     """What the texts (row_id, doc_id, text) ask of the shards, and what is known of them at once, as _answers takes it."""
     spark = docs.sparkSession
@@ -830,7 +869,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     released(docs.sparkSession)
     steps = range(BURN_IN + 1, BURN_IN + SAMPLES + 1)
     new = [model.new_word(k) for k in steps]
-    sides = docs.sparkSession.sparkContext.broadcast((*model.samples(), model.own.counts))
+    sides = docs.sparkSession.sparkContext.broadcast((*(x.astype(np.float32) for x in model.samples()), model.own.counts))
     keys = model.keys
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -862,7 +901,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     one = first.where("side < 3").select(*plain, pick(as_context, "n", "customers"), pick(as_context, "ms", "ms"), pick(as_word, "n", "known"), pick(as_word, "p0s", "p0s"))
     two = first.where("side = 3").select(*plain, F.col("n").alias("known"), "p0s").join(model.tail.select(F.col("key").alias("u"), F.col("n").alias("customers"), "ms"), "u", "left")
     tail = one.unionByName(two.select(one.columns)).mapInArrow(tidied(finish), "row_id long, known long, base double, score double")
-    sums = answers.where("u is null").select("row_id", "doc_id", "n_tokens", "known", "base", "score").unionByName(tail, allowMissingColumns=True)
+    texts = staged(_texts(answers), "texts", BLOB_BYTES)
+    sums = texts.unionByName(staged(tail, "tail"), allowMissingColumns=True)
     total = sums.groupBy("row_id").agg(F.max("doc_id").alias("doc_id"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_tokens", "known", "base", "score")])  # one row has the id
     return total.select(
         "doc_id",
