@@ -351,14 +351,13 @@ class Model:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([row["shard"]], pa.int64()),
-                        pa.array([row["once"]], pa.binary()),
                         pa.array([blob], pa.binary()),
                         pa.array([packed(u[~near], w[~near], n[~near])], pa.binary()),
                         pa.array([int((~near).sum())], pa.int64()),
                         pa.array([packed(levels, times)], pa.binary()),
                         pa.array([int((n == 2).sum())], pa.int64()),
                     ],
-                    names=["shard", "once", "near", "far", "n_far", "levels", "twice"],
+                    names=["shard", "near", "far", "n_far", "levels", "twice"],
                 )
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,10 +370,10 @@ class Model:
             for row in rows_of(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in unpacked(row["levels"], np.int64, np.int64)], names=["level", "times"])
 
-        split = staged(self.counted.select("shard", "once", "several").mapInArrow(tidied(run), "shard long, once binary, near binary, far binary, n_far long, levels binary, twice long"), "split", BLOB_BYTES)
+        split = staged(self.counted.select("shard", "several").mapInArrow(tidied(run), "shard long, near binary, far binary, n_far long, levels binary, twice long"), "split", BLOB_BYTES)
+        self.once = staged(self.counted.select("shard", "once"), "once")
         discard(self.counted)
-        self.once, self.near = split.select("shard", "once"), split.select("shard", F.col("near").alias("blob"))
-        self.near_staged = None
+        self.near, self.near_staged = split.select("shard", F.col("near").alias("blob")), split
         levels = split.select("levels").mapInArrow(histogram, "level long, times long").groupBy("level").agg(F.sum("times").alias("times"))
         self.least_pair = _least({r["level"]: r["times"] for r in levels.collect()}, HEAD_PAIRS)  # 16 rows for each power of two
         r = split.agg(F.sum("twice").alias("twice"), F.sum("n_far").alias("n_far")).first()
@@ -511,8 +510,7 @@ class Model:
         p = self.own.once_w + (np.concatenate([sums[i][1] for i in range(RANGES)]) if sums else 0)
         discard(added)
         if sampled:
-            if self.near_staged is not None:
-                discard(self.near_staged)
+            discard(self.near_staged)
             self.near, self.near_staged = swept.where("part < 0").select("shard", "blob"), swept
         else:
             discard(swept)
@@ -643,7 +641,7 @@ class Model:
         context, word = np.repeat(words[at], len(words)), np.tile(words, len(at))
         key = pair_keys(context, word)
         order = np.argsort(key)
-        asked = [(shard, 2, 0, bytearray(packed(context[order[a:b]], word[order[a:b]], order[a:b].astype(np.uint32), np.zeros(b - a, np.uint8)))) for shard, a, b in _dealt(key[order], self.shard_bits)]
+        asked = [(shard, 2, 0, bytearray(packed(context[order[a:b]], word[order[a:b]], order[a:b].astype(np.uint32)))) for shard, a, b in _dealt(key[order], self.shard_bits)]
         numerator = np.zeros(len(places))
         if asked:
             requests = self.spark.createDataFrame(asked, "dest long, kind int, row_id long, blob binary")
@@ -679,9 +677,8 @@ def _answers(requests: DataFrame, d: float) -> DataFrame:
     """Requests meet their shard's pairs.
 
     requests: dest, kind, row_id, blob, and ids if there are any of kind 4. Kind
-    2 (context, word, text and side of a token) gives (row_id, u, w, num, side),
-    side being 1 if only the word, 2 if only the context is outside the head, 3
-    if both. Kind 3 (key, backed-off mass and text of tokens of two head words)
+    2 (context, word and text of a token with a word outside the head) gives
+    (row_id, u, w, num). Kind 3 (key, backed-off mass and text of tokens of two head words)
     gives (row_id, blob) with the scores of texts, row_id being that of the
     chunk's first text. Kind 4 (texts' own sums and ids) passes through.
     """
@@ -698,7 +695,7 @@ def _answers(requests: DataFrame, d: float) -> DataFrame:
             return out
 
         def out(n: int, id_kind: pa.DataType, **columns: pa.Array) -> pa.RecordBatch:
-            kinds = {"row_id": pa.int64(), "kind": pa.int32(), "blob": pa.binary(), "ids": pa.list_(id_kind), "u": pa.int64(), "w": pa.int64(), "num": pa.float32(), "side": pa.int32()}
+            kinds = {"row_id": pa.int64(), "kind": pa.int32(), "blob": pa.binary(), "ids": pa.list_(id_kind), "u": pa.int64(), "w": pa.int64(), "num": pa.float32()}
             return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, kind) for c, kind in kinds.items()], names=list(kinds))
 
         for batch in batches:
@@ -720,11 +717,11 @@ def _answers(requests: DataFrame, d: float) -> DataFrame:
                     order, parts = np.argsort(keys), []
                     pairs, numerator = Places(keys[order]), np.append(numerator[order], 0.0)  # the last for those not found
                 if kind == 2:
-                    u, w, doc, side = unpacked(row["blob"], _U, _U, np.uint32, np.uint8)
+                    u, w, doc = unpacked(row["blob"], _U, _U, np.uint32)
                     num = look_up(pair_keys(u, w)).astype(np.float32)
                     for at in range(0, len(u), 100_000):
                         some = slice(at, at + 100_000)
-                        columns = {"row_id": first + doc[some].astype(np.int64), "u": u[some].view(np.int64), "w": w[some].view(np.int64), "num": num[some], "side": side[some].astype(np.int32)}
+                        columns = {"row_id": first + doc[some].astype(np.int64), "u": u[some].view(np.int64), "w": w[some].view(np.int64), "num": num[some]}
                         yield out(len(columns["u"]), id_kind, **{c: pa.array(x) for c, x in columns.items()})
                     continue
                 held = {"row_id": pa.array([first]), "kind": pa.array([kind], pa.int32())}
@@ -736,7 +733,7 @@ def _answers(requests: DataFrame, d: float) -> DataFrame:
                 else:
                     yield out(1, id_kind, **held, blob=pa.array([row["blob"]], pa.binary()), ids=batch.column("ids").slice(k, 1))
 
-    schema = f"row_id long, kind int, blob binary, ids array<{id_type}>, u long, w long, num float, side int"
+    schema = f"row_id long, kind int, blob binary, ids array<{id_type}>, u long, w long, num float"
     return requests.repartition("dest").sortWithinPartitions("dest", "kind").mapInArrow(tidied(run), schema)
 
 
@@ -794,13 +791,13 @@ def _asked(docs: DataFrame, model: Model) -> DataFrame:
             for shard, a, b in _dealt(key, bits):
                 by_text = a + np.argsort(text[a:b])
                 rows.append((shard, 3, first, packed(key[by_text], mass[by_text], text[by_text])))
-            u, w, text, side = (np.concatenate([h[6][k] for h in held]) for k in range(4))
+            u, w, text = (np.concatenate([h[6][k] for h in held]) for k in range(3))
             key = pair_keys(u, w)
             order = np.argsort(key)
-            u, w, text, side = u[order], w[order], (text[order] - first).astype(np.uint32), side[order]
+            u, w, text = u[order], w[order], (text[order] - first).astype(np.uint32)
             for shard, a, b in _dealt(key[order], bits):
                 by_text = a + np.argsort(text[a:b])
-                rows.append((shard, 2, first, packed(u[by_text], w[by_text], text[by_text], side[by_text])))
+                rows.append((shard, 2, first, packed(u[by_text], w[by_text], text[by_text])))
             for k in range(0, len(rows), 16):
                 part = list(zip(*rows[k : k + 16], strict=True))
                 own = pa.concat_arrays([h[7] for h in held]) if not k else pa.nulls(0, held[0][7].type)  # the first row is that of kind 4
@@ -838,7 +835,7 @@ def _asked(docs: DataFrame, model: Model) -> DataFrame:
                         np.bincount(doc[known], base[at[known]], n).astype(np.float64),
                         score.astype(np.float64),
                         (key[left], _short(mass[left]), ids[start + doc[near[left]]]),
-                        (context[rest], word[rest], ids[start + doc[rest]], ((at[rest] < 0) + 2 * (before[rest] < 0)).astype(np.uint8)),
+                        (context[rest], word[rest], ids[start + doc[rest]]),
                         batch.column(1).slice(start, end - start),
                     )
                 )
@@ -892,15 +889,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             out = [np.bincount(of, late & (known > 0), len(row)).astype(np.int64), np.bincount(of, base, len(row)), np.bincount(of, np.log10(p), len(row))]
             yield pa.RecordBatch.from_arrays([pa.array(row), *(pa.array(x) for x in out)], names=["row_id", "known", "base", "score"])
 
-    # one word of a token is looked up by the first join; the contexts of those whose words are both outside the head by the second
-    rest = answers.where("u is not null").select("row_id", "u", "w", "num", "side", F.when(F.col("side") == 2, F.col("u")).otherwise(F.col("w")).alias("key"))
-    first = rest.join(model.tail, "key", "left").drop("key")
-    as_word, as_context = F.col("side") != 2, F.col("side") == 2
-    plain = ["row_id", "u", "w", "num"]
-    pick = lambda at, c, name: F.when(at, F.col(c)).alias(name)
-    one = first.where("side < 3").select(*plain, pick(as_context, "n", "customers"), pick(as_context, "ms", "ms"), pick(as_word, "n", "known"), pick(as_word, "p0s", "p0s"))
-    two = first.where("side = 3").select(*plain, F.col("n").alias("known"), "p0s").join(model.tail.select(F.col("key").alias("u"), F.col("n").alias("customers"), "ms"), "u", "left")
-    tail = one.unionByName(two.select(one.columns)).mapInArrow(tidied(finish), "row_id long, known long, base double, score double")
+    rest = answers.where("u is not null").select("row_id", "u", "w", "num")
+    contexts = model.tail.select(F.col("key").alias("u"), F.col("n").alias("customers"), "ms")
+    dishes = model.tail.select(F.col("key").alias("w"), F.col("n").alias("known"), "p0s")
+    tail = rest.join(contexts, "u", "left").join(dishes, "w", "left").mapInArrow(tidied(finish), "row_id long, known long, base double, score double")
     texts = staged(_texts(answers), "texts", BLOB_BYTES)
     sums = texts.unionByName(staged(tail, "tail"), allowMissingColumns=True)
     total = sums.groupBy("row_id").agg(F.max("doc_id").alias("doc_id"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_tokens", "known", "base", "score")])  # one row has the id
