@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import math
+import random
 import re
 
 from tracklane.llm import secrets
@@ -111,3 +112,27 @@ def test_every_credential_value_is_costed_whole():
         ("pwd: password", "pwd: password"),
     ]:
         assert secrets.hidden(text) == hidden, text
+
+
+def test_guess_cost_equals_exhaustive_segmentation():
+    rng = random.Random(3)
+    parts = ["cat", "the", "love", "qwe", "tyu", "567", "aaa", "ab", "1999", "Z", "$", "d", "7", "zz"]
+    values = {"".join(rng.choices(parts, k=rng.randint(1, 4)))[:8] for _ in range(1000)} | {"summertyu"[-8:], "wordddd", "yourtyu", "abcdabcd"}
+    for value in values:
+        assert abs(secrets.guess_cost(value) - slow_cost(value)) < 1e-9, value
+
+
+def test_long_values_take_linear_time():
+    for value in ("qw" * 50_000, "a" * 100_000, "abc1" * 25_000):
+        assert 0 < secrets.guess_cost(value) < 20
+
+
+def test_vocabulary_words_are_cheap_and_every_context_is_judged():
+    from tracklane.llm.q_packing import tokenizer_path
+
+    words = secrets.known_words(tokenizer_path())
+    assert len(words.costs) > 20_000 and secrets.guess_cost("moonlight", words) < 5 < secrets.guess_cost("moonlight")
+    assert not [x for x in secrets.find_spans("pwd: moonlight", words)[0]] and secrets.find_spans("pwd: correcthorsebatterystaple", words)[0]
+    spans, values = secrets.find_spans("token=plantation and api_key: tR9#kLq2vX", words)
+    assert [v[:2] for v in values] == [(6, 16), (30, 40)] and secrets.verdicts(values).endswith("secret") and ":weak," in secrets.verdicts(values)
+    assert [s[1] for s in spans] == [0, 3]

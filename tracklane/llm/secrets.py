@@ -2,16 +2,21 @@
 
 One pass over whole texts, without a shuffle. Three patterns give the base
 spans. A value in a credential context (password, token, auth, private key, ...)
-that no base span covers whole is split at minimum cost into words, dates, repeats,
-keyboard walks and brute-force spans; it is a secret if guessing it costs enough.
+is split at minimum cost into words, dates, repeats, keyboard walks and
+brute-force spans; it is a secret if guessing it costs enough, and adds a span
+where no base span covers it whole. Words are COMMON_WORDS and, where the path
+of a public tokenizer is given, the words of its vocabulary.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,7 +53,6 @@ COMMON_WORDS = (
 KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz", "0123456789")
 
 _WORD_COST = {w: math.log10(2.0 + rank) for rank, w in enumerate(COMMON_WORDS)}
-_LONGEST_WORD = max(map(len, COMMON_WORDS))
 _NEIGHBOURS = {p for row in KEY_ROWS for p in (*zip(row, row[1:]), *zip(row[1:], row))}
 _DATE = re.compile(r"(?:19|20)\d\d|(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d")
 _DATE_LENGTHS = (4, 8, 10)
@@ -57,14 +61,44 @@ _WALK_START = math.log10(len(set("".join(KEY_ROWS))) * 2)
 #: Every further segment doubles the guesses: where it starts has to be guessed too.
 _JOINT = math.log10(2)
 _LONGEST_REPEATED = 8
+#: Lengths of walks and numbers of repeats that are tried one by one; beyond, only the whole run.
+MOST_STEPS = 64
+#: Lengths of words that are taken from a vocabulary.
+LEAST_WORD, MOST_WORD = 3, 24
 
 
 def _brute(ch: str) -> float:
     return 1.0 if ch.isdigit() else math.log10(26) if ch.isalpha() else math.log10(33)
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses for value: the least cost over its segmentations, in time linear in its length."""
+class Words:
+    """log10 of the guesses of each word, and the longest word's length."""
+
+    def __init__(self, costs: dict[str, float]) -> None:
+        self.costs, self.longest = costs, max(map(len, costs))
+
+
+@lru_cache(maxsize=4)
+def known_words(vocabulary: str | None = None) -> Words:
+    """COMMON_WORDS, then the whole words of a tokenizer file (a JSON vocabulary in order of its merges), by rank."""
+    costs = dict(_WORD_COST)
+    if vocabulary:
+        entries = json.loads(Path(vocabulary).read_text())["model"]["vocab"]
+        for token, _ in sorted(entries.items(), key=lambda x: x[1]):
+            word = token.removesuffix("</w>")
+            if word != token and word.isalpha() and LEAST_WORD <= len(word) <= MOST_WORD:
+                costs.setdefault(word, math.log10(2.0 + len(costs)))
+    return Words(costs)
+
+
+def guess_cost(value: str, words: Words | None = None) -> float:
+    """log10 of the guesses for value: the least cost over its segmentations.
+
+    A walk or a repeat ends at any place and takes any of its last MOST_STEPS
+    lengths, or the whole run; time is linear in the value's length.
+    """
+    words = words or known_words()
+    known = words.costs
     low, n = value.lower(), len(value)
     if len(low) != n:  # letters that grow in lower case
         low = value
@@ -82,28 +116,28 @@ def guess_cost(value: str) -> float:
         def after(start: int, cost: float) -> float:
             return min(token[start], brute[start]) + cost + _JOINT * (start > 0)
 
-        for k in range(2, min(_LONGEST_WORD, i) + 1):
-            if (cost := _WORD_COST.get(low[i - k : i])) is not None:
+        for k in range(2, min(words.longest, i) + 1):
+            if (cost := known.get(low[i - k : i])) is not None:
                 best = min(best, after(i - k, cost + cased[i] - cased[i - k]))
         for k in _DATE_LENGTHS:
             if k <= i and _DATE.fullmatch(low, i - k, i):
                 best = min(best, after(i - k, _DATE_COST[k]))
         walk = walk + 1 if i > 1 and (low[i - 2], low[i - 1]) in _NEIGHBOURS else 1
-        if walk >= 3:
-            best = min(best, after(i - walk, _WALK_START + math.log10(walk) + cased[i] - cased[i - walk]))
+        for k in {*range(3, min(walk, MOST_STEPS) + 1), walk} if walk >= 3 else ():
+            best = min(best, after(i - k, _WALK_START + math.log10(k) + cased[i] - cased[i - k]))
         for p in range(1, min(_LONGEST_REPEATED, i - 1) + 1):
             periodic[p] = periodic[p] + 1 if low[i - 1] == low[i - 1 - p] else 0
-            times = periodic[p] // p + 1
-            if times >= (3 if p == 1 else 2):
+            most, least = periodic[p] // p + 1, 3 if p == 1 else 2
+            for times in {*range(least, min(most, MOST_STEPS) + 1), most} if most >= least else ():
                 start = i - times * p
                 best = min(best, after(start, chars[start + p] - chars[start] + math.log10(times)))
         token[i] = best
     return min(token[n], brute[n])
 
 
-def find_spans(text: str) -> tuple[list[tuple[int, int, int]], float]:
-    """All spans (start, kind, end) in order, kinds as indices of KINDS, and the highest guess cost in a context."""
-    spans, low, top = [], text.lower(), 0.0
+def find_spans(text: str, words: Words | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, float]]]:
+    """All spans (start, kind, end) in order, kinds as indices of KINDS, and the values of all credential contexts: (start, end, guess cost)."""
+    spans, low, values = [], text.lower(), []
     if any(h in low for h in ASSIGN_HINTS):
         spans += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     if "AKIA" in text:
@@ -112,48 +146,57 @@ def find_spans(text: str) -> tuple[list[tuple[int, int, int]], float]:
     if any(h in low for h in CONTEXT_HINTS):
         base = sorted(spans)
         for m in CONTEXT.finditer(text):
-            cost = guess_cost(m[1])
-            top = max(top, cost)
+            cost = guess_cost(m[1], words)
+            values.append((m.start(1), m.end(1), cost))
             if cost >= MIN_GUESSES_LOG10 and not any(s <= m.start() and m.end() <= e for s, _, e in base):
                 spans.append((m.start(), 3, m.end()))
-    return sorted(spans), top
+    return sorted(spans), values
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_assign, n_access, n_hex, n_credential, base_sha256, spans, guess_log10 (highest cost in a context).
+def verdicts(values: list[tuple[int, int, float]]) -> str:
+    return ",".join(f"{s}:{e}:{cost:.2f}:{'secret' if cost >= MIN_GUESSES_LOG10 else 'weak'}" for s, e, cost in values)
+
+
+def scan(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """Per row: doc_id, n_assign, n_access, n_hex, n_credential, base_sha256, spans, guess_log10 (highest cost in a context), values.
 
-    Offsets are code points, ends exclusive. Null and empty texts have no spans.
-    A null doc_id stays null; repeated rows are scanned each on its own.
+    values: start:end:log10 of guesses:verdict of the value in each credential
+    context, base spans' too. Offsets are code points, ends exclusive. Null and
+    empty texts have no spans. A null doc_id stays null; repeated rows are
+    scanned each on its own; other columns are not touched.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = known_words(vocabulary)
         for batch in batches:
-            counts, digests, spelled, costs = [[], [], [], []], [], [], []
+            counts, digests, spelled, costs, judged = [[], [], [], []], [], [], [], []
             for value in batch.column(1):
-                spans, cost = find_spans(value.as_py() or "")
+                spans, values = find_spans(value.as_py() or "", words)
                 for k, column in enumerate(counts):
                     column.append(sum(x[1] == k for x in spans))
                 digests.append(hashlib.sha256(joined([x for x in spans if x[1] < 3]).encode()).hexdigest())
                 spelled.append(joined(spans))
-                costs.append(cost)
+                costs.append(max((v[2] for v in values), default=0.0))
+                judged.append(verdicts(values))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spelled, pa.string()), pa.array(costs, pa.float64())],
-                names=["doc_id", "n_assign", "n_access", "n_hex", "n_credential", "base_sha256", "spans", "guess_log10"],
+                [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spelled, pa.string()), pa.array(costs, pa.float64()), pa.array(judged, pa.string())],
+                names=["doc_id", "n_assign", "n_access", "n_hex", "n_credential", "base_sha256", "spans", "guess_log10", "values"],
             )
 
-    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(tidied(run), f"doc_id {id_type}, n_assign long, n_access long, n_hex long, n_credential long, base_sha256 string, spans string, guess_log10 double")
+    schema = f"doc_id {id_type}, n_assign long, n_access long, n_hex long, n_credential long, base_sha256 string, spans string, guess_log10 double, values string"
+    return bounded_batches(docs.select("doc_id", "text")).mapInArrow(tidied(run), schema)
 
 
-def hidden(text: str, mark: str = "[SECRET]") -> str:
+def hidden(text: str, mark: str = "[SECRET]", words: Words | None = None) -> str:
     """text with every run of overlapping spans replaced by mark."""
     out, at = [], 0
     end = -1
-    for s, _, e in find_spans(text)[0]:
+    for s, _, e in find_spans(text, words)[0]:
         if s < end:
             end = max(end, e)
             continue
@@ -164,13 +207,14 @@ def hidden(text: str, mark: str = "[SECRET]") -> str:
     return "".join(out) + text[max(end, 0) :]
 
 
-def redact(docs: DataFrame, length_col: str | None = "n_chars") -> DataFrame:
-    """docs with secrets in `text` replaced; other columns as they are, but length_col, if present, follows the text."""
+def redact(docs: DataFrame, length_col: str | None = "n_chars", vocabulary: str | None = None) -> DataFrame:
+    """docs with secrets in `text` replaced; other columns as they are, but length_col, if present, follows the text. Null texts stay null."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = known_words(vocabulary)
         for batch in batches:
-            texts = [None if v is None else hidden(v) for v in batch.column(names.index("text")).to_pylist()]
+            texts = [None if v is None else hidden(v, words=words) for v in batch.column(names.index("text")).to_pylist()]
             columns = list(batch.columns)
             columns[names.index("text")] = pa.array(texts, pa.string())
             if length_col in names:
