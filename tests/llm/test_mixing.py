@@ -54,3 +54,16 @@ def test_mixed_documents_keep_columns_and_order(make_docs):
     assert out.columns == docs.columns
     per_id = out.groupBy("doc_id").count().collect()
     assert max(r["count"] for r in per_id) <= 2 and 80 <= out.count() <= 100
+
+
+def test_each_pass_has_its_own_time(make_docs):
+    docs = make_docs([(i, "a b c d", f"s{i % 3}") for i in range(300)])
+    entries = mixing.schedule(docs).collect()
+    times = [r.virtual_finish for r in entries]
+    assert times == sorted(times) and all(r.virtual_start < 1 for r in entries)
+    total, budget = sum(r.served for r in entries), 1.5 * 1200
+    assert abs(total - budget) <= 3 and sum(r.served for r in entries if r.virtual_finish > 1) < 3 * 4
+    order = [r.doc_id for r in mixing.mixed_documents(docs).collect()]
+    again = {i for i in order if order.count(i) > 1}
+    side_by_side = sum(a == b for a, b in zip(order, order[1:]))
+    assert len(again) > 100 and side_by_side == 0

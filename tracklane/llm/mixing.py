@@ -2,22 +2,25 @@
 
 Every source is a queue of its documents in shuffled order. A document's
 virtual finish time is the cumulative tokens of its source divided by the
-source's target; when a queue ends it starts again, until `max_repeats`. Time 1
-is where the total budget is spent, since the targets add up to it. The
-schedule is the documents of all queues, range-sorted by virtual finish time
-and cut at the budget; the document that is in service at the cut gives the
-words that are still missing.
-
-Only identifiers, sizes and hashes are shuffled. A source of any size is spread
-over hash buckets (see common.running_sum). One row per source meets in one
-task, to rank the sources and to share out the budget.
+source's target; when a queue ends it starts again, until `max_repeats`, and
+each pass through a document is an entry of its own with its own time. Time 1
+is where the total budget is spent, since the targets add up to it: all entries
+that finish by then are taken whole, and of those in service, one of each
+source, the words served until then. The schedule is all entries that have
+started by time 1, range-sorted by virtual finish time: it ends at the budget.
+
+A source of any size is spread over hash buckets (see common.running_sum). What
+is shuffled are identifiers, sizes and hashes, and what the caller carries:
+mixed_documents carries whole rows, once to the buckets and once to the range
+sort. One row per source meets in one task, to rank the sources and to share
+out the budget.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklane.llm.common import buckets_for, hash_bucket, running_sum, staged, word_count
@@ -58,7 +61,9 @@ def fair_queue(
     share: float = BUDGET_SHARE,
     max_repeats: int = MAX_REPEATS,
 ) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, virtual_finish, taken, then `carry`.
+    """One row per document: doc_id, source, size, source_size, target, virtual_finish (of its first pass), taken, entries, then `carry`.
+
+    entries: pass, virtual_start, virtual_finish and words served of each pass through the document; taken is their sum.
 
     The order in a queue is that of md5 of doc_id, then doc_id, then size, so
     reruns agree; equal rows may stand for one another. Null text has size 0 and
@@ -82,34 +87,47 @@ def fair_queue(
     per_source = targets(sizes.groupBy(*group).agg(F.sum("size").alias("source_size")), weights, share, max_repeats)
     queued = running_sum((rows if carry else sizes).withColumn("bucket", hash_bucket(F.col("h"), buckets)), group, "bucket", ["h", "doc_id", "size"], "size", "through")
     start = F.col("through") - F.col("size")
-    taken = sum(
-        (F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - F.col("source_size") * e - start)) for e in range(max_repeats)),
-        F.lit(0),
-    )
-    return queued.join(per_source, group).select(
-        "doc_id",
-        "source",
-        "size",
-        "source_size",
-        "target",
-        (F.col("through") / F.nullif(F.col("target"), F.lit(0.0))).alias("virtual_finish"),
-        taken.cast("long").alias("taken"),
-        *([F.col("payload")] if carry else []),
+
+    def entry(e: int) -> Column:
+        began, ends = start + F.col("source_size") * e, F.col("through") + F.col("source_size") * e
+        served = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.floor("target") - began))
+        time = F.nullif(F.col("target"), F.lit(0.0))
+        return F.struct(F.lit(e).alias("pass"), (began / time).alias("virtual_start"), (ends / time).alias("virtual_finish"), served.alias("served"))
+
+    entries = F.array(*[entry(e) for e in range(max_repeats)])
+    return (
+        queued.join(per_source, group)
+        .withColumn("entries", entries)
+        .select(
+            "doc_id",
+            "source",
+            "size",
+            "source_size",
+            "target",
+            F.col("entries")[0]["virtual_finish"].alias("virtual_finish"),
+            F.aggregate("entries", F.lit(0).cast("long"), lambda a, x: a + x["served"]).alias("taken"),
+            "entries",
+            *([F.col("payload")] if carry else []),
+        )
     )
 
 
 def schedule(docs: DataFrame, carry: Sequence[str] = (), **options) -> DataFrame:
-    """The documents of the mix in the order of virtual finish time, cut at the total budget: a range-sorted fair_queue."""
+    """The entries of the mix in the order of virtual finish time, cut at the total budget.
+
+    One row for each document and pass that has started by then: fair_queue's
+    columns but for `entries`, and pass, virtual_start, virtual_finish, served.
+    """
     queue = fair_queue(docs, carry, **options)
-    return queue.orderBy("virtual_finish", "doc_id", "size")
+    rows = queue.drop("virtual_finish").withColumn("entry", F.explode("entries")).drop("entries").select("*", "entry.*").drop("entry")
+    return rows.where((F.col("virtual_start") < 1) & (F.col("served") > 0)).orderBy("virtual_finish", "doc_id", "size", "pass")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of docs as often as the mix takes them, in mixing order, with docs' columns.
 
-    A document is given whole: once for each time that the mix takes at least
-    half of its words. Documents without words are dropped.
+    A document is given whole, at the time of each pass of which at least half
+    of its words are served. Documents without words are dropped; null ids and
+    repeated rows are given like others.
     """
-    copies = F.round(F.col("taken") / F.col("size")).cast("int")
-    queue = schedule(docs, carry=docs.columns, **options).where((F.col("size") > 0) & (F.col("taken") > 0))
-    return queue.withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies))).select("payload.*")
+    return schedule(docs, carry=docs.columns, **options).where(2 * F.col("served") >= F.col("size")).select("payload.*")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tracklane.llm.common import table
-from tracklane.llm.mixing import schedule
+from tracklane.llm.mixing import fair_queue
 
 
 def op2_mix_sources(spark, sf_dir):
-    return schedule(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    queue = fair_queue(table(spark, sf_dir, "documents"))
+    taken = F.aggregate("entries", F.lit(0).cast("long"), lambda a, x: a + F.when(x["virtual_start"] < 1, x["served"]).otherwise(0))  # the schedule's cut
+    return queue.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "virtual_finish").orderBy("virtual_finish", "doc_id", "size").drop("virtual_finish")
 
 
 SQL = r"""
