@@ -3,9 +3,9 @@
 Features are densities of a lexicon, second-person proximity, capitals,
 punctuation and obfuscation rates. The lexicon is learned from labelled rows:
 words and word beginnings (so inflected forms count) that are far more frequent
-in toxic texts. Fitting takes at most FIT_ROWS labelled rows, the first in the
-order of a hash of their ids, in one task; scoring is one pass over whole
-texts without a shuffle.
+in toxic texts. Fitting takes at most FIT_ROWS labelled rows and FIT_BYTES of
+their texts (whole ones), the first in the order of a hash of their ids, in one
+task; scoring is one pass over whole texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tracklane.llm.boosting import Trees, isotonic
 from tracklane.llm.common import bounded_batches, fold, tidied
@@ -24,6 +25,8 @@ from tracklane.llm.neardup import FAR, PERCENT, SIGNATURE, signatures
 from tracklane.llm.textvec import Words, mix, shingles, slices
 
 FIT_ROWS = 16_000
+#: Bytes of text that the model is fitted on at most.
+FIT_BYTES = 128 << 20
 THRESHOLD = 0.7
 #: Bytes of the word beginnings that the lexicon holds beside whole words (0).
 LENGTHS = (0, 4, 6, 8)
@@ -229,16 +232,17 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> bytes | None:
-    """The model from at most fit_rows labelled rows with text; None without any.
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> bytes | None:
+    """The model from at most fit_rows labelled rows with at most fit_bytes of text; None without any.
 
-    A doc_id with several labels is toxic if one of them says so; null labels
-    and ids are left out.
+    A doc_id with several labels is toxic if one of them says so; null labels,
+    ids and texts are left out. Of rows that repeat a doc_id, all are taken.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     sample = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")  # at most fit_rows ids
-    ordered = sample.select("text", "toxic", F.xxhash64("doc_id", "text").alias("h"))
+    in_order = Window.orderBy("h", "text").rowsBetween(Window.unboundedPreceding, 0)  # the sample alone, in one task
+    ordered = sample.select("text", "toxic", F.xxhash64("doc_id", "text").alias("h")).withColumn("bytes", F.sum(F.octet_length("text")).over(in_order)).where(F.col("bytes") <= fit_bytes).drop("bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -249,23 +253,28 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> bytes
             toxic = (table.column("toxic").to_numpy() > 0).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array([fit(table.column("text").chunk(0), toxic)], pa.binary())], names=["model"])
 
-    rows = bounded_batches(ordered.repartition(1)).mapInArrow(tidied(run), "model binary").collect()  # one model of bounded size
+    rows = bounded_batches(ordered).mapInArrow(tidied(run), "model binary").collect()  # one model of bounded size
     return bytes(rows[0]["model"]) if rows else None
 
 
-def score(docs: DataFrame, model: bytes | None, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score (0 to 1) and predicted. Null and empty texts are scored like a text without words; without a model all scores are 0."""
+def score(docs: DataFrame, model: bytes | None, threshold: float = THRESHOLD, score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
+    """docs with a score (0 to 1) and a prediction; columns of these names are replaced, all others stay.
+
+    Null and empty texts are scored like a text without words; rows are scored
+    each on its own, whatever their ids. Without a model all scores are 0.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop(score_col, predicted_col)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Model(shared.value) if shared.value else None
         for batch in batches:
             s = scorer.score(batch.column(names.index("text"))) if scorer else np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, score_col, predicted_col])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return bounded_batches(docs).mapInArrow(tidied(run), f"{schema}, score double, predicted int")
+    schema = StructType([*docs.schema.fields, StructField(score_col, DoubleType()), StructField(predicted_col, IntegerType())])
+    return bounded_batches(docs).mapInArrow(tidied(run), schema)
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
