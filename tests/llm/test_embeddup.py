@@ -45,3 +45,42 @@ def test_passes_grow_with_the_classes():
     for n in (1, 10, 50_000, 5_000_000, 50_000_000):
         bits, passes = embeddup.plan(n)
         assert passes >= embeddup.PASSES and (1 - 0.899**bits) ** passes < 1.05e-4
+
+
+@pytest.mark.parametrize("n", [300, 1500, 6000])
+def test_recall_of_pairs_at_the_threshold(spark, n):
+    """Pairs at cosine 0.95 to 0.96 among vectors that are far from all others."""
+    rng = np.random.default_rng(n)
+    rows = []
+    for i in range(n // 2):
+        a, b = rng.standard_normal((2, 24))
+        a /= np.linalg.norm(a)
+        b -= (b @ a) * a
+        c = rng.uniform(0.951, 0.96)
+        rows += [(2 * i, a.tolist()), (2 * i + 1, (c * a + np.sqrt(1 - c * c) * b / np.linalg.norm(b)).tolist())]
+    out = embeddup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert np.mean([r.n_links >= 1 for r in out]) >= 0.99
+
+
+def test_windows_cross_partitions(spark):
+    """One sorted run over many small partitions: every row meets its next WINDOW neighbours."""
+    rows = [(0, k, k, bytes(32)) for k in range(400)]
+    entries = spark.createDataFrame(rows, "part long, key long, rep long, sketch binary").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = embeddup.window_links(entries, 0).cache()
+        assert found.where("task is not null").select("task").distinct().count() > 4
+        inner = embeddup.components(found.where("a is not null").select("a", "b")).select("root").distinct().count()
+        both = embeddup.components(found.where("a is not null").select("a", "b").union(embeddup.border_links(found))).select("root").distinct().count()
+        assert inner > 4 and both == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_dense_run_is_compared_whole(spark):
+    """More vectors within one cone than a window holds."""
+    rng = np.random.default_rng(1)
+    centre = rng.standard_normal(16)
+    rows = [(i, (centre + 0.02 * rng.standard_normal(16)).tolist()) for i in range(300)]
+    out = embeddup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r.component_id for r in out} == {0} and {r.n_links for r in out} == {299}
