@@ -12,6 +12,11 @@ def op9_quality_rules(spark, sf_dir):
     return judged(measure(table(spark, sf_dir, "documents"))).select(*COLUMNS)
 
 
+def quality_rules_low_limit(spark, sf_dir):
+    """As op9, with lines in more than two documents of their host removed, so that small tables have rejections too."""
+    return judged(measure(table(spark, sf_dir, "documents")), min_docs=2).select(*COLUMNS)
+
+
 SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t,
@@ -46,3 +51,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND n_words - removed_words >= 5 AND n_words - removed_words >= n_words * 0.5::DOUBLE AS kept
 FROM tested
 """
+LOW_LIMIT_SQL = SQL.replace("line_docs > 20", "line_docs > 2")

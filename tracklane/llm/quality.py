@@ -22,6 +22,8 @@ LINE_MIN_DOCS = 20
 LINE_MAX_SHARE = 0.001
 #: A document is depleted if fewer words are left than either of these asks for.
 LEAST_WORDS = 5
+#: Parts that the rows of one line are dealt to when they meet the frequent lines.
+SALTS = 16
 LEAST_SHARE = 0.5
 
 MIN_WORDS = 10
@@ -74,7 +76,9 @@ def line_hash(line: Column) -> Column:
 def measure(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """Base counts of each row, its host and its hashed lines, staged: one row per row of docs, with a row id.
 
-    Null text counts as empty; a null host is a host of its own.
+    Null text counts as empty; a null host is a host of its own. Rows count each
+    as a document of its own, whatever their ids: null and repeated ones too.
+    Other columns of docs are not touched.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(0))
@@ -111,8 +115,9 @@ def frequent_lines(measured: DataFrame, min_docs: int = LINE_MIN_DOCS, max_share
 
 def judged(measured: DataFrame, min_docs: int = LINE_MIN_DOCS, max_share: float = LINE_MAX_SHARE, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
     """measured with removed_words and kept; kept is false where base_failed, else false for depleted documents."""
-    each = measured.select("row_id", "no_host", "host", F.explode("lines").alias("line")).select("row_id", "no_host", "host", "line.h", "line.n")
-    lost = each.join(frequent_lines(measured, min_docs, max_share), ["no_host", "host", "h"]).groupBy("row_id").agg(F.sum("n").alias("removed_words"), F.collect_set("h").alias("removed"))
+    each = measured.select("row_id", "no_host", "host", F.explode("lines").alias("line")).select("row_id", "no_host", "host", "line.h", "line.n", F.pmod("row_id", F.lit(SALTS)).cast("int").alias("salt"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    lost = each.join(frequent_lines(measured, min_docs, max_share).select("*", salts), ["no_host", "host", "h", "salt"]).groupBy("row_id").agg(F.sum("n").alias("removed_words"), F.collect_set("h").alias("removed"))
     left = F.col("n_words") - F.col("removed_words")
     return (
         measured.join(lost, "row_id", "left")

@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_embedding_neardup": q_embeddup.op8_embedding_neardup,
         "op9_quality_rules": q_quality.op9_quality_rules,
         "op10_language_id": q_langid.op10_language_id,
+        "quality_rules_low_limit": q_quality.quality_rules_low_limit,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_license_scans": q_licenses.sql(),
         "op8_embedding_neardup": q_embeddup.SQL,
         "op9_quality_rules": q_quality.SQL,
+        "quality_rules_low_limit": q_quality.LOW_LIMIT_SQL,
     }
