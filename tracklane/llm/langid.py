@@ -1,6 +1,6 @@
 """Language identification by hyperdimensional profiles.
 
-Every letter has a random bipolar vector. The vectors of an n-gram's letters,
+Every letter (code point) has a random bipolar vector of its own, a hash. The vectors of an n-gram's letters,
 each rotated by its place, are multiplied (bound) into the n-gram's vector;
 n-gram vectors add up (are bundled) to the text's. The prototype of a language
 is the mean of its texts' vectors, and a text is given the language whose
@@ -21,41 +21,56 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tracklane.llm.common import bounded_batches, fold, tidied
-from tracklane.llm.textvec import slices
+from tracklane.llm.textvec import mix, slices
 
 FIT_ROWS = 20_000
 DIMENSIONS = 512
 GRAM = 3
-#: Symbols: 0 stands for a run of anything but letters, 1-26 for a-z, the others are shared by all other letters.
-SYMBOLS = 48
-#: Texts whose n-gram counts are held at once.
+#: A blank and a-z.
+SYMBOLS = 27
+#: Bits of a code point; the letters of an n-gram are packed into one number.
+CODE_BITS = 21
+#: Texts, and distinct n-grams of them, whose counts are held at once.
 SLICE_TEXTS = 512
+GRAMS_AT_ONCE = 8192
 #: Cosines are turned into a score by a softmax with this factor.
 SHARPNESS = 12.0
 UNKNOWN = "und"
 
 
 @lru_cache(maxsize=1)
-def symbol_table() -> np.ndarray:
-    """Symbol of each code point."""
-    table = np.zeros(0x110000, dtype=np.uint8)
-    letters = np.array([c for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()], dtype=np.uint32)
-    table[letters] = 27 + (letters * np.uint32(2654435761) >> np.uint32(16)) % np.uint32(SYMBOLS - 27)
-    for c in range(26):
-        table[97 + c] = table[65 + c] = 1 + c
+def letters() -> np.ndarray:
+    """Whether a code point is a letter."""
+    table = np.zeros(0x110000, dtype=bool)
+    table[[c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]] = True
     return table
 
 
 @lru_cache(maxsize=1)
-def gram_vectors() -> np.ndarray:
-    """A row for each n-gram of symbols: the product of its letters' vectors, rotated by their places."""
-    letters = np.random.default_rng(20240229).integers(0, 2, (SYMBOLS, DIMENSIONS), dtype=np.int8) * 2 - 1
-    out = np.ones((1, DIMENSIONS), dtype=np.int8)
+def latin_vectors() -> np.ndarray:
+    """Bipolar vectors of a blank and of a-z."""
+    return np.random.default_rng(20240229).integers(0, 2, (SYMBOLS, DIMENSIONS), dtype=np.int8) * 2 - 1
+
+
+def letter_vectors(codes: np.ndarray) -> np.ndarray:
+    """A bipolar vector for each code point (0: a blank); those of letters beyond a-z have a hash of code point and dimension for signs."""
+    cells = codes.astype(np.uint64)[:, None] * np.uint64(DIMENSIONS) + np.arange(DIMENSIONS, dtype=np.uint64)
+    out = (mix(cells + np.uint64(20240229)) >> np.uint64(40) & np.uint64(1)).astype(np.int8) * 2 - 1
+    latin = (codes >= 97) & (codes < 123)
+    out[latin] = latin_vectors()[codes[latin] - 96]
+    out[codes == 0] = latin_vectors()[0]
+    return out.astype(np.int8)
+
+
+def gram_vectors(grams: np.ndarray) -> np.ndarray:
+    """A row for each packed n-gram: the product of its letters' vectors, rotated by their places."""
+    out = np.ones((len(grams), DIMENSIONS), dtype=np.int8)
     for place in range(GRAM):
-        turned = np.roll(letters, GRAM - 1 - place, axis=1)
-        out = (out[:, None, :] * turned[None, :, :]).reshape(-1, DIMENSIONS)
+        own, at = np.unique(grams >> (CODE_BITS * (GRAM - 1 - place)) & ((1 << CODE_BITS) - 1), return_inverse=True)
+        out *= np.roll(letter_vectors(own), GRAM - 1 - place, axis=1)[at]
     return out
 
 
@@ -64,26 +79,30 @@ def bundles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lower = [t.lower() for t in texts]
     sizes = np.array([len(t) for t in lower], dtype=np.int64)
     codes = np.frombuffer("".join(lower).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    symbols = symbol_table()[codes]
+    symbols = np.where(letters()[codes], codes, 0).astype(np.int64)  # 0: a run of anything but letters
     owner = np.repeat(np.arange(len(texts)), sizes)
-    letters = np.bincount(owner[symbols > 0], minlength=len(texts))
-    # runs of other characters become one blank; every text also begins and ends with a blank
+    count = np.bincount(owner[symbols > 0], minlength=len(texts))
+    # runs of other characters become one blank
     again = np.zeros(len(symbols), dtype=bool)
     again[1:] = (symbols[1:] == 0) & (symbols[:-1] == 0) & (owner[1:] == owner[:-1])
     symbols, owner = symbols[~again], owner[~again]
     gram = np.zeros(max(len(symbols) - GRAM + 1, 0), dtype=np.int64)
     for place in range(GRAM):
-        gram = gram * SYMBOLS + symbols[place : place + len(gram)]
+        gram = gram << CODE_BITS | symbols[place : place + len(gram)]
     whole = owner[: len(gram)] == owner[GRAM - 1 :] if len(gram) else np.zeros(0, dtype=bool)
     gram, of = gram[whole], owner[: len(whole)][whole]
-    seen = np.bincount(gram, minlength=SYMBOLS**GRAM) > 0
-    used = np.flatnonzero(seen)
-    column = (np.cumsum(seen) - 1)[gram]
     out = np.zeros((len(texts), DIMENSIONS), dtype=np.float32)
-    if len(used):
-        counts = np.bincount(of * len(used) + column, minlength=len(texts) * len(used)).reshape(len(texts), len(used)).astype(np.float32)
-        out = counts @ gram_vectors()[used].astype(np.float32)
-    return out, letters
+    order = np.argsort(gram)
+    gram, of = gram[order], of[order]
+    begins = np.flatnonzero(np.diff(gram, prepend=-1))
+    column = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(gram))))
+    for first in range(0, len(begins), GRAMS_AT_ONCE):
+        last = min(first + GRAMS_AT_ONCE, len(begins))
+        rows = slice(begins[first], begins[last] if last < len(begins) else len(gram))
+        wide = last - first
+        counts = np.bincount(of[rows] * wide + column[rows] - first, minlength=len(texts) * wide).reshape(len(texts), wide).astype(np.float32)
+        out += counts @ gram_vectors(gram[begins[first:last]]).astype(np.float32)
+    return out, count
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -101,8 +120,8 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> dict[str, np.ndarray]:
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), dtype=object)
             for start, end in slices(batch.column(0), SLICE_TEXTS):
-                vectors, letters = bundles(batch.column(0).slice(start, end - start).to_pylist())
-                vectors = unit(vectors) * (letters > 0)[:, None]
+                vectors, n_letters = bundles(batch.column(0).slice(start, end - start).to_pylist())
+                vectors = unit(vectors) * (n_letters > 0)[:, None]
                 for lang in set(langs[start:end].tolist()):
                     own = vectors[langs[start:end] == lang]
                     sums[lang] = sums.get(lang, 0) + own.astype(np.float64).sum(axis=0)
@@ -116,8 +135,13 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> dict[str, np.ndarray]:
     return {lang: unit(v) for lang, v in totals.items() if np.linalg.norm(v) > 0}
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
-    """docs with lang_pred and score. Text that is null or has no letter is `und` with score 0, as is all text without prototypes."""
+def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """docs with a language and its score; columns of these names are replaced, all others stay.
+
+    Text that is null or has no letter is `und` with score 0, as is all text
+    without prototypes. Rows are judged each on its own, whatever their ids.
+    """
+    docs = docs.drop(lang_col, score_col)
     names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast((list(prototypes), np.array(list(prototypes.values()))))
 
@@ -130,17 +154,17 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
             predicted, scores = np.full(batch.num_rows, UNKNOWN, dtype=object), np.zeros(batch.num_rows)
             texts = batch.column(names.index("text"))
             for start, end in slices(texts, SLICE_TEXTS) if langs else ():
-                vectors, letters = bundles([t or "" for t in texts.slice(start, end - start).to_pylist()])
+                vectors, n_letters = bundles([t or "" for t in texts.slice(start, end - start).to_pylist()])
                 cosines = unit(unit(vectors) - centre) @ directions.T
                 power = np.exp(SHARPNESS * (cosines - cosines.max(axis=1, keepdims=True)))
                 best = cosines.argmax(axis=1)
-                some = np.flatnonzero(letters > 0)
+                some = np.flatnonzero(n_letters > 0)
                 predicted[start + some] = np.array(langs, dtype=object)[best[some]]
                 scores[start + some] = (power.max(axis=1) / power.sum(axis=1))[some]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(predicted, pa.string()), pa.array(scores)], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(predicted, pa.string()), pa.array(scores)], names=[*names, lang_col, score_col])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return bounded_batches(docs).mapInArrow(tidied(run), f"{schema}, lang_pred string, score double")
+    schema = StructType([*docs.schema.fields, StructField(lang_col, StringType()), StructField(score_col, DoubleType())])
+    return bounded_batches(docs).mapInArrow(tidied(run), schema)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
