@@ -17,9 +17,14 @@ from tracklane.llm.q_packing import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays below the threshold; the model learns from the labels of folds 0 and 2."""
+    """Documents whose toxicity score stays below the threshold; the model learns from the labels of folds 0 and 2.
+
+    Every row is judged by its own text, with repeated and null ids too; null
+    and empty texts score like a text without words. Without labels all stay.
+    """
     model = toxicity.train(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    scored = toxicity.score(docs, model, score_col="__toxic_score", predicted_col="__toxic")
+    return scored.where("`__toxic` = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,18 +45,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the spans of secrets replaced in their texts."""
-    return secrets.redact(docs)
+    """All documents, with the spans of secrets replaced in their texts; null texts and ids stay null."""
+    return secrets.redact(docs, vocabulary=tokenizer_path())
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in mixing order."""
+    """Documents as often as the mix takes them, in mixing order; null sources are one source, texts without words go."""
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenised pieces of all documents with their places in sequences."""
-    return packing.pack(packing.pieces(docs, tokenizer_path()))
+    """Tokenised pieces of all documents, ids included, with their places in sequences; a null id stays null."""
+    return packing.pack(packing.pieces(docs, tokenizer_path(), with_ids=True))
 
 
 STAGES = [
