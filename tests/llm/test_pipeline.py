@@ -54,3 +54,40 @@ def test_repeated_and_null_ids(spark, make_docs):
     docs = make_docs([(1, "a b c d e"), (1, "a b c d e"), (1, "x y z"), (2, "a b c d e"), (None, "q r s"), (3, None), (4, "")], extra=False)
     out = sorted(((r.doc_id or 0), r.text or "") for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
     assert out == [(0, "q r s"), (1, "a b c d e"), (3, ""), (4, "")]
+
+
+@pytest.fixture(scope="module")
+def tiny(spark, tmp_path_factory):
+    """A folder with few labels, and with none."""
+    full, none = (str(tmp_path_factory.mktemp(n)) for n in ("full", "none"))
+    spark.createDataFrame([(i, i % 2, i % 3) for i in range(60)], "doc_id long, toxic int, quality int").write.parquet(f"{full}/labels.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{none}/labels.parquet")
+    return full, none
+
+
+def test_stages_on_edges_and_clashing_columns(spark, make_docs, edges, tiny):
+    docs = make_docs(edges)
+    for name in ("predicted", "__toxic_x", "taken", "spans", "ids", "sequence_id", "virtual_finish", "entry"):
+        docs = docs.withColumn(name, docs.doc_id * 0 - 9)
+    for folder in tiny:
+        after = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, after, folder)
+            assert out.columns == docs.columns, name
+            rows = out.collect()
+            assert all(r.score == -7 and r.predicted == -9 for r in rows if r.doc_id is not None)
+            after = spark.createDataFrame(rows, docs.schema)
+        assert corpus_pipeline.pack_sequences(spark, after, folder).count() >= len(rows)
+
+
+def test_stages_on_empty_documents(spark, make_docs, tiny):
+    docs = make_docs([], extra=False)
+    for folder in tiny:
+        for name, stage in corpus_pipeline.STAGES:
+            assert stage(spark, docs, folder).count() == 0, name
+
+
+def test_packed_pieces_hold_their_ids(stages):
+    _, packed = stages[-1]
+    for r in packed.limit(20).collect():
+        assert len(r.ids) == 4 * r.length
