@@ -28,24 +28,31 @@ def at(slot: Column) -> tuple[Column, Column]:
 
 
 def min_residual(frames: DataFrame, strong=STRONG, weak=WEAK) -> DataFrame:
-    """The attacker slot whose expected defender position is nearest, the first of ties, and that distance."""
+    """The attacker slot whose expected defender position is nearest, the first of ties, and that distance.
 
-    def residual(o: Column, j: Column) -> Column:
-        w = court.side_weights(court.same_side(o["y"], F.col("ball_y")), strong, weak)
-        x, y = court.expected_position(o["x"], o["y"], F.col("ball_x"), F.col("ball_y"), w)
-        return F.struct(court.distance(F.col("def_x"), F.col("def_y"), x, y).alias("residual"), j.cast("long").alias("man"))
-
-    best = F.array_min(F.transform("off", residual))
-    return defenders(frames).withColumn("best", best).select("possession", "step", "slot", "best.man", "best.residual")
+    Expected positions are computed once for a step, as plain columns, before
+    defenders are told apart; the nearest is a choice among five numbers.
+    """
+    spots, names = {}, []
+    for j in range(5):
+        o = F.get("off", F.lit(j))
+        x, y = court.expected_position(o["x"], o["y"], F.col("ball_x"), F.col("ball_y"), court.side_weights(court.same_side(o["y"], F.col("ball_y")), strong, weak))
+        spots[f"__x{j}"], spots[f"__y{j}"] = x, y
+        names += [f"__x{j}", f"__y{j}"]
+    rows = defenders(frames.select("possession", "step", "def", "off", "ball_x", "ball_y").withColumns(spots).drop("off")).withColumns({f"__r{j}": court.distance(F.col("def_x"), F.col("def_y"), F.col(f"__x{j}"), F.col(f"__y{j}")) for j in range(5)})
+    least = F.least(*[F.col(f"__r{j}") for j in range(5)])
+    man = F.coalesce(*[F.when(F.col(f"__r{j}") == F.col("residual"), j) for j in range(5)]).cast("long")
+    return rows.withColumn("residual", least).select("possession", "step", "slot", man.alias("man"), "residual")
 
 
 def expected_deviation(frames: DataFrame, strong=STRONG, weak=WEAK) -> DataFrame:
     """Per frame and defender guarding the attacker of its own slot: deviation from the expected position, and sag toward the hoop."""
-    rows = defenders(frames)
-    ox, oy = at(F.col("slot"))
+    own = F.transform("def", lambda d, j: F.struct(d["x"].alias("dx"), d["y"].alias("dy"), F.get("off", j)["x"].alias("ox"), F.get("off", j)["y"].alias("oy")))
+    rows = frames.select("possession", "step", "ball_x", "ball_y", F.posexplode(own).alias("slot", "p")).select("possession", "step", F.col("slot").cast("long").alias("slot"), "ball_x", "ball_y", "p.*")
+    ox, oy = F.col("ox"), F.col("oy")
     side = court.same_side(oy, F.col("ball_y"))
     ex, ey = court.expected_position(ox, oy, F.col("ball_x"), F.col("ball_y"), court.side_weights(side, strong, weak))
-    vx, vy = F.col("def_x") - ex, F.col("def_y") - ey
+    vx, vy = F.col("dx") - ex, F.col("dy") - ey
     reach = F.greatest(court.distance(ox, oy, court.HOOP_X, court.HOOP_Y), F.lit(1e-6))
     sag = (vx * (court.HOOP_X - ox) + vy * (court.HOOP_Y - oy)) / reach
     return rows.select("possession", "step", "slot", side.alias("strong"), F.hypot(vx, vy).alias("dev"), sag.alias("sag"))

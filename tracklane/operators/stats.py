@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,11 +34,54 @@ def mode_stable(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return counts.groupBy(*by).agg(best.alias("best")).select(*by, F.col("best.v").alias("mode"), (-F.col("best.k")).alias("n"))
 
 
+#: Cells that values are dealt to, and rows above which the cell of a wanted rank is dealt again.
+CELLS, LEAF = 1024, 1_000_000
+
+
+def _dealt(df: DataFrame, value: str, cell: str = "__cell") -> DataFrame:
+    """Adds the cell of a non-null number: approximate quantiles are the edges, so but for equal values cells hold about as many rows, whatever the outliers."""
+    edges = df.agg(F.percentile_approx(value, [k / CELLS for k in range(1, CELLS)], 20_000)).first()[0]
+    splits = [-math.inf, *sorted({float(e) for e in edges or []}), math.inf]
+    if len(splits) < 3:
+        return df.withColumn(cell, F.lit(0))
+    number = df.withColumn("__number", F.col(value).cast("double"))
+    return Bucketizer(splits=splits, inputCol="__number", outputCol=cell).transform(number).withColumn(cell, F.col(cell).cast("int")).drop("__number")
+
+
+def _values_at(rows: DataFrame, places: Sequence[int]) -> dict[int, float]:
+    """The values of column v at these places (from 0) of its sorted rows: only the cells that hold them are looked into."""
+    dealt = _dealt(rows, "v")
+    totals = sorted((r["__cell"], r["c"], r["low"], r["high"]) for r in dealt.groupBy("__cell").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("low"), F.max("v").alias("high")).collect())  # at most CELLS rows
+    out, before = {}, 0
+    for cell, count, low, high in totals:
+        own = [k - before for k in places if before <= k < before + count]
+        if own and low == high:
+            out |= {before + k: low for k in own}
+        elif own and count > LEAF and len(totals) > 1:
+            out |= {before + k: v for k, v in _values_at(dealt.where(F.col("__cell") == cell).select("v"), own).items()}
+        elif own:
+            placed = dealt.where(F.col("__cell") == cell).withColumn("i", F.row_number().over(Window.orderBy("v")) - 1)  # at most LEAF rows
+            out |= {before + r["i"]: r["v"] for r in placed.where(F.col("i").isin(own)).select("i", "v").collect()}
+        before += count
+    return out
+
+
+def linear_quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> list[float | None]:
+    """Exact linear quantiles of a column's non-null values, without a task that holds all of them; nulls without values."""
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    n = rows.count()
+    if not n:
+        return [None] * len(shares)
+    ranks = [(int(q * (n - 1)), q * (n - 1) - int(q * (n - 1))) for q in shares]
+    at = _values_at(rows, sorted({k for low, _ in ranks for k in (low, min(low + 1, n - 1))}))
+    return [at[k] + part * (at[min(k + 1, n - 1)] - at[k]) for k, part in ranks]
+
+
 def quantile_bins(df: DataFrame, value: str, bins: int) -> DataFrame:
     """Adds bin 1..bins by the linear quantiles of value; an edge belongs to the bin below it."""
-    edges = df.agg(F.percentile(value, F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias("__edges"))
-    bin_of = F.size(F.filter("__edges", lambda e: e < F.col(value))) + 1
-    return df.withColumn("__edges", edges.scalar()).withColumn("bin", F.when(F.col(value).isNotNull(), bin_of).cast("long")).drop("__edges")
+    edges = [e for e in linear_quantiles(df, value, [k / bins for k in range(1, bins)]) if e is not None]
+    below = sum(((F.col(value) > F.lit(e)).cast("int") for e in edges), F.lit(1))
+    return df.withColumn("bin", F.when(F.col(value).isNotNull(), below).cast("long"))
 
 
 def correlation(a: str, b: str) -> Column:
@@ -76,16 +121,34 @@ def mann_whitney_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     return wins.select("n_pos", "n_neg", (F.col("u") / F.nullif((F.col("n_pos") * F.col("n_neg")).cast("double"), F.lit(0.0))).alias("auc"))
 
 
-def sum_below(df: DataFrame, order: str, value: str, name: str, cells: int = 4096) -> DataFrame:
+def sum_below(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
     """Adds the sum of value over all rows with a smaller `order` (distinct numbers).
 
-    Rows are dealt to equal cells between the extremes; the cells' totals, a
-    bounded table, carry the sums from cell to cell, so no task sorts all rows.
+    Rows are dealt to cells of about equal size; the cells' totals, a bounded
+    table, carry the sums from cell to cell, so no task sorts all rows.
     """
-    low, high = df.agg(F.min(order)).scalar(), df.agg(F.max(order)).scalar()
-    share = F.coalesce((F.col(order) - low) / F.nullif((high - low).cast("double"), F.lit(0.0)), F.lit(0.0))
-    dealt = df.withColumn("__cell", F.floor(share * cells))
+    dealt = _dealt(df, order)
     before = F.coalesce(F.sum("__t").over(Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     totals = dealt.groupBy("__cell").agg(F.sum(value).alias("__t")).select("__cell", before.alias("__before"))
     inside = F.coalesce(F.sum(value).over(Window.partitionBy("__cell").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return dealt.join(F.broadcast(totals), "__cell").withColumn(name, F.col("__before") + inside).drop("__cell", "__before")  # at most cells + 1 rows
+    return dealt.join(F.broadcast(totals), "__cell").withColumn(name, F.col("__before") + inside).drop("__cell", "__before")  # at most CELLS rows
+
+
+def described(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per column: count, nulls, mean, deviation, least, quartiles and most."""
+    rows = []
+    for c in columns:
+        r = df.agg(F.count(c).alias("n"), F.count_if(F.col(c).isNull()).alias("nulls"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).alias("low"), F.max(c).alias("high")).first()
+        rows.append((c, r["n"], r["nulls"], *(None if x is None else float(x) for x in (r["mean"], r["sd"], r["low"], *linear_quantiles(df, c, (0.25, 0.5, 0.75)), r["high"]))))
+    return df.sparkSession.createDataFrame(rows, "name string, n long, nulls long, mean double, sd double, low double, q25 double, q50 double, q75 double, high double")
+
+
+def place_percentile(by: Sequence[str], value: str, tie: Sequence[str]) -> Column:
+    """100 * place / (n - 1) of the sorted values, ties by `tie`; null for a single row."""
+    key = Window.partitionBy(*by)
+    return 100 * (F.row_number().over(key.orderBy(value, *tie)) - 1) / F.nullif(F.count(F.lit(1)).over(key) - 1, F.lit(0))
+
+
+def row_index(df: DataFrame, order: str, name: str) -> DataFrame:
+    """Adds the place of each row in the order of a distinct number, from 0."""
+    return sum_below(df.withColumn("__one", F.lit(1).cast("long")), order, "__one", name).drop("__one")

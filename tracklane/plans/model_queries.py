@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -23,27 +24,39 @@ def r6(column):
     return F.round(column, 6)
 
 
-def _viterbi_sql() -> str:
+def _viterbi_sql(help_state: tuple | None = None) -> str:
     (wo, wb, wh), (so, sb, sh) = PARAMS.gamma
     side = "sign(o.off_y - 25) = sign(d.ball_y - 25)"
     mu = lambda axis, hoop: f"CASE WHEN {side} THEN {so}::DOUBLE * o.off_{axis} + {sb}::DOUBLE * d.ball_{axis} + {sh}::DOUBLE * {hoop} ELSE {wo}::DOUBLE * o.off_{axis} + {wb}::DOUBLE * d.ball_{axis} + {wh}::DOUBLE * {hoop} END"
     s2 = f"CASE WHEN {side} THEN {PARAMS.sigma2[1]}::DOUBLE ELSE {PARAMS.sigma2[0]}::DOUBLE END"
-    stay, move = math.log(PARAMS.rho), math.log((1 - PARAMS.rho) / 4)
-    steps = ["v0 AS (SELECT possession, slot, man, lb - ln(5::DOUBLE) AS lp, [man] AS path FROM e WHERE step = 0)"]
+    states = 5 if help_state is None else 6
+    stay, move = math.log(PARAMS.rho), math.log((1 - PARAMS.rho) / (states - 1))
+    helping = ""
+    if help_state is not None:
+        share, spread = help_state
+        square = " + ".join(f"(def_{axis} - ({hoop} + {share}::DOUBLE * (ball_{axis} - {hoop}))) ** 2" for axis, hoop in (("x", "5.25"), ("y", "25.0")))
+        helping = f" UNION ALL SELECT possession, step, slot, 5 AS man, -0.5 * ({square}) / {spread}::DOUBLE - ln({spread}::DOUBLE) - ln(2 * pi()) AS lb FROM vt"
+    steps = [f"v0 AS (SELECT possession, slot, man, lb - ln({states}::DOUBLE) AS lp, [man] AS path FROM e WHERE step = 0)"]
     for t in range(1, virtual.STEPS):
         score = f"p.lp + CASE WHEN p.man = e.man THEN {stay}::DOUBLE ELSE {move}::DOUBLE END"
         steps.append(f"v{t} AS (SELECT e.possession, e.slot, e.man, max({score}) + any_value(lb) AS lp, list_append(arg_max(p.path, {score}), e.man) AS path FROM e JOIN v{t - 1} p ON p.possession = e.possession AND p.slot = e.slot WHERE e.step = {t} GROUP BY e.possession, e.slot, e.man)")
     return f"""WITH {virtual.SQL},
-    e AS (SELECT d.possession, d.step, d.slot, o.slot AS man, -0.5 * ((d.def_x - ({mu("x", "5.25")})) ** 2 + (d.def_y - ({mu("y", "25.0")})) ** 2) / ({s2}) - ln({s2}) - ln(2 * pi()) AS lb FROM vt d JOIN vt o USING (possession, step)),
+    e AS (SELECT d.possession, d.step, d.slot, o.slot AS man, -0.5 * ((d.def_x - ({mu("x", "5.25")})) ** 2 + (d.def_y - ({mu("y", "25.0")})) ** 2) / ({s2}) - ln({s2}) - ln(2 * pi()) AS lb FROM vt d JOIN vt o USING (possession, step){helping}),
     {", ".join(steps)}
     SELECT possession, slot, array_to_string(arg_max(path, lp), '') AS path FROM v{virtual.STEPS - 1} GROUP BY ALL"""
 
 
 @query("matchup_viterbi", _viterbi_sql())
 def matchup_viterbi(spark, sf_dir):
-    states = hmm.decode(hmm.chains(frames(spark, sf_dir)), PARAMS)
-    path = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "man"))), lambda x: x["man"].cast("string")), "")
-    return states.groupBy("possession", "slot").agg(path.alias("path"))
+    path = F.array_join(F.transform("path", lambda x: x.cast("string")), "")
+    return hmm.paths(hmm.chains(frames(spark, sf_dir)), PARAMS).select("possession", "slot", path.alias("path"))
+
+
+@query("matchup_viterbi_help", _viterbi_sql(help_state=(0.45, 30.0)))
+def matchup_viterbi_help(spark, sf_dir):
+    """As matchup_viterbi, with a state of helping (5)."""
+    path = F.array_join(F.transform("path", lambda x: x.cast("string")), "")
+    return hmm.paths(hmm.chains(frames(spark, sf_dir)), replace(PARAMS, help=(0.45, 30.0))).select("possession", "slot", path.alias("path"))
 
 
 @query("matchup_em")
@@ -56,6 +69,42 @@ def matchup_em(spark, sf_dir):
     return spark.createDataFrame(rows, "name string, value double")
 
 
+@query("matchup_em_help")
+def matchup_em_help(spark, sf_dir):
+    """As matchup_em, one group of weights, with a state of helping."""
+    p = hmm.fit(hmm.chains(frames(spark, sf_dir)), hmm.Params(stratified=False, help=(0.5, 25.0)), max_iter=6)
+    rows = [(f"gamma_{name}", float(v)) for name, v in zip(("o", "b", "h"), p.gamma[0], strict=True)] + [("sigma2", p.sigma2[0]), ("rho", p.rho), ("help_share", p.help[0]), ("help_sigma2", p.help[1])]
+    return spark.createDataFrame(rows + [(f"loglik_{i}", float(v)) for i, v in enumerate(p.history)], "name string, value double")
+
+
+def event_codes(rows):
+    """frames with an event code for each defender: bits of a made-up rule on possession, step and slot."""
+    code = lambda j: (F.col("possession") + F.col("step") * 3 + j * 5) % hmm.PATTERNS
+    return rows.withColumn("code", F.transform(F.sequence(F.lit(0), F.lit(4)), code))
+
+
+@query("matchup_em_events")
+def matchup_em_events(spark, sf_dir):
+    """Fit of event-dependent switching: coefficients and the log-likelihood per observation of each iteration."""
+    start = hmm.Params(beta=(-2.0,) + (0.0,) * len(hmm.COVARIATES))
+    p = hmm.fit(hmm.chains(event_codes(frames(spark, sf_dir)), "code"), start, max_iter=5)
+    rows = [(f"beta_{name}", v) for name, v in zip(("0", *hmm.COVARIATES), p.beta, strict=True)]
+    return spark.createDataFrame(rows + [(f"loglik_{i}", float(v)) for i, v in enumerate(p.history)], "name string, value double")
+
+
+@query("matchup_em_starts")
+def matchup_em_starts(spark, sf_dir):
+    """The same fit from three starts: chance to stay and log-likelihood per observation where each ends."""
+    held, out = hmm.chains(frames(spark, sf_dir)).persist(), []
+    try:
+        for name, start in (("even", hmm.Params(gamma=((1 / 3,) * 3,) * 2)), ("attacker", hmm.Params(gamma=((0.9, 0.05, 0.05),) * 2)), ("loose", hmm.Params(rho=0.6, sigma2=(25.0, 25.0)))):
+            p = hmm.fit(held, start, max_iter=6)
+            out.append((name, p.rho, float(p.history[-1]), len(p.history)))
+    finally:
+        held.unpersist()
+    return spark.createDataFrame(out, "start string, rho double, loglik double, iterations int")
+
+
 @query("newton_logistic")
 def newton_logistic(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")

@@ -25,10 +25,10 @@ def r6(column):
 @query(
     "velocities",
     f"""WITH {virtual.SQL} SELECT possession, slot, step, round(CASE WHEN step = 0 THEN (lead(def_x) OVER w - def_x) * 5 WHEN step = {virtual.STEPS - 1} THEN (def_x - lag(def_x) OVER w) * 5 ELSE (lead(def_x) OVER w - lag(def_x) OVER w) * 2.5 END, 6)::DOUBLE AS vx
-    FROM vt WHERE slot = 0 WINDOW w AS (PARTITION BY possession, slot ORDER BY step)""",
+    FROM vt WINDOW w AS (PARTITION BY possession, slot ORDER BY step)""",
 )
 def velocities(spark, sf_dir):
-    rows = matchup.defenders(frames(spark, sf_dir)).where("slot = 0")
+    rows = matchup.defenders(frames(spark, sf_dir))
     w = Window.partitionBy("possession", "slot").orderBy("step")
     before, after = F.lag("def_x").over(w), F.lead("def_x").over(w)
     central = (F.coalesce(after, F.col("def_x")) - F.coalesce(before, F.col("def_x"))) * matchup.HZ / F.when(before.isNull() | after.isNull(), 1).otherwise(2)
@@ -167,8 +167,11 @@ def _shot_table(spark, sf_dir):
 def shot_quality_model(spark, sf_dir):
     """Coefficients of the full model, and its mean prediction against the observed rate."""
     shots = shot_quality.trusted(_shot_table(spark, sf_dir)).persist()
-    model = shot_quality.fit(shots)
-    means = model.predict(shots, leave_one_out=True).agg(F.avg("xfg").alias("p"), F.avg("made").alias("y")).first()
+    try:
+        model = shot_quality.fit(shots)
+        means = model.predict(shots, leave_one_out=True).agg(F.avg("xfg").alias("p"), F.avg("made").alias("y")).first()
+    finally:
+        shots.unpersist()
     rows = [*model.coefficients.items(), ("mean_predicted", means["p"]), ("mean_observed", means["y"])]
     return spark.createDataFrame([(k, float(v)) for k, v in rows], "name string, value double")
 
@@ -183,25 +186,31 @@ def shot_points_difference(spark, sf_dir):
     return out.groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.avg("xfg_real").alias("xfg"), F.avg("dep_far").alias("dep_far"))
 
 
-@query("rule_baseline")
+_RULE = "sqrt((def_x - (0.6::DOUBLE * o_x + 0.2::DOUBLE * ball_x + 0.2::DOUBLE * 5.25)) ** 2 + (def_y - (0.6::DOUBLE * o_y + 0.2::DOUBLE * ball_y + 0.2::DOUBLE * 25.0)) ** 2)"
+
+
+@query(
+    "rule_baseline",
+    f"""WITH {virtual.SQL}, c AS (SELECT d.possession, d.step, d.slot, list(({_RULE.replace("o_x", "o.off_x").replace("o_y", "o.off_y").replace("def_", "d.def_").replace("ball_", "d.ball_")}) ** 2 ORDER BY o.slot) AS c FROM vt d JOIN vt o USING (possession, step) GROUP BY ALL),
+    f AS (SELECT possession, step, list(c ORDER BY slot) AS m FROM c GROUP BY ALL),
+    w AS (SELECT a.i AS a, b.i AS b, c.i AS c, d.i AS d, e.i AS e FROM range(5) a(i), range(5) b(i), range(5) c(i), range(5) d(i), range(5) e(i) WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+    t AS (SELECT possession, step, min(m[1][a + 1] + m[2][b + 1] + m[3][c + 1] + m[4][d + 1] + m[5][e + 1]) AS total FROM f, w GROUP BY ALL)
+    SELECT step, count(*)::BIGINT AS n, round(avg(total), 5) AS mean_total FROM t GROUP BY step""",
+)
 def rule_baseline(spark, sf_dir):
-    """Per step, the least total squared distance of defenders to expected positions over all assignments, and how many keep their own man."""
+    """By step, the least total squared distance of defenders to expected positions over all assignments."""
     import numpy as np
     import pyarrow as pa
 
+    from tracklane.operators.baselines import _costs
     from tracklane.operators.mixture import best_assignment
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ball, off, men, valid = hmm.arrays(batch)
-            p = hmm.Params()
-            mean = np.array(p.gamma)[1][0] * off + np.array(p.gamma)[1][1] * ball[:, :, None] + np.array(p.gamma)[1][2] * hmm.HOOP
-            cost = ((men[:, :, :, None] - mean[:, :, None]) ** 2).sum(-1)[valid]
-            total, order = best_assignment(cost)
-            own = (order == np.arange(5)).sum(-1)
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total)], names=["own", "total"])
-
-    steps = hmm.chains(frames(spark, sf_dir)).mapInArrow(run, "own long, total double")
-    return steps.groupBy("own").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("total"), 6).alias("mean_total"))
+        for raw in batches:
+            if raw.num_rows:
+                batch, cost = _costs(raw, (0.6, 0.2, 0.2))
+                _, step = np.nonzero(batch.valid)
+                yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(best_assignment(cost[batch.valid])[0])], names=["step", "total"])
+
+    steps = hmm.chains(frames(spark, sf_dir)).mapInArrow(run, "step long, total double")
+    return steps.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("total"), 5).alias("mean_total"))

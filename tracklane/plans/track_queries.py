@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracklane.functions import court
-from tracklane.operators import islands, matchup
+from tracklane.operators import islands, matchup, stats
 from tracklane.plans.registry import Registry
 from tracklane.sources import virtual
 from tracklane.sources.fixtures import table
@@ -158,9 +158,9 @@ def handler_candidates(spark, sf_dir):
 @query(
     "closeouts",
     f"""WITH {virtual.SQL}, c AS (SELECT *, sqrt((def_x - off_x) ** 2 + (def_y - off_y) ** 2) AS dd FROM vt WHERE slot = (handler + 1) % 5),
-    f AS (SELECT possession, any_value(slot) AS slot, max(dd) FILTER (step = 2) AS d0, min(step) FILTER (step >= 2 AND dd <= 3) AS closed FROM c WHERE step BETWEEN 2 AND 7 GROUP BY possession)
-    SELECT f.possession, f.slot, (closed - 2)::BIGINT AS steps, round(d0, 6) AS dist_at_catch, round((d0 - dd) * 5 / greatest(closed - 2, 1), 6) AS closing_speed
-    FROM f JOIN c ON c.possession = f.possession AND c.step = closed WHERE d0 > 3.5 AND (d0 - dd) * 5 / greatest(closed - 2, 1) >= 0.5""",
+    f AS (SELECT possession, any_value(slot) AS slot, max(dd) FILTER (step = 2) AS d0, min(step) FILTER (dd <= 3) AS closed, arg_min(dd, step) FILTER (dd <= 3) AS dd FROM c WHERE step BETWEEN 2 AND 7 GROUP BY possession)
+    SELECT possession, slot, (closed - 2)::BIGINT AS steps, round(d0, 6) AS dist_at_catch, round((d0 - dd) * 5 / greatest(closed - 2, 1), 6) AS closing_speed
+    FROM f WHERE d0 > 3.5 AND (d0 - dd) * 5 / greatest(closed - 2, 1) >= 0.5""",
 )
 def closeouts(spark, sf_dir):
     """The receiver is the slot after the handler's, caught at step 2; far, near and speed limits fit the synthetic frames."""
@@ -187,6 +187,6 @@ def breakdown_runs(spark, sf_dir):
     ox, oy = matchup.at(F.col("slot"))
     gaps = rows.select("possession", "slot", "step", F.round(court.distance(F.col("def_x"), F.col("def_y"), ox, oy), 9).alias("v"))
     sustained = islands.sustained_max(gaps, ["possession", "slot"], ["step"], "v", 3).groupBy("possession").agg(F.max("sustained").alias("sustained"))
-    threshold = sustained.agg(F.round(F.percentile("sustained", 0.8), 9)).scalar()
+    threshold = round(stats.linear_quantiles(sustained, "sustained", [0.8])[0], 9)
     runs = islands.true_runs(gaps.withColumn("above", F.col("v") > threshold), ["possession", "slot"], ["step"], F.col("above"), "v", 3)
     return runs.select("possession", "slot", F.col("start_place").cast("long").alias("start_step"), "length", r6("peak").alias("peak"))
