@@ -144,3 +144,27 @@ def evaluate_events(truth: DataFrame, found: DataFrame, by: list[str], window: i
     sums = listed.select("kind", matched.alias("m")).groupBy("kind").agg(F.sum("m").alias("n_matched"))
     out = count(truth, "n_truth").join(count(found, "n_found"), "kind", "full").join(sums, "kind", "left")
     return out.select("kind", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_truth", "n_found", "n_matched")])
+
+
+def omitted_variable_bounds(estimate: float, se: float, dof: int, r2_treatment: float, r2_outcome: float) -> tuple[float, float, float]:
+    """(bias, estimate brought toward 0 by it, its standard error) for an omitted variable that explains these shares of the residual variances of treatment and outcome."""
+    bias = se * math.sqrt(dof) * math.sqrt(r2_outcome * r2_treatment / (1 - r2_treatment))
+    adjusted = math.copysign(1.0, estimate) * (abs(estimate) - bias)
+    return bias, adjusted, se * math.sqrt((1 - r2_outcome) / (1 - r2_treatment)) * math.sqrt(dof / (dof - 1))
+
+
+def bias_contour(estimate: float, se: float, dof: int, shares: list[float]) -> list[tuple[float, float, float]]:
+    """(share of the treatment, share of the outcome, adjusted estimate) over a grid of shares."""
+    return [(a, b, omitted_variable_bounds(estimate, se, dof, a, b)[1]) for a in shares for b in shares]
+
+
+def bonferroni(p: list[float]) -> list[float]:
+    return [min(1.0, x * len(p)) for x in p]
+
+
+def leave_one_out(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Correlations without each of the points in turn, from sums."""
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    m = len(x) - 1
+    sx, sy, sxx, syy, sxy = (v.sum() - v for v in (x, y, x * x, y * y, x * y))
+    return (m * sxy - sx * sy) / np.sqrt((m * sxx - sx * sx) * (m * syy - sy * sy))

@@ -66,3 +66,19 @@ def band_pairs(left: DataFrame, right: DataFrame, by: list[str], width: int) ->
     cell = F.floor(F.col("t") / width)
     probes = left.withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
     return probes.join(right.withColumn("cell", F.floor(F.col("r_t") / width)), [*by, "cell"]).where(F.abs(F.col("r_t") - F.col("t")) <= width).drop("cell")
+
+
+def first_after_anchor_excluding(anchors: DataFrame, responses: DataFrame, horizon_ms: int) -> DataFrame:
+    """As first_after_anchor, by an actor who is not in the anchor's array `without`.
+
+    anchors: anchor_id, key, t_ms, without; responses: response_id, key, t_ms,
+    actor. Responses without an actor never match; a null array excludes nobody.
+    """
+    width = F.lit(horizon_ms)
+    bucket = F.floor(F.col("a_ms") / width)
+    a = anchors.select("anchor_id", "key", F.col("t_ms").alias("a_ms"), "without")
+    r = responses.select("response_id", "key", "actor", F.col("t_ms").alias("r_ms")).withColumn("bucket", F.floor(F.col("r_ms") / width))
+    allowed = F.col("actor").isNotNull() & ~F.coalesce(F.array_contains("without", F.col("actor")), F.lit(False))
+    met = a.withColumn("bucket", F.explode(F.array(bucket, bucket + 1))).join(r, ["key", "bucket"]).where(F.col("r_ms").between(F.col("a_ms"), F.col("a_ms") + width) & allowed)
+    first = met.groupBy("anchor_id").agg(F.min(F.struct((F.col("r_ms") - F.col("a_ms")).alias("delay_ms"), "response_id", "actor")).alias("f")).select("anchor_id", "f.*")
+    return a.drop("without").join(first, "anchor_id", "left")

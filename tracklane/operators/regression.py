@@ -6,6 +6,7 @@ numbers whatever the number of rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -126,3 +127,64 @@ def cluster_bootstrap(numerator: np.ndarray, denominator: np.ndarray, draws: int
         times = np.bincount(rng.integers(0, n, n), minlength=n)
         out[d] = (times @ numerator) / (times @ denominator)
     return out
+
+
+def calibration_slope(df: DataFrame, y: Column, p: Column) -> Fit:
+    """Logistic regression of y on the logit of predicted chances: 0 and 1 for calibrated ones. Chances of 0 and 1 are left out."""
+    held = df.where((p > 0) & (p < 1))
+    return newton_logistic(held, y, {"logit": F.ln(p / (1 - p))}, c=1e6)
+
+
+def moments_by_cluster(df: DataFrame, cluster: str, y: Column, x: Mapping[str, Column]) -> DataFrame:
+    """Per cluster: n, and the sums of products of (1, x, y) that least squares need, as an array by rows."""
+    names = [F.lit(1.0), *(c.cast("double") for c in x.values()), y.cast("double")]
+    rows = df.select(cluster, *[c.alias(f"v{i}") for i, c in enumerate(names)]).na.drop()
+    k = len(names)
+    products = [F.sum(F.col(f"v{i}") * F.col(f"v{j}")) for i in range(k) for j in range(k)]
+    return rows.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.array(*products).alias("m"))
+
+
+def game_bootstrap(moments: DataFrame, draws: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(coefficients, their draws) of least squares with whole clusters resampled: a draw adds up clusters' moments, which are a row each."""
+    rows = moments.select("n", "m").collect()  # a row for each cluster
+    m = np.array([r["m"] for r in rows], dtype=float)
+    k = int(math.isqrt(m.shape[1]))
+    m = m.reshape(-1, k, k)
+
+    def solve(total: np.ndarray) -> np.ndarray:
+        return np.linalg.lstsq(total[:-1, :-1], total[:-1, -1], rcond=None)[0]
+
+    rng = np.random.default_rng(seed)
+    picked = rng.multinomial(len(m), np.full(len(m), 1 / len(m)), size=draws)
+    return solve(m.sum(axis=0)), np.stack([solve(np.einsum("c,cij->ij", w, m)) for w in picked])
+
+
+def wild_cluster_p(y: np.ndarray, x: np.ndarray, w: np.ndarray, cluster: np.ndarray, draws: int, seed: int) -> float:
+    """p of the first coefficient by the wild cluster bootstrap with the null imposed and Rademacher signs."""
+    rng = np.random.default_rng(seed)
+    beta, se = clustered_wls(y, x, w, [cluster])
+    seen = abs(beta[0] / se[0])
+    rest = x[:, 1:]
+    null = rest @ np.linalg.lstsq(rest * np.sqrt(w)[:, None], y * np.sqrt(w), rcond=None)[0]
+    _, of = np.unique(cluster, return_inverse=True)
+    hits = 0
+    for _ in range(draws):
+        sign = rng.choice([-1.0, 1.0], of.max() + 1)[of]
+        b, s = clustered_wls(null + sign * (y - null), x, w, [cluster])
+        hits += abs(b[0] / s[0]) >= seen
+    return hits / draws
+
+
+def design_effect(n: np.ndarray, se_clustered: float, se_plain: float) -> tuple[float, float]:
+    """(design effect, effective number of rows)."""
+    effect = (se_clustered / se_plain) ** 2
+    return effect, float(n.sum() / effect)
+
+
+def paired_ratio_bootstrap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], draws: int, seed: int) -> np.ndarray:
+    """Differences of two ratios of sums over the same clusters, drawn together."""
+    rng = np.random.default_rng(seed)
+    n = len(a[0])
+    picked = rng.multinomial(n, np.full(n, 1 / n), size=draws)
+    ratio = lambda pair: (picked @ pair[0]) / (picked @ pair[1])
+    return ratio(a) - ratio(b)
