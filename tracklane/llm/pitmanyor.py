@@ -112,27 +112,30 @@ def _counted(docs: DataFrame, shard_bits: int) -> DataFrame:
         parts, held = [], 0
 
         def shards() -> Iterator[pa.RecordBatch]:
-            u, w = (np.concatenate(x) for x in zip(*parts, strict=True))
+            line = np.concatenate([np.array([END]), *parts])  # every text ends with END, so a token's context is the token before it
+            parts.clear()
+            u, w = line[:-1], line[1:]
             keys = pair_keys(u, w)
             order, at = _groups(keys)
             n, first = np.diff(np.append(at, len(keys))), order[at]
+            del order, at
             keys, u, w = keys[first], u[first], w[first]
-            rows = []
-            for shard, start, end in _dealt(keys, shard_bits):
+            del line, first
+            dealt = _dealt(keys, shard_bits)
+            del keys
+            for shard, start, end in dealt:
                 by_context = start + np.argsort(u[start:end])  # equal contexts side by side pack well
-                rows.append((shard, packed(u[by_context], w[by_context], n[by_context])))
-            for k in range(0, len(rows), 16):
-                part = rows[k : k + 16]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.binary())], names=["shard", "blob"])
+                blob = packed(u[by_context], w[by_context], n[by_context])
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([blob], pa.binary())], names=["shard", "blob"])
 
         for batch in batches:
             for start, end in slices(batch.column(0)):
-                word, context, _, _ = tokens(batch.column(0).slice(start, end - start))
-                parts.append((context, word))
+                word, _, _, _ = tokens(batch.column(0).slice(start, end - start))
+                parts.append(word)
                 held += len(word)
                 if held > TOKENS_AT_ONCE:
                     yield from shards()
-                    parts, held = [], 0
+                    held = 0
         if parts:
             yield from shards()
 
