@@ -18,7 +18,7 @@ def test_native_operators_compare_with_sql(spark):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         got = queries.queries()[name](spark, SF).toPandas()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tracklane.llm import q_embeddup, q_langid, q_licenses, q_mixing, q_neardup, q_packing, q_pitmanyor, q_quality, q_secrets, q_toxicity
+from tracklane.llm import q_centroids, q_chat, q_embeddup, q_langid, q_licenses, q_mixing, q_neardup, q_packing, q_pitmanyor, q_quality, q_secrets, q_toxicity
 
 
 def queries() -> dict:
@@ -18,7 +18,10 @@ def queries() -> dict:
         "op8_embedding_neardup": q_embeddup.op8_embedding_neardup,
         "op9_quality_rules": q_quality.op9_quality_rules,
         "op10_language_id": q_langid.op10_language_id,
+        "op11_chat_formatting": q_chat.op11_chat_formatting,
+        "op12_centroid_clustering": q_centroids.op12_centroid_clustering,
         "quality_rules_low_limit": q_quality.quality_rules_low_limit,
+        "chat_formatting_layouts": q_chat.chat_formatting_layouts,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -30,5 +33,8 @@ def oracle_sql() -> dict[str, str]:
         "op7_license_scans": q_licenses.sql(),
         "op8_embedding_neardup": q_embeddup.SQL,
         "op9_quality_rules": q_quality.SQL,
+        "op11_chat_formatting": q_chat.SQL,
+        "op12_centroid_clustering": q_centroids.sql(),
         "quality_rules_low_limit": q_quality.LOW_LIMIT_SQL,
+        "chat_formatting_layouts": q_chat.LAYOUTS_SQL,
     }
