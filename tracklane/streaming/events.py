@@ -11,14 +11,21 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LATE = "1 hour"
 
 
+def file_or_folder(path: str) -> str:
+    """A pattern that matches just this path: streams then take a single file as well as a folder of files."""
+    path = path.rstrip("/")
+    return path if any(c in path for c in "*?[{") else f"{path[:-1]}[{path[-1]}]"
+
+
 def event_source(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    """Event files as a stream, with ts as a timestamp."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """Event files (one, or a folder of them) as a stream, with ts as a timestamp."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(file_or_folder(path))
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -52,15 +59,30 @@ def rates(stream: DataFrame, width: str, late: str | None = LATE) -> DataFrame:
     )
 
 
-def first_responses(anchors: DataFrame, responses: DataFrame, horizon: str, late: str = LATE) -> DataFrame:
+def all_responses(anchors: DataFrame, responses: DataFrame, horizon: str, late: str | None = LATE) -> DataFrame:
     """Anchors with each response of their key within the horizon, and those without any once the watermark has passed.
 
-    A later step keeps the first response of an anchor; the join's state is
-    dropped as soon as no response can come any more.
+    anchors: anchor_id, key, a_ts, without (array of actors, null: nobody);
+    responses: response_id, r_key, actor, r_ts. An actor in `without` does not
+    respond, nor does a null one. The join's state is dropped as soon as no
+    response can come any more.
+    """
+    a = anchors.withWatermark("a_ts", late) if late else anchors
+    r = responses.withWatermark("r_ts", late) if late else responses
+    near = F.expr(f"key = r_key AND r_ts >= a_ts AND r_ts <= a_ts + INTERVAL {horizon} AND actor IS NOT NULL AND NOT coalesce(array_contains(without, actor), false)")
+    return a.join(r, near, "leftOuter").select("anchor_id", "key", "a_ts", "response_id", "actor", "r_ts")
+
+
+def first_responses(anchors: DataFrame, responses: DataFrame, horizon: str, late: str | None = LATE) -> DataFrame:
+    """anchor_id, key, a_ts, and response_id, actor, r_ts of the first response (nulls where none came), as in all_responses.
+
+    Ties go to the smaller response_id. The minimum of an anchor is kept beside
+    the join and leaves, once, when the watermark has passed its horizon; so an
+    anchor whose horizon is not over by the end of the input is not there yet.
     """
-    a = anchors.select(F.col("event_id").alias("anchor_id"), F.col("user_id").alias("key"), F.col("ts").alias("a_ts")).withWatermark("a_ts", late)
-    r = responses.select(F.col("event_id").alias("response_id"), F.col("user_id").alias("r_key"), F.col("ts").alias("r_ts")).withWatermark("r_ts", late)
-    return a.join(r, F.expr(f"key = r_key AND r_ts >= a_ts AND r_ts <= a_ts + INTERVAL {horizon}"), "leftOuter").select("anchor_id", "key", "a_ts", "response_id", "r_ts")
+    found = F.when(F.col("response_id").isNotNull(), F.struct("r_ts", "response_id", "actor"))
+    first = all_responses(anchors, responses, horizon, late).groupBy("anchor_id", "key", "a_ts").agg(F.min(found).alias("f"))
+    return first.select("anchor_id", "key", "a_ts", "f.response_id", "f.actor", "f.r_ts")
 
 
 RUNS = "user_id long, label string, t_start timestamp, t_end timestamp, n long"
@@ -94,8 +116,31 @@ def label_runs(stream: DataFrame, late: str | None = LATE) -> DataFrame:
     return _marked(stream, late).groupBy("user_id").applyInPandasWithState(_advance, RUNS, RUN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def drain(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a finite stream to its end into an in-memory table; for results of bounded size."""
-    run = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def finished(df: DataFrame, folder: str, by: str | None = None) -> DataFrame:
+    """Runs a finite stream of new rows to its end into Parquet files, partitioned by a column, and reads back all that is there.
+
+    folder holds the files and the checkpoint; a later call with the same folder takes only what is new.
+    """
+    start(df, folder, by).awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows")
+
+
+def start(df: DataFrame, folder: str, by: str | None = None) -> StreamingQuery:
+    writer = df.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
+    return (writer.partitionBy(by) if by else writer).trigger(availableNow=True).start()
+
+
+def replayed(df: DataFrame, folder: str) -> DataFrame:
+    """Runs a finite stream of whole results (complete mode) to its end and reads back the last one.
+
+    Each batch overwrites the folder of its number, so a repeated batch leaves the same.
+    """
+    done = []
+
+    def write(part: DataFrame, batch: int) -> None:
+        part.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
+        done.append(batch)
+
+    run = df.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows/batch={max(done)}")
