@@ -2,10 +2,10 @@
 
 import pytest
 
-from tracklane.plans import catalog, profile_queries, rel_queries, report_queries, stat_queries, table_queries, track_queries
+from tracklane.plans import catalog, context_queries, label_queries, profile_queries, rel_queries, report_queries, stat_queries, table_queries, track_queries
 
 SF = "/root/testdata/sf0.001"
-RELATIONAL = [n for m in (rel_queries, stat_queries, table_queries, track_queries, profile_queries, report_queries) for n in m.ORACLE_SQL]
+RELATIONAL = [n for m in (context_queries, label_queries, rel_queries, stat_queries, table_queries, track_queries, profile_queries, report_queries) for n in m.ORACLE_SQL]
 
 
 def plan(spark, name):

@@ -31,12 +31,17 @@ class HelpLimits:
     steps: int = 2
 
 
-def _approach(rows: DataFrame) -> DataFrame:
-    """Adds to_man, to_handler, handler_rim and closing: the backward difference of to_handler, in feet a second."""
+def placed(rows: DataFrame) -> DataFrame:
+    """Adds to_man, to_handler, handler_rim (feet) and on_ball: a defender's state at a step."""
     (mx, my), (hx, hy) = at(F.col("man")), at(F.col("handler"))
     dx, dy = F.col("def_x"), F.col("def_y")
-    placed = rows.withColumns({"to_man": court.distance(dx, dy, mx, my), "to_handler": court.distance(dx, dy, hx, hy), "handler_rim": court.distance(hx, hy, court.HOOP_X, court.HOOP_Y)})
-    return placed.withColumn("closing", (F.lag("to_handler").over(Window.partitionBy(*KEY).orderBy("step")) - F.col("to_handler")) * HZ)
+    feet = {"to_man": court.distance(dx, dy, mx, my), "to_handler": court.distance(dx, dy, hx, hy), "handler_rim": court.distance(hx, hy, court.HOOP_X, court.HOOP_Y)}
+    return rows.withColumns(feet | {"on_ball": F.col("man") == F.col("handler")})
+
+
+def approach(rows: DataFrame) -> DataFrame:
+    """placed, and closing: the backward difference of to_handler, in feet a second."""
+    return placed(rows).withColumn("closing", (F.lag("to_handler").over(Window.partitionBy(*KEY).orderBy("step")) - F.col("to_handler")) * HZ)
 
 
 def _runs(rows: DataFrame, holds: Column, least: int, **values: Column) -> DataFrame:
@@ -55,13 +60,13 @@ def geometric_help(rows: DataFrame, limits: HelpLimits = HelpLimits()) -> DataFr
     man = F.col("man").between(0, 4) & (F.col("man") != F.col("handler"))
     holds = man & (F.col("handler_rim") <= limits.zone) & (F.col("to_man") >= limits.leave) & (F.col("closing") >= limits.speed)
     first = lambda c: F.min_by(c, "step")
-    return _runs(_approach(rows), holds, limits.steps, man=first("man"), handler=first("handler"), max_from_man=F.max("to_man"), min_to_handler=F.min("to_handler"))
+    return _runs(approach(rows), holds, limits.steps, man=first("man"), handler=first("handler"), max_from_man=F.max("to_man"), min_to_handler=F.min("to_handler"))
 
 
 def model_help(rows: DataFrame, limits: HelpLimits = HelpLimits()) -> DataFrame:
     """Help seen by the matchup model: `p_help` at or above the posterior while closing on the handler."""
     holds = (F.col("p_help") >= limits.posterior) & (F.col("closing") > 0)
-    return _runs(_approach(rows), holds, limits.steps, handler=F.min_by("handler", "step"))
+    return _runs(approach(rows), holds, limits.steps, handler=F.min_by("handler", "step"))
 
 
 def closeouts(rows: DataFrame, passes: DataFrame, far: float = 8.0, near: float = 4.0, speed: float = 8.0, window: int = 5) -> DataFrame:
@@ -88,42 +93,52 @@ def closeouts(rows: DataFrame, passes: DataFrame, far: float = 8.0, near: float
 
 @dataclass(frozen=True)
 class PhaseWindows:
-    """Milliseconds before and after a screen's contact, of recovery after help or a closeout; half angle of the sightline cone; long stay in the paint."""
+    """Milliseconds before and after a screen's contact, and of recovery after help or a closeout; half angle of the sightline cone."""
 
     before: int = 500
     after: int = 1_000
     recovery: int = 2_000
     cone_degrees: float = 20.0
-    paint: int = 2_500
 
 
 # The two variants of the phases.
 VARIANTS = {"A": PhaseWindows(), "B": PhaseWindows(before=1_000, after=2_000, recovery=3_000, cone_degrees=30.0)}
 
+PHASES = ("help", "closeout", "recovery", "screen", "pre_screen", "other")
+
 
-def phases(steps: DataFrame, helps: DataFrame, closing: DataFrame, screens: DataFrame, windows: PhaseWindows = VARIANTS["A"]) -> DataFrame:
-    """Adds `phase` to steps (possession, slot, t, ..).
+def phases(steps: DataFrame, helps: DataFrame, closing: DataFrame, contacts: DataFrame, windows: PhaseWindows = VARIANTS["A"]) -> DataFrame:
+    """Adds `phase` (one of PHASES; the first that holds) to steps (possession, slot, t, ..).
 
-    helps and closing: possession, slot, t_start, t_end; screens: possession,
-    slot, t_contact of every defender involved. Intervals hold their ends;
-    recovery is the time after the end of help or a closeout, before a screen
-    is the time up to its contact. One defender's intervals are a few of one
-    possession.
+    helps and closing: possession, slot, t_start, t_end; contacts: possession,
+    t_contact of its screens, which concern all five defenders. Intervals hold
+    their ends. Recovery is the time after the end of a defender's help or
+    closeout; a screen lasts from `before` its contact to `after` it; what comes
+    earlier than the first screen is pre_screen. Null times are no intervals. A
+    possession has a few of each.
     """
 
-    def listed(df: DataFrame, name: str, *columns: str) -> DataFrame:
-        return df.groupBy(*KEY).agg(F.collect_list(F.struct(*columns)).alias(name))
+    def listed(df: DataFrame, name: str, key: list[str], *columns: str) -> DataFrame:
+        return df.na.drop(subset=list(columns)).groupBy(*key).agg(F.collect_list(F.struct(*columns)).alias(name))
 
-    out = steps
-    for df, name, columns in ((helps, "__h", ("t_start", "t_end")), (closing, "__c", ("t_start", "t_end")), (screens, "__s", ("t_contact",))):
-        out = out.join(listed(df, name, *columns), KEY, "left")
+    out = steps.join(listed(helps, "__h", KEY, "t_start", "t_end"), KEY, "left").join(listed(closing, "__c", KEY, "t_start", "t_end"), KEY, "left")
+    out = out.join(listed(contacts, "__s", ["possession"], "t_contact"), "possession", "left")
     t = F.col("t")
     inside = lambda c: F.exists(c, lambda x: (x["t_start"] <= t) & (t <= x["t_end"]))
-    after = lambda c: F.exists(c, lambda x: (x["t_end"] < t) & (t <= x["t_end"] + windows.recovery))
-    some = lambda c: F.coalesce(c, F.lit(False))
-    screen = F.exists("__s", lambda x: (x["t_contact"] <= t) & (t <= x["t_contact"] + windows.after))
-    before = F.exists("__s", lambda x: (x["t_contact"] - windows.before <= t) & (t < x["t_contact"]))
-    return out.withColumn("phase", phase(inside("__h"), inside("__c"), some(after("__h")) | some(after("__c")), screen, before)).drop("__h", "__c", "__s")
+    after = lambda c: F.coalesce(F.exists(c, lambda x: (x["t_end"] < t) & (t <= x["t_end"] + windows.recovery)), F.lit(False))
+    screen = F.exists("__s", lambda x: (x["t_contact"] - windows.before <= t) & (t <= x["t_contact"] + windows.after))
+    before = t < F.array_min("__s")["t_contact"] - windows.before
+    return out.withColumn("phase", phase(inside("__h"), inside("__c"), after("__h") | after("__c"), screen, before)).drop("__h", "__c", "__s")
+
+
+def phase_shares(steps: DataFrame, by: list[str]) -> DataFrame:
+    """Per key: steps, and the share of each phase and its difference from the share over all keys' steps."""
+    counts = [F.count_if(F.col("phase") == p).alias(p) for p in PHASES]
+    each = steps.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *counts)
+    whole = each.agg(F.sum("n").alias("n"), *[F.sum(p).alias(p) for p in PHASES]).first()
+    league = {p: (whole[p] or 0) / whole["n"] if whole["n"] else 0.0 for p in PHASES}
+    shares = [(F.col(p) / F.col("n")).alias(p) for p in PHASES]
+    return each.select(*by, "n", *shares, *[(F.col(p) / F.col("n") - F.lit(league[p])).alias(f"{p}_diff") for p in PHASES])
 
 
 def step_context(t: Column, release: Column, contacts: Column, start: Column, around: int = 1_000, early: int = 2_000) -> Column:

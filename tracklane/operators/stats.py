@@ -3,28 +3,61 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklane.sources.shared import staged
 
-def nearest_rank(df: DataFrame, by: Sequence[str], value: str, q: float, tie: Sequence[str] = ()) -> DataFrame:
-    """Value at index round-half-even(q * (n - 1)) of the sorted non-null values of each key."""
-    held = df.where(F.col(value).isNotNull())
-    ranked = held.withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy(value, *tie)) - 1).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    return ranked.where(F.col("__i") == F.rint(F.lit(q) * (F.col("__n") - 1))).select(*by, F.col(value).alias("quantile"))
 
+def nearest_rank(df: DataFrame, by: Sequence[str], value: str, q: float) -> DataFrame:
+    """Value at index round-half-even(q * (n - 1)) of the sorted non-null values of each key."""
+    return group_quantiles(df, by, value, {"quantile": q}, nearest=True)
 
-def average_rank(by: Sequence[str], value: str) -> Column:
-    """Mean rank of ties, from 1."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / F.lit(2.0)
 
+def group_quantiles(df: DataFrame, by: Sequence[str], value: str, shares: Mapping[str, float], nearest: bool = False) -> DataFrame:
+    """Exact quantiles of the non-null values of each key, linear or by nearest rank, a column for each share.
 
-def percentile_rank(by: Sequence[str], value: str) -> Column:
-    """100 * (average rank - 1) / (n - 1); null for a single row."""
-    return 100 * (average_rank(by, value) - 1) / F.nullif(F.count(F.lit(1)).over(Window.partitionBy(*by)) - 1, F.lit(0))
+    by names one column at least; for a whole column there is linear_quantiles.
+    Equal values are counted before they move, and the counts of a key are dealt
+    to cells of values, so a key may hold any share of the rows.
+    """
+    counts = staged(df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n")))
+    total = counts.groupBy(*by).agg(F.sum("n").alias("__total"))
+    placed = _with_keys(sum_below(counts, "v", "n", "below", by), total, by)
+    held = lambda place: F.max(F.when((F.col("below") <= place) & (place < F.col("below") + F.col("n")), F.col("v")))
+    out = []
+    for name, share in shares.items():
+        rank = F.lit(float(share)) * (F.col("__total") - 1)
+        if nearest:
+            out.append(held(F.rint(rank)).alias(name))
+            continue
+        low = F.floor(rank)
+        a, b = held(low), held(F.least(low + 1, F.col("__total") - 1))
+        out.append((a + F.max(rank - low) * (b - a)).alias(name))
+    return placed.groupBy(*by).agg(*out)
+
+
+def _with_keys(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Inner join on keys of which nulls are equal."""
+    other = right.select(*[F.col(c).alias(f"__r{i}") for i, c in enumerate(by)], *[c for c in right.columns if c not in by])
+    same = [F.col(c).eqNullSafe(F.col(f"__r{i}")) for i, c in enumerate(by)]
+    return left.join(other, same).drop(*[f"__r{i}" for i in range(len(by))])
+
+
+def average_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Adds `rank` (the mean of tied places, from 1) and `rank_pct` (100 * (rank - 1) / (n - 1), null for one row) within each key; null values have nulls.
+
+    As group_quantiles, by counts of equal values.
+    """
+    counts = staged(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")))
+    total = counts.groupBy(*by).agg(F.sum("__n").alias("__total"))
+    ranks = _with_keys(sum_below(counts, value, "__n", "__below", by), total, by)
+    rank = F.col("__below") + (F.col("__n") + 1) / 2
+    each = ranks.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate([*by, value])], rank.alias("rank"), (100 * (rank - 1) / F.nullif(F.col("__total") - 1, F.lit(0))).alias("rank_pct"))
+    return df.join(each, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate([*by, value])], "left").drop(*[f"__k{i}" for i in range(len(by) + 1)])
 
 
 def mode_stable(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -34,41 +67,45 @@ def mode_stable(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return counts.groupBy(*by).agg(best.alias("best")).select(*by, F.col("best.v").alias("mode"), (-F.col("best.k")).alias("n"))
 
 
-#: Cells that values are dealt to, and rows above which the cell of a wanted rank is dealt again.
-CELLS, LEAF = 1024, 1_000_000
+#: Cells that values are dealt to, and rows above which they are.
+CELLS, LEAF = 128, 1_000_000
 
 
-def _dealt(df: DataFrame, value: str, cell: str = "__cell") -> DataFrame:
-    """Adds the cell of a non-null number: approximate quantiles are the edges, so but for equal values cells hold about as many rows, whatever the outliers."""
-    edges = df.agg(F.percentile_approx(value, [k / CELLS for k in range(1, CELLS)], 20_000)).first()[0]
-    splits = [-math.inf, *sorted({float(e) for e in edges or []}), math.inf]
-    if len(splits) < 3:
-        return df.withColumn(cell, F.lit(0))
+def _dealt(df: DataFrame, value: str, cell: str = "__cell") -> DataFrame | None:
+    """Adds the cell of a non-null number; None for up to LEAF rows, which are one cell. Approximate quantiles are the edges, so but for equal values cells hold about as many rows, whatever the outliers."""
+    n, edges = df.agg(F.count(F.lit(1)), F.percentile_approx(value, [k / CELLS for k in range(1, CELLS)], 10 * CELLS)).first()
+    if n <= LEAF:
+        return None
+    splits = [-math.inf, *sorted({float(e) for e in edges}), math.inf]
     number = df.withColumn("__number", F.col(value).cast("double"))
     return Bucketizer(splits=splits, inputCol="__number", outputCol=cell).transform(number).withColumn(cell, F.col(cell).cast("int")).drop("__number")
 
 
 def _values_at(rows: DataFrame, places: Sequence[int]) -> dict[int, float]:
     """The values of column v at these places (from 0) of its sorted rows: only the cells that hold them are looked into."""
-    dealt = _dealt(rows, "v")
+    dealt = _dealt(rows, "v") or rows.withColumn("__cell", F.lit(0))
     totals = sorted((r["__cell"], r["c"], r["low"], r["high"]) for r in dealt.groupBy("__cell").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("low"), F.max("v").alias("high")).collect())  # at most CELLS rows
-    out, before = {}, 0
+    out, near, before = {}, {}, 0
     for cell, count, low, high in totals:
         own = [k - before for k in places if before <= k < before + count]
         if own and low == high:
             out |= {before + k: low for k in own}
-        elif own and count > LEAF and len(totals) > 1:
+        elif own and count > LEAF:
             out |= {before + k: v for k, v in _values_at(dealt.where(F.col("__cell") == cell).select("v"), own).items()}
         elif own:
-            placed = dealt.where(F.col("__cell") == cell).withColumn("i", F.row_number().over(Window.orderBy("v")) - 1)  # at most LEAF rows
-            out |= {before + r["i"]: r["v"] for r in placed.where(F.col("i").isin(own)).select("i", "v").collect()}
+            near[cell] = (before, own)
         before += count
+    if near:
+        wanted = [F.struct(F.lit(cell).alias("c"), F.lit(k).alias("i")) for cell, (_, own) in near.items() for k in own]
+        placed = dealt.where(F.col("__cell").isin(list(near))).withColumn("i", F.row_number().over(Window.partitionBy("__cell").orderBy("v")) - 1)  # at most LEAF rows each
+        found = placed.where(F.struct(F.col("__cell").alias("c"), F.col("i")).isin(wanted)).select("__cell", "i", "v").collect()
+        out |= {near[r["__cell"]][0] + r["i"]: r["v"] for r in found}
     return out
 
 
 def linear_quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> list[float | None]:
-    """Exact linear quantiles of a column's non-null values, without a task that holds all of them; nulls without values."""
-    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    """Exact linear quantiles of a column's non-null values, without a task that holds all of them; nulls without values. The column is staged, so df is computed once."""
+    rows = staged(df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v")))
     n = rows.count()
     if not n:
         return [None] * len(shares)
@@ -121,25 +158,31 @@ def mann_whitney_auc(df: DataFrame, score: str, label: str) -> DataFrame:
     return wins.select("n_pos", "n_neg", (F.col("u") / F.nullif((F.col("n_pos") * F.col("n_neg")).cast("double"), F.lit(0.0))).alias("auc"))
 
 
-def sum_below(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
-    """Adds the sum of value over all rows with a smaller `order` (distinct numbers).
+def sum_below(df: DataFrame, order: str, value: str, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Adds the sum of value over all rows of the key with a smaller `order` (numbers that are distinct in a key).
 
-    Rows are dealt to cells of about equal size; the cells' totals, a bounded
-    table, carry the sums from cell to cell, so no task sorts all rows.
+    Rows are dealt to cells of about equal size; the cells' totals carry the sums
+    from cell to cell, so no task sorts all rows of a key.
     """
+    rows_before = lambda *keys: F.coalesce(F.sum(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     dealt = _dealt(df, order)
-    before = F.coalesce(F.sum("__t").over(Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = dealt.groupBy("__cell").agg(F.sum(value).alias("__t")).select("__cell", before.alias("__before"))
-    inside = F.coalesce(F.sum(value).over(Window.partitionBy("__cell").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return dealt.join(F.broadcast(totals), "__cell").withColumn(name, F.col("__before") + inside).drop("__cell", "__before")  # at most CELLS rows
+    if dealt is None:
+        return df.withColumn(name, rows_before(*by))
+    before = F.coalesce(F.sum("__t").over(Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = dealt.groupBy(*by, "__cell").agg(F.sum(value).alias("__t")).select(*by, "__cell", before.alias("__before"))
+    joined = _with_keys(dealt, totals, [*by, "__cell"]) if by else dealt.join(F.broadcast(totals), "__cell")  # without keys at most CELLS rows
+    return joined.withColumn(name, F.col("__before") + rows_before(*by, "__cell")).drop("__cell", "__before")
 
 
 def described(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per column: count, nulls, mean, deviation, least, quartiles and most."""
+    held = staged(df.select(*columns))
+    figures = {"n": F.count, "nulls": lambda c: F.count_if(F.col(c).isNull()), "mean": F.avg, "sd": F.stddev_samp, "low": F.min, "high": F.max}
+    found = held.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in figures.items()]).first()
     rows = []
-    for c in columns:
-        r = df.agg(F.count(c).alias("n"), F.count_if(F.col(c).isNull()).alias("nulls"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).alias("low"), F.max(c).alias("high")).first()
-        rows.append((c, r["n"], r["nulls"], *(None if x is None else float(x) for x in (r["mean"], r["sd"], r["low"], *linear_quantiles(df, c, (0.25, 0.5, 0.75)), r["high"]))))
+    for i, c in enumerate(columns):
+        mean, sd, low, high = (None if found[f"{k}{i}"] is None else float(found[f"{k}{i}"]) for k in ("mean", "sd", "low", "high"))
+        rows.append((c, found[f"n{i}"], found[f"nulls{i}"], mean, sd, low, *linear_quantiles(held, c, (0.25, 0.5, 0.75)), high))
     return df.sparkSession.createDataFrame(rows, "name string, n long, nulls long, mean double, sd double, low double, q25 double, q50 double, q75 double, high double")
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -76,7 +74,7 @@ def _intervals(orders):
     k = F.col("o_orderkey")
     helps = orders.where(k % 3 == 0).select(k.alias("possession"), (k % 5).alias("slot"), (k % 4 * 200).alias("t_start"), (k % 4 * 200 + 200).alias("t_end"))
     closing = orders.where(k % 4 == 1).select(k.alias("possession"), ((k + 2) % 5).alias("slot"), (k % 5 * 200).alias("t_start"), (k % 5 * 200 + 400).alias("t_end"))
-    contact = orders.where(k % 2 == 0).select(k.alias("possession"), F.explode(F.array((k + 1) % 5, (k + 3) % 5)).alias("slot"), (k % 7 * 200).alias("t_contact"))
+    contact = orders.where(k % 2 == 0).select(k.alias("possession"), F.explode(F.array(k % 7 * 200, k % 5 * 200 + 1200)).alias("t_contact"))
     return helps, closing, contact
 
 
@@ -85,25 +83,43 @@ def _phase_sql(name: str) -> str:
     k = "possession"
     inside = lambda on, first, length: f"({on} AND t BETWEEN {first} AND {first} + {length})"
     after = lambda on, end: f"({on} AND t > {end} AND t <= {end} + {w.recovery})"
-    help_on, close_on, screen_on = f"{k} % 3 = 0 AND slot = {k} % 5", f"{k} % 4 = 1 AND slot = ({k} + 2) % 5", f"{k} % 2 = 0 AND slot IN (({k} + 1) % 5, ({k} + 3) % 5)"
-    h0, c0, s0 = f"{k} % 4 * 200", f"{k} % 5 * 200", f"{k} % 7 * 200"
-    return f"""SELECT '{name}' AS variant, slot, CASE WHEN {inside(help_on, h0, 200)} THEN 'help' WHEN {inside(close_on, c0, 400)} THEN 'closeout'
-      WHEN {after(help_on, f"({h0} + 200)")} OR {after(close_on, f"({c0} + 400)")} THEN 'recovery' WHEN {inside(screen_on, s0, w.after)} THEN 'screen'
-      WHEN {screen_on} AND t >= {s0} - {w.before} AND t < {s0} THEN 'pre_screen' ELSE 'other' END AS phase FROM st5"""
+    around = lambda c: f"(t >= {c} - {w.before} AND t <= {c} + {w.after})"
+    help_on, close_on, screen_on = f"{k} % 3 = 0 AND slot = {k} % 5", f"{k} % 4 = 1 AND slot = ({k} + 2) % 5", f"{k} % 2 = 0"
+    h0, c0, s0, s1 = f"{k} % 4 * 200", f"{k} % 5 * 200", f"{k} % 7 * 200", f"({k} % 5 * 200 + 1200)"
+    return f"""SELECT '{name}' AS variant, possession, slot, CASE WHEN {inside(help_on, h0, 200)} THEN 'help' WHEN {inside(close_on, c0, 400)} THEN 'closeout'
+      WHEN {after(help_on, f"({h0} + 200)")} OR {after(close_on, f"({c0} + 400)")} THEN 'recovery' WHEN {screen_on} AND ({around(s0)} OR {around(s1)}) THEN 'screen'
+      WHEN {screen_on} AND t < least({s0}, {s1}) - {w.before} THEN 'pre_screen' ELSE 'other' END AS phase FROM st5"""
+
+
+_PHASES = f"st5 AS (SELECT o_orderkey AS possession, s * 200 AS t, slot FROM orders, range({virtual.STEPS}) r(s), range(5) q(slot)), p AS ({_phase_sql('A')} UNION ALL {_phase_sql('B')})"
+
+
+def _phased(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    steps = orders.select(F.col("o_orderkey").alias("possession"), F.explode(F.sequence(F.lit(0), F.lit(virtual.STEPS - 1))).alias("s")).select("possession", (F.col("s") * 200).cast("long").alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("slot"))
+    parts = [defence.phases(steps, *_intervals(orders), windows).withColumn("variant", F.lit(name)) for name, windows in defence.VARIANTS.items()]
+    return parts[0].unionByName(parts[1])
 
 
 @query(
     "phase_shares",
-    f"""WITH st5 AS (SELECT o_orderkey AS possession, s * 200 AS t, slot FROM orders, range({virtual.STEPS}) r(s), range(5) q(slot)), p AS ({_phase_sql("A")} UNION ALL {_phase_sql("B")})
-    SELECT variant, slot, count(*)::BIGINT AS n, {", ".join(f"round(avg((phase = '{x}')::INT), 6) AS {x}" for x in ("help", "closeout", "recovery", "screen", "pre_screen", "other"))} FROM p GROUP BY ALL""",
+    f"""WITH {_PHASES} SELECT variant, slot, count(*)::BIGINT AS n, {", ".join(f"round(avg((phase = '{x}')::INT), 6) AS {x}" for x in defence.PHASES)} FROM p GROUP BY ALL""",
 )
 def phase_shares(spark, sf_dir):
     """Shares of phases by slot, in both variants."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    steps = orders.select(F.col("o_orderkey").alias("possession"), F.explode(F.sequence(F.lit(0), F.lit(virtual.STEPS - 1))).alias("s")).select("possession", (F.col("s") * 200).cast("long").alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("slot"))
-    parts = [defence.phases(steps, *_intervals(orders), windows).withColumn("variant", F.lit(name)) for name, windows in defence.VARIANTS.items()]
-    names = ("help", "closeout", "recovery", "screen", "pre_screen", "other")
-    return parts[0].unionByName(parts[1]).groupBy("variant", "slot").agg(F.count(F.lit(1)).alias("n"), *[r6(F.avg((F.col("phase") == x).cast("double"))).alias(x) for x in names])
+    return defence.phase_shares(_phased(spark, sf_dir), ["variant", "slot"]).select("variant", "slot", "n", *[r6(x).alias(x) for x in defence.PHASES])
+
+
+@query(
+    "phase_shares_by_defender",
+    f"""WITH {_PHASES}, d AS (SELECT (possession * 5 + slot) % 97 AS defender, phase FROM p WHERE variant = 'A'), a AS (SELECT {", ".join(f"avg((phase = '{x}')::INT) AS {x}" for x in defence.PHASES)} FROM d)
+    SELECT defender, count(*)::BIGINT AS n, {", ".join(f"round(avg((phase = '{x}')::INT), 6) AS {x}, round(avg((phase = '{x}')::INT) - any_value(a.{x}), 6) AS {x}_diff" for x in defence.PHASES)} FROM d, a GROUP BY defender""",
+)
+def phase_shares_by_defender(spark, sf_dir):
+    """Shares of phases of each of 97 defenders, and their differences from the league's."""
+    rows = _phased(spark, sf_dir).where("variant = 'A'").withColumn("defender", (F.col("possession") * 5 + F.col("slot")) % 97)
+    out = defence.phase_shares(rows, ["defender"])
+    return out.select("defender", "n", *[r6(c).alias(c) for x in defence.PHASES for c in (x, f"{x}_diff")])
 
 
 @query(
@@ -232,12 +248,15 @@ def reassignment_patterns(spark, sf_dir):
 
 @query(
     "state_at_contact",
-    f"""WITH {_GUARDED} SELECT possession, slot, step AS contact, round(to_man, 6) AS to_man, round(to_h, 6) AS to_handler, round(sqrt((hx - 5.25) ** 2 + (hy - 25.0) ** 2), 6) AS handler_rim, man = handler AS on_ball FROM a WHERE step = possession % 7 AND possession % 2 = 0""",
+    f"""WITH {virtual.SQL}, c AS MATERIALIZED (SELECT *, (possession + slot * 3 + step // 4) % 6 AS man FROM vt WHERE step = possession % 7 AND possession % 2 = 0),
+    h AS (SELECT possession, off_x AS hx, off_y AS hy FROM c WHERE slot = handler)
+    SELECT c.possession, c.slot, c.step AS contact, round(sqrt((c.def_x - m.off_x) ** 2 + (c.def_y - m.off_y) ** 2), 6) AS to_man, round(sqrt((c.def_x - hx) ** 2 + (c.def_y - hy) ** 2), 6) AS to_handler,
+      round(sqrt((hx - 5.25) ** 2 + (hy - 25.0) ** 2), 6) AS handler_rim, c.man = c.handler AS on_ball FROM c JOIN h USING (possession) LEFT JOIN c m ON m.possession = c.possession AND m.slot = c.man""",
 )
 def state_at_contact(spark, sf_dir):
     """Where each defender is, with regard to his man and the handler, at the contact of a screen."""
-    rows = defence._approach(guarded(spark, sf_dir)).where((F.col("step") == F.col("possession") % 7) & (F.col("possession") % 2 == 0))
-    return rows.select("possession", "slot", F.col("step").alias("contact"), r6("to_man").alias("to_man"), r6("to_handler").alias("to_handler"), r6("handler_rim").alias("handler_rim"), (F.col("man") == F.col("handler")).alias("on_ball"))
+    rows = guarded(spark, sf_dir).where((F.col("step") == F.col("possession") % 7) & (F.col("possession") % 2 == 0))
+    return defence.placed(rows).select("possession", "slot", F.col("step").alias("contact"), *[r6(c).alias(c) for c in ("to_man", "to_handler", "handler_rim")], "on_ball")
 
 
 @query(

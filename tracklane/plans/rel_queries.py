@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracklane.operators import asof, interval, islands
+from tracklane.operators.stats import linear_quantiles
 from tracklane.plans.registry import EVENTS, Registry
 from tracklane.sources.fixtures import event_stream, table
+from tracklane.sources.shared import staged
 
 query = Registry()
 QUERIES, ORACLE_SQL = query.queries, query.sql
@@ -158,7 +160,9 @@ def frame_index_segments(spark, sf_dir):
 )
 def segment_lengths_report(spark, sf_dir):
     lengths = _segments(spark, sf_dir).groupBy("user_id", "segment_id").agg(F.count(F.lit(1)).alias("n"), (F.max("t_ms") - F.min("t_ms")).alias("ms"))
-    return lengths.agg(F.count(F.lit(1)).alias("n_segments"), F.sum("n").alias("n_rows"), F.median("ms").alias("median_ms"), F.max("ms").alias("max_ms"), F.max("n").alias("longest"))
+    held = staged(lengths)
+    median = F.lit(linear_quantiles(held, "ms", [0.5])[0]).cast("double")
+    return held.agg(F.count(F.lit(1)).alias("n_segments"), F.sum("n").alias("n_rows"), median.alias("median_ms"), F.max("ms").alias("max_ms"), F.max("n").alias("longest"))
 
 
 @query(

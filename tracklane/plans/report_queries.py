@@ -11,6 +11,7 @@ from tracklane.plans.registry import EVENTS, Registry
 from tracklane.plans.track_queries import frames
 from tracklane.sources import virtual
 from tracklane.sources.fixtures import event_stream, table
+from tracklane.sources.shared import staged
 
 query = Registry()
 QUERIES, ORACLE_SQL = query.queries, query.sql
@@ -119,8 +120,8 @@ def game_split(spark, sf_dir):
 def supplier_cards(spark, sf_dir):
     s = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.avg("l_discount").alias("rate"))
     few = F.col("n") < 500
-    ranked = s.withColumn("few", few).withColumn("p", stats.percentile_rank(["few"], "rate"))
-    return ranked.select("l_suppkey", "n", r6("rate").alias("rate"), F.when(~few, F.round("p", 4)).alias("percentile"), F.when(few, "fewer than 500 lines").alias("left_out"))
+    ranked = stats.average_ranks(staged(s.withColumn("few", few)), ["few"], "rate")
+    return ranked.select("l_suppkey", "n", r6("rate").alias("rate"), F.when(~few, F.round("rank_pct", 4)).alias("percentile"), F.when(few, "fewer than 500 lines").alias("left_out"))
 
 
 @query(
@@ -134,13 +135,15 @@ def response_timing(spark, sf_dir):
     e = event_stream(spark, sf_dir)
     of = lambda kind, i: e.where(F.col("event_type") == kind).select(F.col("event_id").alias(i), F.col("user_id").alias("key"), "t_ms")
     first = first_after_anchor(of("view", "anchor_id"), of("click", "response_id"), 12 * HOUR)
-    return first.groupBy(F.col("key").alias("user_id")).agg(
+    delays = staged(first.select(F.col("key").alias("user_id"), "delay_ms"))
+    medians = stats.group_quantiles(delays, ["user_id"], "delay_ms", {"median_ms": 0.5})
+    counted = delays.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.count("delay_ms").alias("n_any"),
         F.count_if(F.col("delay_ms") <= 3 * HOUR).alias("n_early"),
         F.round(F.avg("delay_ms"), 3).alias("mean_delay_ms"),
-        F.median("delay_ms").alias("median_ms"),
     )
+    return counted.join(medians, "user_id", "left").withColumn("median_ms", F.col("median_ms").cast("double"))
 
 
 def _shot_table(spark, sf_dir):

@@ -32,7 +32,7 @@ def mode_by_group(spark, sf_dir):
     SELECT l_suppkey, l_extendedprice AS quantile FROM r WHERE i = round_even(0.9 * (n - 1), 0)""",
 )
 def nearest_rank_quantile(spark, sf_dir):
-    return stats.nearest_rank(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_extendedprice", 0.9, ["l_orderkey", "l_linenumber"])
+    return stats.nearest_rank(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_extendedprice", 0.9)
 
 
 @query(
@@ -40,8 +40,9 @@ def nearest_rank_quantile(spark, sf_dir):
     "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.8), 6) AS q80, round(median(l_quantity), 6) AS median_quantity, round(quantile_cont(l_discount, 0.25), 6) AS q25 FROM lineitem GROUP BY l_returnflag",
 )
 def linear_quantile(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").groupBy("l_returnflag")
-    return li.agg(r6(F.percentile("l_extendedprice", 0.8)).alias("q80"), r6(F.median("l_quantity")).alias("median_quantity"), r6(F.percentile("l_discount", 0.25)).alias("q25"))
+    li = table(spark, sf_dir, "lineitem")
+    parts = [stats.group_quantiles(li, ["l_returnflag"], c, {name: q}) for c, name, q in (("l_extendedprice", "q80", 0.8), ("l_quantity", "median_quantity", 0.5), ("l_discount", "q25", 0.25))]
+    return parts[0].join(parts[1], "l_returnflag").join(parts[2], "l_returnflag").select("l_returnflag", *[r6(c).alias(c) for c in ("q80", "median_quantity", "q25")])
 
 
 @query(
@@ -49,7 +50,8 @@ def linear_quantile(spark, sf_dir):
     """SELECT p_partkey, p_brand, round(100 * (rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0 - 1)::DOUBLE / nullif(count(*) OVER (PARTITION BY p_brand) - 1, 0), 6) AS pct FROM part""",
 )
 def avg_rank_pct(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", "p_brand", r6(stats.percentile_rank(["p_brand"], "p_size")).alias("pct"))
+    ranked = stats.average_ranks(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), ["p_brand"], "p_size")
+    return ranked.select("p_partkey", "p_brand", r6("rank_pct").alias("pct"))
 
 
 @query(
