@@ -159,22 +159,6 @@ def game_bootstrap(moments: DataFrame, draws: int, seed: int) -> tuple[np.ndarra
     return solve(m.sum(axis=0)), np.stack([solve(np.einsum("c,cij->ij", w, m)) for w in picked])
 
 
-def wild_cluster_p(y: np.ndarray, x: np.ndarray, w: np.ndarray, cluster: np.ndarray, draws: int, seed: int) -> float:
-    """p of the first coefficient by the wild cluster bootstrap with the null imposed and Rademacher signs."""
-    rng = np.random.default_rng(seed)
-    beta, se = clustered_wls(y, x, w, [cluster])
-    seen = abs(beta[0] / se[0])
-    rest = x[:, 1:]
-    null = rest @ np.linalg.lstsq(rest * np.sqrt(w)[:, None], y * np.sqrt(w), rcond=None)[0]
-    _, of = np.unique(cluster, return_inverse=True)
-    hits = 0
-    for _ in range(draws):
-        sign = rng.choice([-1.0, 1.0], of.max() + 1)[of]
-        b, s = clustered_wls(null + sign * (y - null), x, w, [cluster])
-        hits += abs(b[0] / s[0]) >= seen
-    return hits / draws
-
-
 def design_effect(n: np.ndarray, se_clustered: float, se_plain: float) -> tuple[float, float]:
     """(design effect, effective number of rows)."""
     effect = (se_clustered / se_plain) ** 2

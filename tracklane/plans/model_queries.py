@@ -8,7 +8,7 @@ from dataclasses import replace
 import numpy as np
 from pyspark.sql import functions as F
 
-from tracklane.operators import hmm, inference, mixture, regression, tracking
+from tracklane.operators import hmm, inference, mixture, panel, regression, tracking
 from tracklane.plans.registry import EVENTS, Registry
 from tracklane.plans.track_queries import frames
 from tracklane.sources import virtual
@@ -123,20 +123,59 @@ def cluster_bootstrap(spark, sf_dir):
     return spark.createDataFrame([(float(a.sum() / b.sum()), *(float(q) for q in np.quantile(draws, [0.025, 0.975])), len(rows))], "ratio double, low double, high double, n_clusters int")
 
 
-@query("wls_fe_cluster")
+_PANEL = """p AS (SELECT s_nationkey AS g, year(l_shipdate) AS t, avg(l_extendedprice) AS y, avg(l_quantity) AS x, count(*)::DOUBLE AS w FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL)"""
+
+
+def _panel(spark, sf_dir):
+    nations = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    lines = table(spark, sf_dir, "lineitem").join(nations, "l_suppkey")
+    return lines.groupBy(F.col("s_nationkey").alias("g"), F.year("l_shipdate").alias("t")).agg(F.avg("l_extendedprice").alias("y"), F.avg("l_quantity").alias("x"), F.count(F.lit(1)).alias("w"))
+
+
+_ERRORS = """b AS (SELECT sum(w * x * y) / sum(w * x * x) AS slope, sum(w * x * x) AS d, count(*) AS n FROM q),
+    s AS (SELECT g, t, w * x * (y - slope * x) / d AS s FROM q, b),
+    c1 AS (SELECT sum(v * v) AS v, count(*) AS k FROM (SELECT sum(s) AS v FROM s GROUP BY g)), c2 AS (SELECT sum(v * v) AS v, count(*) AS k FROM (SELECT sum(s) AS v FROM s GROUP BY t)), c12 AS (SELECT sum(v * v) AS v, count(*) AS k FROM (SELECT sum(s) AS v FROM s GROUP BY g, t)),
+    a AS (SELECT slope, n, c1.v * c1.k / (c1.k - 1) AS v1, c2.v * c2.k / (c2.k - 1) AS v2, c12.v * c12.k / (c12.k - 1) AS v12, (n - 1)::DOUBLE / (n - {rest}) AS f FROM b, c1, c2, c12)
+    SELECT 'nation' AS clusters, round(slope, 5) AS slope, round(sqrt(v1 * f), 4) AS se, n::INT AS n FROM a UNION ALL SELECT 'nation_year', round(slope, 5), round(sqrt(greatest((v1 + v2 - v12) * f, 0)), 4), n::INT FROM a"""
+
+
+def _panel_errors(spark, fit):
+    rows = [(name, round(float(fit.beta[0]), 5), round(float(fit.errors(*c)[0]), 4), fit.n) for name, c in (("nation", ["g"]), ("nation_year", ["g", "t"]))]
+    return spark.createDataFrame(rows, "clusters string, slope double, se double, n int")
+
+
+@query(
+    "wls_fe_cluster",
+    f"""WITH {_PANEL}, m AS (SELECT g, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM p GROUP BY g), q AS (SELECT g, t, w, x - mx AS x, y - my AS y FROM p JOIN m USING (g)),
+    {_ERRORS.format(rest="(SELECT count(DISTINCT g) FROM p) - 1")}""",
+)
 def wls_fe_cluster(spark, sf_dir):
     """Mean price on mean quantity by nation and year, weighted by rows, with nation effects and errors clustered both ways."""
-    nations = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    panel = table(spark, sf_dir, "lineitem").join(nations, "l_suppkey").groupBy("s_nationkey", F.year("l_shipdate").alias("y")).agg(F.avg("l_extendedprice").alias("p"), F.avg("l_quantity").alias("q"), F.count(F.lit(1)).alias("n"))
-    rows = sorted((r["s_nationkey"], r["y"], r["p"], r["q"], r["n"]) for r in panel.collect())  # nations times years
-    g, t, p, q, n = (np.array(c, float) for c in zip(*rows, strict=True))
-    effects = (g[:, None] == np.unique(g)[None, :]).astype(float)
-    x = np.column_stack([q, effects])
-    out = []
-    for name, clusters in (("nation", [g]), ("nation_year", [g, t])):
-        beta, se = regression.clustered_wls(p, x, n, clusters)
-        out.append((name, float(beta[0]), float(se[0]), len(rows)))
-    return spark.createDataFrame(out, "clusters string, slope double, se double, n int")
+    fit = panel.fixed_effects(_panel(spark, sf_dir), F.col("y"), {"x": F.col("x")}, ["g"], F.col("w"), ["t"])
+    return _panel_errors(spark, fit)
+
+
+@query(
+    "panel_two_effects",
+    f"""WITH RECURSIVE {_PANEL}, r AS (
+      SELECT 0 AS i, g, t, w, x, y FROM p UNION ALL
+      SELECT i + 1, g, t, w, x - sum(w * x) OVER h / sum(w) OVER h, y - sum(w * y) OVER h / sum(w) OVER h FROM (
+        SELECT i, g, t, w, x - sum(w * x) OVER k / sum(w) OVER k AS x, y - sum(w * y) OVER k / sum(w) OVER k AS y FROM r WHERE i < 60 WINDOW k AS (PARTITION BY g)) WINDOW h AS (PARTITION BY t)),
+    q AS (SELECT * FROM r WHERE i = 60), {_ERRORS.format(rest="(SELECT count(DISTINCT g) FROM p) - (SELECT count(DISTINCT t) FROM p)")}""",
+)
+def panel_two_effects(spark, sf_dir):
+    """The same with nation and year effects, taken out by alternating means."""
+    fit = panel.fixed_effects(_panel(spark, sf_dir), F.col("y"), {"x": F.col("x")}, ["g", "t"], F.col("w"))
+    return _panel_errors(spark, fit)
+
+
+@query("wild_cluster_test")
+def wild_cluster_test(spark, sf_dir):
+    """p of the slope of the panel with both effects by the wild cluster bootstrap over nations, and its interval from resampled nations."""
+    moments = panel.cluster_moments(_panel(spark, sf_dir), "g", F.col("y"), {"x": F.col("x")}, ["g", "t"], F.col("w"))
+    slope, draws = panel.resampled(moments, 400, seed=3)
+    low, high = np.quantile(draws[:, 0], [0.025, 0.975])
+    return spark.createDataFrame([(float(slope[0]), float(panel.wild_p(moments)), float(low), float(high), len(moments.clusters))], "slope double, p_wild double, low double, high double, n_clusters int")
 
 
 @query("mixture_rank")
