@@ -115,3 +115,26 @@ def test_order_statistics(spark):
     pairs = [(a > b) + (a == b) / 2 for a, ya in scores if ya for b, yb in scores if not yb]
     assert abs(auc.auc - sum(pairs) / len(pairs)) < 1e-12
     assert stats.mann_whitney_auc(spark.createDataFrame([(1, 1)], "s int, y int"), "s", "y").first().auc is None
+
+
+def test_covering_intervals(spark):
+    rng = random.Random(5)
+    spans = [(rng.choice("ab"), i, t, t + rng.choice([-5, 0, 3, 40, 900, 70_000])) for i, t in enumerate(rng.randint(-5_000, 5_000) for _ in range(120))]
+    spans += [("a", 900, -10**9, 10**9), ("a", 901, -10**15, 10**15), ("b", 902, None, 5), (None, 903, 0, 10)]
+    points = [(rng.choice("ab"), i, rng.randint(-6_000, 80_000)) for i in range(150)] + [("a", 500, None), (None, 501, 5), ("c", 502, 5)]
+    a = spark.createDataFrame(points, "k string, point_id long, t long").withColumn("t_start", F.lit(0))
+    b = spark.createDataFrame(spans, "k string, interval_id long, t_start long, t_end long").withColumn("who", F.col("interval_id") % 3)
+    expected = {(p, i) for k, p, t in points for g, i, s, e in spans if k is not None and k == g and None not in (t, s) and s <= t <= e}
+    got = [(r.point_id, r.interval_id) for r in interval.covering(a, b, ["k"], 10).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+    sets = {(r.point_id, r.who): r.intervals for r in interval.covering_sets(a, b, ["k"], "who", 10).collect()}
+    assert sets == {(p, w): sorted(i for q, i in expected if q == p and i % 3 == w) for p, w in {(p, i % 3) for p, i in expected}}
+    assert interval.covering(a, b.where("false"), ["k"], 10).count() == 0
+
+
+def test_a_long_interval_is_not_repeated(spark):
+    """One interval over all cells stands in two cells of its own width."""
+    b = spark.createDataFrame([("a", 1, 0, 10**12)] + [("a", i, i, i + 1) for i in range(2, 50)], "k string, interval_id long, t_start long, t_end long")
+    a = spark.createDataFrame([("a", i, 10**12 // 300 * i) for i in range(300)], "k string, point_id long, t long")
+    plan = interval.covering(a, b, ["k"], 10)
+    assert plan.where("interval_id = 1").count() == 300

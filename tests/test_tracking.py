@@ -160,7 +160,7 @@ def test_streams(spark, tmp_path):
     df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, ts string").withColumn("ts", F.to_timestamp("ts"))
     df.unionByName(df.limit(5)).coalesce(1).write.parquet(str(tmp_path / "in"))
     source = lambda: events.event_source(spark, str(tmp_path / "in"), df.schema)
-    drained = lambda s, n, mode: events.drain(s, n, mode, str(tmp_path / n))
+    drained = lambda s, n, mode: (events.replayed if mode == "complete" else events.finished)(s, str(tmp_path / n))
     assert drained(events.deduplicated(source(), ["event_id"]), "dedup", "append").count() == 120
     rates = drained(events.rates(events.deduplicated(source(), ["event_id"]), "1 minute", None), "rates", "append")
     assert rates.count() == 0  # windows stay open until the watermark has passed
@@ -171,7 +171,7 @@ def test_streams(spark, tmp_path):
         assert 1 <= r.n <= 4 and r.t_start <= r.t_end
     assert len(runs) >= 40
     anchors, responses = source().where("event_type = 'a'"), source().where("event_type = 'b'")
-    joined = drained(events.first_responses(anchors, responses, "5 seconds"), "resp", "append")
+    joined = drained(events.all_responses(anchors, responses, "5 seconds"), "resp", "append")
     assert joined.where("response_id is not null").count() > 0
 
 

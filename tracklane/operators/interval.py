@@ -82,3 +82,31 @@ def first_after_anchor_excluding(anchors: DataFrame, responses: DataFrame, horiz
     met = a.withColumn("bucket", F.explode(F.array(bucket, bucket + 1))).join(r, ["key", "bucket"]).where(F.col("r_ms").between(F.col("a_ms"), F.col("a_ms") + width) & allowed)
     first = met.groupBy("anchor_id").agg(F.min(F.struct((F.col("r_ms") - F.col("a_ms")).alias("delay_ms"), "response_id", "actor")).alias("f")).select("anchor_id", "f.*")
     return a.drop("without").join(first, "anchor_id", "left")
+
+
+def covering(points: DataFrame, intervals: DataFrame, by: list[str], cell_ms: int) -> DataFrame:
+    """Every pair of a point and an interval of the same key that holds it: by, point_id, t, interval_id, t_start, t_end.
+
+    points: by, point_id, t; intervals: by, interval_id, t_start, t_end, ends
+    included. Times may be negative; rows with null keys or times, and intervals
+    that end before they start, hold nothing. An interval of length up to
+    cell_ms * 2^k lies in at most two cells of that width; it is put into these
+    alone, whatever its length, and a point looks into one cell of each width
+    that occurs (64 at most). So a long interval meets its points cell by cell of
+    its own width and is never repeated along its length.
+    """
+    span = (F.col("t_end") - F.col("t_start")).cast("double") / cell_ms
+    level = F.greatest(F.ceil(F.log2(F.greatest(span, F.lit(1.0)))), F.lit(0)).cast("int")
+    wide = lambda c, k: F.floor(c / (F.lit(cell_ms).cast("double") * F.pow(F.lit(2.0), k))).cast("long")
+    held = intervals.where("t_end >= t_start").select(*by, "interval_id", "t_start", "t_end").withColumn("level", level)
+    placed = held.withColumn("cell", F.explode(F.array_distinct(F.array(wide(F.col("t_start"), F.col("level")), wide(F.col("t_end"), F.col("level"))))))
+    levels = sorted(r[0] for r in held.select("level").distinct().collect())
+    probes = points.select(*by, "point_id", "t").where("t IS NOT NULL").withColumn("level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>"))).withColumn("cell", wide(F.col("t"), F.col("level")))
+    return probes.join(placed, [*by, "level", "cell"]).where(F.col("t").between(F.col("t_start"), F.col("t_end"))).drop("level", "cell")
+
+
+def covering_sets(points: DataFrame, intervals: DataFrame, by: list[str], actor: str, cell_ms: int) -> DataFrame:
+    """Per point and actor whose intervals hold it: by, point_id, actor, intervals (sorted ids), first_start, last_end. intervals have the actor's column."""
+    owners = intervals.select(F.col("interval_id"), actor)
+    pairs = covering(points, intervals, by, cell_ms).join(owners, "interval_id")
+    return pairs.groupBy(*by, "point_id", actor).agg(F.sort_array(F.collect_set("interval_id")).alias("intervals"), F.min("t_start").alias("first_start"), F.max("t_end").alias("last_end"))

@@ -8,7 +8,7 @@ from dataclasses import replace
 import numpy as np
 from pyspark.sql import functions as F
 
-from tracklane.operators import hmm, inference, mixture, panel, regression, tracking
+from tracklane.operators import effects, hmm, inference, mixture, panel, regression, tracking
 from tracklane.plans.registry import EVENTS, Registry
 from tracklane.plans.track_queries import frames
 from tracklane.sources import virtual
@@ -218,6 +218,34 @@ def overlap_effect(spark, sf_dir):
     return out.select(*[F.round(c, 4).alias(c) for c in out.columns])
 
 
+_TREATED = "(l_returnflag = 'R')::INT AS t, 1 / (1 + exp(-(l_quantity - 25) / 20)) AS e"
+
+
+@query(
+    "balance_table",
+    f"""WITH r AS (SELECT {_TREATED}, l_quantity AS a, l_extendedprice AS b, l_discount AS c FROM lineitem), x AS (SELECT t, e, unnest(['quantity', 'price', 'discount']) AS covariate, unnest([a, b, c]) AS x FROM r),
+    m AS (SELECT covariate, avg(x) FILTER (t = 1) AS p1, avg(x) FILTER (t = 0) AS p0, sqrt((var_pop(x) FILTER (t = 1) + var_pop(x) FILTER (t = 0)) / 2) + 1e-9 AS s,
+      sum((1 - e) * t * x) / sum((1 - e) * t) AS w1, sum(e * (1 - t) * x) / sum(e * (1 - t)) AS w0 FROM x GROUP BY covariate)
+    SELECT covariate, round((p1 - p0) / s, 5) AS before, round((w1 - w0) / s, 5) AS after FROM m""",
+)
+def balance_table(spark, sf_dir):
+    """Standardised differences of returned lines, before and after overlap weights of a given propensity."""
+    p = 1 / (1 + F.exp(-(F.col("l_quantity") - 25) / 20))
+    covariates = {"quantity": F.col("l_quantity"), "price": F.col("l_extendedprice"), "discount": F.col("l_discount")}
+    out = effects.balance(table(spark, sf_dir, "lineitem"), (F.col("l_returnflag") == "R").cast("int"), p, covariates)
+    return out.select("covariate", F.round("before", 5).alias("before"), F.round("after", 5).alias("after"))
+
+
+@query("doubly_robust_effect")
+def doubly_robust_effect(spark, sf_dir):
+    """Difference in discount that goes with returned lines, at equal quantity, price and supplier's nation; three folds and clusters by order."""
+    nations = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    lines = table(spark, sf_dir, "lineitem").join(nations, "l_suppkey").withColumn("returned", (F.col("l_returnflag") == "R").cast("int"))
+    made = effects.design(lines, {"quantity": F.col("l_quantity"), "price": F.ln("l_extendedprice"), "tax": F.col("l_tax")}, ["s_nationkey"])
+    fitted = effects.cross_fitted(made.rows, "returned", "l_discount", F.pmod(F.xxhash64("l_orderkey"), F.lit(3)), 3)
+    return effects.effect(fitted, "returned", "l_discount", "l_orderkey")
+
+
 @query(
     "e_values",
     """WITH c AS (SELECT l_linestatus, count(*) FILTER (l_returnflag = 'R' AND l_discount > 0.05)::DOUBLE / count(*) FILTER (l_returnflag = 'R') AS a, count(*) FILTER (l_returnflag <> 'R' AND l_discount > 0.05)::DOUBLE / count(*) FILTER (l_returnflag <> 'R') AS b FROM lineitem GROUP BY ALL),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tracklane.operators import asof, interval, islands
+from tracklane.operators import asof, interval, islands, screens
 from tracklane.operators.stats import linear_quantiles
 from tracklane.plans.registry import EVENTS, Registry
 from tracklane.sources.fixtures import event_stream, table
@@ -278,3 +278,46 @@ def merge_cascades(spark, sf_dir):
 )
 def sustained_max(spark, sf_dir):
     return islands.sustained_max(event_stream(spark, sf_dir), ["user_id"], ["t_ms", "event_id"], "value", 3)
+
+
+_SPANS = f"e.event_id AS interval_id, e.user_id // 20 AS team, e.user_id AS actor, e.t_ms AS t_start, e.t_ms + CASE WHEN e.event_id % 97 = 0 THEN {20 * DAY} ELSE (e.event_id * 7919 % 100) ** 2 * 1000 END AS t_end FROM e WHERE e.event_type = 'click'"
+
+
+@query(
+    "covering_interval_sets",
+    f"""WITH {EVENTS}, i AS (SELECT {_SPANS}), p AS (SELECT event_id AS point_id, user_id // 20 AS team, t_ms AS t FROM e WHERE event_type = 'view')
+    SELECT p.point_id, i.actor, string_agg(i.interval_id::VARCHAR, ',' ORDER BY i.interval_id) AS intervals, count(*)::BIGINT AS n, min(t_start)::BIGINT AS first_start, max(t_end)::BIGINT AS last_end
+    FROM p JOIN i ON p.team = i.team AND t BETWEEN t_start AND t_end GROUP BY ALL""",
+)
+def covering_interval_sets(spark, sf_dir):
+    """For each view and user of its team, all click intervals that hold it: of seconds, minutes, hours and, some, of twenty days."""
+    e = event_stream(spark, sf_dir)
+    team = F.floor(F.col("user_id") / 20).alias("team")
+    length = F.when(F.col("event_id") % 97 == 0, F.lit(20 * DAY)).otherwise(F.pow(F.col("event_id") * 7919 % 100, F.lit(2)).cast("long") * 1000)
+    spans = e.where("event_type = 'click'").select(F.col("event_id").alias("interval_id"), team, F.col("user_id").alias("actor"), F.col("t_ms").alias("t_start"), (F.col("t_ms") + length).alias("t_end"))
+    points = e.where("event_type = 'view'").select(F.col("event_id").alias("point_id"), team, F.col("t_ms").alias("t"))
+    sets = interval.covering_sets(points, spans, ["team"], "actor", 60_000)
+    return sets.select("point_id", "actor", F.array_join(F.col("intervals").cast("array<string>"), ",").alias("intervals"), F.size("intervals").cast("long").alias("n"), "first_start", "last_end")
+
+
+@query(
+    "screen_response_chain",
+    f"""WITH {EVENTS}, p AS (SELECT user_id // 20 AS game, event_id AS possession, t_ms AS t_start, t_ms + {6 * HOUR} AS t_end FROM e WHERE event_type = 'view'),
+    s AS (SELECT user_id // 20 AS game, event_id // 40 AS screen_group, event_id AS screen_id, t_ms AS t_contact, user_id AS a, user_id + 1 AS b, value > 60 AS switched FROM e WHERE event_type = 'error'),
+    j AS (SELECT s.*, p.possession, row_number() OVER (PARTITION BY screen_id ORDER BY (t_contact < t_start)::INT, t_start, possession) AS k FROM s JOIN p ON p.game = s.game AND t_contact BETWEEN t_start - {HOUR} AND t_end),
+    g AS (SELECT *, row_number() OVER (PARTITION BY game, screen_group ORDER BY t_contact, screen_id) AS f, bool_or(coalesce(switched, false)) OVER (PARTITION BY game, screen_group) AS sw, count(*) OVER (PARTITION BY game, screen_group) AS n FROM j WHERE k = 1),
+    h AS (SELECT p.possession, e.event_id AS help_id, e.user_id AS def_id, e.t_ms AS t FROM p JOIN e ON e.event_type = 'purchase' AND e.user_id // 20 = p.game AND e.t_ms BETWEEN p.t_start AND p.t_end),
+    r AS (SELECT g.game, g.screen_group, h.def_id, h.t - g.t_contact AS d, row_number() OVER (PARTITION BY g.game, g.screen_group ORDER BY h.t, h.help_id) AS k FROM g JOIN h ON h.possession = g.possession AND h.t BETWEEN g.t_contact AND g.t_contact + {3 * HOUR} AND h.def_id NOT IN (g.a, g.b) WHERE g.f = 1)
+    SELECT g.game, g.screen_group, g.possession, g.t_contact, g.sw AS switched, g.n::BIGINT AS n_screens, r.d::BIGINT AS help_delay_ms, r.def_id AS helper, r.def_id IS NOT NULL AS helped FROM g LEFT JOIN r ON r.game = g.game AND r.screen_group = g.screen_group AND r.k = 1 WHERE g.f = 1""",
+)
+def screen_response_chain(spark, sf_dir):
+    """Screens to possessions to the first help by a third man."""
+    e = event_stream(spark, sf_dir)
+    game = F.floor(F.col("user_id") / 20).alias("game")
+    possessions = e.where("event_type = 'view'").select(game, F.col("event_id").alias("possession"), F.col("t_ms").alias("t_start"), (F.col("t_ms") + 6 * HOUR).alias("t_end"))
+    calls = e.where("event_type = 'error'").select(game, F.floor(F.col("event_id") / 40).alias("screen_group"), F.col("event_id").alias("screen_id"), F.col("t_ms").alias("t_contact"), F.col("user_id").alias("screened_def"), (F.col("user_id") + 1).alias("screener_def"), (F.col("value") > 60).alias("switched"))
+    acts = e.where("event_type = 'purchase'").select(game, F.col("event_id").alias("point_id"), F.col("user_id").alias("def_id"), F.col("t_ms").alias("t"))
+    met = interval.covering(acts, possessions.withColumnRenamed("possession", "interval_id"), ["game"], HOUR)
+    helps = met.join(acts.select("point_id", "def_id"), "point_id").select(F.col("interval_id").alias("possession"), F.col("point_id").alias("help_id"), "def_id", "t")
+    out = screens.screen_responses(calls, possessions, helps, HOUR, 3 * HOUR, HOUR)
+    return out.select("game", "screen_group", "possession", "t_contact", "switched", "n_screens", "help_delay_ms", "helper", "helped")

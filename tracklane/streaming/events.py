@@ -63,10 +63,14 @@ def all_responses(anchors: DataFrame, responses: DataFrame, horizon: str, late:
     """Anchors with each response of their key within the horizon, and those without any once the watermark has passed.
 
     anchors: anchor_id, key, a_ts, without (array of actors, null: nobody);
-    responses: response_id, r_key, actor, r_ts. An actor in `without` does not
+    responses: response_id, r_key, actor, r_ts. Events as they are will do too:
+    the user is key and actor then, and nobody is left out. An actor in `without` does not
     respond, nor does a null one. The join's state is dropped as soon as no
     response can come any more.
     """
+    if "anchor_id" not in anchors.columns:
+        anchors = anchors.select(F.col("event_id").alias("anchor_id"), F.col("user_id").alias("key"), F.col("ts").alias("a_ts"), F.lit(None).cast("array<long>").alias("without"))
+        responses = responses.select(F.col("event_id").alias("response_id"), F.col("user_id").alias("r_key"), F.col("user_id").alias("actor"), F.col("ts").alias("r_ts"))
     a = anchors.withWatermark("a_ts", late) if late else anchors
     r = responses.withWatermark("r_ts", late) if late else responses
     near = F.expr(f"key = r_key AND r_ts >= a_ts AND r_ts <= a_ts + INTERVAL {horizon} AND actor IS NOT NULL AND NOT coalesce(array_contains(without, actor), false)")
