@@ -33,3 +33,12 @@ def test_whole_licences_are_known(make_docs):
     texts = [" ".join((folder / f).read_text().split(" ")).replace("\n\n", "\n \n") for f in named]
     out = {r.doc_id: r.license for r in licenses.scan(make_docs(list(enumerate(texts)))).collect()}
     assert [out[k] for k in range(len(named))] == list(named.values())
+
+
+def test_lines_that_do_not_name_a_licence(make_docs):
+    """Whole short licences on one line of a longer document."""
+    texts = {spdx: " ".join(t.split()) for spdx, t in TEXTS if spdx in ("ISC", "0BSD", "Zlib", "BSD-2-Clause")}
+    assert len(texts) == 4
+    rows = [(i, f"some code\n{t}\nmore of it") for i, t in enumerate(texts.values())] + [(9, "\n\n" + "x" * 100_000)]
+    out = {r.doc_id: (r.license, r.notices, r.n_notices) for r in licenses.scan(make_docs(rows)).collect()}
+    assert out == {i: (None, spdx, 1) for i, spdx in enumerate(texts)} | {9: (None, "", 0)}

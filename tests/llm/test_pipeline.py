@@ -51,9 +51,9 @@ def test_run_gives_all_rows(spark, stages):
 
 
 def test_repeated_and_null_ids(spark, make_docs):
-    docs = make_docs([(1, "a b c d e"), (1, "a b c d e"), (1, "x y z"), (2, "a b c d e"), (None, "q r s"), (3, None), (4, "")], extra=False)
+    docs = make_docs([(1, "a b c d e"), (1, "a b c d e"), (1, "x y z"), (2, "a b c d e"), (None, "q r s"), (None, "q r s"), (None, "x y z"), (3, None), (4, ""), (5, "")], extra=False)
     out = sorted(((r.doc_id or 0), r.text or "") for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
-    assert out == [(0, "q r s"), (1, "a b c d e"), (3, ""), (4, "")]
+    assert out == [(0, "q r s"), (1, "a b c d e"), (1, "x y z"), (3, ""), (4, ""), (5, "")]
 
 
 @pytest.fixture(scope="module")

@@ -136,3 +136,20 @@ def test_vocabulary_words_are_cheap_and_every_context_is_judged():
     spans, values = secrets.find_spans("token=plantation and api_key: tR9#kLq2vX", words)
     assert [v[:2] for v in values] == [(6, 16), (30, 40)] and secrets.verdicts(values).endswith("secret") and ":weak," in secrets.verdicts(values)
     assert [s[1] for s in spans] == [0, 3]
+
+
+def test_values_are_costed_to_their_ends():
+    for text, hidden in [
+        ('secret = "p@ss,W0rd!9xz" x', '[SECRET]" x'),
+        ("password=Tr0ub4dor&3,xyz!Q9 x", "[SECRET] x"),
+        ('pwd: "correct horse battery staple" and', '[SECRET]" and'),
+        ('pwd: "abc" and "more words here"', 'pwd: "abc" and "more words here"'),
+        ("token: a$kd8!Qz71, user=bob", "[SECRET], user=bob"),
+        ("token: a$kd8!Qz71,user=bob", "[SECRET],user=bob"),
+        ("pwd='Zk3;9q,xL m' end", "[SECRET]' end"),
+        ('{"password": "a\\\\\\"b c;9Zq,x"}', '{"[SECRET]"}'),
+        ("pwd: 'Zk3;9q,xLm", "[SECRET]"),
+    ]:
+        assert secrets.hidden(text) == hidden, text
+    for tail in ("a" * 200_000, '"' * 200_000, ",;" * 100_000, "a,b=" * 50_000):
+        secrets.find_spans('pwd: "' + tail)

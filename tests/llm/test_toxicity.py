@@ -88,3 +88,17 @@ def test_a_common_opening_makes_no_copies():
 def shingle_sets(texts):
     values, at = toxicity.shingles(toxicity.Words(pa.array(texts)))
     return [values[i:j] for i, j in zip(at[:-1], at[1:])]
+
+
+def test_a_huge_text_does_not_end_the_sample(spark, make_docs, corpus):
+    """Texts above their share are passed over; the rest are learned from, rows that repeat an id once."""
+    rows, labels = corpus
+    first = min((i for i, _ in rows), key=lambda i: i)
+    docs = make_docs([(i, t * 2000 if i == first else t) for i, t in rows[:300]] * 2, extra=False)
+    chosen = spark.createDataFrame(labels[:300], "doc_id long, toxic int")
+    limit = sum(len(t) for _, t in rows[:300])
+    model = toxicity.train(docs, chosen, fit_bytes=limit)
+    assert model is not None
+    found = {r.doc_id: r.predicted for r in toxicity.score(make_docs(rows[300:], extra=False), model).collect()}
+    truth = dict(labels)
+    assert np.mean([found[i] for i in found if truth[i]]) > 0.7 and np.mean([found[i] for i in found if not truth[i]]) < 0.05

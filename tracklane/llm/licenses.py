@@ -31,9 +31,6 @@ STEPS = (
     (r"&", " and "),
     (r"[^\p{L}\p{N}]+", " "),
 )
-#: Lines with this are looked up, as the SQL of op7 has it. ISC, 0BSD, Zlib and bare BSD texts lack it: they are known as whole texts only.
-LINE_HINT = "(?i)licen"
-
 
 def canonical(text: Column) -> Column:
     out = F.lower(text)
@@ -65,7 +62,7 @@ def scan(docs: DataFrame) -> DataFrame:
     known = spark.createDataFrame(sorted(known_digests().items()), "canonical_sha256 string, license string")
     names = F.create_map(*[F.lit(x) for pair in sorted(known_digests().items()) for x in pair])
     text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(LINE_HINT))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(x) > 0)
     found = F.filter(F.transform(lines, lambda x: F.element_at(names, F.sha2(canonical(x).cast("binary"), 256))), lambda x: x.isNotNull())
     scanned = docs.select("doc_id", F.sha2(canonical(text).cast("binary"), 256).alias("canonical_sha256"), found.alias("found"))
     return scanned.join(F.broadcast(known), "canonical_sha256", "left").select(  # a row for each known form

@@ -24,7 +24,7 @@ WITH known(digest, license) AS (VALUES {values}),
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 line AS (
   SELECT rid, sha256({_canonical("l")}) AS digest
-  FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '(?i)licen')),
+  FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d)),
 found AS (SELECT rid, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM line JOIN known USING (digest) GROUP BY rid),
 whole AS (SELECT rid, doc_id, sha256({_canonical("t")}) AS canonical_sha256 FROM d)
 SELECT doc_id, canonical_sha256, license, coalesce(n, 0)::BIGINT AS n_notices, coalesce(notices, '') AS notices

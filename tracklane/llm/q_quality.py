@@ -33,12 +33,7 @@ line AS (
   FROM (SELECT rid, source, unnest(string_split(t, chr(10))) AS l FROM d)
   WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 dups AS (SELECT rid, count(*) - count(DISTINCT l) AS n_dup_lines FROM line GROUP BY rid),
-hosts AS (SELECT source, count(*) AS host_docs FROM d GROUP BY source),
-frequent AS (
-  SELECT c.source, c.norm
-  FROM (SELECT source, norm, count(DISTINCT rid) AS line_docs FROM line GROUP BY source, norm) c
-  JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source
-  WHERE line_docs > 20 AND line_docs > host_docs * 0.001::DOUBLE),
+frequent AS (SELECT source, norm FROM (SELECT source, norm, count(DISTINCT rid) AS line_docs FROM line GROUP BY source, norm) WHERE line_docs > 20),
 lost AS (
   SELECT l.rid, sum(l.n) AS removed_words FROM line l JOIN frequent f ON l.source IS NOT DISTINCT FROM f.source AND l.norm = f.norm GROUP BY l.rid),
 base AS (

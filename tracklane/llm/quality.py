@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 
 from tracklane.llm.common import SPACE, WORD, staged
 
-#: A line is too frequent on a host if it is in more documents than both of these allow.
+#: A line is too frequent on a host if it is in more than this number of its documents, however large the host.
 LINE_MIN_DOCS = 20
-LINE_MAX_SHARE = 0.001
 #: A document is depleted if fewer words are left than either of these asks for.
 LEAST_WORDS = 5
 #: Parts that the rows of one line are dealt to when they meet the frequent lines.
@@ -100,24 +99,18 @@ def measure(docs: DataFrame, with_text: bool = False) -> DataFrame:
     return staged(measured, "measured")
 
 
-def frequent_lines(measured: DataFrame, min_docs: int = LINE_MIN_DOCS, max_share: float = LINE_MAX_SHARE) -> DataFrame:
-    """(no_host, host, h) of lines in more documents of their host than max(min_docs, max_share * documents of the host)."""
-    hosts = measured.groupBy("no_host", "host").agg(F.count(F.lit(1)).alias("host_docs"))
+def frequent_lines(measured: DataFrame, min_docs: int = LINE_MIN_DOCS) -> DataFrame:
+    """(no_host, host, h) of lines in more than min_docs documents of their host."""
     distinct = F.array_distinct(F.transform("lines", lambda x: x["h"]))
     counts = measured.select("no_host", "host", F.explode(distinct).alias("h")).groupBy("no_host", "host", "h").agg(F.count(F.lit(1)).alias("line_docs"))
-    return (
-        counts.where(F.col("line_docs") > min_docs)
-        .join(hosts, ["no_host", "host"])
-        .where(F.col("line_docs") > F.col("host_docs") * max_share)
-        .select("no_host", "host", "h")
-    )
+    return counts.where(F.col("line_docs") > min_docs).select("no_host", "host", "h")
 
 
-def judged(measured: DataFrame, min_docs: int = LINE_MIN_DOCS, max_share: float = LINE_MAX_SHARE, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+def judged(measured: DataFrame, min_docs: int = LINE_MIN_DOCS, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
     """measured with removed_words and kept; kept is false where base_failed, else false for depleted documents."""
     each = measured.select("row_id", "no_host", "host", F.explode("lines").alias("line")).select("row_id", "no_host", "host", "line.h", "line.n", F.pmod("row_id", F.lit(SALTS)).cast("int").alias("salt"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    lost = each.join(frequent_lines(measured, min_docs, max_share).select("*", salts), ["no_host", "host", "h", "salt"]).groupBy("row_id").agg(F.sum("n").alias("removed_words"), F.collect_set("h").alias("removed"))
+    lost = each.join(frequent_lines(measured, min_docs).select("*", salts), ["no_host", "host", "h", "salt"]).groupBy("row_id").agg(F.sum("n").alias("removed_words"), F.collect_set("h").alias("removed"))
     left = F.col("n_words") - F.col("removed_words")
     return (
         measured.join(lost, "row_id", "left")

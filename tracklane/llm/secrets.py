@@ -27,8 +27,11 @@ KINDS = ("assign", "access", "hex", "credential")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
+# A quoted value goes to its closing quote on the line; any other to white space, a quote or a bracket, and to a comma or semicolon at its end or before another key.
+_SCHEME = r"(?:(?:bearer|basic|token)[\x20\t]{1,4})?+"
 CONTEXT = re.compile(
-    r"""(?:(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|auth(?:orization)?|bearer|credentials?|(?:client|app)_?secret|(?:private|access|signing|encryption)_?key)|password|passwd|secret|token|api[_-]?key)["']?[\x20\t]{0,4}(?:=>|[:=])[\x20\t]{0,4}["']?(?:(?:bearer|basic|token)[\x20\t]{1,4})?+([^\s"'<>,;]{6,})""",
+    r"""(?:(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|auth(?:orization)?|bearer|credentials?|(?:client|app)_?secret|(?:private|access|signing|encryption)_?key)|password|passwd|secret|token|api[_-]?key)["']?[\x20\t]{0,4}(?:=>|[:=])[\x20\t]{0,4}"""
+    rf"""(?:(["']){_SCHEME}((?:\\[^\n]|(?!\1)[^\n\\]){{6,}})\1|["']?{_SCHEME}((?:[^\s"'<>,;]|(?<![\s,;])[,;](?![\s"'<>,;]|$|[\w.-]{{1,40}}[\x20\t]{{0,4}}[:=])){{6,}}))""",
     re.IGNORECASE | re.ASCII,
 )
 ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -146,10 +149,11 @@ def find_spans(text: str, words: Words | None = None) -> tuple[list[tuple[int, i
     if any(h in low for h in CONTEXT_HINTS):
         base = sorted(spans)
         for m in CONTEXT.finditer(text):
-            cost = guess_cost(m[1], words)
-            values.append((m.start(1), m.end(1), cost))
-            if cost >= MIN_GUESSES_LOG10 and not any(s <= m.start() and m.end() <= e for s, _, e in base):
-                spans.append((m.start(), 3, m.end()))
+            start, end = m.span(2 if m[2] else 3)
+            cost = guess_cost(text[start:end], words)
+            values.append((start, end, cost))
+            if cost >= MIN_GUESSES_LOG10 and not any(s <= m.start() and end <= e for s, _, e in base):
+                spans.append((m.start(), 3, end))
     return sorted(spans), values
 
 

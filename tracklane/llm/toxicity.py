@@ -27,6 +27,8 @@ from tracklane.llm.textvec import Words, mix, shingles, slices
 FIT_ROWS = 16_000
 #: Bytes of text that the model is fitted on at most.
 FIT_BYTES = 128 << 20
+#: A text of more than this part of the sample's bytes is not learned from.
+TEXT_SHARE = 8
 THRESHOLD = 0.7
 #: Bytes of the word beginnings that the lexicon holds beside whole words (0).
 LENGTHS = (0, 4, 6, 8)
@@ -236,13 +238,18 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_byte
     """The model from at most fit_rows labelled rows with at most fit_bytes of text; None without any.
 
     A doc_id with several labels is toxic if one of them says so; null labels,
-    ids and texts are left out. Of rows that repeat a doc_id, all are taken.
+    ids and texts are left out, as are single texts above fit_bytes / TEXT_SHARE.
+    Of rows that repeat a doc_id the one of the least hash is taken. Rows are
+    chosen by their hashes and sizes; only texts chosen move.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    sample = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")  # at most fit_rows ids
-    in_order = Window.orderBy("h", "text").rowsBetween(Window.unboundedPreceding, 0)  # the sample alone, in one task
-    ordered = sample.select("text", "toxic", F.xxhash64("doc_id", "text").alias("h")).withColumn("bytes", F.sum(F.octet_length("text")).over(in_order)).where(F.col("bytes") <= fit_bytes).drop("bytes")
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").withColumn("h", F.xxhash64("doc_id", "text"))  # at most fit_rows ids
+    sizes = texts.select("doc_id", "h", F.octet_length("text").cast("long").alias("bytes")).where(F.col("bytes") <= fit_bytes // TEXT_SHARE).groupBy("doc_id").agg(F.min(F.struct("h", "bytes")).alias("r"))
+    in_order = Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # two numbers for each of at most fit_rows ids
+    taken = sizes.select("doc_id", "r.*").withColumn("sum", F.sum("bytes").over(in_order)).where(F.col("sum") <= fit_bytes).select("doc_id", "h")
+    rows = texts.join(F.broadcast(taken), ["doc_id", "h"]).groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
+    ordered = rows.select("text", "toxic", "h").coalesce(1).sortWithinPartitions("h", "text")  # the sample alone, in one task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
