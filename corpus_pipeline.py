@@ -8,7 +8,7 @@ and a lost executor costs only the stage at hand.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklane.llm import mixing, neardup, packing, secrets, toxicity
@@ -28,20 +28,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the least doc_id.
+    """One document of each group of near-duplicates, the one with the least doc_id (a null one is greater than all others).
 
-    Of rows that repeat a doc_id, the first by text stays. Rows with a null
-    doc_id stay.
+    Each row is judged by its own text, whatever its id: of rows that repeat an
+    id, those whose texts resemble nothing else all stay. Rows without words stay.
     """
-    judged = staged(neardup.near_duplicates(docs), "judged")
-    gone = judged.where("doc_id is not null and not kept").select("doc_id").distinct()
-    repeated = judged.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti")
-    if repeated.isEmpty():
-        return left.select(*docs.columns)
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    again = left.join(repeated, "doc_id", "left_semi").withColumn("__place", F.row_number().over(order)).where("__place = 1")
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))
+    odd = docs.groupBy("doc_id").count().where("doc_id is null or count > 1").select("doc_id")
+    if odd.isEmpty():
+        gone = neardup.near_duplicates(docs).where("not kept").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    top = rows.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
+    marked = rows.join(odd.withColumnRenamed("doc_id", "__odd"), F.col("doc_id").eqNullSafe(F.col("__odd")), "left")
+    own = F.when(F.col("doc_id").isNull() | F.col("__odd").isNotNull(), F.lit(top) + 1 + F.col("__row")).otherwise(F.col("doc_id"))
+    keyed = staged(marked.select("doc_id", "__row", own.alias("__key"), "text"), "keyed")
+    judged = neardup.near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
+    first = judged.select(F.col("doc_id").alias("__key"), "component_id").join(keyed.drop("text"), "__key").groupBy("component_id").agg(F.min(order).alias("first"))
+    return rows.join(first.select(F.col("first.__row").alias("__row")), "__row", "left_semi").select(*docs.columns)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
