@@ -70,7 +70,7 @@ def borrow_encoder(path: str) -> WordEncoder:
     return encoder or WordEncoder(path)
 
 
-def return_encoder(path: str, encoder: WordEncoder) -> None:
+def return_encoder(path: str, encoder: WordEncoder, idle_seconds: float) -> None:
     def drop() -> None:
         with _Kept.lock:
             _Kept.encoder = None
@@ -78,7 +78,7 @@ def return_encoder(path: str, encoder: WordEncoder) -> None:
 
     with _Kept.lock:
         _Kept.path, _Kept.encoder = path, encoder
-        _Kept.timer = threading.Timer(IDLE_SECONDS, drop)
+        _Kept.timer = threading.Timer(idle_seconds, drop)
         _Kept.timer.daemon = True
         _Kept.timer.start()
 
@@ -161,7 +161,7 @@ class WordEncoder:
             return b"".join([self.young[w] for w in words])
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, idle_seconds: float = IDLE_SECONDS) -> DataFrame:
     """Tokenised pieces of documents: doc_id, piece, start, length, ids_crc32, and ids (binary) if with_ids.
 
     A document is its ids and then end_id; longer ones are cut into pieces of
@@ -192,7 +192,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                 columns.append(pa.array(blobs, pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
-        return_encoder(tokenizer_path, encoder)
+        return_encoder(tokenizer_path, encoder, idle_seconds)
 
     return bounded_batches(docs.select("doc_id", "text")).mapInArrow(run, out_schema)
 
