@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from tracklane.llm.boosting import Trees, isotonic
-from tracklane.llm.common import bounded_batches, fold, tidied
+from tracklane.llm.common import bounded_batches, discard, fold, staged, tidied
 from tracklane.llm.neardup import FAR, PERCENT, SIGNATURE, signatures
 from tracklane.llm.textvec import Words, mix, shingles, slices
 
@@ -244,12 +244,12 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_byte
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").withColumn("h", F.xxhash64("doc_id", "text"))  # at most fit_rows ids
-    sizes = texts.select("doc_id", "h", F.octet_length("text").cast("long").alias("bytes")).where(F.col("bytes") <= fit_bytes // TEXT_SHARE).groupBy("doc_id").agg(F.min(F.struct("h", "bytes")).alias("r"))
-    in_order = Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # two numbers for each of at most fit_rows ids
-    taken = sizes.select("doc_id", "r.*").withColumn("sum", F.sum("bytes").over(in_order)).where(F.col("sum") <= fit_bytes).select("doc_id", "h")
-    rows = texts.join(F.broadcast(taken), ["doc_id", "h"]).groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
-    ordered = rows.select("text", "toxic", "h").coalesce(1).sortWithinPartitions("h", "text")  # the sample alone, in one task
+    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= fit_bytes // TEXT_SHARE).join(F.broadcast(chosen), "doc_id")  # at most fit_rows ids
+    held = staged(texts.select("*", F.xxhash64("doc_id", "text").alias("h"), F.octet_length("text").cast("long").alias("bytes"), F.monotonically_increasing_id().alias("row")), "labelled")
+    one = held.groupBy("doc_id").agg(F.min(F.struct("h", "row", "bytes")).alias("r")).select("r.*")
+    in_order = Window.orderBy("h", "row").rowsBetween(Window.unboundedPreceding, 0)  # three numbers for each of at most fit_rows ids
+    taken = one.withColumn("sum", F.sum("bytes").over(in_order)).where(F.col("sum") <= fit_bytes).select("row")
+    ordered = held.join(F.broadcast(taken), "row").select("text", "toxic", "h").coalesce(1)  # the sample alone, in one task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -261,6 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_byte
             yield pa.RecordBatch.from_arrays([pa.array([fit(table.column("text").chunk(0), toxic)], pa.binary())], names=["model"])
 
     rows = bounded_batches(ordered).mapInArrow(tidied(run), "model binary").collect()  # one model of bounded size
+    discard(held)
     return bytes(rows[0]["model"]) if rows else None
 
 
