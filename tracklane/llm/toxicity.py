@@ -249,16 +249,19 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_byte
     one = held.groupBy("doc_id").agg(F.min(F.struct("h", "row", "bytes")).alias("r")).select("r.*")
     in_order = Window.orderBy("h", "row").rowsBetween(Window.unboundedPreceding, 0)  # three numbers for each of at most fit_rows ids
     taken = one.withColumn("sum", F.sum("bytes").over(in_order)).where(F.col("sum") <= fit_bytes).select("row")
-    ordered = held.join(F.broadcast(taken), "row").select("text", "toxic", "h").coalesce(1)  # the sample alone, in one task
+    ordered = held.join(F.broadcast(taken), "row").select("text", "toxic", "h", "row").coalesce(1).sortWithinPartitions("h", "row").select("text", "toxic")  # the sample alone, in one task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if held:
-            table = pa.Table.from_batches(held)
-            held.clear()
-            table = table.take(np.argsort(table.column("h").to_numpy(), kind="stable")).combine_chunks()
-            toxic = (table.column("toxic").to_numpy() > 0).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array([fit(table.column("text").chunk(0), toxic)], pa.binary())], names=["model"])
+        texts, toxic = [], []
+        for b in batches:
+            if b.num_rows:
+                texts.append(b.column(0))
+                toxic.append(b.column(1).to_numpy() > 0)
+        if texts:
+            whole = pa.concat_arrays(texts)
+            texts.clear()
+            pa.default_memory_pool().release_unused()
+            yield pa.RecordBatch.from_arrays([pa.array([fit(whole, np.concatenate(toxic).astype(np.float64))], pa.binary())], names=["model"])
 
     rows = bounded_batches(ordered).mapInArrow(tidied(run), "model binary").collect()  # one model of bounded size
     discard(held)
