@@ -258,7 +258,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = staged(close_links(classes.withColumn("root", F.col("rep")), FIRST_CHUNKS), "first")
     least = first.groupBy(F.greatest("a", "b").alias("rep")).agg(F.min(F.least("a", "b")).alias("root"))
     rooted = staged(classes.join(least, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "rooted")
-    clusters = components(first.union(close_links(rooted, range(FIRST_CHUNKS.stop, CHUNKS))))
+    met = staged(first.union(close_links(rooted, range(FIRST_CHUNKS.stop, CHUNKS))), "met")  # written, so that no task holds two Python workers
+    clusters = components(met)
     members = staged(clusters.withColumnRenamed("node", "rep").join(classes.select("rep", "fp1", "n_shingles"), "rep"), "members")
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
     sizes = sizes.select("root", F.greatest(F.ceil(F.col("n") / CLUSTER_BLOCK), F.ceil(F.col("s") / CLUSTER_SHINGLES)).alias("blocks"))
@@ -266,7 +267,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = ["root", "low", "high"]
     with_sets = dealt.join(whole_sets(docs, members), ["rep", "fp1"])
     linked = with_sets.repartition(*keys).sortWithinPartitions(*keys, "rep").select(*keys, "rep", "shingles").mapInArrow(tidied(exact_links), "a long, b long")
-    roots = components(linked)
+    roots = components(staged(linked, "linked"))
     of_class = classes.select("fp1", "fp2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("root", "rep").alias("root"))
     placed = prints.drop("signature").join(of_class, ["fp1", "fp2"], "left").withColumn("component_id", F.coalesce("root", "doc_id"))
     return placed.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
