@@ -61,13 +61,15 @@ class _Kept:
     lock = threading.Lock()
 
 
-def borrow_encoder(path: str) -> WordEncoder:
+def borrow_encoder(path: str, cached_words: int = CACHED_WORDS) -> WordEncoder:
     with _Kept.lock:
         if _Kept.timer:
             _Kept.timer.cancel()
         encoder = _Kept.encoder if _Kept.path == path else None
         _Kept.encoder = None
-    return encoder or WordEncoder(path)
+    encoder = encoder or WordEncoder(path)
+    encoder.cached_words = cached_words
+    return encoder
 
 
 def return_encoder(path: str, encoder: WordEncoder, idle_seconds: float) -> None:
@@ -99,6 +101,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.cached_words = CACHED_WORDS
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -108,7 +111,7 @@ class WordEncoder:
         return ids
 
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.young) + len(words) > CACHED_WORDS:
+        if len(self.young) + len(words) > self.cached_words:
             self.young, self.old = {}, self.young
         fresh, made = set(), []
         for w in words:
@@ -161,18 +164,19 @@ class WordEncoder:
             return b"".join([self.young[w] for w in words])
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, idle_seconds: float = IDLE_SECONDS) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, idle_seconds: float = IDLE_SECONDS, cached_words: int = CACHED_WORDS) -> DataFrame:
     """Tokenised pieces of documents: doc_id, piece, start, length, ids_crc32, and ids (binary) if with_ids.
 
     A document is its ids and then end_id; longer ones are cut into pieces of
     `capacity` tokens, the last of which may be shorter. Null and empty texts
-    are one piece that holds end_id alone.
+    are one piece that holds end_id alone. A worker keeps the ids of up to twice
+    cached_words words, and for idle_seconds after its last task.
     """
     out_schema = PIECES.format(id=docs.schema["doc_id"].dataType.simpleString()) + (", ids binary" if with_ids else "")
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = borrow_encoder(tokenizer_path)
+        encoder = borrow_encoder(tokenizer_path, cached_words)
         for batch in batches:
             rows, number, starts, lengths, crcs, blobs = [], [], [], [], [], []
             for row, text in enumerate(batch.column(1)):
