@@ -60,7 +60,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokenised pieces of all documents, ids included, with their places in sequences; a null id stays null."""
-    return packing.pack(packing.pieces(docs, tokenizer_path(), with_ids=True, idle_seconds=1.0))
+    return packing.pack(packing.pieces(docs, tokenizer_path(), with_ids=True, idle_seconds=1.0, cached_words=100_000))
 
 
 STAGES = [
