@@ -9,6 +9,7 @@ from tracklane.operators import islands, matchup, stats
 from tracklane.plans.registry import Registry
 from tracklane.sources import virtual
 from tracklane.sources.fixtures import table
+from tracklane.sources.shared import staged
 
 query = Registry()
 QUERIES, ORACLE_SQL = query.queries, query.sql
@@ -185,7 +186,7 @@ def closeouts(spark, sf_dir):
 def breakdown_runs(spark, sf_dir):
     rows = matchup.defenders(frames(spark, sf_dir))
     ox, oy = matchup.at(F.col("slot"))
-    gaps = rows.select("possession", "slot", "step", F.round(court.distance(F.col("def_x"), F.col("def_y"), ox, oy), 9).alias("v"))
+    gaps = staged(rows.select("possession", "slot", "step", F.round(court.distance(F.col("def_x"), F.col("def_y"), ox, oy), 9).alias("v")))  # read for the threshold and for the runs
     sustained = islands.sustained_max(gaps, ["possession", "slot"], ["step"], "v", 3).groupBy("possession").agg(F.max("sustained").alias("sustained"))
     threshold = round(stats.linear_quantiles(sustained, "sustained", [0.8])[0], 9)
     runs = islands.true_runs(gaps.withColumn("above", F.col("v") > threshold), ["possession", "slot"], ["step"], F.col("above"), "v", 3)
