@@ -184,9 +184,8 @@ def closeouts(spark, sf_dir):
     SELECT possession, slot, min(step)::BIGINT AS start_step, count(*)::BIGINT AS length, round(max(v), 6) AS peak FROM i WHERE p GROUP BY possession, slot, isl HAVING count(*) >= 3""",
 )
 def breakdown_runs(spark, sf_dir):
-    rows = matchup.defenders(frames(spark, sf_dir))
-    ox, oy = matchup.at(F.col("slot"))
-    gaps = staged(rows.select("possession", "slot", "step", F.round(court.distance(F.col("def_x"), F.col("def_y"), ox, oy), 9).alias("v")))  # read for the threshold and for the runs
+    apart = F.zip_with("def", "off", lambda d, o: F.round(court.distance(d["x"], d["y"], o["x"], o["y"]), 9))
+    gaps = staged(frames(spark, sf_dir).select("possession", "step", F.posexplode(apart).alias("slot", "v")).withColumn("slot", F.col("slot").cast("long")))  # read for the threshold and for the runs
     sustained = islands.sustained_max(gaps, ["possession", "slot"], ["step"], "v", 3).groupBy("possession").agg(F.max("sustained").alias("sustained"))
     threshold = round(stats.linear_quantiles(sustained, "sustained", [0.8])[0], 9)
     runs = islands.true_runs(gaps.withColumn("above", F.col("v") > threshold), ["possession", "slot"], ["step"], F.col("above"), "v", 3)
