@@ -7,7 +7,7 @@ from tracklane.llm import queries
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op2_mix_sources", "op7_license_scans", "op9_quality_rules"])
+@pytest.mark.parametrize("name", ["op2_mix_sources", "op7_license_scans", "op9_quality_rules", "op11_chat_formatting"])
 def test_native(spark, name):
     text = queries.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     for node in ("Python", "Pandas", "MapInArrow", "CartesianProduct", "BroadcastNestedLoopJoin"):
