@@ -189,3 +189,15 @@ def test_game_sets_and_versions(spark):
     assert [r.possession_id for r in gamesets.assert_grid(grid, 2).collect()] == [2]
     means = {(r.u, r.f): r.mean_of_others for r in gamesets.left_out_means(spark.createDataFrame([(1, 0, 2.0), (1, 1, 4.0), (2, 0, 1.0)], "u int, f int, v double"), "u", "f", "v").collect()}
     assert means == {(1, 0): 4.0, (1, 1): 2.0, (2, 0): None}
+
+
+def test_files_against_a_listing(spark, tmp_path):
+    for name, text in (("a", "one"), ("b", "two"), ("c", "three")):
+        (tmp_path / name).write_text(text)
+    listing = games.manifest(spark, str(tmp_path)).select("name", "sha256").collect()
+    (tmp_path / "b").write_text("changed")
+    (tmp_path / "c").unlink()
+    (tmp_path / "d").write_text("four")
+    known = spark.createDataFrame([*listing, (None, "x")], "name string, sha256 string")
+    got = {r.name: r.status for r in games.compared(games.manifest(spark, str(tmp_path)), known).collect()}
+    assert got == {"a": "same", "b": "changed", "c": "missing", "d": "new"}
