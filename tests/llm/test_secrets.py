@@ -153,3 +153,28 @@ def test_values_are_costed_to_their_ends():
         assert secrets.hidden(text) == hidden, text
     for tail in ("a" * 200_000, '"' * 200_000, ",;" * 100_000, "a,b=" * 50_000):
         secrets.find_spans('pwd: "' + tail)
+
+
+def test_words_of_the_corpus_are_no_secrets(make_docs, edges):
+    texts = [f"Das Geheimnis, обязательно {i}x" for i in range(30)] + ["zu selten Verschluss"] * 19 + ["pwd: xkqjzvwpyt, token=qpwzmvnxkj"] * 60
+    texts += ["pwd: Geheimnis", "token: обязательно", "auth: Verschluss", "pwd: geheimnis7Zq!xv"]
+    rows = list(enumerate(texts, 100)) + edges
+    counted = {}
+    for _, t in rows:
+        for w in secrets.prose_words(t or ""):
+            counted[w] = counted.get(w, 0) + 1
+    docs = make_docs(rows)
+    ranked = secrets.corpus_words(docs)
+    assert ranked == sorted((w for w, n in counted.items() if n >= secrets.MIN_DOCS), key=lambda w: (-counted[w], w)) and {"das", "geheimnis", "обязательно"} <= set(ranked)
+    assert secrets.corpus_words(docs, most=2) == ranked[:2] and secrets.corpus_words(docs.where("false")) == []
+    found = {r.doc_id: r.spans for r in secrets.scan(docs, ranked=ranked).collect()}
+    hit = {t: bool(found[i]) for i, t in enumerate(texts, 100)}
+    assert not hit["pwd: Geheimnis"] and not secrets.hidden("token: обязательно", words=secrets.ranked_words(None, ranked)).startswith("[SECRET]")
+    assert hit["pwd: xkqjzvwpyt, token=qpwzmvnxkj"] and hit["auth: Verschluss"] and hit["pwd: geheimnis7Zq!xv"]
+    out = {r.doc_id: r.text for r in secrets.redact(docs, ranked=ranked).where("doc_id >= 100").collect()}
+    assert out[texts.index("pwd: Geheimnis") + 100] == "pwd: Geheimnis" and out[179] == "[SECRET], [SECRET]"
+
+
+def test_a_corpus_word_costs_its_least_rank():
+    words = secrets.ranked_words(None, ["nichts", "password"])
+    assert words.costs["nichts"] == math.log10(2) and words.costs["password"] == math.log10(2) and secrets.ranked_words(None) is secrets.known_words(None)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from tracklane.llm.common import table
 from tracklane.llm.q_packing import tokenizer_path
-from tracklane.llm.secrets import scan
+from tracklane.llm.secrets import corpus_words, scan
 
 
 def op1_secret_scans(spark, sf_dir):
-    return scan(table(spark, sf_dir, "documents"), tokenizer_path())
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs, tokenizer_path(), corpus_words(docs))

@@ -1,11 +1,12 @@
 """Secret scans: pattern spans, and values in credential contexts by their guess cost.
 
-One pass over whole texts, without a shuffle. Three patterns give the base
+Whole texts are scanned without a shuffle. Three patterns give the base
 spans. A value in a credential context (password, token, auth, private key, ...)
 is split at minimum cost into words, dates, repeats, keyboard walks and
 brute-force spans; it is a secret if guessing it costs enough, and adds a span
-where no base span covers it whole. Words are COMMON_WORDS and, where the path
-of a public tokenizer is given, the words of its vocabulary.
+where no base span covers it whole. Words are COMMON_WORDS, the words of a
+public tokenizer's vocabulary where its path is given, and the words that the
+corpus itself uses in many documents (corpus_words), in whatever language.
 """
 
 from __future__ import annotations
@@ -14,12 +15,14 @@ import hashlib
 import json
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tracklane.llm.common import bounded_batches, tidied
 
@@ -53,6 +56,8 @@ COMMON_WORDS = (
     "string", "enter", "token", "key", "name", "cat", "dog", "blue", "red", "green",
     "black", "white", "star", "king", "queen", "angel", "happy", "lucky", "money", "magic",
 )
+#: Documents that a word of the corpus has to be in, and the most such words that tasks are sent (most frequent first).
+MIN_DOCS, MOST_CORPUS_WORDS = 20, 1 << 17
 KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz", "0123456789")
 
 _WORD_COST = {w: math.log10(2.0 + rank) for rank, w in enumerate(COMMON_WORDS)}
@@ -94,6 +99,52 @@ def known_words(vocabulary: str | None = None) -> Words:
     return Words(costs)
 
 
+_PROSE = re.compile(r"(?<!\w)[^\W\d_]{%d,%d}(?!\w)" % (LEAST_WORD, MOST_WORD))
+
+
+def prose_words(text: str) -> set[str]:
+    """Words of a text, in lower case, that stand outside credential contexts and access keys: a leaked value is no word, however often it is copied."""
+    low = text.lower()
+    if any(h in low for h in CONTEXT_HINTS):
+        text = CONTEXT.sub(" ", text)
+    if "AKIA" in text:
+        text = ACCESS.sub(" ", text)
+    return set(_PROSE.findall(text.lower()))
+
+
+def corpus_words(docs: DataFrame, min_docs: int = MIN_DOCS, most: int = MOST_CORPUS_WORDS) -> list[str]:
+    """Words that at least min_docs rows of docs use in their prose, by number of rows, then by code points; most of them at most.
+
+    Counts cover all rows and whole texts; batches count before the shuffle.
+    Null and empty texts have no words, repeated rows count each, an empty table
+    gives an empty list. What reaches the driver is bounded by most * MOST_WORD
+    characters.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: Counter[str] = Counter()
+            for value in batch.column(0):
+                counts.update(prose_words(value.as_py() or ""))
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "docs"])
+
+    counted = bounded_batches(docs.select("text")).mapInArrow(tidied(run), "word string, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
+    return [r.word for r in counted.where(F.col("docs") >= min_docs).orderBy(F.desc("docs"), "word").limit(most).collect()]
+
+
+def ranked_words(vocabulary: str | None, ranked: Sequence[str] = ()) -> Words:
+    """known_words, and words by rank as corpus_words gives them; a word of both costs the less of the two."""
+    known = known_words(vocabulary)
+    if not ranked:
+        return known
+    costs = dict(known.costs)
+    for rank, word in enumerate(ranked):
+        cost = math.log10(2.0 + rank)
+        if cost < costs.get(word, math.inf):
+            costs[word] = cost
+    return Words(costs)
+
+
 def guess_cost(value: str, words: Words | None = None) -> float:
     """log10 of the guesses for value: the least cost over its segmentations.
 
@@ -165,18 +216,19 @@ def verdicts(values: list[tuple[int, int, float]]) -> str:
     return ",".join(f"{s}:{e}:{cost:.2f}:{'secret' if cost >= MIN_GUESSES_LOG10 else 'weak'}" for s, e, cost in values)
 
 
-def scan(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+def scan(docs: DataFrame, vocabulary: str | None = None, ranked: Sequence[str] = ()) -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, n_credential, base_sha256, spans, guess_log10 (highest cost in a context), values.
 
     values: start:end:log10 of guesses:verdict of the value in each credential
     context, base spans' too. Offsets are code points, ends exclusive. Null and
     empty texts have no spans. A null doc_id stays null; repeated rows are
-    scanned each on its own; other columns are not touched.
+    scanned each on its own; other columns are not touched. ranked: corpus_words.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(ranked))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = known_words(vocabulary)
+        words = ranked_words(vocabulary, sent.value)
         for batch in batches:
             counts, digests, spelled, costs, judged = [[], [], [], []], [], [], [], []
             for value in batch.column(1):
@@ -211,12 +263,13 @@ def hidden(text: str, mark: str = "[SECRET]", words: Words | None = None) -> str
     return "".join(out) + text[max(end, 0) :]
 
 
-def redact(docs: DataFrame, length_col: str | None = "n_chars", vocabulary: str | None = None) -> DataFrame:
-    """docs with secrets in `text` replaced; other columns as they are, but length_col, if present, follows the text. Null texts stay null."""
+def redact(docs: DataFrame, length_col: str | None = "n_chars", vocabulary: str | None = None, ranked: Sequence[str] = ()) -> DataFrame:
+    """docs with secrets in `text` replaced; other columns as they are, but length_col, if present, follows the text. Null texts stay null. ranked: corpus_words."""
     names = docs.columns
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(ranked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = known_words(vocabulary)
+        words = ranked_words(vocabulary, sent.value)
         for batch in batches:
             texts = [None if v is None else hidden(v, words=words) for v in batch.column(names.index("text")).to_pylist()]
             columns = list(batch.columns)
