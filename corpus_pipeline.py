@@ -50,7 +50,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the spans of secrets replaced in their texts; null texts and ids stay null."""
-    return secrets.redact(docs, vocabulary=tokenizer_path())
+    return secrets.redact(docs, vocabulary=tokenizer_path(), ranked=secrets.corpus_words(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
