@@ -58,6 +58,8 @@ COMMON_WORDS = (
 )
 #: Documents that a word of the corpus has to be in, and the most such words that tasks are sent (most frequent first).
 MIN_DOCS, MOST_CORPUS_WORDS = 20, 1 << 17
+#: Words that a task counts before it sends their counts on.
+HELD_WORDS = 100_000
 KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz", "0123456789")
 
 _WORD_COST = {w: math.log10(2.0 + rank) for rank, w in enumerate(COMMON_WORDS)}
@@ -109,24 +111,30 @@ def prose_words(text: str) -> set[str]:
         text = CONTEXT.sub(" ", text)
     if "AKIA" in text:
         text = ACCESS.sub(" ", text)
-    return set(_PROSE.findall(text.lower()))
+    return {m[0] for m in _PROSE.finditer(text.lower())}
 
 
 def corpus_words(docs: DataFrame, min_docs: int = MIN_DOCS, most: int = MOST_CORPUS_WORDS) -> list[str]:
     """Words that at least min_docs rows of docs use in their prose, by number of rows, then by code points; most of them at most.
 
-    Counts cover all rows and whole texts; batches count before the shuffle.
+    Counts cover all rows and whole texts; tasks count up to HELD_WORDS words before they send them on.
     Null and empty texts have no words, repeated rows count each, an empty table
     gives an empty list. What reaches the driver is bounded by most * MOST_WORD
     characters.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "docs"])
+
+        counts: Counter[str] = Counter()
         for batch in batches:
-            counts: Counter[str] = Counter()
             for value in batch.column(0):
                 counts.update(prose_words(value.as_py() or ""))
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "docs"])
+                if len(counts) >= HELD_WORDS:
+                    yield block()
+                    counts.clear()
+        yield block()
 
     counted = bounded_batches(docs.select("text")).mapInArrow(tidied(run), "word string, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
     return [r.word for r in counted.where(F.col("docs") >= min_docs).orderBy(F.desc("docs"), "word").limit(most).collect()]
