@@ -73,7 +73,8 @@ def test_possession_from_frames(spark, raw):
         [("0021500001", 1, 1, 702, 2, HOME, None), ("0021500001", 2, 1, 300, 5, HOME, 3), ("0021500001", 3, 1, 701, 8, HOME, None)],
         "game_id string, event_num int, period int, pctime_sec int, msg_type int, p1_team_id long, score_margin int",
     )
-    out = {r.event_num: r for r in tracking.segment_possessions(entities, index, pbp, direction, {"0021500001": HOME}).collect()}
+    hosts = spark.createDataFrame([("0021500001", HOME)], "game_id string, home_team_id long")
+    out = {r.event_num: r for r in tracking.segment_possessions(entities, index, pbp, direction, hosts).collect()}
     assert set(out) == {1, 2}
     p = out[1]
     assert p.reject is None and p.offense_team_id == HOME and p.attacks_left and p.method == "rim" and p.shooter_id == HOME

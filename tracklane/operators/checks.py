@@ -56,5 +56,20 @@ def max_abs_difference(left: DataFrame, right: DataFrame, keys: list[str], value
     return both.agg(F.max(F.abs(F.col("a") - F.col("b"))).alias("max_difference"), F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("n_unmatched"))
 
 
+def carried_over(base: DataFrame, extended: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: whether extended has every row of base unchanged, and how the tables differ by key.
+
+    n_base, n_extended, n_added (keys of extended alone), n_missing (of base
+    alone), n_changed (in both, with another value in a column of base; nulls
+    are equal) and unchanged (nothing is missing or changed). Keys are distinct
+    on either side; columns that extended has beyond base are not compared.
+    """
+    values = F.struct(*[c for c in base.columns if c not in keys], F.lit(0).alias("__none"))
+    sides = base.select(*keys, values.alias("b"), F.lit(True).alias("__b")).join(extended.select(*keys, values.alias("x"), F.lit(True).alias("__x")), keys, "full_outer")
+    here, there = F.col("__b").isNotNull(), F.col("__x").isNotNull()
+    counts = {"n_base": here, "n_extended": there, "n_added": ~here, "n_missing": ~there, "n_changed": here & there & ~F.col("b").eqNullSafe(F.col("x"))}
+    return sides.agg(*[F.count_if(hit).alias(name) for name, hit in counts.items()]).withColumn("unchanged", F.expr("n_missing + n_changed = 0"))
+
+
 def null_counts(df: DataFrame) -> DataFrame:
     return df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
