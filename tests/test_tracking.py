@@ -83,6 +83,58 @@ def test_possession_from_frames(spark, raw):
     assert out[2].reject == "terminal_not_located:turnover"
 
 
+def second_chance_frames():
+    """Team HOME (5 men at x 20) attacks left; the ball is in front of midcourt throughout, in a hand at frames 60-69, 100-109 and 130-199, above the rim at 50-54."""
+    rows = []
+    for i in range(200):
+        held = 60 <= i < 70 or 100 <= i < 110 or i >= 130
+        ball = (5.25, 25.0, 10.0) if 50 <= i < 55 else (20.0, 10.0, 4.0) if held else (40.0, 2.0, 4.0)
+        at = [(-1, -1, *ball)] + [(t, t + j, 20.0 - t / 10, 10.0 + 8 * j, 0.0) for t in (HOME, AWAY) for j in range(5)]
+        rows += [("g", 1, 1, i, 40 * i, 700 - 0.04 * i, None, *r) for r in at]
+    return rows
+
+
+def test_second_chances(spark):
+    entities = spark.createDataFrame(second_chance_frames(), "game_id string, event_id int, period int, moment_idx int, unix_ms long, game_clock double, shot_clock double, team_id long, player_id long, x double, y double, z double")
+    index = tracking.frame_index(entities)
+    direction = spark.createDataFrame([("g", HOME, 1, True), ("g", AWAY, 1, False)], "game_id string, team_id long, period int, attacks_left boolean")
+    hosts = spark.createDataFrame([("g", AWAY)], "game_id string, home_team_id long")
+
+    def run(rebounds, second_chances=True):
+        # A reading of 698 is the second around frame 37, 697 that around 62, 695 that around 112 (from 100 on), 692 that around 187.
+        events = [(2 + i, 4, reading, team) for i, (reading, team) in enumerate(rebounds)] + [(9, 5, 692, HOME)]
+        pbp = spark.createDataFrame([("g", n, 1, s, kind, team, None) for n, kind, s, team in events], "game_id string, event_num int, period int, pctime_sec int, msg_type int, p1_team_id long, score_margin int")
+        (row,) = tracking.segment_possessions(entities, index, pbp, direction, hosts, second_chances).collect()
+        return row
+
+    none = "no_crossing:always_frontcourt:turnover"
+    assert run([]).reject == none and run([(697, HOME)], False).reject == none
+    assert run([(697, AWAY)]).reject == none and run([(697, None)]).reject == none and run([(None, HOME)]).reject == none
+    first = run([(697, HOME)])
+    assert first.reject is None and first.is_second_chance and first.t_cross == 40 * 60 and not first.is_transition and first.n_frames == 140
+    last = run([(697, HOME), (695, HOME), (695, AWAY)])
+    assert last.t_cross == 40 * 100 and last.prev_event_num is None and last.margin_offense == 0
+
+
+def test_control_waits_for_the_ball_below_the_rim():
+    ball = np.array([(t, *((5.25, 25, 10) if t < 300 else (20, 10, 4))) for t in range(0, 1000, 40)], float)
+    men = np.array([(t, 10, 20, 10) for t in range(0, 1000, 40)], float)
+    hoop = (5.25, 25.0)
+    assert tracking.control(ball, men, hoop, 400, None, 1000) == 320 and tracking.control(ball, men, hoop, 400, None, 300) is None
+    assert tracking.control(ball, men, hoop, 1200, 500, 1000) == 720 and tracking.control(ball, men[:0], hoop, 400, None, 1000) is None
+    assert tracking.control(ball[:0], men, hoop, 400, None, 1000) is None
+
+
+def test_windows_carried_over(spark):
+    schema = "k int, v double, l array<long>"
+    base = spark.createDataFrame([(1, 1.0, [1]), (2, None, None), (3, 3.0, [3])], schema)
+    more = spark.createDataFrame([(1, 1.0, [1]), (2, None, None), (3, 3.0, [3]), (4, 4.0, None)], schema).withColumn("extra", F.lit(1))
+    assert checks.carried_over(base, more, ["k"]).first() == (3, 4, 1, 0, 0, True)
+    other = spark.createDataFrame([(1, 1.0, [2]), (2, 0.0, None), (4, 4.0, None)], schema)
+    assert checks.carried_over(base, other, ["k"]).first() == (3, 3, 1, 1, 2, False)
+    assert checks.carried_over(base.where("false"), base.where("false"), ["k"]).first() == (0, 0, 0, 0, 0, True)
+
+
 def test_frame_index_breaks(spark, raw):
     entities = tracking.dedup_entities(games.game_frames(raw))
     broken = entities.where("unix_ms not between 1004000 and 1004200").withColumn("game_clock", F.when(F.col("unix_ms") > 1_010_000, F.col("game_clock") + 5).otherwise(F.col("game_clock")))
