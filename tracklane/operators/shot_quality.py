@@ -80,15 +80,23 @@ class ShotModel:
     zones: list[tuple[str, float, float]]
     counts: DataFrame | None = None
 
-    def predict(self, shots: DataFrame, leave_one_out: bool = False) -> DataFrame:
-        """shots with `xfg`; null where a feature is null."""
+    def with_inputs(self, shots: DataFrame, leave_one_out: bool = False) -> DataFrame:
+        """shots with the shooter's skill, if the model uses it."""
         if "shooter" in self.groups:
             zones = shots.sparkSession.createDataFrame(self.zones, "zone string, p double, strength double")
             shots = with_skill(shots, zones, self.counts if self.counts is not None else shots.select("shooter_id", "zone", F.lit(0).alias("n"), F.lit(0).alias("m")).limit(0), leave_one_out)
-        eta = F.lit(self.coefficients["intercept"])
+        return shots
+
+    def eta(self) -> Column:
+        """The linear predictor, over rows that with_inputs gives."""
+        out = F.lit(self.coefficients["intercept"])
         for name, column in design(self.groups).items():
-            eta = eta + self.coefficients[name] * column
-        return shots.withColumn("xfg", 1 / (1 + F.exp(-eta)))
+            out = out + self.coefficients[name] * column
+        return out
+
+    def predict(self, shots: DataFrame, leave_one_out: bool = False) -> DataFrame:
+        """shots with `xfg`; null where a feature is null."""
+        return self.with_inputs(shots, leave_one_out).withColumn("xfg", 1 / (1 + F.exp(-self.eta())))
 
     def to_json(self) -> str:
         return json.dumps({"groups": self.groups, "coefficients": self.coefficients, "zones": self.zones}, indent=2)

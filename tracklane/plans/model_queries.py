@@ -8,7 +8,7 @@ from dataclasses import replace
 import numpy as np
 from pyspark.sql import functions as F
 
-from tracklane.operators import effects, hmm, inference, mixture, panel, regression, tracking
+from tracklane.operators import effects, hmm, inference, learned, mixture, panel, regression, tracking
 from tracklane.plans.registry import EVENTS, Registry
 from tracklane.plans.track_queries import frames
 from tracklane.sources import virtual
@@ -198,6 +198,33 @@ def mixture_rank(spark, sf_dir):
     return ranks.groupBy(F.least(F.floor(F.col("rank") * 10), F.lit(9)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "mixture_regions",
+    """WITH s AS (SELECT s_suppkey AS k FROM supplier),
+    c AS (SELECT k, (3 + k % 4) / 10e0 AS w, (10 + k % 17)::DOUBLE AS x, (12 + k % 23)::DOUBLE AS y, 1 + k % 3 / 2e0 AS s FROM s UNION ALL SELECT k, (7 - k % 4) / 10e0, (14 + k % 19)::DOUBLE, (15 + k % 21)::DOUBLE, (2 + k % 2)::DOUBLE FROM s),
+    h AS (SELECT k, i, j, sum(w / (2 * pi() * s * s) * exp(-((i * 0.5e0 - 4.75 - x) ** 2 + (j * 0.5e0 - 4.75 - y) ** 2) / (2 * s * s))) AS p FROM c, range(130) a(i), range(120) b(j) GROUP BY k, i, j),
+    r AS (SELECT k, p, sum(p) OVER (PARTITION BY k ORDER BY p DESC, i, j ROWS UNBOUNDED PRECEDING) AS upto, sum(p) OVER (PARTITION BY k) AS total FROM h),
+    e AS (SELECT k, (count(*) FILTER (upto < 0.8e0 * total) + 1) * 0.25e0 AS area, min(p) FILTER (upto - p < 0.8e0 * total) AS edge FROM r GROUP BY k),
+    z AS (SELECT k, sum(w / (2 * pi() * s * s) * exp(-((12 + k % 13 - x) ** 2 + (14 + k % 11 - y) ** 2) / (2 * s * s))) AS own FROM c GROUP BY k),
+    n AS (SELECT k, w, x, y, arg_min(a, (ax - x) ** 2 + (ay - y) ** 2) AS a FROM c, (VALUES (0, 10, 12), (1, 20, 20), (2, 30, 30)) t(a, ax, ay) GROUP BY k, w, x, y),
+    g AS (SELECT k, a, sum(w * x) / sum(w) AS x, sum(w * y) / sum(w) AS y FROM n GROUP BY k, a HAVING sum(w) >= 0.15),
+    b AS (SELECT DISTINCT k FROM g JOIN g o USING (k) WHERE (g.x - o.x) ** 2 + (g.y - o.y) ** 2 >= 25)
+    SELECT k AS s_suppkey, area, own >= edge AS inside, b.k IS NOT NULL AS two_places FROM e JOIN z USING (k) LEFT JOIN b USING (k)""",
+)
+def mixture_regions(spark, sf_dir):
+    """Area of the densest region of mixtures, whether a point is in it, and whether a mixture is at two of three anchors at once."""
+    k, number = F.col("s_suppkey"), lambda c: c.cast("double")
+    rows = table(spark, sf_dir, "supplier").select(
+        k,
+        F.array((3 + k % 4) / F.lit(10.0), (7 - k % 4) / F.lit(10.0)).alias("weights"),
+        F.array(*map(number, (10 + k % 17, 12 + k % 23, 14 + k % 19, 15 + k % 21))).alias("means"),
+        F.array(1 + k % 3 / F.lit(2.0), number(2 + k % 2)).alias("sigmas"),
+        F.array(number(12 + k % 13), number(14 + k % 11)).alias("z"),
+    )
+    anchors = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((10.0, 12.0), (20.0, 20.0), (30.0, 30.0))])
+    return learned.regions(rows).select("s_suppkey", "area", "inside", learned.two_places(F.col("weights"), F.col("means"), anchors).alias("two_places"))
+
+
 @query("hierarchical_shrinkage")
 def hierarchical_shrinkage(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracklane.functions import court, scalars
-from tracklane.operators import hmm, matchup, shot_quality, stats
+from tracklane.operators import hmm, learned, matchup, shot_quality, stats
 from tracklane.plans.registry import EVENTS, Registry
 from tracklane.plans.track_queries import frames
 from tracklane.sources import virtual
@@ -153,7 +153,7 @@ def _shot_table(spark, sf_dir):
     dist, three = court.distance(F.col("x"), F.col("y"), court.HOOP_X, court.HOOP_Y), court.is_three(F.col("x"), F.col("y"))
     gap = F.array_min(F.transform("def", lambda d: court.distance(d["x"], d["y"], F.col("x"), F.col("y"))))
     k = F.col("possession")
-    shots = last.select("possession", (k % 60).alias("shooter_id"), dist.alias("dist_ft"), three.alias("is_three"), court.shot_angle(F.col("x"), F.col("y")).alias("angle_deg"), gap.alias("def1_ft"), "y")
+    shots = last.select("possession", (k % 60).alias("shooter_id"), dist.alias("dist_ft"), three.alias("is_three"), court.shot_angle(F.col("x"), F.col("y")).alias("angle_deg"), gap.alias("def1_ft"), "x", "y", "def")
     return shots.select(
         "*",
         court.zone(F.col("dist_ft"), F.col("is_three"), F.col("y")).alias("zone"),
@@ -189,6 +189,22 @@ def shot_points_difference(spark, sf_dir):
     return out.groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.avg("xfg_real").alias("xfg"), F.avg("dep_far").alias("dep_far"))
 
 
+@query("learned_points")
+def learned_points(spark, sf_dir):
+    """Expected points against defenders drawn from mixtures (where they are, and two feet nearer to the hoop), by zone: each alone, and all of them."""
+    shots = _shot_table(spark, sf_dir)
+    model = shot_quality.fit(shots, "M1_geometry_defense")
+    flat = lambda one: F.flatten(F.transform("def", one))
+    place = F.array(F.lit(0.0), F.lit(0.0))
+    mixed = shots.select(
+        "*", F.col("x").alias("shot_x"), F.col("y").alias("shot_y"), flat(lambda d: F.array(d["x"], d["y"])).alias("defenders"), flat(lambda d: F.array(d["x"], d["y"], d["x"] - 2, d["y"])).alias("means"),
+        flat(lambda d: F.array(F.lit(0.6), F.lit(0.4))).alias("weights"), flat(lambda d: F.transform(place, lambda v: v + 1.5)).alias("sigmas"),
+    )
+    out = learned.learned_points(mixed, model, ["possession", "zone"])
+    each = F.aggregate("dep", F.lit(0.0), lambda t, v: t + v) / F.size("dep")
+    return out.groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.avg("xfg_real").alias("xfg"), F.avg(each).alias("dep_each"), F.avg("dep_team").alias("dep_team"))
+
+
 _RULE = "sqrt((def_x - (0.6::DOUBLE * o_x + 0.2::DOUBLE * ball_x + 0.2::DOUBLE * 5.25)) ** 2 + (def_y - (0.6::DOUBLE * o_y + 0.2::DOUBLE * ball_y + 0.2::DOUBLE * 25.0)) ** 2)"
 
 
