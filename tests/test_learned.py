@@ -97,3 +97,19 @@ def test_points_against_mixtures(spark):
     spread = shots.withColumn("sigmas", F.transform("sigmas", lambda s: s * 0 + 2.0))
     first, second = ({r.k: (r.dep, r.dep_team) for r in learned.learned_points(df, model, ["k"]).collect()} for df in (spread, spread.repartition(7)))
     assert first == second
+
+
+def test_losses_regions_and_entropy_of_slots():
+    rng = np.random.default_rng(8)
+    w, m, s = rng.dirichlet(np.ones(3), (4, 3)), rng.uniform(0, 10, (4, 3, 3, 2)), rng.uniform(1, 2, (4, 3, 3))
+    z = rng.uniform(0, 10, (4, 3, 2))
+    one = lambda b, slot, p: -np.log(sum(w[b, slot, c] / (2 * np.pi * s[b, slot, c] ** 2) * np.exp(-((z[b, p] - m[b, slot, c]) ** 2).sum() / (2 * s[b, slot, c] ** 2)) for c in range(3)))
+    own = [np.mean([one(b, k, k) for k in range(3)]) for b in range(4)]
+    best = [min(np.mean([one(b, slot, p) for p, slot in enumerate(order)]) for order in itertools.permutations(range(3))) for b in range(4)]
+    assert np.allclose(mixture.slot_loss(w, m, s, z), own) and np.allclose(mixture.set_loss(w, m, s, z), best)
+
+    single = np.array([1.0]), np.array([[2.0, 3.0]]), np.array([1.5])
+    levels = np.array([0.5, 0.8, 0.95])
+    top = -np.log(2 * np.pi * 1.5**2)  # a Gaussian's density at the edge of the region of share p is (1 - p) of its top
+    assert np.allclose(mixture.region_thresholds(*single, levels, 20_000, rng), top + np.log(1 - levels), atol=0.06)
+    assert abs(mixture.entropy(*single, 20_000, rng) - (1 - top)) < 0.03
