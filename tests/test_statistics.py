@@ -47,6 +47,16 @@ def test_quantiles_of_a_column(spark, small_leaf):
     assert (row.n, row.nulls) == (len(own), 2) and row.q50 == pytest.approx(np.median(own))
 
 
+def test_quantiles_of_a_column_of_equal_values(spark, small_leaf):
+    """Nearly all values are equal, so cells by shares of the rows never part them from the rest."""
+    own = [0.0] * 3000 + [0.25, 1.5, 7.0, -3.0, 1e300, -1e300, float("inf")]
+    df = spark.createDataFrame([(v,) for v in own], "v double")
+    assert stats.linear_quantiles(df, "v", (0, 0.5, 0.99, 1)) == [-1e300, 0.0, 0.0, float("inf")]
+    spread = [2.0**k for k in range(-60, 60)] * 2
+    df = spark.createDataFrame([(v,) for v in spread], "v double")
+    assert stats.linear_quantiles(df, "v", (0, 0.3, 1)) == pytest.approx(list(np.quantile(spread, (0, 0.3, 1))), rel=1e-12)
+
+
 def test_average_ranks(spark, small_leaf):
     rows = values(3)
     df = spark.createDataFrame(rows, "k string, v double")

@@ -20,6 +20,7 @@ from tracklane.operators.hmm import HOOP, K, Batch
 from tracklane.operators.matchup import at, defenders
 from tracklane.operators.mixture import best_assignment, permutations
 from tracklane.operators.stats import linear_quantiles
+from tracklane.sources.shared import staged
 
 # Weights of attacker, ball and hoop after Franks et al. (2015).
 GAMMA = (0.62, 0.11, 0.27)
@@ -99,8 +100,9 @@ def scores(errors: DataFrame, sigma: float) -> DataFrame:
 
 def region(errors: DataFrame, distance: str, level: float = 0.8) -> DataFrame:
     """One row: the radius that holds `level` of the distances and its area, those of a Gaussian fitted to them, and what the latter really holds."""
+    errors = staged(errors.select(distance))  # read for the radius, the variance and the share
     sigma = F.sqrt(F.avg(F.col(distance) * F.col(distance)) / 2)
-    first = errors.agg(F.lit(linear_quantiles(errors, distance, [level])[0]).alias("radius"), (sigma * math.sqrt(-2 * math.log(1 - level))).alias("nominal")).first()
+    first = errors.agg(F.lit(linear_quantiles(errors, distance, [level], stage=False)[0]).alias("radius"), (sigma * math.sqrt(-2 * math.log(1 - level))).alias("nominal")).first()
     held = errors.agg(F.avg((F.col(distance) <= F.lit(first["nominal"])).cast("double")).alias("held"))
     area = lambda r: F.lit(math.pi * r * r)
     return held.select(F.lit(first["radius"]).alias("radius"), area(first["radius"]).alias("area"), F.lit(first["nominal"]).alias("nominal_radius"), area(first["nominal"]).alias("nominal_area"), "held")

@@ -69,6 +69,8 @@ def mode_stable(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 #: Cells that values are dealt to, and rows above which they are.
 CELLS, LEAF = 128, 1_000_000
+#: Cells of equal width that a column's values are counted in.
+SLICES = 4_096
 
 
 def _dealt(df: DataFrame, value: str, cell: str = "__cell") -> DataFrame | None:
@@ -81,37 +83,56 @@ def _dealt(df: DataFrame, value: str, cell: str = "__cell") -> DataFrame | None:
     return Bucketizer(splits=splits, inputCol="__number", outputCol=cell).transform(number).withColumn(cell, F.col(cell).cast("int")).drop("__number")
 
 
+def _sliced(rows: DataFrame, low: float, high: float) -> DataFrame:
+    """Adds the cell of column v: SLICES of equal width from low to high, in order, and one each for what is not finite."""
+    wide = math.isinf(high - low)
+    v, first, width = (F.col("v") / 2, low / 2, high / 2 - low / 2) if wide else (F.col("v"), low, high - low)
+    cell = F.floor((v - F.lit(first)) / F.lit(width) * SLICES).cast("int")
+    return rows.withColumn("__cell", F.when(F.isnan("v"), SLICES + 2).when(F.col("v") == math.inf, SLICES + 1).when(F.col("v") == -math.inf, -1).otherwise(cell))
+
+
 def _values_at(rows: DataFrame, places: Sequence[int]) -> dict[int, float]:
-    """The values of column v at these places (from 0) of its sorted rows: only the cells that hold them are looked into."""
-    dealt = _dealt(rows, "v") or rows.withColumn("__cell", F.lit(0))
-    totals = sorted((r["__cell"], r["c"], r["low"], r["high"]) for r in dealt.groupBy("__cell").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("low"), F.max("v").alias("high")).collect())  # at most CELLS rows
+    """The values of the double column v at these places (from 0) of its sorted rows: only the cells that hold them are looked into.
+
+    The least and the greatest value are in different cells, so a cell that is
+    cut again loses rows, whatever share of them is equal; a cell of one value
+    needs no second look.
+    """
+    finite = F.when(~F.isnan("v") & (F.abs("v") != math.inf), F.col("v"))
+    n, low, high = rows.agg(F.count(F.lit(1)), F.min(finite), F.max(finite)).first()
+    cut = _sliced(rows, low, high) if n > LEAF and low is not None and low < high else rows.withColumn("__cell", F.when(F.isnan("v"), 2).when(F.col("v") == math.inf, 1).when(F.col("v") == -math.inf, -1).otherwise(0))
+    totals = sorted((r["__cell"], r["c"], r["low"], r["high"]) for r in cut.groupBy("__cell").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("low"), F.max("v").alias("high")).collect())  # at most SLICES rows and four
     out, near, before = {}, {}, 0
     for cell, count, low, high in totals:
         own = [k - before for k in places if before <= k < before + count]
-        if own and low == high:
+        if own and not low < high:
             out |= {before + k: low for k in own}
         elif own and count > LEAF:
-            out |= {before + k: v for k, v in _values_at(dealt.where(F.col("__cell") == cell).select("v"), own).items()}
+            out |= {before + k: v for k, v in _values_at(rows.where(F.col("v").between(low, high)), own).items()}
         elif own:
             near[cell] = (before, own)
         before += count
     if near:
         wanted = [F.struct(F.lit(cell).alias("c"), F.lit(k).alias("i")) for cell, (_, own) in near.items() for k in own]
-        placed = dealt.where(F.col("__cell").isin(list(near))).withColumn("i", F.row_number().over(Window.partitionBy("__cell").orderBy("v")) - 1)  # at most LEAF rows each
+        placed = cut.where(F.col("__cell").isin(list(near))).withColumn("i", F.row_number().over(Window.partitionBy("__cell").orderBy("v")) - 1)  # at most LEAF rows each
         found = placed.where(F.struct(F.col("__cell").alias("c"), F.col("i")).isin(wanted)).select("__cell", "i", "v").collect()
         out |= {near[r["__cell"]][0] + r["i"]: r["v"] for r in found}
     return out
 
 
-def linear_quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> list[float | None]:
-    """Exact linear quantiles of a column's non-null values, without a task that holds all of them; nulls without values. The column is staged, so df is computed once."""
-    rows = staged(df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v")))
+def linear_quantiles(df: DataFrame, value: str, shares: Sequence[float], stage: bool = True) -> list[float | None]:
+    """Exact linear quantiles of a column's non-null values, without a task that holds all of them; nulls without values.
+
+    The column is staged, so df is computed once; stage=False is for a df that is cheap to read again.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    rows = staged(rows) if stage else rows
     n = rows.count()
     if not n:
         return [None] * len(shares)
     ranks = [(int(q * (n - 1)), q * (n - 1) - int(q * (n - 1))) for q in shares]
     at = _values_at(rows, sorted({k for low, _ in ranks for k in (low, min(low + 1, n - 1))}))
-    return [at[k] + part * (at[min(k + 1, n - 1)] - at[k]) for k, part in ranks]
+    return [at[k] + part * (at[min(k + 1, n - 1)] - at[k]) if part else at[k] for k, part in ranks]
 
 
 def quantile_bins(df: DataFrame, value: str, bins: int) -> DataFrame:
