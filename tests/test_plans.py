@@ -31,3 +31,11 @@ def test_scans_read_what_is_used(spark):
 def test_first_rows_are_combined_before_the_shuffle(spark):
     text = plan(spark, "entity_dedup_keep_first")
     assert "Window" not in text and "partial_min" in text
+
+
+@pytest.mark.parametrize("name", ["velocities", "help_events", "dense_pivot", "breakdown_runs", "closeouts_matched", "corner_help", "matchup_viterbi", "matchup_viterbi_help", "phase_shares", "phase_shares_by_defender"])
+def test_possessions_stay_in_their_task(spark, name):
+    """Keys are dealt before they grow to frames; what is made of a possession is not moved again."""
+    text = plan(spark, name)
+    assert "hashpartitioning(possession" not in text
+    assert "hashpartitioning(o_orderkey" in text

@@ -79,11 +79,11 @@ def closeouts(rows: DataFrame, passes: DataFrame, far: float = 8.0, near: float
     """
     rx, ry = at(F.col("receiver"))
     gap = court.distance(F.col("def_x"), F.col("def_y"), rx, ry)
-    met = rows.join(passes, "possession").where(F.col("step").between(F.col("catch"), F.col("catch") + window)).withColumn("gap", gap)
+    met = rows.join(passes.where("pass_id IS NOT NULL"), "possession").where(F.col("step").between(F.col("catch"), F.col("catch") + window)).withColumn("gap", gap)
     other = (F.col("man") != F.col("receiver")).cast("int")
     at_catch = F.col("step") == F.col("catch")
-    who = met.where(at_catch).groupBy("possession", "pass_id").agg(F.min(F.struct(F.coalesce(other, F.lit(1)).alias("other"), F.round("gap", 9).alias("near"), "slot")).alias("w"))
-    own = met.join(who.select("possession", "pass_id", F.col("w.slot").alias("slot"), (F.col("w.other") == 0).alias("matched")), ["possession", "pass_id", "slot"])
+    who = F.min(F.when(at_catch, F.struct(F.coalesce(other, F.lit(1)).alias("other"), F.round("gap", 9).alias("near"), "slot"))).over(Window.partitionBy("possession", "pass_id"))
+    own = met.select("possession", "pass_id", "slot", "step", "catch", "gap", who.alias("w")).where(F.col("slot") == F.col("w.slot")).withColumn("matched", F.col("w.other") == 0)
     first = F.min(F.when(F.col("gap") <= near, F.struct(F.col("step").alias("step"), F.col("gap").alias("gap"))))
     found = own.groupBy("possession", "pass_id", "slot", "matched").agg(F.max(F.when(at_catch, F.col("gap"))).alias("at_catch"), F.min("catch").alias("catch"), first.alias("hit")).where((F.col("at_catch") > far) & F.col("hit").isNotNull())
     steps = F.col("hit.step") - F.col("catch")
@@ -118,14 +118,15 @@ def phases(steps: DataFrame, helps: DataFrame, closing: DataFrame, contacts: Dat
     possession has a few of each.
     """
 
-    def listed(df: DataFrame, name: str, key: list[str], *columns: str) -> DataFrame:
-        return df.na.drop(subset=list(columns)).groupBy(*key).agg(F.collect_list(F.struct(*columns)).alias(name))
+    def listed(df: DataFrame, name: str, *columns: str) -> DataFrame:
+        return df.na.drop(subset=list(columns)).groupBy("possession").agg(F.collect_list(F.struct(*columns)).alias(name))
 
-    out = steps.join(listed(helps, "__h", KEY, "t_start", "t_end"), KEY, "left").join(listed(closing, "__c", KEY, "t_start", "t_end"), KEY, "left")
-    out = out.join(listed(contacts, "__s", ["possession"], "t_contact"), "possession", "left")
-    t = F.col("t")
-    inside = lambda c: F.exists(c, lambda x: (x["t_start"] <= t) & (t <= x["t_end"]))
-    after = lambda c: F.coalesce(F.exists(c, lambda x: (x["t_end"] < t) & (t <= x["t_end"] + windows.recovery)), F.lit(False))
+    # all meet by possession alone, so steps that are dealt by it stay where they are
+    out = steps.join(listed(helps, "__h", *KEY[1:], "t_start", "t_end"), "possession", "left").join(listed(closing, "__c", *KEY[1:], "t_start", "t_end"), "possession", "left")
+    out = out.join(listed(contacts, "__s", "t_contact"), "possession", "left")
+    t, slot = F.col("t"), F.col("slot")
+    inside = lambda c: F.exists(c, lambda x: (x["slot"] == slot) & (x["t_start"] <= t) & (t <= x["t_end"]))
+    after = lambda c: F.coalesce(F.exists(c, lambda x: (x["slot"] == slot) & (x["t_end"] < t) & (t <= x["t_end"] + windows.recovery)), F.lit(False))
     screen = F.exists("__s", lambda x: (x["t_contact"] - windows.before <= t) & (t <= x["t_contact"] + windows.after))
     before = t < F.array_min("__s")["t_contact"] - windows.before
     return out.withColumn("phase", phase(inside("__h"), inside("__c"), after("__h") | after("__c"), screen, before)).drop("__h", "__c", "__s")
@@ -165,6 +166,6 @@ def corner_help(frames: DataFrame, drive: float = 12.0, left: float = 6.0) -> Da
     gaps = each.withColumn("gaps", F.transform("def", lambda d: court.distance(d["x"], d["y"], x, y)))
     key = ["possession", "run", "corner"]
     nearest = F.array_min(F.transform("gaps", lambda g, j: F.struct(F.round(g, 9).alias("g"), j.alias("slot"))))
-    who = gaps.where((F.col("step") == F.col("start")) & corner).select(*key, nearest["slot"].alias("slot"))
-    own = gaps.join(who, key).withColumn("gap", F.get("gaps", F.col("slot")))
+    who = F.max(F.when((F.col("step") == F.col("start")) & corner, nearest["slot"])).over(Window.partitionBy(*key))
+    own = gaps.withColumn("slot", who).where("slot IS NOT NULL").withColumn("gap", F.get("gaps", F.col("slot")))
     return own.groupBy(*key, "slot").agg(F.min("step").alias("start_step"), F.count(F.lit(1)).alias("length"), F.max("gap").alias("max_gap")).withColumn("helped", F.col("max_gap") >= left).drop("run")

@@ -149,7 +149,7 @@ def response_timing(spark, sf_dir):
 def _shot_table(spark, sf_dir):
     """Synthetic shots with all features of the model; made is a fixed function of the key and the distance."""
     x, y = matchup.at(F.col("handler"))
-    last = frames(spark, sf_dir).where(F.col("step") == virtual.STEPS - 1).select("possession", "def", x.alias("x"), y.alias("y"))
+    last = frames(spark, sf_dir, [virtual.STEPS - 1]).select("possession", "def", x.alias("x"), y.alias("y"))
     dist, three = court.distance(F.col("x"), F.col("y"), court.HOOP_X, court.HOOP_Y), court.is_three(F.col("x"), F.col("y"))
     gap = F.array_min(F.transform("def", lambda d: court.distance(d["x"], d["y"], F.col("x"), F.col("y"))))
     k = F.col("possession")

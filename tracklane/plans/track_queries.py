@@ -9,14 +9,19 @@ from tracklane.operators import islands, matchup, stats
 from tracklane.plans.registry import Registry
 from tracklane.sources import virtual
 from tracklane.sources.fixtures import table
-from tracklane.sources.shared import staged
+from tracklane.sources.shared import spread
 
 query = Registry()
 QUERIES, ORACLE_SQL = query.queries, query.sql
 
 
-def frames(spark, sf_dir):
-    return virtual.frames(table(spark, sf_dir, "orders"))
+def keys(spark, sf_dir):
+    """Order keys, dealt: a possession and all that is made of it stays in one task."""
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+
+
+def frames(spark, sf_dir, steps=None):
+    return virtual.frames(keys(spark, sf_dir), steps)
 
 
 def r6(column):
@@ -107,7 +112,7 @@ _SHOT = f"""{virtual.SQL}, sh AS (SELECT possession, off_x AS x, off_y AS y FROM
 
 def _shots(spark, sf_dir):
     x, y = matchup.at(F.col("handler"))
-    last = frames(spark, sf_dir).where(F.col("step") == virtual.STEPS - 1)
+    last = frames(spark, sf_dir, [virtual.STEPS - 1])
     return last.select("possession", "def", x.alias("x"), y.alias("y")).withColumn("dist", court.distance(F.col("x"), F.col("y"), court.HOOP_X, court.HOOP_Y)).withColumn("three", court.is_three(F.col("x"), F.col("y")))
 
 
@@ -185,7 +190,7 @@ def closeouts(spark, sf_dir):
 )
 def breakdown_runs(spark, sf_dir):
     apart = F.zip_with("def", "off", lambda d, o: F.round(court.distance(d["x"], d["y"], o["x"], o["y"]), 9))
-    gaps = staged(frames(spark, sf_dir).select("possession", "step", F.posexplode(apart).alias("slot", "v")).withColumn("slot", F.col("slot").cast("long")))  # read for the threshold and for the runs
+    gaps = frames(spark, sf_dir).select("possession", "step", F.posexplode(apart).alias("slot", "v")).withColumn("slot", F.col("slot").cast("long"))  # made twice: staged ones would have to be dealt again
     sustained = islands.sustained_max(gaps, ["possession", "slot"], ["step"], "v", 3).groupBy("possession").agg(F.max("sustained").alias("sustained"))
     threshold = round(stats.linear_quantiles(sustained, "sustained", [0.8])[0], 9)
     runs = islands.true_runs(gaps.withColumn("above", F.col("v") > threshold), ["possession", "slot"], ["step"], F.col("above"), "v", 3)

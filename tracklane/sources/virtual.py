@@ -6,6 +6,8 @@ whose results can be compared by value.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,20 +15,19 @@ STEPS = 8
 STEP_MS = 200
 
 
-def frames(orders: DataFrame, steps: int = STEPS) -> DataFrame:
-    """One row per possession (o_orderkey) and step: ball, handler slot, and arrays of the five attackers and defenders."""
+def frames(orders: DataFrame, steps: Sequence[int] | None = None) -> DataFrame:
+    """One row per possession (o_orderkey) and step (those given, else all): ball, handler slot, and arrays of the five attackers and defenders."""
     k, s = F.col("possession"), F.col("step")
     feet = lambda c: c.cast("double") / F.lit(100.0)
     off_x = lambda j: (k * 37 + j * 911) % 3400 + s * ((k * 3 + j) % 5 - 2) * 40
     off_y = lambda j: (k * 53 + j * 677) % 5000 + s * ((k + j * 2) % 5 - 2) * 40
     def_x = lambda j: off_x(j) + (k * 13 + j * 7 + s * 37) % 600 - 300
     def_y = lambda j: off_y(j) + (k * 17 + j * 5 + s * 53) % 600 - 300
-    slots = F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))
-    place = lambda x, y: F.transform(slots, lambda j: F.struct(feet(x(j)).alias("x"), feet(y(j)).alias("y")))
+    place = lambda x, y: F.array(*[F.struct(feet(x(j)).alias("x"), feet(y(j)).alias("y")) for j in range(5)])
     handler = k % 5
     return (
         orders.select(F.col("o_orderkey").alias("possession"))
-        .withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(steps - 1).cast("long"))))
+        .withColumn("step", F.explode(F.array(*[F.lit(s).cast("long") for s in (range(STEPS) if steps is None else steps)])))
         .select(
             "possession",
             "step",
