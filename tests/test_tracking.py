@@ -254,3 +254,15 @@ def test_files_against_a_listing(spark, tmp_path):
     known = spark.createDataFrame([*listing, (None, "x")], "name string, sha256 string")
     got = {r.name: r.status for r in games.compared(games.manifest(spark, str(tmp_path)), known).collect()}
     assert got == {"a": "same", "b": "changed", "c": "missing", "d": "new"}
+
+
+def test_game_files_hold_a_game_in_a_line(spark):
+    """No row, and so no task, holds the text of more than one game."""
+    from tracklane.sources import feeds
+
+    keys = spark.range(256 * 20).withColumnRenamed("id", "o_orderkey")
+    lines = spark.read.text(feeds.game_files(spark, keys))
+    assert lines.count() == 20 and lines.where("instr(substr(value, 2), 'gameid') > 2").count() == 0
+    slots, _ = feeds.possession_files(spark, spark.range(3 * feeds.GAME_SLOTS).withColumnRenamed("id", "k"))
+    assert spark.read.text(slots).count() == 3
+    assert games.read_games(spark, slots, lines=True).selectExpr("sum(size(events)) AS n").first().n == 3 * feeds.GAME_SLOTS
