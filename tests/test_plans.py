@@ -39,3 +39,9 @@ def test_possessions_stay_in_their_task(spark, name):
     text = plan(spark, name)
     assert "hashpartitioning(possession" not in text
     assert "hashpartitioning(o_orderkey" in text
+
+
+def test_sampled_lines_move_once(spark):
+    """Lines are dealt before they are repeated for the repetitions; only the ranked ones, at most 40 of a unit's half, move again."""
+    text = plan(spark, "stability_curve")
+    assert "Window" in text and "hashpartitioning(rep" not in text

@@ -11,7 +11,7 @@ from tracklane.plans.registry import EVENTS, Registry
 from tracklane.plans.track_queries import frames
 from tracklane.sources import virtual
 from tracklane.sources.fixtures import event_stream, table
-from tracklane.sources.shared import staged
+from tracklane.sources.shared import spread, staged
 
 query = Registry()
 QUERIES, ORACLE_SQL = query.queries, query.sql
@@ -79,7 +79,8 @@ def help_rates_cube(spark, sf_dir):
 def stability_curve(spark, sf_dir):
     """Split-half correlation when each unit gives n sampled rows to either half; samples are nested and by hash."""
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", (F.col("l_orderkey") % 2).alias("half"))
-    reps = li.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
+    dealt = spread(li, "l_suppkey", "half", rows=200_000)  # before rows are repeated: a unit's half is ranked where it is
+    reps = dealt.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
     order = Window.partitionBy("rep", "l_suppkey", "half").orderBy(F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in ("rep", "l_orderkey", "l_linenumber")]).cast("binary")), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     ranked = reps.withColumn("k", F.row_number().over(order)).where("k <= 40")  # the sample sizes are the feature
     sized = ranked.withColumn("n", F.explode(F.array(F.lit(10).cast("long"), F.lit(40).cast("long")))).where("k <= n")
