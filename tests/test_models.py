@@ -187,3 +187,13 @@ def test_shot_model_recovers_and_round_trips(spark):
     n, m = len(own) - 1, sum(r[2] for r in own) - loo.made
     shrunk = (m + z.strength * z.p) / (n + z.strength)
     assert np.isclose(loo.skill, math.log(shrunk / (1 - shrunk)) - math.log(z.p / (1 - z.p)))
+
+
+def test_fit_leaves_the_callers_cache(spark):
+    """Several fits of the same chains read what the caller has persisted."""
+    from tracklane.plans.track_queries import frames
+
+    held = hmm.chains(frames(spark, "/root/testdata/sf0.001")).persist()
+    hmm.fit(held, max_iter=1)
+    assert held.is_cached and held.storageLevel.useMemory
+    held.unpersist()

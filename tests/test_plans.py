@@ -45,3 +45,10 @@ def test_sampled_lines_move_once(spark):
     """Lines are dealt before they are repeated for the repetitions; only the ranked ones, at most 40 of a unit's half, move again."""
     text = plan(spark, "stability_curve")
     assert "Window" in text and "hashpartitioning(rep" not in text
+
+
+def test_shots_are_dealt(spark):
+    """One small file of keys is not one task."""
+    from tracklane.plans import report_queries
+
+    assert report_queries._shot_table(spark, SF).rdd.getNumPartitions() > 1

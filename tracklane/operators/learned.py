@@ -77,14 +77,19 @@ def two_places(weights: Column, means: Column, anchors: Column, least_weight: fl
     return F.exists(places, lambda p: F.exists(places, lambda q: square(p["x"], p["y"], q["x"], q["y"]) >= least_gap**2))
 
 
-def shot_defence(shot: np.ndarray, men: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(nearest defender, nearest in front) of shots (.., 2) with defenders (.., K, 2), in feet; nobody in front is far."""
+def gaps_to(shot: np.ndarray, men: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Feet from shots (.., 2) to each of their defenders (.., K, 2), and the same for those in front, infinite for others."""
     off, rim = men - shot[..., None, :], np.array([court.HOOP_X, court.HOOP_Y]) - shot
     gap = np.hypot(off[..., 0], off[..., 1])
     along = (off * rim[..., None, :]).sum(axis=-1)
     reach = np.maximum(gap * np.maximum(np.hypot(rim[..., 0], rim[..., 1]), 1e-6)[..., None], 1e-6)
-    ahead = np.where(along >= np.cos(np.radians(court.FRONT_CONE_DEGREES)) * reach, gap, np.inf).min(axis=-1)
-    return gap.min(axis=-1), np.where(np.isfinite(ahead), ahead, court.NO_FRONT)
+    return gap, np.where(along >= np.cos(np.radians(court.FRONT_CONE_DEGREES)) * reach, gap, np.inf)
+
+
+def shot_defence(shot: np.ndarray, men: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest defender, nearest in front) of shots (.., 2) with defenders (.., K, 2), in feet; nobody in front is far."""
+    near, front = (g.min(axis=-1) for g in gaps_to(shot, men))
+    return near, np.where(np.isfinite(front), front, court.NO_FRONT)
 
 
 def learned_points(shots: DataFrame, model: ShotModel, key: list[str], draws: int = DRAWS, seed: int = 9) -> DataFrame:
@@ -120,16 +125,20 @@ def learned_points(shots: DataFrame, model: ShotModel, key: list[str], draws: in
                 w, s = _numbers(part, "weights", k, -1), _numbers(part, "sigmas", k, -1)
                 m = _numbers(part, "means", k, w.shape[2], 2)
                 seeds = part.column("seed").to_numpy().view(np.uint64)
-                drawn = np.stack([mixture.sample(w[i], m[i], s[i], draws, np.random.default_rng(int(seeds[i]))) for i in range(n)], axis=1)
+                u, normal = (np.stack(x, axis=1) for x in zip(*(mixture.noise(draws, (k,), np.random.default_rng(int(seed))) for seed in seeds), strict=True))
+                still, moved = gaps_to(shot, men), gaps_to(shot[None], mixture.placed(w, m, s, u, normal))
 
-                def made(at: np.ndarray) -> np.ndarray:
-                    near, front = shot_defence(np.broadcast_to(shot, (*at.shape[:-2], 2)), at)
+                def made(near: np.ndarray, front: np.ndarray) -> np.ndarray:
+                    front = np.where(np.isfinite(front), front, court.NO_FRONT)
                     return 1 / (1 + np.exp(-(line[:, 0] + line[:, 1] * np.log(near + 0.5) + line[:, 2] * np.log(front + 0.5))))
 
-                real, value = made(men[None])[0], part.column("value").to_numpy()
-                alone = [made(np.where((np.arange(k) == d)[:, None], drawn, men[None])).mean(axis=0) for d in range(k)]
+                def one_moved(d: int) -> np.ndarray:  # of the gaps only the one of d differs between draws
+                    return made(*(np.minimum(b[..., d], np.delete(a, d, axis=1).min(axis=1, initial=np.inf)) for a, b in zip(still, moved, strict=True)))
+
+                real, value = made(*(a.min(axis=1) for a in still)), part.column("value").to_numpy()
+                alone = [one_moved(d).mean(axis=0) for d in range(k)]
                 dep = (real[:, None] - np.stack(alone, axis=1)) * value[:, None]
-                out = [pa.array(real), pa.array(list(dep), pa.list_(pa.float64())), pa.array((real - made(drawn).mean(axis=0)) * value)]
+                out = [pa.array(real), pa.array(list(dep), pa.list_(pa.float64())), pa.array((real - made(*(b.min(axis=-1) for b in moved)).mean(axis=0)) * value)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in key), *out], names=[*key, *(f.name for f in extra)])
 
     return rows.mapInArrow(run, StructType([*(rows.schema[c] for c in key), *extra]))

@@ -35,14 +35,22 @@ def mode(weights: np.ndarray, means: np.ndarray, sigmas: np.ndarray) -> np.ndarr
 
 def sample(weights: np.ndarray, means: np.ndarray, sigmas: np.ndarray, draws: int, rng: np.random.Generator) -> np.ndarray:
     """(draws, .., 2)."""
-    shape = weights.shape[:-1]
-    u = rng.random((draws, *shape))
+    return placed(weights, means, sigmas, *noise(draws, weights.shape[:-1], rng))
+
+
+def noise(draws: int, shape: tuple[int, ...], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """What a sample needs of the generator: uniforms (draws, ..) and normals (draws, .., 2)."""
+    return rng.random((draws, *shape)), rng.standard_normal((draws, *shape, 2))
+
+
+def placed(weights: np.ndarray, means: np.ndarray, sigmas: np.ndarray, u: np.ndarray, normal: np.ndarray) -> np.ndarray:
+    """The sample that this noise gives."""
     below = np.zeros(u.shape, dtype=np.int64)  # components whose cumulated weight u has passed
     for edge in np.moveaxis(np.cumsum(weights, axis=-1), -1, 0)[:-1]:
         below += u > edge
     picked = below[..., None] == np.arange(weights.shape[-1])
-    centre = np.einsum("...m,...mx->...x", picked, np.broadcast_to(means, (draws, *means.shape)))
-    return centre + (picked * sigmas).sum(axis=-1)[..., None] * rng.standard_normal(centre.shape)
+    centre = np.einsum("...m,...mx->...x", picked, np.broadcast_to(means, (len(u), *means.shape)))
+    return centre + (picked * sigmas).sum(axis=-1)[..., None] * normal
 
 
 def density_rank(weights: np.ndarray, means: np.ndarray, sigmas: np.ndarray, z: np.ndarray, draws: int, rng: np.random.Generator) -> np.ndarray:
