@@ -266,3 +266,27 @@ def test_game_files_hold_a_game_in_a_line(spark):
     slots, _ = feeds.possession_files(spark, spark.range(3 * feeds.GAME_SLOTS).withColumnRenamed("id", "k"))
     assert spark.read.text(slots).count() == 3
     assert games.read_games(spark, slots, lines=True).selectExpr("sum(size(events)) AS n").first().n == 3 * feeds.GAME_SLOTS
+
+
+def test_tracked_periods(spark, raw):
+    """Moments dealt by period give what single entities give, repeated times and repeated entities too, in as many tasks as there are periods."""
+    again = spark.createDataFrame([("0021500001", 9, 0, 1, 1_000_000, 1.0, None, [(-1, -1, 9.0, 9.0, 9.0), (77, 78, 1.0, 2.0, 3.0), (77, 78, 4.0, 5.0, 6.0)])], "game_id string, event_id int, moment_idx int, period int, unix_ms long, game_clock double, shot_clock double, entities array<struct<team_id: long, player_id: long, x: double, y: double, z: double>>")
+    moments = games.game_moments(raw).unionByName(again)
+    pbp = spark.createDataFrame([("0021500001", n, p, s, k, t, None) for n, p, s, k, t in ((1, 1, 702, 2, HOME), (2, 1, 700, 5, HOME), (3, 2, 700, 5, AWAY), (4, 1, 712, 1, AWAY))], "game_id string, event_num int, period int, pctime_sec int, msg_type int, p1_team_id long, score_margin int")
+    tracked = tracking.Tracked.of(moments, pbp)
+    assert tracked.partitions == 2 and tracked.moments.rdd.getNumPartitions() == 2
+    others = moments.where("event_id < 9 OR unix_ms IS NULL").unionByName(again.withColumn("entities", F.slice("entities", 1, 2)))
+    entities = tracking.dedup_entities(others.select("*", F.explode("entities").alias("e")).select("*", "e.*").drop("e", "entities"))
+    ordered = lambda df: sorted(df.collect())
+    key = ["game_id", "period", "unix_ms"]
+    rows = tracked.times().select(*key, "game_clock", F.explode("entities").alias("e"))
+    assert ordered(rows.select(*key, "e.*")) == ordered(entities.select(*key, "team_id", "player_id", "x", "y", "z", "game_clock"))
+    index = tracking.frame_index(entities)
+    assert ordered(rows.select(*key, "game_clock").distinct()) == ordered(index.select(*key, "game_clock"))
+    shots = tracking.shot_ball_positions(entities, pbp)
+    assert ordered(tracked.shots()) == ordered(shots.select(tracked.shots().columns)) and shots.count() == 2
+    direction = tracking.attack_direction(shots)
+    hosts = games.game_hosts(raw)
+    for second_chances in (False, True):
+        found, expected = (df.drop("offense_ids", "defense_ids") for df in (tracked.possessions(direction, hosts, second_chances), tracking.segment_possessions(entities, index, pbp, direction, hosts, second_chances)))
+        assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect())) and found.where("reject = 'period_untracked'").count() == 1
