@@ -52,3 +52,14 @@ def test_shots_are_dealt(spark):
     from tracklane.plans import report_queries
 
     assert report_queries._shot_table(spark, SF).rdd.getNumPartitions() > 1
+
+
+def test_phases_meet_possessions_before_steps(spark):
+    """Intervals are joined to possessions as one row each: no join, and so no sort, lies above the growth to steps; both variants read steps once, and the league's sums are taken only where differences are."""
+    from tracklane.operators import defence
+
+    text = context_queries._phased(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert 0 <= text.index("Generate") < text.index("Join") and "Union" not in text
+    shares = defence.phase_shares(spark.createDataFrame([(1, "help"), (2, "other")], "d long, phase string"), ["d"])
+    planned = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Subquery" in planned(shares) and "Subquery" not in planned(shares.select("d", "help"))

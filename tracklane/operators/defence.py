@@ -107,39 +107,51 @@ VARIANTS = {"A": PhaseWindows(), "B": PhaseWindows(before=1_000, after=2_000, re
 PHASES = ("help", "closeout", "recovery", "screen", "pre_screen", "other")
 
 
-def phases(steps: DataFrame, helps: DataFrame, closing: DataFrame, contacts: DataFrame, windows: PhaseWindows = VARIANTS["A"]) -> DataFrame:
-    """Adds `phase` (one of PHASES; the first that holds) to steps (possession, slot, t, ..).
+def marked(possessions: DataFrame, helps: DataFrame, closing: DataFrame, contacts: DataFrame) -> DataFrame:
+    """Adds the lists of a possession's help, closeouts and contacts (null: none), for phase_at.
 
-    helps and closing: possession, slot, t_start, t_end; contacts: possession,
-    t_contact of its screens, which concern all five defenders. Intervals hold
-    their ends. Recovery is the time after the end of a defender's help or
-    closeout; a screen lasts from `before` its contact to `after` it; what comes
-    earlier than the first screen is pre_screen. Null times are no intervals. A
-    possession has a few of each.
+    Meant for rows of whole possessions: they meet before possessions grow to
+    steps, so a step is neither sorted nor moved.
     """
 
     def listed(df: DataFrame, name: str, *columns: str) -> DataFrame:
         return df.na.drop(subset=list(columns)).groupBy("possession").agg(F.collect_list(F.struct(*columns)).alias(name))
 
-    # all meet by possession alone, so steps that are dealt by it stay where they are
-    out = steps.join(listed(helps, "__h", *KEY[1:], "t_start", "t_end"), "possession", "left").join(listed(closing, "__c", *KEY[1:], "t_start", "t_end"), "possession", "left")
-    out = out.join(listed(contacts, "__s", "t_contact"), "possession", "left")
-    t, slot = F.col("t"), F.col("slot")
+    # all meet by possession alone, so rows that are dealt by it stay where they are
+    out = possessions.join(listed(helps, "__h", *KEY[1:], "t_start", "t_end"), "possession", "left").join(listed(closing, "__c", *KEY[1:], "t_start", "t_end"), "possession", "left")
+    return out.join(listed(contacts, "__s", "t_contact"), "possession", "left")
+
+
+def phase_at(t: Column, slot: Column, windows: PhaseWindows) -> Column:
+    """The phase (one of PHASES; the first that holds) of a step and slot of a marked possession."""
     inside = lambda c: F.exists(c, lambda x: (x["slot"] == slot) & (x["t_start"] <= t) & (t <= x["t_end"]))
     after = lambda c: F.coalesce(F.exists(c, lambda x: (x["slot"] == slot) & (x["t_end"] < t) & (t <= x["t_end"] + windows.recovery)), F.lit(False))
     screen = F.exists("__s", lambda x: (x["t_contact"] - windows.before <= t) & (t <= x["t_contact"] + windows.after))
     before = t < F.array_min("__s")["t_contact"] - windows.before
-    return out.withColumn("phase", phase(inside("__h"), inside("__c"), after("__h") | after("__c"), screen, before)).drop("__h", "__c", "__s")
+    return phase(inside("__h"), inside("__c"), after("__h") | after("__c"), screen, before)
+
+
+def phases(steps: DataFrame, helps: DataFrame, closing: DataFrame, contacts: DataFrame, windows: PhaseWindows = VARIANTS["A"]) -> DataFrame:
+    """Adds `phase` to steps (possession, slot, t, ..).
+
+    helps and closing: possession, slot, t_start, t_end; contacts: possession,
+    t_contact of its screens, which concern all five defenders. Intervals hold
+    their ends. Recovery is the time after the end of a defender's help or
+    closeout; a screen lasts from `before` its contact to `after` it; what comes
+    earlier than the first screen is pre_screen. Null times are no intervals. A
+    possession has a few of each. Where steps are made of possessions, marked
+    and phase_at do without sorting steps.
+    """
+    return marked(steps, helps, closing, contacts).withColumn("phase", phase_at(F.col("t"), F.col("slot"), windows)).drop("__h", "__c", "__s")
 
 
 def phase_shares(steps: DataFrame, by: list[str]) -> DataFrame:
     """Per key: steps, and the share of each phase and its difference from the share over all keys' steps."""
     counts = [F.count_if(F.col("phase") == p).alias(p) for p in PHASES]
     each = steps.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *counts)
-    whole = each.agg(F.sum("n").alias("n"), *[F.sum(p).alias(p) for p in PHASES]).first()
-    league = {p: (whole[p] or 0) / whole["n"] if whole["n"] else 0.0 for p in PHASES}
+    league = each.agg(F.struct(*[(F.sum(p) / F.sum("n")).alias(p) for p in PHASES])).scalar()  # a subquery: who takes no difference does not pay for it
     shares = [(F.col(p) / F.col("n")).alias(p) for p in PHASES]
-    return each.select(*by, "n", *shares, *[(F.col(p) / F.col("n") - F.lit(league[p])).alias(f"{p}_diff") for p in PHASES])
+    return each.select(*by, "n", *shares, *[(F.col(p) / F.col("n") - league[p]).alias(f"{p}_diff") for p in PHASES])
 
 
 def step_context(t: Column, release: Column, contacts: Column, start: Column, around: int = 1_000, early: int = 2_000) -> Column:
