@@ -197,3 +197,33 @@ def test_fit_leaves_the_callers_cache(spark):
     hmm.fit(held, max_iter=1)
     assert held.is_cached and held.storageLevel.useMemory
     held.unpersist()
+
+
+def test_sums_of_chunks(spark):
+    """An E step's sums, taken a few hundred possessions at a time, are those of the definitions over all, with helpers and codes too."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    steps = [np.hstack([rng.uniform(0, 50, (t, 22)), rng.integers(0, 16, (t, 5))]).tolist() for t in rng.integers(1, 7, hmm.CHUNK + 40)]
+    raw = pa.RecordBatch.from_arrays([pa.array(range(len(steps))), pa.array(steps, pa.list_(pa.list_(pa.float64())))], names=["possession", "steps"])
+    p = hmm.Params(gamma=((0.5, 0.3, 0.2), (0.7, 0.1, 0.2)), sigma2=(9.0, 60.0), help=(0.4, 90.0), beta=(-2.0, 0.3, 0.1, -0.2, 0.5))
+    got = hmm.expected_sums(spark.createDataFrame(list(enumerate(steps)), "possession long, steps array<array<double>>").coalesce(1), p)
+    whole = hmm.Batch.of(raw)
+    n, t = whole.valid.shape
+    code = whole.code.reshape(n * 5, t)
+    post, loglik, stayed = hmm.smooth(whole.log_density(p), p.stay()[code])
+    weight = post.reshape(n, 5, t, 6) * whole.valid[:, None, :, None]
+    expected = {"loglik": loglik.sum(), "n": whole.valid.sum() * 5, "help_weight": weight[..., 5].sum()}
+    bodies = lambda d, k: (whole.off[:, :, k] - hmm.HOOP, whole.ball - hmm.HOOP, whole.men[:, :, d] - hmm.HOOP)
+    side, moments, helps = whole.side(), np.zeros((2, 3, 3)), np.zeros((2, 2))
+    for d in range(5):
+        for k in range(5):
+            dots = np.array([[(a * b).sum(axis=-1) for a in bodies(d, k)] for b in bodies(d, k)])
+            for s in (0, 1):
+                moments[s] += (dots * (weight[:, d, :, k] * (side[:, :, k] == s))).sum(axis=(2, 3))
+        helps += (np.array([[(a * b).sum(axis=-1) for a in bodies(d, 0)[1:]] for b in bodies(d, 0)[1:]]) * weight[:, d, :, 5]).sum(axis=(2, 3))
+    moves = np.repeat(whole.valid, 5, axis=0)
+    moves[:, 0] = False
+    expected |= {"side": moments, "help": helps, "weight": [(weight[..., :5] * (side == s)[:, None]).sum() for s in (0, 1)]}
+    expected |= {"stayed": np.bincount(code[moves], stayed[moves], 16), "steps": np.bincount(code[moves], minlength=16)}
+    assert got.keys() == expected.keys() and all(np.allclose(got[name], v, rtol=1e-10) for name, v in expected.items())
