@@ -290,3 +290,25 @@ def test_tracked_periods(spark, raw):
     for second_chances in (False, True):
         found, expected = (df.drop("offense_ids", "defense_ids") for df in (tracked.possessions(direction, hosts, second_chances), tracking.segment_possessions(entities, index, pbp, direction, hosts, second_chances)))
         assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect())) and found.where("reject = 'period_untracked'").count() == 1
+
+
+def test_both_segmentations_in_one_pass(spark, monkeypatch):
+    """Windows without and with second chances come of one read of the moments, in as many partitions as periods ask for, and equal those of two passes."""
+    monkeypatch.setattr(tracking, "TASK_PERIODS", 1)
+    n = 2 * spark.sparkContext.defaultParallelism
+    in_games = lambda df: df.crossJoin(spark.range(n).select(F.col("id").cast("string").alias("game_id")))
+    frames = spark.createDataFrame(second_chance_frames(), "g string, event_id int, period int, moment_idx int, unix_ms long, game_clock double, shot_clock double, team_id long, player_id long, x double, y double, z double")
+    moments = frames.groupBy("event_id", "period", "moment_idx", "unix_ms", "game_clock").agg(F.collect_list(F.struct("team_id", "player_id", "x", "y", "z")).alias("entities"))
+    events = [(2, 1, 4, 697, HOME), (3, 1, 4, None, HOME), (8, 1, 9, None, None), (9, 1, 5, 692, HOME), (10, 2, 4, 700, HOME), (11, 3, 5, 700, AWAY)]
+    pbp = spark.createDataFrame([(*e, None) for e in events], "event_num int, period int, msg_type int, pctime_sec int, p1_team_id long, score_margin int")
+    direction = in_games(spark.createDataFrame([(HOME, 1, True), (AWAY, 1, False)], "team_id long, period int, attacks_left boolean"))
+    hosts = in_games(spark.createDataFrame([(AWAY,)], "home_team_id long"))
+    tracked = tracking.Tracked.of(in_games(moments), in_games(pbp))
+    both = tracked.both_possessions(direction, hosts)
+    assert tracked.partitions == 3 * n == both.rdd.getNumPartitions()
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in line and "entities" in line for line in plan.splitlines()) == 1
+    for again, whole in ((False, 0), (True, n)):
+        found, alone = both.where(F.col("second_chances") == again).drop("second_chances"), tracked.possessions(direction, hosts, again)
+        assert found.schema == alone.schema and sorted(map(str, found.collect())) == sorted(map(str, alone.collect()))
+        assert found.count() == 3 * n and found.where("reject IS NULL AND is_second_chance").count() == found.where("reject IS NULL").count() == whole
