@@ -63,3 +63,10 @@ def test_phases_meet_possessions_before_steps(spark):
     shares = defence.phase_shares(spark.createDataFrame([(1, "help"), (2, "other")], "d long, phase string"), ["d"])
     planned = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "Subquery" in planned(shares) and "Subquery" not in planned(shares.select("d", "help"))
+
+
+def test_frames_are_not_broadcast(spark):
+    """Frames are many times what the keys' file lets Spark expect; they meet the times asked for where they are made."""
+    text = plan(spark, "features_at_times")
+    assert "BroadcastExchange" not in text and "hashpartitioning(possession" not in text
+    assert "hashpartitioning(o_orderkey" in text

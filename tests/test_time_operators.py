@@ -30,6 +30,14 @@ def test_nearest_within(spark):
     assert len(got) == len(left) and all((r.r_t, r.r_id) == expected[r.id] for r in got)
 
 
+def test_nearest_sample(spark):
+    left, right = rows(80, 5), [r for r in rows(60, 6) if r[1] is not None and r[2] is not None]
+    samples = spark.createDataFrame(right, KEYED).groupBy("k").agg(F.collect_list(F.struct("t", "id")).alias("samples"))
+    met = spark.createDataFrame(left, KEYED).join(samples, "k", "left").select("id", asof.nearest_sample(F.col("samples"), F.col("t"), 5).alias("near"))
+    got, expected = met.select("id", F.col("near.t").alias("r_t"), F.col("near.id").alias("r_id")).collect(), nearest(left, right, 5)
+    assert len(got) == len(left) and all((r.r_t, r.r_id) == expected[r.id] for r in got)
+
+
 def test_nearest_by_group(spark):
     left, right = [r for r in rows(80, 3) if r[1] is not None], [r for r in rows(20, 4) if r[1] is not None and r[2] is not None]
     got = asof.nearest_by_group(spark.createDataFrame(left, KEYED), spark.createDataFrame(right, KEYED), ["k"]).collect()

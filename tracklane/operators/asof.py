@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,6 +34,16 @@ def nearest_within(left: DataFrame, right: DataFrame, by: Sequence[str], toleran
     return left.join(best, row_key, "left")
 
 
+def nearest_sample(samples: Column, t: Column, tolerance: int) -> Column:
+    """The nearest of samples (an array of structs that begin with t and id) no farther from t than tolerance; null if there is none.
+
+    As nearest_within, for keys whose right rows are a few and meet the left
+    ones as one row of the key: nothing is moved for their times.
+    """
+    gaps = F.transform(samples, lambda s: F.struct(F.abs(s["t"] - t).alias("gap"), s.alias("s")))
+    return F.array_min(F.filter(gaps, lambda g: g["gap"] <= tolerance))["s"]
+
+
 def nearest_by_group(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
     """left (id, t, ..) with r_id and r_t of the nearest right row (id, t) of the same group, at any distance.
 
