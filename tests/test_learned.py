@@ -99,6 +99,22 @@ def test_points_against_mixtures(spark):
     assert first == second
 
 
+def test_draws_are_those_of_their_component():
+    """A draw is the mean and sigma of the component that u picks, one by one; mixtures are broadcast against leading and inner axes of draws."""
+    rng = np.random.default_rng(12)
+    w, m, s = rng.dirichlet(np.ones(3), (6, 4)), rng.uniform(0, 40, (6, 4, 3, 2)), rng.uniform(1, 2, (6, 4, 3))
+    u, normal = mixture.noise(50, (6, 4), rng)
+    got = mixture.placed(w, m, s, u, normal)
+    inner = mixture.placed(w[:, None], m[:, None], s[:, None], np.moveaxis(u, 0, 1), np.moveaxis(normal, 0, 1))
+    assert got.shape == (50, 6, 4, 2) and np.array_equal(np.moveaxis(inner, 1, 0), got)
+    for t, i, j in itertools.product(range(50), range(6), range(4)):
+        c = int(np.searchsorted(np.cumsum(w[i, j])[:-1], u[t, i, j]))
+        assert np.array_equal(got[t, i, j], m[i, j, c] + s[i, j, c] * normal[t, i, j])
+    given = np.empty((50, 6, 4)), np.empty((50, 6, 4, 2))
+    mixture.noise(50, (6, 4), np.random.default_rng(5), *given)
+    assert all(np.array_equal(a, b) for a, b in zip(given, mixture.noise(50, (6, 4), np.random.default_rng(5)), strict=True))
+
+
 def test_losses_regions_and_entropy_of_slots():
     rng = np.random.default_rng(8)
     w, m, s = rng.dirichlet(np.ones(3), (4, 3)), rng.uniform(0, 10, (4, 3, 3, 2)), rng.uniform(1, 2, (4, 3, 3))

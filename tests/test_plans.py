@@ -70,3 +70,9 @@ def test_frames_are_not_broadcast(spark):
     text = plan(spark, "features_at_times")
     assert "BroadcastExchange" not in text and "hashpartitioning(possession" not in text
     assert "hashpartitioning(o_orderkey" in text
+
+
+def test_shots_are_made_once(spark):
+    """Points against draws read staged shots: frames are not grown again, and features are not made of whole court positions."""
+    text = plan(spark, "learned_points")
+    assert "MapInArrow" in text and "Generate" not in text and "Exchange hashpartitioning(o_orderkey" not in text

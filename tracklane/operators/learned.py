@@ -6,6 +6,7 @@ does not matter here. A row is worked on by itself, so nothing is shuffled.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,11 +82,16 @@ def gaps_to(shot: np.ndarray, men: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Feet from shots (.., 2) to each of their defenders (.., K, 2), and the same for those in front, infinite for others."""
     off, rim = men - shot[..., None, :], np.array([court.HOOP_X, court.HOOP_Y]) - shot
     gap = np.hypot(off[..., 0], off[..., 1])
-    along = (off * rim[..., None, :]).sum(axis=-1)
+    along = off[..., 0] * rim[..., None, 0] + off[..., 1] * rim[..., None, 1]
     reach = np.maximum(gap * np.maximum(np.hypot(rim[..., 0], rim[..., 1]), 1e-6)[..., None], 1e-6)
     return gap, np.where(along >= np.cos(np.radians(court.FRONT_CONE_DEGREES)) * reach, gap, np.inf)
 
 
+def least(gaps: np.ndarray) -> np.ndarray:
+    """The minimum over the last axis, which is short: one comparison of whole arrays for each of its places."""
+    return functools.reduce(np.minimum, np.moveaxis(gaps, -1, 0))
+
+
 def shot_defence(shot: np.ndarray, men: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(nearest defender, nearest in front) of shots (.., 2) with defenders (.., K, 2), in feet; nobody in front is far."""
     near, front = (g.min(axis=-1) for g in gaps_to(shot, men))
@@ -125,20 +131,24 @@ def learned_points(shots: DataFrame, model: ShotModel, key: list[str], draws: in
                 w, s = _numbers(part, "weights", k, -1), _numbers(part, "sigmas", k, -1)
                 m = _numbers(part, "means", k, w.shape[2], 2)
                 seeds = part.column("seed").to_numpy().view(np.uint64)
-                u, normal = (np.stack(x, axis=1) for x in zip(*(mixture.noise(draws, (k,), np.random.default_rng(int(seed))) for seed in seeds), strict=True))
-                still, moved = gaps_to(shot, men), gaps_to(shot[None], mixture.placed(w, m, s, u, normal))
+                u, normal = np.empty((n, draws, k)), np.empty((n, draws, k, 2))
+                for seed, *own in zip(seeds, u, normal, strict=True):
+                    mixture.noise(draws, (k,), np.random.default_rng(int(seed)), *own)
+                still, moved = gaps_to(shot, men), gaps_to(shot[:, None], mixture.placed(w[:, None], m[:, None], s[:, None], u, normal))
+                line = line[:, :, None]
 
-                def made(near: np.ndarray, front: np.ndarray) -> np.ndarray:
+                def made(near: np.ndarray, front: np.ndarray) -> np.ndarray:  # rows by draws
                     front = np.where(np.isfinite(front), front, court.NO_FRONT)
                     return 1 / (1 + np.exp(-(line[:, 0] + line[:, 1] * np.log(near + 0.5) + line[:, 2] * np.log(front + 0.5))))
 
                 def one_moved(d: int) -> np.ndarray:  # of the gaps only the one of d differs between draws
-                    return made(*(np.minimum(b[..., d], np.delete(a, d, axis=1).min(axis=1, initial=np.inf)) for a, b in zip(still, moved, strict=True)))
+                    return made(*(np.minimum(b[..., d], np.delete(a, d, axis=1).min(axis=1, initial=np.inf)[:, None]) for a, b in zip(still, moved, strict=True)))
 
-                real, value = made(*(a.min(axis=1) for a in still)), part.column("value").to_numpy()
-                alone = [one_moved(d).mean(axis=0) for d in range(k)]
+                real, value = made(*(a.min(axis=1)[:, None] for a in still))[:, 0], part.column("value").to_numpy()
+                alone = [one_moved(d).mean(axis=1) for d in range(k)]
                 dep = (real[:, None] - np.stack(alone, axis=1)) * value[:, None]
-                out = [pa.array(real), pa.array(list(dep), pa.list_(pa.float64())), pa.array((real - made(*(b.min(axis=-1) for b in moved)).mean(axis=0)) * value)]
+                each = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * k, dep.ravel())
+                out = [pa.array(real), each, pa.array((real - made(*(least(b) for b in moved)).mean(axis=1)) * value)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in key), *out], names=[*key, *(f.name for f in extra)])
 
     return rows.mapInArrow(run, StructType([*(rows.schema[c] for c in key), *extra]))

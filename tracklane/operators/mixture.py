@@ -38,19 +38,20 @@ def sample(weights: np.ndarray, means: np.ndarray, sigmas: np.ndarray, draws: in
     return placed(weights, means, sigmas, *noise(draws, weights.shape[:-1], rng))
 
 
-def noise(draws: int, shape: tuple[int, ...], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """What a sample needs of the generator: uniforms (draws, ..) and normals (draws, .., 2)."""
-    return rng.random((draws, *shape)), rng.standard_normal((draws, *shape, 2))
+def noise(draws: int, shape: tuple[int, ...], rng: np.random.Generator, u: np.ndarray | None = None, normal: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """What a sample needs of the generator: uniforms (draws, ..) and normals (draws, .., 2), in the arrays given if there are any."""
+    return rng.random((draws, *shape), out=u), rng.standard_normal((draws, *shape, 2), out=normal)
 
 
 def placed(weights: np.ndarray, means: np.ndarray, sigmas: np.ndarray, u: np.ndarray, normal: np.ndarray) -> np.ndarray:
-    """The sample that this noise gives."""
+    """The sample that this noise gives; its shape is that of normal, against which mixtures are broadcast."""
+    shape = np.broadcast_shapes(weights.shape, means.shape[:-1], sigmas.shape)
     below = np.zeros(u.shape, dtype=np.int64)  # components whose cumulated weight u has passed
     for edge in np.moveaxis(np.cumsum(weights, axis=-1), -1, 0)[:-1]:
         below += u > edge
-    picked = below[..., None] == np.arange(weights.shape[-1])
-    centre = np.einsum("...m,...mx->...x", picked, np.broadcast_to(means, (len(u), *means.shape)))
-    return centre + (picked * sigmas).sum(axis=-1)[..., None] * normal
+    at = np.arange(np.prod(shape[:-1], dtype=int)).reshape(shape[:-1]) * shape[-1] + below  # the picked component among all
+    centre = np.broadcast_to(means, (*shape, 2)).reshape(-1, 2).take(at, axis=0)
+    return centre + np.broadcast_to(sigmas, shape).reshape(-1).take(at)[..., None] * normal
 
 
 def density_rank(weights: np.ndarray, means: np.ndarray, sigmas: np.ndarray, z: np.ndarray, draws: int, rng: np.random.Generator) -> np.ndarray:

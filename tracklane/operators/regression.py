@@ -71,7 +71,8 @@ def newton_logistic(df: DataFrame, y: Column, x: Mapping[str, Column], c: float
     """
     names = ["intercept", *x]
     d = len(names)
-    held = df.select(F.lit(1.0).alias("x0"), *[v.cast("double").alias(f"x{i + 1}") for i, v in enumerate(x.values())], y.cast("double").alias("y")).na.drop().persist()
+    kept = df.select(F.lit(1.0).alias("x0"), *[v.cast("double").alias(f"x{i + 1}") for i, v in enumerate(x.values())], y.cast("double").alias("y")).persist()
+    held = kept.na.drop()  # after columns are kept: before, each would be computed in the condition too, with all that it is made of
     beta, penalty = np.zeros(d), np.diag([0.0] + [1.0] * (d - 1))
     n = held.count()
     try:
@@ -94,7 +95,7 @@ def newton_logistic(df: DataFrame, y: Column, x: Mapping[str, Column], c: float
             if np.abs(step).max() < tol:
                 return Fit(names, beta, np.sqrt(np.diag(np.linalg.inv(h))), float("nan"), n)
     finally:
-        held.unpersist()
+        kept.unpersist()
     raise ArithmeticError(f"no convergence in {max_iter} steps")
 
 

@@ -193,7 +193,7 @@ def shot_points_difference(spark, sf_dir):
 @query("learned_points")
 def learned_points(spark, sf_dir):
     """Expected points against defenders drawn from mixtures (where they are, and two feet nearer to the hoop), by zone: each alone, and all of them."""
-    shots = _shot_table(spark, sf_dir)
+    shots = staged(_shot_table(spark, sf_dir))  # features are taken from plain columns, for the fit and for the draws
     model = shot_quality.fit(shots, "M1_geometry_defense")
     flat = lambda one: F.flatten(F.transform("def", one))
     place = F.array(F.lit(0.0), F.lit(0.0))
