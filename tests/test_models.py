@@ -227,3 +227,29 @@ def test_sums_of_chunks(spark):
     expected |= {"side": moments, "help": helps, "weight": [(weight[..., :5] * (side == s)[:, None]).sum() for s in (0, 1)]}
     expected |= {"stayed": np.bincount(code[moves], stayed[moves], 16), "steps": np.bincount(code[moves], minlength=16)}
     assert got.keys() == expected.keys() and all(np.allclose(got[name], v, rtol=1e-10) for name, v in expected.items())
+
+
+def test_left_over_attackers(spark):
+    """Against all 120 assignments; sums of a possession's errors are those of its rows, whatever its length, and give the same scores."""
+    from tracklane.operators import baselines
+    from tracklane.plans.track_queries import frames
+
+    rng = np.random.default_rng(21)
+    cost = np.square(rng.normal(size=(3, 7, 5, 5, 2)) * 9).sum(axis=-1)
+    got = baselines.left_over(cost)
+    assert got.shape == (3, 7, 5)
+    for at in itertools.product(range(3), range(7), range(5)):
+        *place, hidden = at
+        total = lambda way: sum(math.sqrt(cost[(*place, d, way[d])]) for d in range(5) if d != hidden)  # noqa: E731, B023
+        assert min(itertools.permutations(range(5)), key=total)[hidden] == got[at]
+
+    rows = hmm.chains(frames(spark, "/root/testdata/sf0.001").where("possession % 3 > 0 OR step < possession % 7 + 1"))
+    each, sums = baselines.left_over_errors(rows), baselines.left_over_sums(rows)
+    own = {r.possession: (r.n, r.square) for r in each.groupBy("possession").agg(F.count("square").alias("n"), F.sum("square").alias("square")).collect()}
+    found = {r.possession: (r.n, r.square) for r in sums.collect()}
+    assert own.keys() == found.keys() and len({n for n, _ in own.values()}) > 3
+    assert all(own[k][0] == n and math.isclose(own[k][1], square, rel_tol=1e-12) for k, (n, square) in found.items())
+    sigma = baselines.fitted_sigma(sums)
+    assert math.isclose(sigma, baselines.fitted_sigma(each), rel_tol=1e-12)
+    assert np.allclose([*baselines.scores(sums, sigma).first()], [*baselines.scores(each, sigma).first()], rtol=1e-12)
+    assert baselines.fitted_sigma(sums.where("false")) == 0.0 and baselines.scores(sums.where("false"), 1.0).first().n == 0

@@ -76,3 +76,10 @@ def test_shots_are_made_once(spark):
     """Points against draws read staged shots: frames are not grown again, and features are not made of whole court positions."""
     text = plan(spark, "learned_points")
     assert "MapInArrow" in text and "Generate" not in text and "Exchange hashpartitioning(o_orderkey" not in text
+
+
+def test_splits_are_told_apart_before_chains(spark):
+    """Possessions of the other split are not worked on, and a possession's errors leave its task as one sum."""
+    text = plan(spark, "rule_left_over")
+    assert text.index("MapInArrow") < text.index("% 5")
+    assert "square" in text and "slot" not in text

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from tracklane.functions import court
 from tracklane.operators.hmm import HOOP, K, Batch
 from tracklane.operators.matchup import at, defenders
-from tracklane.operators.mixture import best_assignment, permutations
+from tracklane.operators.mixture import best_assignment
 from tracklane.operators.stats import linear_quantiles
 from tracklane.sources.shared import staged
 
@@ -64,12 +66,32 @@ def set_errors(chain_rows: DataFrame, gamma: tuple = GAMMA) -> DataFrame:
     return chain_rows.mapInArrow(run, "possession long, n long, square double")
 
 
+def _pairs(cost: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+    """Least total distance of two defenders on two attackers, (10, ..) for each pair of defenders; rows as in _PAIRS. cost: (K, K, ..)."""
+    i, j = np.array(_PAIRS).T
+    return {(p, q): np.minimum(cost[p, i] + cost[q, j], cost[p, j] + cost[q, i]) for p, q in _PAIRS}
+
+
+_PAIRS = tuple(combinations(range(K), 2))
+#: For each attacker, the ways to part the four others into two pairs, in either order: places in _PAIRS.
+_PARTS = [[(a, b) for a, one in enumerate(_PAIRS) for b, two in enumerate(_PAIRS) if sorted((*one, *two, k)) == list(range(K))] for k in range(K)]
+
+
 def left_over(cost: np.ndarray) -> np.ndarray:
-    """Of each defender, the attacker left over when the four others are assigned at the least total distance: (.., K) from square distances (.., K, K)."""
-    ways, distance = permutations(K), np.sqrt(cost)
-    each = np.stack([np.take_along_axis(distance, np.broadcast_to(way[:, None], (*cost.shape[:-1], 1)), axis=-1)[..., 0] for way in ways], axis=-1)
-    others = each.sum(axis=-2, keepdims=True) - each
-    return ways[others.argmin(axis=-1), np.arange(K)]
+    """Of each defender, the attacker left over when the four others are assigned at the least total distance: (.., K) from square distances (.., K, K).
+
+    Four on four are two pairs on two pairs, so the assignments of pairs are
+    found once for all hidden defenders. Work is on whole rows of steps.
+    """
+    distance = np.ascontiguousarray(np.moveaxis(np.sqrt(cost).reshape(-1, K, K), 0, -1))
+    pairs = _pairs(distance)
+    out = np.empty((K, distance.shape[-1]), dtype=np.int64)
+    for hidden in range(K):
+        p, q, r, s = (d for d in range(K) if d != hidden)
+        one, two = pairs[p, q], pairs[r, s]
+        totals = [reduce(np.minimum, [one[a] + two[b] for a, b in parts]) for parts in _PARTS]
+        out[hidden] = np.argmin(totals, axis=0)
+    return out.T.reshape(cost.shape[:-1])
 
 
 def left_over_errors(chain_rows: DataFrame, gamma: tuple = GAMMA) -> DataFrame:
@@ -87,15 +109,40 @@ def left_over_errors(chain_rows: DataFrame, gamma: tuple = GAMMA) -> DataFrame:
     return chain_rows.mapInArrow(run, "possession long, step long, slot long, square double")
 
 
+#: Possessions whose distances are compared together: their arrays stay in a core's cache.
+CHUNK = 512
+
+
+def left_over_sums(chain_rows: DataFrame, gamma: tuple = GAMMA) -> DataFrame:
+    """left_over_errors added up in their task: possession, n (defenders times steps), square."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, CHUNK):
+                raw = whole.slice(at, CHUNK)
+                batch, cost = _costs(raw, gamma)
+                square = np.take_along_axis(cost, left_over(cost)[..., None], axis=-1)[..., 0].sum(axis=-1)
+                yield pa.RecordBatch.from_arrays([raw.column("possession"), pa.array(batch.valid.sum(axis=1) * K), pa.array((square * batch.valid).sum(axis=1))], names=["possession", "n", "square"])
+
+    return chain_rows.mapInArrow(run, "possession long, n long, square double")
+
+
+def _counted(errors: DataFrame) -> tuple[Column, Column]:
+    """Number and mean of square errors, which come one by one or as sums of n of them."""
+    n = F.sum("n") if "n" in errors.columns else F.count(F.lit(1))
+    return n, F.try_divide(F.sum("square"), n) if "n" in errors.columns else F.avg("square")
+
+
 def fitted_sigma(errors: DataFrame) -> float:
-    """The standard deviation per axis that fits square errors best: that of a split, to be used on others."""
-    return math.sqrt((errors.agg(F.avg("square")).first()[0] or 0.0) / 2)
+    """The standard deviation per axis that fits square errors (left_over_errors or left_over_sums) best: that of a split, to be used on others."""
+    return math.sqrt((errors.agg(_counted(errors)[1]).first()[0] or 0.0) / 2)
 
 
 def scores(errors: DataFrame, sigma: float) -> DataFrame:
-    """One row: n, root mean square error and negative log density of an isotropic Gaussian."""
-    nll = F.avg("square") / (2 * sigma * sigma) + math.log(2 * math.pi * sigma * sigma)
-    return errors.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg("square")).alias("rmse"), nll.alias("nll"))
+    """One row: n, root mean square error and negative log density of an isotropic Gaussian. errors as for fitted_sigma."""
+    n, mean = _counted(errors)
+    nll = mean / (2 * sigma * sigma) + math.log(2 * math.pi * sigma * sigma)
+    return errors.agg(F.coalesce(n, F.lit(0)).alias("n"), F.sqrt(mean).alias("rmse"), nll.alias("nll"))
 
 
 def region(errors: DataFrame, distance: str, level: float = 0.8) -> DataFrame:
