@@ -253,3 +253,18 @@ def test_left_over_attackers(spark):
     assert math.isclose(sigma, baselines.fitted_sigma(each), rel_tol=1e-12)
     assert np.allclose([*baselines.scores(sums, sigma).first()], [*baselines.scores(each, sigma).first()], rtol=1e-12)
     assert baselines.fitted_sigma(sums.where("false")) == 0.0 and baselines.scores(sums.where("false"), 1.0).first().n == 0
+
+
+def test_fits_from_several_starts_share_their_passes(spark, monkeypatch):
+    """Each fit is the one it is alone, also where they end after different numbers of iterations; chains are read once an iteration."""
+    rows = hmm.chains(simulate(spark)).persist()
+    starts = [hmm.Params(), hmm.Params(gamma=((0.9, 0.05, 0.05),) * 2), hmm.Params(rho=0.6, sigma2=(25.0, 25.0), help=(0.5, 20.0))]
+    alone = [hmm.fit(rows, start, max_iter=9, tol=1e-3) for start in starts]
+    passes, step = [], hmm.expected_sums_each
+    monkeypatch.setattr(hmm, "expected_sums_each", lambda held, params: passes.append(len(params)) or step(held, params))
+    together = hmm.fit_each(rows, starts, max_iter=9, tol=1e-3)
+    rows.unpersist()
+    lengths = [len(p.history) for p in together]
+    assert len(set(lengths)) > 1 and len(passes) == max(lengths) and sum(passes) == sum(lengths)
+    for a, b in zip(alone, together, strict=True):
+        assert np.allclose(a.history, b.history, rtol=1e-12) and np.allclose(np.array(a.gamma), np.array(b.gamma), rtol=1e-9) and math.isclose(a.rho, b.rho, rel_tol=1e-9)

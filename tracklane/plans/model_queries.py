@@ -95,13 +95,9 @@ def matchup_em_events(spark, sf_dir):
 @query("matchup_em_starts")
 def matchup_em_starts(spark, sf_dir):
     """The same fit from three starts: chance to stay and log-likelihood per observation where each ends."""
-    held, out = hmm.chains(frames(spark, sf_dir)).persist(), []
-    try:
-        for name, start in (("even", hmm.Params(gamma=((1 / 3,) * 3,) * 2)), ("attacker", hmm.Params(gamma=((0.9, 0.05, 0.05),) * 2)), ("loose", hmm.Params(rho=0.6, sigma2=(25.0, 25.0)))):
-            p = hmm.fit(held, start, max_iter=6)
-            out.append((name, p.rho, float(p.history[-1]), len(p.history)))
-    finally:
-        held.unpersist()
+    starts = {"even": hmm.Params(gamma=((1 / 3,) * 3,) * 2), "attacker": hmm.Params(gamma=((0.9, 0.05, 0.05),) * 2), "loose": hmm.Params(rho=0.6, sigma2=(25.0, 25.0))}
+    fitted = hmm.fit_each(hmm.chains(frames(spark, sf_dir)), list(starts.values()), max_iter=6)
+    out = [(name, p.rho, float(p.history[-1]), len(p.history)) for name, p in zip(starts, fitted, strict=True)]
     return spark.createDataFrame(out, "start string, rho double, loglik double, iterations int")
 
 
