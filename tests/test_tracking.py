@@ -292,6 +292,24 @@ def test_tracked_periods(spark, raw):
         assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect())) and found.where("reject = 'period_untracked'").count() == 1
 
 
+def test_index_of_moments(spark, raw):
+    """Moments dealt by game give the index of their single entities, with times that repeat, clocks that tie and nulls among them, by one shuffle."""
+    schema = "game_id string, event_id int, moment_idx int, period int, unix_ms long, game_clock double, shot_clock double, entities array<struct<team_id: long, player_id: long, x: double, y: double, z: double>>"
+    man = lambda team, player: (team, player, 1.0, 2.0, 3.0)
+    odd = [
+        ("0021500001", 9, 0, 1, 1_000_000, 1.0, None, [man(-1, -1), man(77, 78), man(77, 78)]), ("0021500001", 9, 1, 1, 1_000_000, 2.0, 3.0, [man(77, 78), man(77, 79), man(None, 79)]),
+        ("0021500002", 1, 0, 2, 50, 9.0, None, [man(10, 11)]), ("0021500002", 2, 0, 2, 50, 8.0, 20.0, [man(10, 11), man(20, 11)]), ("0021500002", 2, 1, 2, 90, 8.0, 20.0, []),
+        ("0021500002", 2, 2, 2, 200, 9.5, 20.0, [man(10, 11), man(-1, -1)]), ("0021500002", 2, 3, 1, 10, 7.0, 5.0, None), ("0021500002", 2, 4, 1, 20, 7.0, 5.0, [man(10, 11)]),
+    ]
+    moments = games.game_moments(raw).unionByName(spark.createDataFrame(odd, schema))
+    entities = tracking.dedup_entities(moments.select("*", F.explode("entities").alias("e")).select("*", "e.*").drop("e", "entities"))
+    expected, found = tracking.frame_index(entities), tracking.moment_index(moments)
+    columns = [c for c in expected.columns if c != "dt"] + ["dt"]
+    assert sorted(map(str, found.select(columns).collect())) == sorted(map(str, expected.select(columns).collect()))
+    assert dict(found.dtypes) == dict(expected.dtypes) and found.where("clock_jump").count() >= 1
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_both_segmentations_in_one_pass(spark, monkeypatch):
     """Windows without and with second chances come of one read of the moments, in as many partitions as periods ask for, and equal those of two passes."""
     monkeypatch.setattr(tracking, "TASK_PERIODS", 1)
