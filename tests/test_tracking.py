@@ -292,6 +292,24 @@ def test_tracked_periods(spark, raw):
         assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect())) and found.where("reject = 'period_untracked'").count() == 1
 
 
+def test_same_times():
+    rng = np.random.default_rng(3)
+    for n, m in ((0, 5), (5, 0), (40, 30)):
+        a, b = rng.integers(0, 20, n).astype(float), np.sort(rng.integers(0, 20, m)).astype(float)
+        left, right = tracking.same_times(a, b)
+        assert [*zip(left.tolist(), right.tolist(), strict=True)] == [(i, j) for i in range(n) for j in range(m) if a[i] == b[j]]
+
+
+def test_shots_deal_the_ball_alone(spark, raw):
+    """Men are left out before moments are dealt, and a moment's values are parsed by the reader: only those of its entities are parsed again."""
+    pbp = spark.createDataFrame([("0021500001", 1, 1, 702, 2, HOME, None)], "game_id string, event_num int, period int, pctime_sec int, msg_type int, p1_team_id long, score_margin int")
+    tracked = tracking.Tracked.of(games.game_moments(raw), pbp)
+    text = tracked.shots()._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("filter(entities") >= 1 and text.rindex("filter(entities") > text.index("RepartitionByExpression")
+    assert games.game_moments(raw)._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert games.game_events(raw)._jdf.queryExecution().optimizedPlan().toString().count("get_json_object") == 0
+
+
 def test_index_of_moments(spark, raw):
     """Moments dealt by game give the index of their single entities, with times that repeat, clocks that tie and nulls among them, by one shuffle."""
     schema = "game_id string, event_id int, moment_idx int, period int, unix_ms long, game_clock double, shot_clock double, entities array<struct<team_id: long, player_id: long, x: double, y: double, z: double>>"
